@@ -20,7 +20,7 @@ from vespera.llm.common import WORD, map_rows, stored
 #: Documents of fewer words are not judged by distance.
 MIN_WORDS = 30
 MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.75
+MAX_WORD_DISTANCE = 0.45
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "other_letter", "digit", "space", "newline", "period_comma", "exclaim", "quote_bracket", "symbol", "other")

@@ -29,7 +29,12 @@ IDENTIFIER_WORDS = (
     "message error result status type kind size length start end next first last min max default current update delete insert "
     "select create table column row query filter map reduce sort group join test spec component module package version token "
     "account customer order payment invoice address session cookie header body content image button style layout grid menu "
-    "international representation communication administration understanding transportation responsibility characteristic"
+    "international representation communication administration understanding transportation responsibility characteristic "
+    "abschnitt aufgabe bericht datei eingabe ausgabe ergebnis fehler gruppe kunde nachricht pfad rechnung schnittstelle speicher "
+    "verbindung verzeichnis zeichenkette geschwindigkeit einrichtung verarbeitung gesellschaft berechtigung zusammenhang schluessel "
+    "pflicht sicherheit zeitpunkt wirtschaft moeglichkeit schreiben berichten freiheit tatsaechlich nichts erbe heimat "
+    "fichier dossier chemin erreur utilisateur valeur connexion affichage requete nouveau tableau reseau lieu mieux jeu "
+    "archivo carpeta usuario clave conexion consulta respuesta desarrollo trabajo informacion llamada guerra siempre"
 ).split()
 
 
