@@ -15,12 +15,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vespera.llm import rans
-from vespera.llm.common import WORD, drop_stored, scratch, stored
+from vespera.llm.common import drop_stored, scratch, stored
 
 BLOCK = 1 << 19
 END_ID = 2
@@ -28,14 +29,19 @@ END_ID = 2
 SHARD_TOKENS = 16_000_000
 #: Distinct blank-separated chunks whose ids a Python worker remembers at most; then it starts anew.
 REMEMBERED = 1_000_000
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 1 << 22
 FRAME = struct.Struct("<cQ")
 #: Fixed value: the split of the tokenizer files that lets no white space through.
 CHUNKED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-_CHUNK = re.compile(WORD)
-#: Of this Python worker, by file: tokenizer and the ids of chunks. Workers outlive tasks.
-_KNOWN: dict[str, tuple[object, dict[str, bytes]]] = {}
+#: Latin text without controls and combining marks, on which normalising is lower-casing alone.
+_PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]+")
+#: CHUNKED for such text, in the terms of re.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+")
+#: Of this Python worker, by file. Workers outlive tasks.
+_KNOWN: dict[str, Memory] = {}
 
 
 def _tokenizer(path: str):
@@ -45,7 +51,7 @@ def _tokenizer(path: str):
 
 
 def by_chunks(path: str) -> bool:
-    """Whether blanks always part this file's words, so that chunks between blanks can be encoded apart.
+    """Whether ASCII blanks always part this file's words, so that chunks between blanks can be encoded apart.
 
     Holds where white space is first made one space and every piece that the split lets through is free of it.
     """
@@ -57,25 +63,80 @@ def by_chunks(path: str) -> bool:
     return whole and any(n.get("type") == "Replace" and n["pattern"] == {"Regex": "\\s+"} for n in norm) and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True and split["pattern"] == {"Regex": CHUNKED}
 
 
-def encode_texts(path: str, texts: list[str], width: str) -> list[bytes]:
-    """The ids of each text, exactly as encode_batch gives them for whole texts."""
-    if path not in _KNOWN:
-        _KNOWN[path] = (_tokenizer(path), {} if by_chunks(path) else None)
-    coder, known = _KNOWN[path]
-    if known is None:
-        return [np.array(e.ids, width).tobytes() for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
-    chunks = [_CHUNK.findall(t) for t in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list({w for c in chunks for w in c if w not in known})
-    for w, e in zip(new, coder.encode_batch_fast(new, add_special_tokens=False)):
-        known[w] = np.array(e.ids, width).tobytes()
-    return [b"".join(map(known.__getitem__, c)) for c in chunks]
+class Memory:
+    """A tokenizer and the ids of chunks seen before, one after another in a pool."""
+
+    def __init__(self, path: str, width: str):
+        self.coder, self.width = _tokenizer(path), width
+        self.apart = by_chunks(path)
+        vocabulary = self.coder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.chunks: dict[str, int] = {"": 0}
+        self.pieces: dict[str, bytes] = {}
+        self.pool = np.zeros(1 << 20, self.width)
+        self.start = np.zeros(1 << 18, np.int64)  # chunk k has pool[start[k] : start[k + 1]]
+
+    def learn(self, new: list[str]) -> None:
+        width, pieces = self.width, self.pieces
+        plain = [w for w in new if _PLAIN.fullmatch(w) and "<|" not in w]
+        parts = [[w.lower()] if w.isalpha() else _PIECE.findall(w.lower()) for w in plain]
+        fresh = list({x for p in parts for x in p} - pieces.keys())
+        # Pieces parted by a space are encoded as one text and told apart by the ids that end a piece.
+        blocks = [fresh[i : i + 256] for i in range(0, len(fresh), 256)]
+        for block, e in zip(blocks, self.coder.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)):
+            ids = np.array(e.ids, width)
+            stop = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stop) != len(block):
+                pieces |= {x: np.array(y.ids, width).tobytes() for x, y in zip(block, self.coder.encode_batch_fast(block, add_special_tokens=False))}
+                continue
+            raw, size, at = ids.tobytes(), ids.itemsize, 0
+            for x, end in zip(block, stop):
+                pieces[x] = raw[at * size : end * size]
+                at = end
+        coded = [pieces[p[0]] if len(p) == 1 else b"".join(map(pieces.__getitem__, p)) for p in parts]
+        if len(plain) < len(new):
+            other = list(set(new).difference(plain))
+            plain += other
+            coded += [np.array(e.ids, width).tobytes() for e in self.coder.encode_batch_fast(other, add_special_tokens=False)]
+        n, more = len(self.chunks), np.frombuffer(b"".join(coded), width)
+        end = int(self.start[n])
+        while end + len(more) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while n + len(plain) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.pool[end : end + len(more)] = more
+        self.start[n + 1 : n + 1 + len(plain)] = end + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // more.itemsize)
+        self.chunks.update(zip(plain, range(n, n + len(plain))))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts and the number of each text's, exactly as encode_batch gives them for whole texts."""
+        if not self.apart:
+            coded = [np.array(e.ids, self.width) for e in self.coder.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate(coded), np.array([len(x) for x in coded], np.int64)
+        if len(self.chunks) > REMEMBERED or len(self.pieces) > REMEMBERED:
+            self.clear()
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = list(map(self.chunks.get, distinct))
+        if None in number:
+            self.learn([w for w, k in zip(distinct, number) if k is None])
+            number = list(map(self.chunks.get, distinct))
+        which = np.array(number, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if number else np.zeros(0, np.int64)
+        start = self.start[which]
+        size = self.start[which + 1] - start
+        before = np.concatenate(([0], np.cumsum(size)))
+        ids = self.pool[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
+        return ids, np.diff(before[np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))))])
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian u2, or u4 for vocabularies beyond 65,536); null texts count as empty."""
-    got = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    got = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     struct_ = T.StructType([T.StructField("doc_id", got.schema[0].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     width = "<u2" if _tokenizer(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
@@ -83,12 +144,23 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        end = np.array([end_id], width).tobytes()
+        if tokenizer not in _KNOWN:
+            _KNOWN[tokenizer] = Memory(tokenizer, width)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                ids, texts = batch.slice(lo, 256).columns
-                coded = [x + end for x in encode_texts(tokenizer, [x or "" for x in texts.to_pylist()], width)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) // len(end) for x in coded], pa.int64()), pa.array(coded, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE_BYTES)))
+                ids, n = _KNOWN[tokenizer].encode(batch.column(1).slice(lo, hi - lo))
+                last = np.cumsum(n + 1)
+                out = np.empty(len(ids) + len(n), width)
+                body = np.ones(len(out), bool)
+                body[last - 1] = False
+                out[body], out[last - 1] = ids, end_id
+                edges = np.concatenate(([0], last * out.itemsize)).astype("<i4")
+                binary = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n + 1, pa.int64()), binary], names=["doc_id", "n_tokens", "ids"])
+                lo = hi
 
     return got.mapInArrow(run, struct_)
 
