@@ -12,6 +12,7 @@ import json
 import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ SHARD_TOKENS = 16_000_000
 #: Distinct blank-separated chunks whose ids a Python worker remembers at most; then it starts anew.
 REMEMBERED = 1_000_000
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 23
 FRAME = struct.Struct("<cQ")
 #: Fixed value: the split of the tokenizer files that lets no white space through.
 CHUNKED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -40,6 +41,8 @@ CHUNKED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]+")
 #: CHUNKED for such text, in the terms of re.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+")
+_MARKS = r"([^\s\pL\pN']+)"
+_NOT_SIMPLE = r"[^\t-\r\x20-\x7e\xa1-\xac\xae-\x{12f}\x{131}-\x{24f}]|<\||[^\s\pL\pN']'|'[^\s\pL\pN']|''"
 #: Of this Python worker, by file. Workers outlive tasks.
 _KNOWN: dict[str, Memory] = {}
 
@@ -76,49 +79,54 @@ class Memory:
 
     def clear(self) -> None:
         self.chunks: dict[str, int] = {"": 0}
-        self.pieces: dict[str, bytes] = {}
         self.pool = np.zeros(1 << 20, self.width)
         self.start = np.zeros(1 << 18, np.int64)  # chunk k has pool[start[k] : start[k + 1]]
 
+    def _coded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks and where each chunk's end."""
+        each = [np.array(e.ids, self.width) for e in self.coder.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.concatenate([*each, np.zeros(0, self.width)]), np.cumsum([len(x) for x in each], dtype=np.int64)
+
+    def _pieces(self, words: list[str], parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of one piece and chunks of several; pieces parted by a space are encoded as one text and told apart by the ids that end a piece."""
+        flat = [*words, *chain.from_iterable(parts)]
+        blocks = [flat[i : i + 256] for i in range(0, len(flat), 256)]
+        each = [np.array(e.ids, self.width) for e in self.coder.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)]
+        if any(int(self.ends[x].sum()) != len(b) for b, x in zip(blocks, each)):
+            return self._coded([*words, *map("".join, parts)])
+        ids = np.concatenate([*each, np.zeros(0, self.width)])
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        return ids, np.concatenate([stop[: len(words)], stop[len(words) + np.cumsum([len(p) for p in parts], dtype=np.int64) - 1]])
+
     def learn(self, new: list[str]) -> None:
-        width, pieces = self.width, self.pieces
-        plain = [w for w in new if _PLAIN.fullmatch(w) and "<|" not in w]
-        parts = [[w.lower()] if w.isalpha() else _PIECE.findall(w.lower()) for w in plain]
-        fresh = list({x for p in parts for x in p} - pieces.keys())
-        # Pieces parted by a space are encoded as one text and told apart by the ids that end a piece.
-        blocks = [fresh[i : i + 256] for i in range(0, len(fresh), 256)]
-        for block, e in zip(blocks, self.coder.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)):
-            ids = np.array(e.ids, width)
-            stop = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stop) != len(block):
-                pieces |= {x: np.array(y.ids, width).tobytes() for x, y in zip(block, self.coder.encode_batch_fast(block, add_special_tokens=False))}
-                continue
-            raw, size, at = ids.tobytes(), ids.itemsize, 0
-            for x, end in zip(block, stop):
-                pieces[x] = raw[at * size : end * size]
-                at = end
-        coded = [pieces[p[0]] if len(p) == 1 else b"".join(map(pieces.__getitem__, p)) for p in parts]
-        if len(plain) < len(new):
-            other = list(set(new).difference(plain))
-            plain += other
-            coded += [np.array(e.ids, width).tobytes() for e in self.coder.encode_batch_fast(other, add_special_tokens=False)]
-        n, more = len(self.chunks), np.frombuffer(b"".join(coded), width)
+        words = [w for w in new if w.isalpha() and _PLAIN.fullmatch(w)]
+        plain = [w for w in new if not w.isalpha() and _PLAIN.fullmatch(w) and "<|" not in w]
+        self._add(words + plain, *self._pieces(list(map(str.lower, words)), [_PIECE.findall(w.lower()) for w in plain]))
+        if len(words) + len(plain) < len(new):
+            other = list(set(new).difference(words, plain))
+            self._add(other, *self._coded(other))
+
+    def _add(self, chunks: list[str], ids: np.ndarray, stop: np.ndarray) -> None:
+        n = len(self.chunks)
         end = int(self.start[n])
-        while end + len(more) > len(self.pool):
+        while end + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(plain) + 1 > len(self.start):
+        while n + len(chunks) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        self.pool[end : end + len(more)] = more
-        self.start[n + 1 : n + 1 + len(plain)] = end + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // more.itemsize)
-        self.chunks.update(zip(plain, range(n, n + len(plain))))
+        self.pool[end : end + len(ids)] = ids
+        self.start[n + 1 : n + 1 + len(chunks)] = end + stop
+        self.chunks.update(zip(chunks, range(n, n + len(chunks))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and the number of each text's, exactly as encode_batch gives them for whole texts."""
         if not self.apart:
             coded = [np.array(e.ids, self.width) for e in self.coder.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.concatenate(coded), np.array([len(x) for x in coded], np.int64)
-        if len(self.chunks) > REMEMBERED or len(self.pieces) > REMEMBERED:
+        if len(self.chunks) > REMEMBERED:
             self.clear()
+        # Latin texts: lower case, and marks parted from words. Where an apostrophe meets another mark they stay as they are.
+        simple = pc.invert(pc.match_substring_regex(texts, pattern=_NOT_SIMPLE))
+        texts = pc.if_else(simple, pc.replace_substring_regex(pc.utf8_lower(texts), pattern=_MARKS, replacement=r" \1 "), texts)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -126,11 +134,14 @@ class Memory:
         if None in number:
             self.learn([w for w, k in zip(distinct, number) if k is None])
             number = list(map(self.chunks.get, distinct))
-        which = np.array(number, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if number else np.zeros(0, np.int64)
-        start = self.start[which]
-        size = self.start[which + 1] - start
+        number = np.array(number, np.int64)
+        first, length = self.start[number], self.start[number + 1] - self.start[number]
+        which = coded.indices.to_numpy(zero_copy_only=False) if len(number) else np.zeros(0, np.int32)
+        size = length[which]
         before = np.concatenate(([0], np.cumsum(size)))
-        ids = self.pool[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
+        at = np.repeat(first[which] - before[:-1], size)
+        at += np.arange(before[-1])
+        ids = self.pool[at]
         return ids, np.diff(before[np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))))])
 
 
