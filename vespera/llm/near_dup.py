@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vespera.llm.common import WORD, stored
+from vespera.llm.common import WORD, checked, stored
 from vespera.llm.components import components
 
 SHINGLE = 5
@@ -28,8 +28,9 @@ PERCENT = 80
 SLOTS = 256
 #: 42 bands of 6 slots: a pair of similarity 0.8 shares no band with probability 3e-6.
 BANDS, ROWS = 42, 6
-#: Signatures of pairs that may still be links agree in so many slots; at 0.8 the expectation is 205, deviation 6.4.
-AGREE = 166
+#: A pair is confirmed on its texts unless its signatures agree in fewer slots than the percentage lets expect less so
+#: many standard deviations: a link is passed over with probability 3e-6, as by the bands.
+DEVIATIONS = 4.5
 #: Members of a band that one task compares with so many others.
 BLOCK = 1024
 
@@ -143,7 +144,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", tex
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of ids whose full shingle sets are similar enough."""
     ids = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
-    texts = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).join(ids, "i", "left_semi")
+    texts = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).join(checked(ids), "i", "left_semi")
     left = pairs.join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b")
     both = left.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
 
@@ -165,27 +166,46 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _agreeing(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block pair of one band: in different groups, signatures agree, and this is the first band they share."""
-    band, p, q = int(rows["band_no"].iloc[0]), int(rows["p"].iloc[0]), int(rows["q"].iloc[0])
-    # A pair of blocks holds both; a block with itself holds each once.
-    block = rows["block"].to_numpy()
-    x, y = np.flatnonzero(block == p), np.flatnonzero(block == q)
-    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, SLOTS)
-    ids, comp = rows["doc_id"].to_numpy(), rows["component"].to_numpy()
-    bands = np.ascontiguousarray(sig[:, : BANDS * ROWS]).reshape(len(sig), BANDS, ROWS)
-    a, b = [], []
-    for i in x:
-        others = y[(comp[y] != comp[i]) & ((ids[y] > ids[i]) | (p != q))]
-        if len(others):
-            equal = sig[others] == sig[i]
-            near = equal.sum(1) >= AGREE
-            others, equal = others[near], equal[near]
-            earlier = (bands[others, :band] == bands[i, :band]).all(2).any(1) if band else np.zeros(len(others), bool)
-            others = others[~earlier]
-            a += np.minimum(ids[i], ids[others]).tolist()
-            b += np.maximum(ids[i], ids[others]).tolist()
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+def variance_factor(union: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """How much smaller than J (1 - J) / slots the estimate's variance is, for unions of so many elements (Ertl 2017, theorem 1)."""
+    u = np.maximum(2.0, np.asarray(union, float))[:, None]
+    m, k = float(slots), np.arange(1, slots)[None, :]
+    term = (k / m) ** u * (((k + 1) / (m - 1)) ** u + ((k - 1) / (m - 1)) ** u - 2 * (k / (m - 1)) ** u)
+    return np.clip(1 - term.sum(1) * (m - 1) / (u[:, 0] - 1), 0.0, 1.0)
+
+
+def least_agreeing(percent: int, slots: int = SLOTS) -> np.ndarray:
+    """By the sum of two sets' sizes (the last entry for all larger ones): slots in which a link's signatures agree at least."""
+    j = percent / 100
+    sums = np.arange(8192)
+    deviation = np.sqrt(j * (1 - j) * slots * variance_factor(sums / (1 + j), slots))
+    return np.floor(slots * j - DEVIATIONS * deviation - 1).astype(np.int64)
+
+
+def _agreeing(least: np.ndarray, percent: int):
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of one block pair of one band: in different groups, signatures agree, sizes allow it, and this is the first band they share."""
+        band, p, q = int(rows["band_no"].iloc[0]), int(rows["p"].iloc[0]), int(rows["q"].iloc[0])
+        # A pair of blocks holds both; a block with itself holds each once.
+        block = rows["block"].to_numpy()
+        x, y = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, SLOTS)
+        ids, comp, size = rows["doc_id"].to_numpy(), rows["component"].to_numpy(), rows["n_shingles"].to_numpy()
+        bands = np.ascontiguousarray(sig[:, : BANDS * ROWS]).reshape(len(sig), BANDS, ROWS)
+        a, b = [], []
+        for i in x:
+            others = y[(comp[y] != comp[i]) & ((ids[y] > ids[i]) | (p != q)) & (100 * np.minimum(size[y], size[i]) >= percent * np.maximum(size[y], size[i]))]
+            if len(others):
+                equal = sig[others] == sig[i]
+                near = equal.sum(1) >= least[np.minimum(size[others] + size[i], len(least) - 1)]
+                others = others[near]
+                earlier = (bands[others, :band] == bands[i, :band]).all(2).any(1) if band else np.zeros(len(others), bool)
+                others = others[~earlier]
+                a += np.minimum(ids[i], ids[others]).tolist()
+                b += np.maximum(ids[i], ids[others]).tolist()
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +216,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """
     measured = stored(signatures(docs, size, id_col, text_col), "signatures")
     full = measured.where("same is not null and doc_id is not null")
-    classes = stored(full.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = stored(full.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     copies = full.select("doc_id", "same").join(classes.select("same", "rep"), "same").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     members = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substr(F.col("sig"), k * ROWS + 1, F.lit(ROWS))))).alias("band_no", "band"))
     heads = members.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head != last").select("band", "head")
@@ -212,8 +232,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     each = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("p"), F.greatest(F.col("block"), o).alias("q"))))
     dealt = open_.select("band", "band_no", "rep", "component", "block", each.alias("e")).select("band", "band_no", "e.p", "e.q", "block", F.col("rep").alias("doc_id"), "component")
-    dealt = dealt.join(classes.select(F.col("rep").alias("doc_id"), "sig"), "doc_id")
-    more = dealt.groupBy("band", "p", "q").applyInPandas(_agreeing, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+    dealt = dealt.join(classes.select(F.col("rep").alias("doc_id"), "sig", "n_shingles"), "doc_id")
+    more = dealt.groupBy("band", "p", "q").applyInPandas(_agreeing(least_agreeing(percent), percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     further = stored(confirm(stored(more, "agreeing"), docs, size, percent, id_col, text_col), "confirmed")
     every = links.unionByName(further).unionByName(copies.select("a", "b"))
     final = components(every)
