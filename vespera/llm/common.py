@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,6 +21,21 @@ SLICE = 256
 BROADCAST_ROWS = 1_000_000
 
 
+#: What a Python worker keeps between tasks of one kind, by kind.
+CACHES: dict[str, object] = {}
+
+
+def fresh_task(kind: str = "") -> None:
+    """At the start of a Python task: forget what tasks of other kinds kept, and give freed memory back."""
+    for k in [k for k in CACHES if k != kind]:
+        del CACHES[k]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,6 +83,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFr
     arrow = to_arrow_schema(struct)
 
     def run(batches):
+        fresh_task()
         f = make()
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vespera.llm.common import WORD, checked, stored
+from vespera.llm.common import WORD, checked, fresh_task, stored
 from vespera.llm.components import components
 
 SHINGLE = 5
@@ -59,7 +59,7 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -119,6 +119,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", tex
     out = T.StructType([T.StructField("doc_id", got.schema[0].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("same", T.BinaryType()), T.StructField("sig", T.BinaryType())])
 
     def run(batches):
+        fresh_task()
         known = _Hashes()
         for batch in batches:
             lo = 0
@@ -149,6 +150,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col:
     both = left.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches):
+        fresh_task()
         last, own = None, set()
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):

@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vespera.llm import rans
-from vespera.llm.common import drop_stored, scratch, stored
+from vespera.llm.common import CACHES, drop_stored, fresh_task, scratch, stored
 
 BLOCK = 1 << 19
 END_ID = 2
 #: Tokens a shard aims at.
 SHARD_TOKENS = 16_000_000
 #: Distinct blank-separated chunks whose ids a Python worker remembers at most; then it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 1 << 23
 FRAME = struct.Struct("<cQ")
@@ -43,8 +43,6 @@ _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+")
 _MARKS = r"([^\s\pL\pN']+)"
 _NOT_SIMPLE = r"[^\t-\r\x20-\x7e\xa1-\xac\xae-\x{12f}\x{131}-\x{24f}]|<\||[^\s\pL\pN']'|'[^\s\pL\pN']|''"
-#: Of this Python worker, by file. Workers outlive tasks.
-_KNOWN: dict[str, Memory] = {}
 
 
 def _tokenizer(path: str):
@@ -155,14 +153,15 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if tokenizer not in _KNOWN:
-            _KNOWN[tokenizer] = Memory(tokenizer, width)
+        kind = f"tokens {tokenizer}"
+        fresh_task(kind)
+        memory = CACHES[kind] = CACHES.get(kind) or Memory(tokenizer, width)
         for batch in batches:
             size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
             lo = 0
             while lo < batch.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE_BYTES)))
-                ids, n = _KNOWN[tokenizer].encode(batch.column(1).slice(lo, hi - lo))
+                ids, n = memory.encode(batch.column(1).slice(lo, hi - lo))
                 last = np.cumsum(n + 1)
                 out = np.empty(len(ids) + len(n), width)
                 body = np.ones(len(out), bool)
@@ -181,6 +180,7 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def run(batches):
+        fresh_task()
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -220,6 +220,7 @@ def write_tokens(tokens: DataFrame, path: str, vocabulary: int, shard_tokens: in
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def run(batches):
+        fresh_task()
         coder = rans.Frequencies(shared.value)
         docs: list[tuple[int | None, int, int]] = []
         held: list[np.ndarray] = []
@@ -260,6 +261,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     fields = "shard string, place long, doc_id long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches):
+        fresh_task()
         coder = rans.Frequencies(shared.value)
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
