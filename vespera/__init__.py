@@ -1,0 +1 @@
+"""A Spark-native evidence and analytics engine."""
