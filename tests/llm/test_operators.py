@@ -1,0 +1,354 @@
+"""Small cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing extra columns; brute force beside."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vespera.llm import common, components, decontaminate, mixing, near_dup, pairwise_quality, pii, quality_rules, queries, rans, secret_scan, token_files, toxicity, url_rules
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, score double, size long, component string"
+WORDS = "the of and to house tree river stone mountain light water green idiot fast slow deep cold warm bright dark old new".split()
+
+
+def frame(spark, texts, first=0):
+    """Documents with extra columns whose names the operators use inside."""
+    return spark.createDataFrame([(i + first, t, "en", f"s{i % 3}", len(t or ""), 7, 0.5, 9, "x") for i, t in enumerate(texts)], SCHEMA)
+
+
+def odd_texts(n=12):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 60))) for _ in range(n)]
+    return [None, "", " \n\t ", "a", texts[0], texts[0], "x" * 50_000, "word " * 20_000, *texts, "Ünïcödé 日本 😀 a@b.co +1 (555) 123-4567"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return frame(spark, odd_texts())
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(d):
+    return sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+
+
+def brute_base(t):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(t)] + [(m.start(), 1, m.end()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in CARD.finditer(t) if 12 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    return sorted(out + [(m.start(), 3, m.end()) for m in PHONE.finditer(t) if 9 <= len(digits(m)) <= 15])
+
+
+def test_pii_base_equals_the_patterns():
+    rng = random.Random(5)
+    for _ in range(3000):
+        t = "".join(rng.choice(["a@", "b", ".", "c.d", "@", "4", "12", "255", "256", " ", "-", "+", "(", ")", "é", "4111 1111 1111 1111", "1.2.3.4", "+49 30 1234567"]) for _ in range(rng.randint(0, 25)))
+        assert pii.base_spans(t) == brute_base(t), t
+
+
+def test_pii_method(spark, odd, none):
+    text = "Account IBAN DE89370400440532013000 and SSN 123-45-6789; serial DE00370400440532013000, born 1980-02-03"
+    got = pii.find_pii(frame(spark, [text])).first()["spans"]
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in got] == [("iban", "DE89370400440532013000"), ("ssn", "123-45-6789"), ("birth_date", "1980-02-03")]
+    assert pii.find_pii(odd).count() == odd.count() and pii.find_pii(none).count() == 0
+
+
+def brute_components(texts, size):
+    sets = [near_dup.shingles(t, size) for t in texts]
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = comp[i], comp[j]
+                comp = [min(a, b) if c in (a, b) else c for c in comp]
+    return sets, comp
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(9)
+    texts = odd_texts(4)
+    base = [f"{rng.choice(WORDS)}{k}" for k in range(120)]
+    for _ in range(120):  # a chain: each text is changed from an earlier one
+        base = list(rng.choice([base, base]))
+        base[rng.randrange(120)] = rng.choice(WORDS) + str(rng.random())
+        texts.append(" ".join(base))
+    for size in (4, 5):
+        sets, comp = brute_components(texts, size)
+        got = {r["doc_id"]: r for r in near_dup.near_duplicates(frame(spark, texts), size).collect()}
+        assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+        assert [got[i]["component_id"] for i in range(len(texts))] == comp
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
+
+
+def test_bands_that_stay_apart_are_searched(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)  # several blocks even for a few members
+    rng = random.Random(2)
+    root = [f"{w}{k}" for k, w in enumerate(WORDS * 6)]
+    texts = []
+    for _ in range(60):
+        t = list(root)
+        for _ in range(rng.randint(1, 7)):
+            t[rng.randrange(len(t))] = str(rng.random())
+        texts.append(" ".join(t))
+    _, comp = brute_components(texts, 4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame(spark, texts), 4).collect()}
+    assert [got[i] for i in range(len(texts))] == comp
+
+
+def test_near_duplicates_of_no_rows_null_ids_and_repeated_rows(spark, none):
+    assert near_dup.near_duplicates(none).count() == 0
+    df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, "A b c d e F")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, None, True), (4, 2, False), (4, 2, False), (2, 2, True)], key=str)
+
+
+def test_super_minhash_estimates_and_stops_early():
+    rng = np.random.default_rng(4)
+    e = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    sig = near_dup.super_minhash([e[:3000], e[1000:4000], e[:3], np.zeros(0, np.uint64)])
+    assert abs((sig[0] == sig[1]).mean() - 0.5) < 0.12
+    assert (sig[2] != near_dup._EMPTY).all() and (sig[3] == near_dup._EMPTY).all()
+    assert int(sig[0].max() >> np.uint64(48)) <= 2 and int(sig[2].max() >> np.uint64(48)) > 100
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    pairs = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
+    comp = {x: x for p in pairs for x in p}
+    for _ in range(60):
+        for a, b in pairs:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert got == {x: comp[x] for x in linked}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def labels_of(spark, rows, name):
+    return spark.createDataFrame(rows, f"doc_id long, {name} int")
+
+
+def test_toxicity(spark, none):
+    rng = random.Random(8)
+    plain = [w for w in WORDS if w != "idiot"]
+    toxic = [i % 4 == 0 for i in range(240)]
+    texts = [" ".join(["idiot" if x and k in (3, 9) else rng.choice(plain) for k in range(30)]) for x in toxic]
+    docs = frame(spark, [*texts, None, ""])
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels_of(spark, [(i, int(x)) for i, x in enumerate(toxic)], "toxic")).collect()}
+    held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i]["held_out"] == (i in held) for i in range(240))
+    assert np.mean([got[i]["predicted"] == toxic[i] for i in held]) > 0.95
+    assert got[240]["score"] == got[241]["score"] and 0 <= got[240]["score"] <= 1
+    empty = labels_of(spark, [], "toxic")
+    assert {r["predicted"] for r in toxicity.toxicity(docs, empty).collect()} == {0}
+    assert toxicity.toxicity(none, empty).count() == 0
+
+
+def test_kneser_ney_by_hand(spark):
+    counts = spark.createDataFrame([("\x02a", 8, 2), ("\x02b", 0, 6), ("ab", 5, 5)], "gram string, c0 long, c1 long")
+    m = toxicity.fit_ratios(counts)
+    d = toxicity.DISCOUNT
+    weight = {0: d * 1 / 8, 1: d * 2 / 8}  # context \x02
+    assert m.backoff["\x02"] == pytest.approx(np.log(weight[1] / weight[0]), rel=1e-5)
+    lower = ((2 - d) + d * 2 * (2 / 3)) / 3  # b has two of three left neighbours in the empty context, and 2 of 3 grams end in b
+    want = np.log((((6 - d) + d * 2 * lower) / 8) / ((0 + d * 1 * lower) / 8))
+    assert m.grams["\x02b"] == pytest.approx(want, rel=1e-4)
+
+
+def test_url_index_equals_running_every_rule():
+    index = url_rules.RuleIndex()
+    rng = random.Random(6)
+    for _ in range(4000):
+        u = "".join(rng.choice(["http", "://", "example.", "net", "com", "org", "/", "en/", "de/", "fr/", "www.", "casino", "-", "spam-farm", "adult", "x", "?", "#", "EXAMPLE."]) for _ in range(rng.randint(0, 12)))
+        host, path, rule, verdict = index.judge(u)
+        fits = [(len(r), r, v) for v, r in url_rules.HOST_RULES for h, _, p in [r.partition("/")] if host and ("." + host).endswith("." + h) and path.startswith("/" + p)]
+        if fits:
+            assert (rule, verdict) == max(fits)[1:]
+        else:
+            assert rule is None and verdict == ("block" if any(re.search(p.regex, u.lower()) for p in url_rules.PATTERNS) else "allow")
+    assert index.judge(None) == ("", "", None, "allow") and index.judge("HTTP://A.Net/x?y")[:4] == ("a.net", "/x", "net/", "block")
+
+
+def test_rans_round_trip_and_damage():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 1023, 1024, 1025, 300_000):
+        ids = np.minimum(rng.zipf(1.3, n), 49_000).astype(np.uint16)
+        table = rans.Frequencies.of(np.bincount(ids, minlength=49_408))
+        block = rans.encode(ids, table, 5)
+        for threads in (1, 4):
+            first, back = rans.decode(block, table, threads)
+            assert first == 5 and (back == ids).all() and len(block) == rans.block_size(block, 0)
+    broken = bytearray(block)
+    broken[len(block) // 2] ^= 1
+    with pytest.raises(ValueError):
+        rans.decode(bytes(broken), table)
+
+
+def test_token_files_equal_the_library(spark, odd, none):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    coder = Tokenizer.from_file(path)
+    texts = odd_texts() + ["it's <|endoftext|> WE'LL!'s a.b''c", "  ", "İΣ́ ½²x\x1cq\xa0y"]
+    docs = frame(spark, texts).unionByName(frame(spark, texts[-1:], 5))  # id 5 twice
+    got = token_files.token_files(docs, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in got) and len(got) == len(texts) + 1
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    for i in set(range(len(texts))) - {5}:
+        ids = [*coder.encode(texts[i] or "", add_special_tokens=False).ids, 2]
+        r = next(x for x in got if x["doc_id"] == i)
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert token_files.token_files(none, path).count() == 0
+
+
+def test_quality_rules(spark, odd, none):
+    clean = [" ".join(random.Random(i).choices(WORDS, k=80)).capitalize() + "." for i in range(60)]
+    junk = ["### " + " ".join(f"{w}$$$&&&" for w in random.Random(i).sample(WORDS * 3, 50)) for i in range(3)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, clean + junk)).collect()}
+    assert all(got[i]["kept"] for i in range(60)) and not any(got[60 + i]["kept"] for i in range(3))
+    assert quality_rules.judge(odd).count() == odd.count() and quality_rules.judge(none).count() == 0
+
+
+def test_quality_counts_equal_brute_force():
+    rng = random.Random(4)
+    for _ in range(400):
+        t = "".join(rng.choice(["a ", "b ", "c ", "d\n", "#", "| ", "\n", "\xa0", "a b c d e "]) for _ in range(rng.randint(0, 60)))
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        runs = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        hit = {k for i, r in enumerate(runs) if runs.count(r) > 1 for k in range(i, i + 5)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        dup = sum(x in lines[:i] for i, x in enumerate(lines))
+        assert quality_rules.base_counts(t, w) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(hit))
+    d = quality_rules.distances(np.array([[1.0, 0.0], [1.0, 1.0]]), np.array([[0.0, 1.0], [2.0, 2.0]]))
+    assert d[0, 0] == pytest.approx(1) and d[1, 1] == pytest.approx(0)
+
+
+ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+
+
+def test_secrets_equal_the_patterns(spark, odd, none):
+    rng = random.Random(12)
+    bits = ["token", "=", ":", " ", "secret", "API_KEY", "abcdefgh", "'", '"', "AKIA", "ABCDEFGH1234", "0123456789abcdef" * 2, "é😀", "x", "passwd", "\n", "g"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    got = {r["doc_id"]: r["base"] for r in secret_scan.find_secrets(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 8] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        want = sorted(want + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32])
+        assert [(s["start"], s["kind"], s["end"]) for s in got[i]] == want, t
+    assert secret_scan.find_secrets(odd).count() == odd.count() and secret_scan.find_secrets(none).count() == 0
+
+
+def test_random_strings_and_identifiers_are_told_apart(spark):
+    import base64
+
+    strings = [base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode()[:40] for i in range(100)]
+    names = ["getCustomerAccountNumberFromRequest", "customer_account_invoice_number", "chpfheitschverheiten", "keitstlichschenverpf", "MAX_CONNECTION_POOL_SIZE_DEFAULT", "the-quick-brown-fox-jumps-over", "internationalisation"]
+    got = {r["doc_id"]: len(r["spans"]) for r in secret_scan.find_secrets(frame(spark, [f"see {x} here" for x in strings + names])).collect()}
+    assert sum(got[i] for i in range(100)) >= 97 and sum(got[100 + i] for i in range(len(names))) == 0
+
+
+def brute_hits(docs, items, size=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for t in docs:
+        w, hit, its = words(t), set(), set()
+        for k, x in items:
+            v = words(x)
+            runs = {tuple(v[i : i + size]) for i in range(max(1, len(v) - size + 1))} if v else ()
+            for r in runs:
+                for i in range(len(w) - len(r) + 1):
+                    if tuple(w[i : i + len(r)]) == r:
+                        hit |= set(range(i, i + len(r)))
+                        its.add(str(k))
+        out.append((len(w), len(hit), sorted(its)))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, odd, none):
+    rng = random.Random(7)
+    item = lambda n: " ".join(rng.choice("a b c d e the of".split()) for _ in range(n))
+    items = [(1, item(14)), (2, item(10)), (3, "Lone"), (4, None), (5, ""), (10, item(25)), (11, "é ü 日本")]
+    texts = [*odd_texts(3)[:6]]
+    for _ in range(40):
+        x = rng.choice([t for _, t in items if t])
+        texts.append(f"{item(rng.randint(0, 30))}, {x[: rng.randint(3, len(x))].upper() if rng.random() < 0.5 else x} {item(5)}")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(frame(spark, texts), bench).collect()}
+    assert [(got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) for i in range(len(texts))] == brute_hits(texts, items)
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.decontaminate(odd, nothing).where("contaminated").count() == 0
+    assert decontaminate.decontaminate(none, bench).count() == 0
+    twice = decontaminate.decontaminate(frame(spark, ["lone"]).unionByName(frame(spark, ["other"])), bench).orderBy("n_hit").collect()
+    assert [r["n_hit"] for r in twice] == [0, 1]  # rows that share an id are judged apart
+
+
+def test_proximity(spark):
+    index = decontaminate.build_index(frame(spark, ["alpha x y beta", "alpha x x x x x x x x beta", "beta alpha"]), spark.createDataFrame([("alpha",), ("beta",)], "word string"))
+    phrases = spark.createDataFrame([(1, ["alpha", "beta"])], "phrase long, words array<string>")
+    assert decontaminate.find_near(index, phrases, 3).count() == 1 and decontaminate.find_phrases(index, phrases).count() == 0
+
+
+def test_pairwise_quality(spark, none):
+    rng = random.Random(5)
+    good = [i % 5 != 0 for i in range(300)]
+    texts = [" ".join(rng.choice(WORDS) + ("" if g else "!!$$$") for _ in range(40)) for g in good]
+    docs = frame(spark, [*texts, None, ""])
+    y = labels_of(spark, [(i, int(g)) for i, g in enumerate(good)], "quality")
+    got = {r["doc_id"]: r for r in pairwise_quality.quality(docs, y).collect()}
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i]["held_out"] == (i in held) for i in range(300)) and all(got[i]["predicted"] == good[i] for i in held)
+    assert got[300]["score"] == got[301]["score"]
+    assert {r["predicted"] for r in pairwise_quality.quality(docs, labels_of(spark, [], "quality")).collect()} == {1}
+    assert pairwise_quality.quality(none, y).count() == 0
+
+
+def test_mixing(spark, odd, none):
+    rng = random.Random(1)
+    rows = [(i, " ".join("w" * rng.randint(1, 60)), None if i % 7 == 0 else f"s{'abcde'[i % 5 * (i % 2)]}") for i in range(600)] + [(600, None, "sa"), (601, "", "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", F.lit(1).alias("size"), F.lit(2).alias("target"))
+    first, again = (sorted(mixing.mix(df.repartition(k)).collect()) for k in (3, 5))
+    assert [(r["doc_id"], r["taken"]) for r in first] == [(r["doc_id"], r["taken"]) for r in again] and len(first) == len(rows)
+    by = {}
+    for r in first:
+        x = by.setdefault(r["source"], [0, 0, r["target"], r["source_size"]])
+        x[0] += r["taken"]
+        x[1] += r["size"]
+        assert r["taken"] <= 2 * r["size"]
+    total = sum(x[1] for x in by.values())
+    assert all(x[1] == x[3] and abs(x[0] - x[2]) <= 1 and x[2] <= 2 * x[1] + 1e-9 for x in by.values())
+    assert sum(x[2] for x in by.values()) == pytest.approx(1.5 * total)
+    assert mixing.mix(odd).count() == odd.count() and mixing.mix(none).count() == 0
+
+
+def test_fit_reaches_sums_that_exist():
+    rng = random.Random(3)
+    for _ in range(200):
+        size = np.array(sorted(rng.sample(range(1, 40), rng.randint(1, 6))), np.int64)
+        count = np.array([rng.randint(1, 5) for _ in size], np.int64)
+        budget = rng.randint(0, int((size * count).sum()))
+        take = mixing.fit(size, count, budget)
+        assert (take >= 0).all() and (take <= count).all()
+        assert abs(int((size * take).sum()) - budget) <= int(size.max())
+
+
+def test_stored_survives_and_folds(spark):
+    assert common.stored(spark.range(5), "t").count() == 5
+    got = spark.range(50).select("id", common.fold(F.col("id"), 4).alias("f")).collect()
+    assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 4 for r in got)

@@ -1,0 +1,38 @@
+import corpus_pipeline
+from conftest import SF
+from pyspark.sql import functions as F
+
+from vespera.llm import near_dup, queries
+
+
+def test_stages_take_effect_and_keep_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, SF)
+        assert out.columns == docs.columns, name
+        out = corpus_pipeline.stored(out, "t")
+        assert out.join(docs, docs.columns, "left_anti").count() == 0
+        if name.startswith("MinHash"):
+            left = {r["doc_id"]: near_dup.shingles(r["text"], 5) for r in out.collect()}
+            every = [(i, s) for i, s in left.items() if s]
+            assert len(left) == out.count()
+            assert not any(100 * len(a & b) >= 80 * len(a | b) for k, (_, a) in enumerate(every) for _, b in every[:k])
+        if name.startswith("benchmark"):
+            assert at.count() > out.count()
+        at = out
+    last = corpus_pipeline.STAGES[-1][1](spark, at, SF)
+    assert last.agg(F.sum("n_tokens")).first()[0] > 0 and last.count() == at.count()
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 0")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, SF), "t")
+        assert docs.count() == 0
+
+
+def test_every_operator_has_one_query():
+    names = list(queries.queries())
+    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == names[:-1] and names[-1] == "pipeline"
+    assert set(queries.oracle_sql()) < set(names)
