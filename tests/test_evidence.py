@@ -49,3 +49,37 @@ def test_state_and_graph(files):
     nodes, edges = P.graph(files[0])
     assert {(r["source"], r["target"]) for r in edges.where("type = 'spawned'").collect()} == {("process:cmd.exe", "file:tool.exe")}
     assert nodes.where("type = 'source'").count() == 3
+
+
+def test_claims_answers_and_replay(spark, files):
+    from vespera.plans import answers as A
+    from vespera.plans import replay
+
+    s = P.compile_state(files[0])
+    claims = P.claims(files[0], s.contradictions)
+    got = {r["title"]: r for r in claims.collect()}
+    assert len(got) == 3 and sorted(r["claim_id"] for r in got.values()) == ["claim_0001", "claim_0002", "claim_0003"]
+    assert got["Autostart persistence of an unfamiliar program"]["supporting"] == ["step_2/run_keys.reg"]
+    assert P.claim_edges(claims).where("type = 'supports'").count() == 3
+    state = A.reduced(claims, s.iocs, s.contradictions, s.events, files[0])
+    asked = spark.createDataFrame([(1, "Is this confirmed malware?"), (2, "any beacon?"), (3, "does it persist"), (4, "is it signed?")], "qid long, question string")
+    out = {r["qid"]: r for r in A.answers(asked, state).collect()}
+    assert out[1]["answer"].startswith("Answer:\nNo. Malware is not confirmed") and not out[1]["insufficient"]
+    assert "203.0.113.9" in out[2]["answer"] and out[3]["confidence"] == "Medium" and out[4]["insufficient"]
+    lexical = spark.createDataFrame([(4, "some line")], "qid long, snippet string")
+    assert {r["qid"]: r["fell_back"] for r in A.with_fallback(A.answers(asked, state), lexical).collect()} == {1: False, 2: False, 3: False, 4: True}
+    total = {(r["step"], r["kind"]): r["n_total"] for r in replay.growth(files[0]).collect()}
+    assert total["step_1", "event"] == 1 and total["step_2", "event"] == 3 and total["step_3", "event"] == 8 and total["step_3", "hypothesis"] == 3
+
+
+def test_review_queue(spark):
+    from vespera.operators import review
+
+    old = spark.createDataFrame([("a", "fine"), ("b", "confirmed malware")], "page string, body string")
+    new = spark.createDataFrame([("a", "Confirmed malware!"), ("b", "confirmed malware"), ("c", "data was stolen")], "page string, body string")
+    q = review.queue(old, new, spark.createDataFrame([(4,)], "num long"))
+    assert [(r["review_id"], r["page"], r["prior"]) for r in q.orderBy("page").collect()] == [("rev_0005", "a", "fine"), ("rev_0006", "c", None)]
+    assert {r["page"]: r["body"] for r in review.held_back(new, q).collect()} == {"a": "fine", "b": "confirmed malware"}
+    d = review.decide(q, spark.createDataFrame([("rev_0005", "approved")], "review_id string, verdict string"))
+    again = review.decide(d, spark.createDataFrame([("rev_0005", "rejected"), ("rev_0006", "rejected")], "review_id string, verdict string"))
+    assert {r["review_id"]: r["status"] for r in again.collect()} == {"rev_0005": "approved", "rev_0006": "rejected"}
