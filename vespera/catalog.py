@@ -284,7 +284,7 @@ x AS (SELECT doc_id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS val
 
 @query(VECTOR + " SELECT doc_id, dim, round(value, 5) + 0.0 AS value FROM x WHERE norm > 1e-9 AND abs(value) > 1e-9")
 def hash_vector(spark, sf_dir):
-    v = retrieval.hash_vectors(t(spark, sf_dir, "documents")).where(F.abs("value") > 1e-9)
+    v = retrieval.hash_vectors(t(spark, sf_dir, "documents")).select("doc_id", F.inline("vector")).where(F.abs("value") > 1e-9)
     return v.select("doc_id", "dim", (F.round("value", 5) + 0.0).alias("value"))
 
 

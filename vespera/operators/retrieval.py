@@ -36,17 +36,23 @@ def snippet(docs: DataFrame, question: str, id_col: str = "doc_id", text_col: st
 
 
 def hash_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, dim, value: signed, tf-weighted feature hashing, unit length, sparse rows."""
-    g = docs.select(docs[id_col].alias("doc_id"), F.explode(X.hash_grams(docs[text_col])).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("tf"))
+    """doc_id, vector (array of dim, value; at most DIMENSIONS): signed, tf-weighted feature hashing of unit length.
+
+    Whole texts are dealt by id once; every later aggregation keeps that partitioning and shuffles nothing.
+    """
+    d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).repartition("doc_id")
+    g = d.select("doc_id", F.explode(X.hash_grams(F.col("text"))).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("tf"))
     raw = g.groupBy("doc_id", X.gram_dimension(F.col("g")).alias("dim")).agg(F.sum(X.gram_sign(F.col("g")) * (1 + F.log("tf"))).alias("v"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return raw.join(norm, "doc_id").where("norm > 1e-9").select("doc_id", "dim", (F.col("v") / F.col("norm")).alias("value"))
+    whole = raw.groupBy("doc_id").agg(F.collect_list(F.struct("dim", "v")).alias("r"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")).where("norm > 1e-9")
+    return whole.select("doc_id", F.transform("r", lambda x: F.struct(x["dim"].alias("dim"), (x["v"] / F.col("norm")).alias("value"))).alias("vector"))
 
 
 def hash_cosine(docs: DataFrame, question_doc: DataFrame, k: int) -> DataFrame:
     """The k documents nearest to one text by hashed vectors: doc_id, cosine."""
-    q = hash_vectors(question_doc).select("dim", F.col("value").alias("q"))  # at most DIMENSIONS rows
-    s = hash_vectors(docs).join(F.broadcast(q), "dim").groupBy("doc_id").agg(F.round(F.sum(F.col("value") * F.col("q")), 6).alias("cosine"))
+    # one row: the question's vector as a map from dimension to value
+    q = hash_vectors(question_doc).select(F.map_from_entries("vector").alias("q")).limit(1)
+    dot = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.element_at("q", x["dim"]), F.lit(0.0)))
+    s = hash_vectors(docs).crossJoin(F.broadcast(q)).select("doc_id", F.round(dot, 6).alias("cosine"))
     return s.where("cosine > 0").orderBy(F.desc("cosine"), "doc_id").limit(k)
 
 
