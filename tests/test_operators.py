@@ -53,3 +53,34 @@ def test_checks_without_terms_pass_nothing_in(spark):
     a = spark.createDataFrame([("q", "m", "Answer:\nNo. Not shown")], "id string, method string, answer string")
     c = spark.createDataFrame([("q", ["shown"], ["yes"], True)], "id string, must_include array<string>, must_not_include array<string>, expect_refusal boolean")
     assert evaluate.results(evaluate.checks(a, c)).collect()[0].asDict() == {"id": "q", "method": "m", "passed": True, "n_failures": 0}
+
+
+def test_rules_over_pages(spark):
+    pages = spark.createDataFrame(
+        [("index", "[[a]] [[b#part|B]] [[gone.md]]"), ("a", "Alpha Tool.exe (Source: s1.txt) (Source: s2.txt)\nconfirmed malware, definitely malicious"), ("b", "claim_0001 claim_0009\nAnalyst: confirmed malware"), ("lost", "")], "page string, body string"
+    )
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(lint.broken_links(pages)) == [("index", "gone")] and rows(lint.orphans(pages)) == [("lost",)]
+    assert rows(lint.broken_citations(pages, spark.createDataFrame([("s1.txt",)], "path string"))) == [("a", "s2.txt")]
+    assert rows(lint.unknown_ids(pages, spark.createDataFrame([("claim_0001",)], "id string"))) == [("b", "claim_0009")]
+    assert rows(lint.asserted_lines(pages, lint.CONFIRMATION_PHRASES)) == [("a", 1, "confirmed malware")]
+    values = spark.createDataFrame([("TOOL.EXE",), ("ol",), ("other",), ("alphax",), (None,), ("",)], "value string")
+    assert rows(lint.unmentioned(values, pages, "value")) == [("alphax",), ("other",)]
+    facts = spark.createDataFrame([("t", "seen (Source: x)"), ("t", "guess"), ("t", "")], "title string, fact string")
+    assert rows(lint.uncited_facts(facts)) == [("t", "guess")]
+    claims = spark.createDataFrame([("Beacon found",), ("Other thing",)], "title string")
+    assert rows(lint.unrelated(claims, spark.createDataFrame([("x", "a beacon")], "title string, claim_a string"))) == [("Other thing",)]
+    f = lint.with_meta(lint.finding(claims, "C1", "Critical", "p"))
+    assert [r["rule"] for r in f.collect()].count("C5") == 1 and lint.with_meta(f.where("rule = 'none'")).count() == 0
+
+
+def test_many_questions_give_what_one_gives(spark):
+    docs = spark.createDataFrame([(1, "red fox jumps\nfox"), (2, "red hen"), (3, ""), (4, "blue fox fox red")], "doc_id long, text string")
+    asked = ["fox fox red", "hen", "nothing here"]
+    q = spark.createDataFrame(list(enumerate(asked)), "qid long, question string")
+    many = {(r["qid"], r["doc_id"]): r["score"] for r in retrieval.bm25_many(docs, q, 2).collect()}
+    assert many == {(i, r["doc_id"]): r["score"] for i, x in enumerate(asked) for r in retrieval.bm25(docs, x, 2).collect()}
+    near = {(r["qid"], r["doc_id"]): r["score"] for r in retrieval.hash_cosine_many(docs, q, 2).collect()}
+    one = {(i, r["doc_id"]): r["cosine"] for i, x in enumerate(asked) for r in retrieval.hash_cosine(docs, spark.createDataFrame([(0, x)], "doc_id long, text string"), 2).collect()}
+    assert near == one
+    assert {r["doc_id"]: r["snippet"] for r in retrieval.snippets(docs, retrieval.bm25_many(docs, q, 2).where("qid = 0"), q).collect()}[1] == "red fox jumps"

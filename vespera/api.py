@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vespera.functions import text as X
-from vespera.operators import graph, lint, merge, retrieval
-from vespera.plans import answers, evidence, pages, replay
+from vespera.operators import evaluate, graph, lint, merge, retrieval, review
+from vespera.plans import answers, evidence, methods, pages, replay, report
 from vespera.sources.evidence import scan
 
 MANIFEST = "path string, sha string, status string"
+PAGES = "page string, body string"
+REVIEWS = "review_id string, page string, status string, phrases array<string>, proposed string, prior string"
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the visible folders below path, sorted; none if it is not there. Any file system that Spark reads."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory() and not x.getPath().getName().startswith(".")) if fs.exists(at) else []
+
+
+def cases(spark: SparkSession, roots: str, states: str) -> list[dict]:
+    """case, has_evidence, has_state of every case below the two folders."""
+    raw, made = set(folders(spark, roots)), set(folders(spark, states))
+    return [{"case": c, "has_evidence": c in raw, "has_state": c in made} for c in sorted(raw | made)]
 
 
 class Case:
@@ -33,29 +51,127 @@ class Case:
     def changes(self, step: str | None = None) -> DataFrame:
         return merge.changed_sources(self.files(step).select("path", "sha"), self.read("manifest", MANIFEST)).where("state != 'unchanged'")
 
-    def ingest(self, step: str | None = None, dry_run: bool = False) -> list:
-        """Compile the state from all files seen so far and this scan's; tells what changed. Merges are idempotent."""
+    def replace(self, name: str, df: DataFrame) -> None:
+        """Overwrite a table that df may read: the new rows are written beside it first."""
+        df.write.mode("overwrite").parquet(f"{self.at}/{name}_next")
+        self.read(f"{name}_next").write.mode("overwrite").parquet(f"{self.at}/{name}")
+
+    def record(self, log: str, at: datetime | None = None, **fields: str) -> None:
+        """Append one line to a JSON log of the case, with the time at or now."""
+        row = self.spark.range(1).select((F.lit(at) if at else F.current_timestamp()).alias("at"), *[F.lit(v).alias(k) for k, v in fields.items()])
+        row.write.mode("append").json(f"{self.at}/logs/{log}")
+
+    def log(self, name: str, schema: str) -> DataFrame:
+        """A log's rows by time; a log that was never written is empty."""
+        try:
+            return self.spark.read.schema("at timestamp, " + schema).json(f"{self.at}/logs/{name}").orderBy("at")
+        except AnalysisException:
+            return self.spark.createDataFrame([], "at timestamp, " + schema)
+
+    def pages(self) -> DataFrame:
+        """page, body of all pages; the report is a stub until one is made."""
+        made = self.read("report", PAGES)
+        stub = self.spark.createDataFrame([(report.PAGE, report.STUB)], PAGES).join(made, "page", "left_anti")
+        return self.read("pages", PAGES).select("page", "body").unionByName(made).unionByName(stub)
+
+    def ingest(self, step: str | None = None, dry_run: bool = False, hold: bool = False, force: bool = False) -> list:
+        """Compile the state from all files seen so far and this scan's; tells what changed. Merges are idempotent.
+
+        hold queues pages that newly hold a risky phrase; they keep their former body until someone approves. force
+        compiles again though nothing changed.
+        """
+        began = datetime.now(timezone.utc)
         changed = [(r["path"], r["state"]) for r in self.changes(step).collect()]
-        if changed and not dry_run:
+        if (changed or force) and not dry_run:
             paths = self.read("manifest", MANIFEST).select("path").unionByName(self.changes(step).select("path")).distinct()
             files = self.files().join(paths, "path", "left_semi")
             state = evidence.compile_state(files)
-            claims = evidence.claims(files, state.contradictions)
+            prior = self.read("claims", "title string, claim_id string").select(F.lower("title").alias("key"), F.substring("claim_id", 7, 20).cast("long").alias("num"))
+            self.replace("claims", evidence.claims(files, state.contradictions, prior))
+            claims = self.read("claims")
             nodes, edges = evidence.graph(files)
             edges = edges.unionByName(evidence.claim_edges(claims))
             nodes = nodes.unionByName(claims.select(F.col("claim_id").alias("id"), F.lit("hypothesis").alias("type"), F.substring("title", 1, 80).alias("label")))
-            tables = {"events": state.events, "entities": state.entities, "iocs": state.iocs, "contradictions": state.contradictions, "claims": claims, "nodes": nodes, "edges": edges, "pages": pages.render(state, claims)}
+            tables = {"events": state.events, "entities": state.entities, "iocs": state.iocs, "contradictions": state.contradictions, "nodes": nodes, "edges": edges}
             for name, df in {**tables, "manifest_next": files.select("path", "sha", F.lit("processed").alias("status"))}.items():
                 df.write.mode("overwrite").parquet(f"{self.at}/{name}")
+            self.publish(pages.render(state, claims, evidence.open_questions(files, claims)), "pages", hold)
             self.read("manifest_next").write.mode("overwrite").parquet(f"{self.at}/manifest")  # last: until then a rerun repeats all
+            self.record("ingest", began, step=step or "", n_changed=str(len(changed)))
         return sorted(changed)
 
+    def publish(self, new: DataFrame, name: str, hold: bool) -> None:
+        """Write pages; with hold, those that newly hold a risky phrase wait in the queue."""
+        if hold:
+            old, waiting = self.read(name, PAGES), self.read("reviews", REVIEWS)
+            taken = waiting.select(F.substring("review_id", 5, 20).cast("long").alias("num"))
+            self.replace("reviews", waiting.unionByName(review.queue(old, new, taken).join(waiting.where("status = 'pending'").select("page", "proposed"), ["page", "proposed"], "left_anti").select(*waiting.columns)))
+            new = review.held_back(new, self.read("reviews").where("status = 'pending'").dropDuplicates(["page"]))
+        self.replace(name, new)
+
+    def reviews(self, status: str | None = None) -> DataFrame:
+        r = self.read("reviews", REVIEWS)
+        return (r.where(F.col("status") == status) if status else r).orderBy("review_id")
+
+    def decide(self, review_id: str, verdict: str) -> bool:
+        """Approve or reject a pending review; an approved page takes its proposed body. False if none was pending."""
+        one = self.reviews("pending").where(F.col("review_id") == review_id)
+        if verdict not in ("approved", "rejected") or not one.limit(1).count():
+            return False
+        name = "report" if one.first()["page"] == report.PAGE else "pages"
+        if verdict == "approved":
+            self.replace(name, self.read(name, PAGES).join(one.select("page"), "page", "left_anti").unionByName(one.select("page", F.col("proposed").alias("body"))))
+        self.replace("reviews", review.decide(self.read("reviews"), self.spark.createDataFrame([(review_id, verdict)], "review_id string, verdict string")))
+        self.record("review", review_id=review_id, verdict=verdict)
+        return True
+
+    def report(self, hold: bool = False) -> DataFrame:
+        """Make the report page from the state."""
+        claims = self.read("claims")
+        steps = evidence.follow_up(claims).where("kind = 'step'")
+        made = report.render(self.read("events"), self.read("entities"), self.read("iocs"), claims, self.read("contradictions"), steps, self.read("manifest", MANIFEST))
+        self.publish(made, "report", hold)
+        return self.read("report", PAGES)
+
+    def state(self) -> DataFrame:
+        return answers.reduced(self.read("claims"), self.read("iocs"), self.read("contradictions"), self.read("events"), self.files())
+
+    def methods(self, questions: DataFrame) -> DataFrame:
+        """qid, method, ..., answer: five methods over questions (qid, question)."""
+        return methods.every(self.files(), self.read("nodes"), self.read("edges"), self.state(), self.read("entities"), questions)
+
+    def scorecard(self, path: str, only: list[str] | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+        """A row a method over a file of questions; aliases tell which method a label of expected_best_method means."""
+        items = methods.load_questions(self.spark, path)
+        if aliases:
+            items = items.replace(aliases, subset=["expected_best_method"])
+        said = self.methods(items.select(F.col("id").alias("qid"), "question")).withColumnRenamed("qid", "id")
+        return evaluate.scorecard(said.where(F.col("method").isin(*only)) if only else said, items).orderBy("method")
+
+    def evaluate(self, path: str) -> DataFrame:
+        """id, passed, failures of the compiled state's answers to a file of questions."""
+        items = methods.load_questions(self.spark, path)
+        said = self.methods(items.select(F.col("id").alias("qid"), "question")).withColumnRenamed("qid", "id").where("method = 'state'")
+        bad = evaluate.checks(said, items).where("not passed").groupBy("id").agg(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "term"))).alias("failures"))
+        return items.select("id", "question").join(bad, "id", "left").select("id", "question", F.col("failures").isNull().alias("passed"), "failures").orderBy("id")
+
+    def export_pages(self, target: str) -> list[str]:
+        """Write every required page and the graph as Markdown files below target, which a notes program opens; a page a file."""
+        all_pages = self.pages().where(F.col("page").isin(*pages.NAMES)).unionByName(self.export_graph().agg(F.array_join(F.collect_list("line"), "\n").alias("b")).select(F.lit("graph").alias("page"), F.concat(F.lit("```mermaid\ngraph LR\n"), "b", F.lit("\n```")).alias("body")))
+        jvm, names = self.spark._jvm, []
+        for r in all_pages.toLocalIterator():  # one row a page, nine at most
+            at = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/{r['page']}.md")
+            out = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(at, True)
+            out.write(bytearray((r["body"] + "\n").encode()))
+            out.close()
+            names.append(f"{r['page']}.md")
+        return sorted(names)
+
     def query(self, question: str) -> dict:
         """The routed answer; the best lexical snippet where the state is insufficient."""
         q = self.spark.createDataFrame([(1, question)], "qid long, question string")
-        state = answers.reduced(self.read("claims"), self.read("iocs"), self.read("contradictions"), self.read("events"), self.files())
         best = self.rag(question, 1).select(F.lit(1).cast("long").alias("qid"), F.concat("snippet", F.lit(" (Source: "), "path", F.lit(")")).alias("snippet"))
-        return answers.with_fallback(answers.answers(q, state), best).first().asDict()
+        return answers.with_fallback(answers.answers(q, self.state(), answers.named(q, self.read("entities"))), best).first().asDict()
 
     def rag(self, question: str, k: int = 5) -> DataFrame:
         files = self.files()
@@ -75,26 +191,56 @@ class Case:
         return both.join(F.broadcast(hit), F.col("a") == F.col("node")).select("node", F.col("b").alias("neighbour")).distinct().orderBy("neighbour")
 
     def lint(self) -> DataFrame:
-        """rule, severity, page of all findings."""
-        body, claims = self.read("pages", "page string, body string"), self.read("claims")
-        find = lambda df, rule, severity, col: df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col(col).cast("string").alias("page"))
-        strong = merge.rank(F.col("confidence")) >= 3
+        """rule, severity, page, detail of all findings."""
+        body, claims, conflicts, entities = self.pages(), self.read("claims"), self.read("contradictions"), self.read("entities")
+        find, strong = lint.finding, merge.rank(F.col("confidence")) >= 3
         wanted = self.spark.createDataFrame([(n,) for n in pages.NAMES], "page string")
-        return (
-            lint.missing(wanted, body, "page", "H1", "High")
-            .unionByName(find(lint.risky_lines(body, markers=lint.LINT_MARKERS), "C1", "Critical", "page"))
-            .unionByName(lint.missing(self.files(), self.read("manifest", MANIFEST), "path", "H2", "High"))
-            .unionByName(find(claims.where(strong & (F.size("supporting") < 2)), "H3", "High", "title"))
-            .unionByName(find(claims.where(F.size("contradicting") == 0), "M1", "Medium", "title"))
-            .unionByName(find(claims.where((F.col("inference") != "") & (F.col("facts") == "")), "M2", "Medium", "title"))
-            .unionByName(find(lint.incompatible_types(self.read("entities")), "L1", "Low", "key"))
-        )
+        written = self.read("pages", PAGES).select("page")
+        guard = claims.agg(F.count_if(strong & (F.size("supporting") >= 2)).alias("backed"), F.count_if(strong).alias("strong"), F.count_if(strong & F.lower(F.concat_ws(" ", "title", "inference")).contains("exfil")).alias("exfil"))
+        unless = lambda df, count: df.crossJoin(F.broadcast(guard)).where(F.col(count) == 0)  # noqa: E731  one row
+        final = body.where(F.col("page") == report.PAGE)
+        facts = claims.select("title", F.explode(F.split("facts", r"\|")).alias("fact"))
+        parts = [
+            find(wanted.join(written.unionByName(self.spark.createDataFrame([(report.PAGE,)], "page string")), "page", "left_anti"), "H1", "High", F.col("page")),
+            find(unless(lint.asserted_lines(body, lint.CONFIRMATION_PHRASES), "backed"), "C1", "Critical", F.col("page"), F.col("phrase")),
+            find(unless(lint.risky_lines(final, lint.CONFIRMATION_PHRASES, ()).select("page", "phrase").distinct(), "strong"), "C2", "Critical", F.col("page"), F.col("phrase")),
+            find(lint.broken_citations(body, self.files()), "C3", "Critical", F.col("page"), F.col("path")),
+            find(unless(lint.asserted_lines(body, lint.EXFILTRATION_PHRASES), "exfil"), "C4", "Critical", F.col("page"), F.col("phrase")),
+            find(self.files().select("path").join(self.read("manifest", MANIFEST).select("path"), "path", "left_anti"), "H2", "High", F.col("path")),
+            find(claims.where(strong & (F.size("supporting") < 2)), "H3", "High", F.lit("hypotheses"), F.col("title")),
+            find(lint.unknown_ids(final, claims.select(F.col("claim_id").alias("id"))), "H4", "High", F.col("page"), F.col("id")),
+            find(lint.unrelated(claims.where(F.size("contradicting") == 0), conflicts), "M1", "Medium", F.lit("hypotheses"), F.col("title")),
+            find(claims.where((F.col("inference") != "") & (F.col("facts") == "")), "M2", "Medium", F.lit("hypotheses"), F.col("title")),
+            find(claims.where(F.size("supporting") == 0), "M2", "Medium", F.lit("hypotheses"), F.col("title")),
+            find(lint.uncited_facts(facts), "M3", "Medium", F.lit("hypotheses"), F.col("title")),
+            find(self.stale_pages(), "M4", "Medium", F.col("page")),
+            find(lint.broken_links(body), "M5", "Medium", F.col("page"), F.col("target")),
+            find(lint.unmentioned(conflicts, body.where("page = 'contradictions'"), "title"), "M6", "Medium", F.lit("contradictions"), F.col("title")),
+            find(lint.incompatible_types(entities), "L1", "Low", F.lit("entities"), F.col("key")),
+            find(lint.orphans(body), "L2", "Low", F.col("page")),
+            find(lint.unmentioned(entities, body.where("page != 'entities'"), "value"), "L3", "Low", F.lit("entities"), F.col("value")),
+            find(self.read("iocs").join(claims.select(F.explode("supporting").alias("source")).distinct(), "source", "left_anti"), "L5", "Low", F.lit("iocs"), F.col("artifact")),
+        ]
+        every = parts[0]
+        for x in parts[1:]:
+            every = every.unionByName(x)
+        return lint.with_meta(every)
+
+    def stale_pages(self) -> DataFrame:
+        """Pages written before the last merge began."""
+        made = self.read("pages", PAGES)
+        written = made.select("page", F.col("_metadata.file_modification_time").alias("modified")) if made.inputFiles() else made.select("page", F.lit(None).cast("timestamp").alias("modified"))
+        last = self.log("ingest", "step string").agg(F.max("at").alias("last"))
+        return lint.stale(written.crossJoin(F.broadcast(last)), F.col("last"))
 
     def evolve(self) -> DataFrame:
         return replay.growth(self.files())
 
     def snapshot(self, name: str) -> None:
-        self.read("pages").write.mode("overwrite").parquet(f"{self.at}/snapshots/{name}")
+        self.pages().write.mode("overwrite").parquet(f"{self.at}/snapshots/{name}")
+
+    def snapshots(self) -> list[str]:
+        return folders(self.spark, f"{self.at}/snapshots")
 
     def diff(self, old: str, new: str) -> DataFrame:
         return pages.line_diff(self.read(f"snapshots/{old}"), self.read(f"snapshots/{new}")).orderBy("page", "sign", "line")

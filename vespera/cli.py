@@ -9,14 +9,15 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from vespera.api import Case
+from vespera.plans import evidence
 
 
-def run(case: Case, verb: str, args: list[str], dry_run: bool = False) -> tuple[int, list]:
+def run(case: Case, verb: str, args: list[str], dry_run: bool = False, hold: bool = False, force: bool = False) -> tuple[int, list]:
     """Exit code and printable rows of one verb."""
     rows = lambda df: [r.asDict(True) for r in df.collect()]
     text = " ".join(args)
     if verb == "ingest":
-        return 0, case.ingest(args[0] if args else None, dry_run)
+        return 0, case.ingest(args[0] if args else None, dry_run, hold, force)
     if verb == "compare-all":
         return 0, [{"raw_rag": rows(case.rag(text)), "vector_rag": rows(case.vector(text)), "graph": rows(case.graph_query(text)), "state": case.query(text)}]
     if verb == "lint":
@@ -25,9 +26,18 @@ def run(case: Case, verb: str, args: list[str], dry_run: bool = False) -> tuple[
     if verb == "snapshot":
         case.snapshot(args[0])
         return 0, []
+    if verb == "eval":
+        got = rows(case.evaluate(args[0]))
+        return int(not all(r["passed"] for r in got)), got
+    if verb == "review" and args and args[0] in ("approve", "reject"):
+        done = case.decide(args[1], {"approve": "approved", "reject": "rejected"}[args[0]])
+        return int(not done), []
     tables = {
+        "compare": lambda: [{"raw_rag": rows(case.rag(text)), "state": case.query(text)}], "benchmark": lambda: case.scorecard(args[0], ["raw", "state"]),
+        "benchmark-methods": lambda: case.scorecard(args[0], None, dict(x.split("=", 1) for x in args[1:])), "export-pages": lambda: case.export_pages(args[0]), "review": lambda: case.reviews(*args[1:2]),
+        "pages": lambda: case.pages().orderBy("page"), "snapshots": case.snapshots, "open-questions": lambda: case.pages().where("page = 'open_questions'"), "contradicted": lambda: evidence.contradicted(case.read("claims")),
         "rag-query": lambda: case.rag(text), "vector-query": lambda: case.vector(text), "graph-query": lambda: case.graph_query(text), "graph-build": lambda: case.read("edges"),
-        "graph-export": case.export_graph, "evolve": case.evolve, "diff-snapshots": lambda: case.diff(*args), "report": lambda: case.read("pages").orderBy("page"), "query": lambda: [case.query(text)],
+        "graph-export": case.export_graph, "evolve": case.evolve, "diff-snapshots": lambda: case.diff(*args), "report": lambda: case.report(hold), "query": lambda: [case.query(text)],
     }
     got = tables[verb]()
     return 0, rows(got) if isinstance(got, DataFrame) else got
@@ -40,9 +50,11 @@ def main(argv: list[str]) -> int:
     p.add_argument("verb")
     p.add_argument("args", nargs="*")
     p.add_argument("--dry-run", action="store_true")
+    p.add_argument("--review", action="store_true", help="hold risky pages for review")
+    p.add_argument("--force", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("vespera").getOrCreate()
-    code, out = run(Case(spark, a.case, a.state), a.verb, a.args, a.dry_run)
+    code, out = run(Case(spark, a.case, a.state), a.verb, a.args, a.dry_run, a.review, a.force)
     for x in out:
         print(json.dumps(x, ensure_ascii=False, default=str))
     return code

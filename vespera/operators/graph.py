@@ -26,14 +26,17 @@ def neighbours(edges: DataFrame, nodes: list) -> DataFrame:
     return both_ways(edges).where(F.col("a").isin(nodes)).select(F.col("a").alias("node"), F.col("b").alias("neighbour")).distinct()
 
 
-def longest_match(questions: DataFrame, labels: DataFrame) -> DataFrame:
+def longest_match(questions: DataFrame, labels: DataFrame, words: int = 8) -> DataFrame:
     """questions: qid, question. labels: label, seq. The longest label that each question contains, the first of equals.
 
-    Labels are looked up by all runs of up to four words of the question, an equi join instead of a nested loop.
+    Labels are looked up by all runs of up to that many words of the question, an equi join instead of a nested loop;
+    what stands between words must be the same too.
     """
-    w = questions.select("qid", F.split(F.lower("question"), "[^a-z0-9]+").alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    hit = w.select("qid", F.explode(F.array_distinct(runs)).alias("key")).join(labels.withColumn("key", F.lower("label")), "key")
+    plain = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
+    w = questions.select("qid", F.lower("question").alias("low"), plain("question").alias("w"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    named = labels.withColumn("key", F.array_join(plain("label"), " ")).where("key != ''")
+    hit = w.select("qid", "low", F.explode(F.array_distinct(runs)).alias("key")).join(named, "key").where(F.contains("low", F.lower("label")))
     return hit.groupBy("qid").agg(F.max_by("label", F.struct(F.length("label"), -F.col("seq"))).alias("label"))
 
 

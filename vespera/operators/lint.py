@@ -12,10 +12,16 @@ RISKY_PHRASES = (
 )
 REVIEW_MARKERS = ("investigator", "analyst", "asserts", "alleges", "claims", "describes", "describe", "diagnosis", "note:", "notes:", "according to", "claim a:", "claim b:")
 LINT_MARKERS = REVIEW_MARKERS + ("quoted", "says", "argues", "reported")
+CONFIRMATION_PHRASES = ("confirmed malware", "malware confirmed", "confirmed exfiltration", "confirmed compromise", "definite malware", "definitely malicious")
+EXFILTRATION_PHRASES = ("exfiltration occurred", "data was stolen", "data theft confirmed", "confirmed exfiltration")
+PAGE_LINK = r"\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]"
+CITED = r"Source:|Evidence:|raw_sources/|\[\[|claim_\d+|evt_\d+"
 SEVERITIES = ("Critical", "High", "Medium", "Low")
 
 
 def contains_any(text: Column, words) -> Column:
+    if not words:
+        return F.lit(False)
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w))
 
 
@@ -45,3 +51,82 @@ def incompatible_types(entities: DataFrame, allowed=("file", "process", "command
 def summary(findings: DataFrame) -> DataFrame:
     """One row, a count a severity, zero where there is none."""
     return findings.agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in SEVERITIES])
+
+
+def finding(rows: DataFrame, rule: str, severity: str, page, detail="") -> DataFrame:
+    """rule, severity, page, detail: a finding for each row."""
+    text = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("string")
+    return rows.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), text(page).alias("page"), text(detail).alias("detail"))
+
+
+def asserted_lines(pages: DataFrame, phrases, markers=LINT_MARKERS) -> DataFrame:
+    """page, line_no, phrase: one row an unattributed line, with the first of the phrases that it holds."""
+    at = {p: i for i, p in enumerate(phrases)}
+    order = F.create_map(*[F.lit(x) for kv in at.items() for x in kv])[F.col("phrase")]
+    return risky_lines(pages, phrases, markers).groupBy("page", "line_no").agg(F.min_by("phrase", order).alias("phrase"))
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """page, target: every distinct page that a page links to, without folder and suffix."""
+    raw = pages.select("page", F.explode(F.regexp_extract_all("body", F.lit(PAGE_LINK), F.lit(1))).alias("raw"))
+    return raw.select("page", F.regexp_replace(F.regexp_replace(F.trim("raw"), "^.*/", ""), r"(?<=.)\.[^.]*$", "").alias("target")).distinct()
+
+
+def broken_links(pages: DataFrame) -> DataFrame:
+    """page, target: links to pages that are not there."""
+    return links(pages).join(pages.select(F.col("page").alias("target")), "target", "left_anti").select("page", "target")
+
+
+def orphans(pages: DataFrame, roots=("index",)) -> DataFrame:
+    """page: pages that no page links to; roots need no link."""
+    return pages.where(~F.col("page").isin(*roots)).select("page").join(links(pages).select(F.col("target").alias("page")), "page", "left_anti")
+
+
+def broken_citations(pages: DataFrame, files: DataFrame, pattern: str = r"Source: ([^)\n]+)\)") -> DataFrame:
+    """page, path: cited evidence files (group 1 of the pattern) that are not there. files: path."""
+    cited = pages.select("page", F.explode(F.regexp_extract_all("body", F.lit(pattern), F.lit(1))).alias("path")).distinct()
+    return cited.join(files.select("path"), "path", "left_anti").select("page", "path")
+
+
+def unknown_ids(pages: DataFrame, known: DataFrame, pattern: str = r"\bclaim_\d{4,}\b") -> DataFrame:
+    """page, id: ids in page texts that known (column id) does not hold."""
+    used = pages.select("page", F.explode(F.regexp_extract_all("body", F.lit(pattern), F.lit(0))).alias("id")).distinct()
+    return used.join(known.select("id"), "id", "left_anti").select("page", "id")
+
+
+def uncited_facts(facts: DataFrame) -> DataFrame:
+    """facts: title, fact. Those that name no source, page, claim or event."""
+    return facts.where((F.col("fact") != "") & ~F.col("fact").rlike(CITED))
+
+
+def unrelated(claims: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """claims (title) that share no blank-separated word with the title or first claim of any contradiction."""
+    words = lambda *c: F.explode(F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", *c)), r"\s+"), lambda w: w != ""))).alias("word")
+    against = contradictions.select(words("title", "claim_a")).distinct()
+    linked = claims.select("title", words("title")).join(against, "word", "left_semi").select("title").distinct()
+    return claims.join(linked, "title", "left_anti")
+
+
+def unmentioned(values: DataFrame, pages: DataFrame, key: str, gram: int = 4) -> DataFrame:
+    """values whose key no line of any page contains, in any case.
+
+    The first characters of a value meet the lines' character n-grams in an equi join, so no value meets every line; a
+    candidate counts only if the line contains the whole value. Null keys are left out, the empty one is in every page.
+    """
+    low = values.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.lower(key).alias("low")).distinct()
+    asked = low.select("low", F.substring("low", 1, gram).alias("gram"))
+    line = pages.select(F.explode(F.array_distinct(F.split(F.lower("body"), "\n"))).alias("line")).where("line != ''").distinct()
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.transform(F.sequence(F.lit(1), F.length("line")), lambda i: F.substring(F.col("line"), i, n))))
+    held = line.select("line", F.explode(F.array_distinct(runs)).alias("gram")).join(asked, "gram").where(F.contains("line", "low")).select("low").distinct()
+    return values.where(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("low", F.lower(key)).join(held, "low", "left_anti").drop("low")
+
+
+def stale(pages: DataFrame, cutoff: Column) -> DataFrame:
+    """pages (page, modified) that are more than five seconds older than the last merge."""
+    return pages.where(F.col("modified") + F.expr("INTERVAL 5 SECONDS") < cutoff)
+
+
+def with_meta(findings: DataFrame) -> DataFrame:
+    """findings, and one more that advises a review if any is critical."""
+    any_ = findings.agg(F.count_if(F.col("severity") == "Critical").alias("n")).where("n > 0")
+    return findings.unionByName(finding(any_, "C5", "Critical", "(meta)", "critical findings: hold risky changes for review"))

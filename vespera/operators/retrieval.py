@@ -47,6 +47,44 @@ def hash_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return whole.select("doc_id", F.transform("r", lambda x: F.struct(x["dim"].alias("dim"), (x["v"] / F.col("norm")).alias("value"))).alias("vector"))
 
 
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    """The k best of each question; Spark drops the rest of a partition's rows before it shuffles them."""
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    return scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def bm25_many(docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """qid, doc_id, score, rank: the k best documents of each question. questions: qid, question.
+
+    One scan for all questions: documents keep the terms that any question uses, then meet the questions by term.
+    """
+    q = questions.select("qid", F.explode(X.search_tokens(F.col("question"))).alias("t")).groupBy("qid", "t").agg(F.count("*").alias("weight"))
+    d = docs.select(docs[id_col].alias("doc_id"), X.search_tokens(docs[text_col]).alias("ts")).withColumn("dl", F.greatest(F.size("ts"), F.lit(1)))
+    stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = d.select("doc_id", "dl", F.explode("ts").alias("t")).join(q.select("t").distinct(), "t", "left_semi").groupBy("t", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = tf.join(tf.groupBy("t").agg(F.count("*").alias("df")), "t").join(q, "t").crossJoin(F.broadcast(stats))  # one row of statistics
+    return _best(scored.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score")), k)
+
+
+def hash_cosine_many(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """qid, doc_id, score, rank: the k documents nearest to each question by hashed vectors; they meet by dimension."""
+    flat = lambda df, key: hash_vectors(df).select(F.col("doc_id").alias(key), F.inline("vector").alias("dim", "value"))
+    q = flat(questions.select(F.col("qid").alias("doc_id"), F.col("question").alias("text")), "qid").withColumnRenamed("value", "other")
+    dots = flat(docs, "doc_id").join(q, "dim").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("value") * F.col("other")), 6).alias("score"))
+    return _best(dots, k)
+
+
+def snippets(docs: DataFrame, hits: DataFrame, questions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """qid, doc_id, snippet: the line of each hit's document that holds most distinct terms of its question, the earliest of equals."""
+    asked = questions.select("qid", F.array_distinct(X.search_tokens(F.col("question"))).alias("terms"))
+    found = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(hits.select("qid", "doc_id"), "doc_id").join(asked, "qid")
+    line = found.select("qid", "doc_id", "terms", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    n = F.size(F.array_intersect(X.search_tokens(F.col("line")), "terms"))
+    return line.groupBy("qid", "doc_id").agg(F.trim(F.max_by("line", F.struct(n, -F.col("line_no")))).alias("snippet"))
+
+
 def hash_cosine(docs: DataFrame, question_doc: DataFrame, k: int) -> DataFrame:
     """The k documents nearest to one text by hashed vectors: doc_id, cosine."""
     # one row: the question's vector as a map from dimension to value

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vespera.functions import text as X
+from vespera.operators import graph
 from vespera.operators.merge import rank
+from vespera.plans.evidence import follow_up
 
 CONFIRM = ("compromise", "malware", "exfiltration")
 #: Lines of a list in an answer at most, by kind (part of the answers' form).
-EVENTS, TITLES = 5, 3
+EVENTS, TITLES, STEPS, SOURCES = 5, 3, 6, 6
 
 
 def reduced(claims: DataFrame, iocs: DataFrame, contradictions: DataFrame, events: DataFrame, files: DataFrame) -> DataFrame:
@@ -29,12 +31,29 @@ def reduced(claims: DataFrame, iocs: DataFrame, contradictions: DataFrame, event
     kind = X.event_type(F.col("description"))
     e = events.agg(first(kind == "network_connection", "description", EVENTS).alias("network_events"), first(F.lower("description").contains("hash reputation"), "description", 1).alias("reputation"))
     rest = iocs.agg(F.count("*").alias("n_iocs")).crossJoin(contradictions.agg(F.array_sort(F.collect_set("title")).alias("conflicts"))).crossJoin(files.agg(F.array_sort(F.collect_set("path")).alias("sources")))
-    return c.crossJoin(e).crossJoin(rest)
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("claim_id", "pos", F.concat("text", F.lit(" (from "), "claim_id", F.lit(")")).alias("line")))))
+    s = follow_up(claims).agg(*[F.transform(F.slice(listed(k), 1, STEPS), lambda x: x["line"]).alias(f"{k}s") for k in ("step", "question")])
+    return c.crossJoin(e).crossJoin(rest).crossJoin(s)  # one row each
 
 
-def answers(questions: DataFrame, state: DataFrame) -> DataFrame:
-    """questions: qid, question. qid, route, classification, confidence, insufficient, answer. state: reduced()'s row."""
+def named(questions: DataFrame, entities: DataFrame) -> DataFrame:
+    """qid, label, paths: the longest entity that each question names, and the files that mention it. entities: value, sources."""
+    n = entities.select(F.col("value").alias("label"), F.xxhash64("type", "key").alias("seq"), F.col("sources"))
+    hit = graph.longest_match(questions, n.select("label", "seq"))
+    at = hit.join(n.select(F.lower("label").alias("low"), F.explode(F.split("sources", ",")).alias("path")), F.lower("label") == F.col("low"))
+    return at.groupBy("qid", "label").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+
+
+def answers(questions: DataFrame, state: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
+    """questions: qid, question. qid, route, classification, confidence, insufficient, answer. state: reduced()'s row.
+
+    mentions: named()'s rows, for questions that ask which sources mention something; without them those are insufficient.
+    """
     q = questions.select("qid", "question", X.route(F.col("question")).alias("route")).crossJoin(F.broadcast(state))
+    if mentions is None:
+        q = q.withColumn("label", F.lit(None).cast("string")).withColumn("paths", F.lit(None).cast("array<string>"))
+    else:
+        q = q.join(mentions.select("qid", "label", "paths"), "qid", "left")
     route = F.col("route")
     topic = F.when(route == "contradiction", "malware").otherwise(route)
     confirm = route.isin(*CONFIRM)
@@ -45,7 +64,8 @@ def answers(questions: DataFrame, state: DataFrame) -> DataFrame:
     no = F.concat(F.lit("No. "), name, F.lit(" is not confirmed.\nHypotheses:\n"), listed(F.slice("titles", 1, TITLES)), F.lit("\nContradictions:\n"), listed(F.col("conflicts")), F.lit("\nSources:\n"), listed(F.col("sources")))
     insufficient = (
         F.when(confirm, nothing).when(route == "persistence", F.col("persistence").isNull()).when(route == "network", F.size("network_events") == 0)
-        .when(route == "signature", F.size("reputation") == 0).when(route == "contradiction", F.size("conflicts") == 0).otherwise(nothing)
+        .when(route == "signature", F.size("reputation") == 0).when(route == "contradiction", F.size("conflicts") == 0)
+        .when(route == "sources", F.col("label").isNull()).when(route == "next_steps", F.size(F.concat("steps", "questions")) == 0).otherwise(nothing)
     )
     body = (
         F.when(confirm & yes, F.concat(F.lit("Yes. "), name, F.lit(" is supported at high confidence.")))
@@ -54,10 +74,12 @@ def answers(questions: DataFrame, state: DataFrame) -> DataFrame:
         .when(route == "network", listed(F.col("network_events")))
         .when(route == "signature", F.concat(F.lit("No signature check was recorded.\n"), listed(F.col("reputation"))))
         .when(route == "contradiction", listed(F.col("conflicts")))
+        .when(route == "sources", F.concat("label", F.lit(" is mentioned in: "), F.array_join(F.slice("paths", 1, SOURCES), ", "), F.when(F.size("paths") > SOURCES, " and others.").otherwise(".")))
+        .when(route == "next_steps", F.concat(listed(F.col("steps")), F.lit("\nOpen questions:\n"), listed(F.col("questions"))))
         .otherwise(listed(F.slice("titles", 1, TITLES)))
     )
     kind = F.when(route == "next_steps", "inference").when(route.isin("signature", "sources") | (confirm & yes), "fact").otherwise("hypothesis")
-    sure = F.when(confirm & yes, "High").when(route == "persistence", F.col("persistence")).when(route == "network", F.coalesce("network", F.lit("Low"))).when(confirm & (F.col("n_claims") == 0), "Low").otherwise("Medium")
+    sure = F.when((confirm & yes) | (route == "sources"), "High").when(route == "persistence", F.col("persistence")).when(route == "network", F.coalesce("network", F.lit("Low"))).when(confirm & (F.col("n_claims") == 0), "Low").otherwise("Medium")
     said = F.when(insufficient, "Evidence is insufficient.").otherwise(F.concat(F.lit("Answer:\n"), F.coalesce(body, F.lit(""))))
     return q.select("qid", "route", kind.alias("classification"), F.coalesce(sure, F.lit("Low")).alias("confidence"), insufficient.alias("insufficient"), said.alias("answer"))
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vespera.plans.evidence import State
+from vespera.plans.report import PAGE
 
-NAMES = ("contradictions", "entities", "hypotheses", "index", "iocs", "open_questions", "timeline")
+#: Pages that a case must have; all but the report are rendered with each merge.
+NAMES = ("contradictions", "entities", PAGE, "hypotheses", "index", "iocs", "open_questions", "timeline")
 
 
 def _page(name: str, rows: DataFrame, order: list, line) -> DataFrame:
@@ -17,8 +19,8 @@ def _page(name: str, rows: DataFrame, order: list, line) -> DataFrame:
     return x.select(F.lit(name).alias("page"), F.concat(F.lit(f"# {name}\n\n"), body).alias("body"))
 
 
-def render(state: State, claims: DataFrame) -> DataFrame:
-    """page, body. The timeline puts unknown times last; all else is in the order of its key."""
+def render(state: State, claims: DataFrame, questions: DataFrame) -> DataFrame:
+    """page, body. questions: text. The timeline puts unknown times last; all else is in the order of its key."""
     e, n, i, c = state.events, state.entities, state.iocs, state.contradictions
     bullet = lambda *parts: F.concat(F.lit("- "), *parts)
     every = [
@@ -27,7 +29,7 @@ def render(state: State, claims: DataFrame) -> DataFrame:
         _page("iocs", i, [F.lower("artifact")], bullet("artifact", F.lit(" ["), "confidence", F.lit("] "), "reason")),
         _page("hypotheses", claims, [F.lower("title")], bullet("title", F.lit(" ["), "confidence", F.lit("] "), "inference", F.lit("\n  "), F.regexp_replace("facts", r"\|", "\n  "))),
         _page("contradictions", c, [F.lower("title")], bullet("title", F.lit(": Claim A: "), "claim_a", F.lit(" Claim B: "), "claim_b")),
-        _page("open_questions", claims, [F.lower("title")], bullet(F.lit("What would confirm or refute: "), "title", F.lit("?"))),
+        _page("open_questions", questions, [F.col("text")], bullet("text")),
         _page("index", claims.sparkSession.createDataFrame([(x,) for x in NAMES if x != "index"], "n string"), [F.col("n")], bullet(F.lit("[["), "n", F.lit("]]"))),
     ]
     out = every[0]
