@@ -50,7 +50,7 @@ def test_questions_report_review_and_export(spark, tmp_path):
     run(case, "report", [])
     out = run(case, "export-pages", [str(tmp_path / "notes")])[1]
     assert "graph.md" in out and len(out) == 9 and "(from claim_0001)" in (tmp_path / "notes" / "final_report.md").read_text()
-    (tmp_path / "c" / "case" / "step_3" / "investigator.md").write_text("- nobody saw that data was stolen\n")
+    (tmp_path / "c" / "case" / "step_3" / "powershell_console.txt").write_text("echo data was stolen\n")
     run(case, "ingest", [], hold=True)
     (waiting,) = run(case, "review", ["list", "pending"])[1]
     assert waiting["page"] == "timeline" and waiting["phrases"] == ["data was stolen"]

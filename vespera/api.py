@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vespera.functions import text as X
 from vespera.operators import evaluate, graph, lint, merge, retrieval, review
 from vespera.plans import answers, evidence, methods, pages, replay, report
-from vespera.sources.evidence import scan
+from vespera.sources.evidence import scan, with_rows
 
 MANIFEST = "path string, sha string, status string"
 PAGES = "page string, body string"
@@ -84,16 +84,22 @@ class Case:
         changed = [(r["path"], r["state"]) for r in self.changes(step).collect()]
         if (changed or force) and not dry_run:
             paths = self.read("manifest", MANIFEST).select("path").unionByName(self.changes(step).select("path")).distinct()
-            files = self.files().join(paths, "path", "left_semi")
-            state = evidence.compile_state(files)
+            with_rows(self.files().join(paths, "path", "left_semi")).write.mode("overwrite").parquet(f"{self.at}/sources")
+            files = self.read("sources")  # each file is read and parsed once
+            evidence.entities(files).write.mode("overwrite").parquet(f"{self.at}/mentions")
+            mentions = self.read("mentions")
+            state = evidence.compile_state(files, mentions)
+            facts = {"events": state.events, "entities": state.entities, "iocs": state.iocs, "contradictions": state.contradictions}
+            for name, df in facts.items():
+                df.write.mode("overwrite").parquet(f"{self.at}/{name}")
+            state = evidence.State(**{name: self.read(name) for name in facts})  # later steps read what is written
             prior = self.read("claims", "title string, claim_id string").select(F.lower("title").alias("key"), F.substring("claim_id", 7, 20).cast("long").alias("num"))
             self.replace("claims", evidence.claims(files, state.contradictions, prior))
             claims = self.read("claims")
-            nodes, edges = evidence.graph(files)
+            nodes, edges = evidence.graph(files, mentions, state.events)
             edges = edges.unionByName(evidence.claim_edges(claims))
             nodes = nodes.unionByName(claims.select(F.col("claim_id").alias("id"), F.lit("hypothesis").alias("type"), F.substring("title", 1, 80).alias("label")))
-            tables = {"events": state.events, "entities": state.entities, "iocs": state.iocs, "contradictions": state.contradictions, "nodes": nodes, "edges": edges}
-            for name, df in {**tables, "manifest_next": files.select("path", "sha", F.lit("processed").alias("status"))}.items():
+            for name, df in {"nodes": nodes, "edges": edges, "manifest_next": files.select("path", "sha", F.lit("processed").alias("status"))}.items():
                 df.write.mode("overwrite").parquet(f"{self.at}/{name}")
             self.publish(pages.render(state, claims, evidence.open_questions(files, claims)), "pages", hold)
             self.read("manifest_next").write.mode("overwrite").parquet(f"{self.at}/manifest")  # last: until then a rerun repeats all

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vespera.functions.text import source_kind
 
+CSV_KINDS = ("sysmon_csv", "network_csv", "generic_csv")
 LINES = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
@@ -27,22 +28,33 @@ def scan(spark: SparkSession, root: str, step: str | None = None) -> DataFrame:
     return out.select("path", source_kind(F.col("path")).alias("kind"), "sha", "text", "modificationTime", F.array_join(F.split("path", "/"), "\x01").alias("seq"))
 
 
-def csv_rows(files: DataFrame) -> DataFrame:
-    """path, kind, seq, row_no, row (map of header to stripped value); quoting as in RFC readers that allow text after a quote."""
+def with_rows(files: DataFrame) -> DataFrame:
+    """files with rows (maps of header to stripped value) of the CSV kinds; quoting as in readers that allow text after a quote.
+
+    Python reads each file once here; what is made from the result stays in the JVM, so write it before using it often.
+    """
+    kind = "array<map<string,string>>"
+    if "rows" in files.columns:
+        return files
+
+    def parse(text: str) -> list:
+        return [[(h.strip(), (x or "").strip()) for h, x in row.items() if h and h.strip()] for row in csv.DictReader(io.StringIO(text))]
 
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.map_(pa.string(), pa.string())
         for b in batches:
-            out = [[], [], [], [], []]
-            for p, k, s, t in zip(*(c.to_pylist() for c in b.columns)):
-                for i, row in enumerate(csv.DictReader(io.StringIO(t))):
-                    for column, v in zip(out, (p, k, s, i, [(h.strip(), (x or "").strip()) for h, x in row.items() if h and h.strip()])):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int32()), pa.array(out[4], kind)], names=["path", "kind", "seq", "row_no", "row"])
-
-    return files.where(F.col("kind").isin("sysmon_csv", "network_csv", "generic_csv")).select("path", "kind", "seq", "text").mapInArrow(run, "path string, kind string, seq string, row_no int, row map<string,string>")
+            t = pa.Table.from_batches([b])
+            found = [parse(x or "") if k in CSV_KINDS else [] for k, x in zip(t["kind"].to_pylist(), t["text"].to_pylist())]
+            yield from t.append_column("rows", pa.array(found, pa.list_(pa.map_(pa.string(), pa.string())))).to_batches()
+
+    return files.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields) + f", rows {kind}")
+
+
+def csv_rows(files: DataFrame) -> DataFrame:
+    """path, kind, seq, row_no, row of every CSV row."""
+    wanted = files.where(F.col("kind").isin(*CSV_KINDS))
+    return with_rows(wanted).select("path", "kind", "seq", F.posexplode("rows").alias("row_no", "row"))
 
 
 def lines(files: DataFrame) -> DataFrame:
