@@ -34,3 +34,9 @@ def test_entry(spark):
 
     assert 0 < entry.entry(spark).count() <= 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_union_takes_whole_texts(spark, duck):
+    sql = catalog.ORACLES["hybrid_union"].replace("left(text, 200)", "text")
+    got, want = catalog.QUERIES["hybrid_union"](spark, SF).toPandas(), duck.sql(sql).df()
+    assert rows(got, ["doc_id", "pages"]) == rows(want, ["doc_id", "pages"])

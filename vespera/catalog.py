@@ -443,7 +443,7 @@ def snapshot_line_diff(spark, sf_dir):
 
 @query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat({LINK.format(c='left(text, 200)')}, [source, lang]))), ',') AS pages FROM documents")
 def hybrid_union(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_union(X.link_tokens(F.left("text", F.lit(200))), F.array("source", "lang"))), ",").alias("pages"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_union(X.link_tokens(F.col("text")), F.array("source", "lang"))), ",").alias("pages"))
 
 
 @query("SELECT event_id, k AS key, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
