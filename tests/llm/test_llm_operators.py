@@ -348,6 +348,19 @@ def test_fit_reaches_sums_that_exist():
         assert abs(int((size * take).sum()) - budget) <= int(size.max())
 
 
+def test_fit_with_documents_beyond_the_table(spark):
+    long = 1_000_000
+    for size, count, budget, off in (
+        ([*range(1000, 2000), long], [1] * 1001, 1_250_000, 0), ([1000, long], [300, 1], 1_100_000, 0), ([700_000, long], [2, 1], 1_400_000, 0), ([long], [3], 1_125_000, 125_000),
+    ):
+        size, count = np.array(size, np.int64), np.array(count, np.int64)
+        take = mixing.fit(size, count, budget)
+        assert (take >= 0).all() and (take <= count).all() and abs(int((size * take).sum()) - budget) == off
+    docs = spark.range(1001).select(F.col("id").alias("doc_id"), F.expr(f"repeat('w ', cast(if(id = 1000, {long}, 1000 + id) as int))").alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix(docs).agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).first()
+    assert abs(got["taken"] - got["target"]) <= 1
+
+
 def test_stored_survives_and_folds(spark):
     assert common.stored(spark.range(5), "t").count() == 5
     got = spark.range(50).select("id", common.fold(F.col("id"), 4).alias("f")).collect()

@@ -20,8 +20,10 @@ WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
 CAP = 2
 SEED = 17
-#: Largest budget, in words, that the dynamic programme fits; larger ones are cut down greedily before.
+#: Budget, in words, to which the rest is cut down greedily before the dynamic programme.
 DP_BUDGET = 1 << 17
+#: Bits of a table over a whole budget, at most (64 MB).
+TABLE_BITS = 1 << 29
 #: Ranks within a size are dealt over so many hash buckets, so that no group of equal sizes meets in one task.
 BUCKETS = 64
 
@@ -46,7 +48,11 @@ def targets(sizes: dict, weights=WEIGHTS, share: Fraction = SHARE, cap: int = CA
 
 
 def fit(size: np.ndarray, count: np.ndarray, budget: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
-    """How many of each size to take so that the sum comes as near to budget as the programme finds, never more than count."""
+    """How many of each size to take so that the sum comes as near to budget as the programme finds, never more than count.
+
+    After the shares, sizes are taken greedily until the rest fits the table, and smaller documents are given back for
+    one that is larger than the rest. Where that misses and few sizes are there, the table covers the whole budget.
+    """
     take = np.zeros(len(size), np.int64)
     whole = int((size * count).sum())
     if budget <= 0 or not whole:
@@ -54,21 +60,45 @@ def fit(size: np.ndarray, count: np.ndarray, budget: int, dp_budget: int = DP_BU
     if budget >= whole:
         return count.copy()
     take = np.array([c * budget // whole for c in count.tolist()], np.int64)
+    order = [i for i in np.argsort(-size, kind="stable") if size[i] > 0]
     left = budget - int((size * take).sum())
-    order = np.argsort(-size, kind="stable")
-    for i in order:  # large sizes first while the rest is too large for the table
-        if left <= dp_budget or left <= 4 * int(size[i]):
-            break
-        k = min(int(count[i] - take[i]), (left - dp_budget) // max(1, int(size[i])))
-        take[i] += max(0, k)
-        left -= max(0, k) * int(size[i])
+    if left <= 2 * dp_budget:  # the table holds all sums that are nearer than none
+        return _table(size, count, take, order, left)
+    for i in order:  # large sizes first
+        k = min(int(count[i] - take[i]), (left - dp_budget) // int(size[i]))
+        if k > 0:
+            take[i] += k
+            left -= k * int(size[i])
+    if left > 2 * dp_budget:  # any size that is not used up is larger than left - dp_budget
+        one = next(i for i in reversed(order) if take[i] < count[i])
+        more, rest = take.copy(), left - int(size[one])
+        more[one] += 1
+        for i in order if rest < 0 else ():
+            if size[i] <= dp_budget:
+                k = min(int(more[i]), (dp_budget - rest) // int(size[i]))
+                more[i] -= k
+                rest += k * int(size[i])
+        if abs(rest) < left:
+            take, left = more, rest
+    if 0 < left <= 2 * dp_budget:
+        take = _table(size, count, take, order, left)
+    missed = abs(budget - int((size * take).sum()))
+    if missed and 2 * budget * sum(int(c).bit_length() for c in count) <= TABLE_BITS:
+        again = _table(size, count, np.zeros(len(size), np.int64), order, budget)
+        take = again if abs(budget - int((size * again).sum())) < missed else take
+    return take
+
+
+def _table(size: np.ndarray, count: np.ndarray, take: np.ndarray, order: list, left: int) -> np.ndarray:
+    """take and what is added to it from the spare counts so that the sum added is the nearest there is to left."""
+    take = take.copy()
     # reach[w]: the item whose addition first reached the sum w; items are binary parts of the spare counts
-    top = min(left + int(size.max()), 4 * dp_budget)
+    top = min(left + int(size.max()), 2 * left)
     full = (1 << (top + 1)) - 1
     reach, steps = 1, []
     for i in order:
-        spare, part = min(int(count[i] - take[i]), top // max(1, int(size[i]))), 1
-        while spare > 0 and size[i]:
+        spare, part = min(int(count[i] - take[i]), top // int(size[i])), 1
+        while spare > 0:
             k = min(part, spare)
             new = (reach << (k * int(size[i]))) & full & ~reach
             if new:
