@@ -44,6 +44,14 @@ def test_related_and_longest_match(spark):
     assert [(r["qid"], r["label"]) for r in graph.longest_match(q, labels).collect()] == [(1, "New York")]
 
 
+def test_labels_of_many_words_match_whole(spark):
+    path = "C:\\Users\\j.doe\\AppData\\Local\\Temp\\Quarterly Report\\viewer.exe"
+    q = spark.createDataFrame([(1, f"which file mentions {path}?"), (2, f"which file mentions {path}2?"), (3, "C:\\Users\\j.doe\\AppData\\Local\\Temp\\Quarterly")], "qid int, question string")
+    labels = spark.createDataFrame([("viewer.exe", 1), (path, 2), ("AppData", 3)], "label string, seq int")
+    assert {r["qid"]: r["label"] for r in graph.longest_match(q, labels).collect()} == {1: path, 2: "AppData", 3: "AppData"}
+    assert {(r["qid"], r["label"]) for r in graph.matches(q, labels).collect()} == {(1, path), (1, "viewer.exe"), (1, "AppData"), (2, "AppData"), (3, "AppData")}
+
+
 def test_risky_lines_skip_attributed_ones(spark):
     p = spark.createDataFrame([("x", "Confirmed malware here\nAnalyst: confirmed malware\nok")], "page string, body string")
     assert [(r["line_no"], r["phrase"]) for r in lint.risky_lines(p).collect()] == [(0, "confirmed malware")]

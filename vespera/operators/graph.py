@@ -26,18 +26,24 @@ def neighbours(edges: DataFrame, nodes: list) -> DataFrame:
     return both_ways(edges).where(F.col("a").isin(nodes)).select(F.col("a").alias("node"), F.col("b").alias("neighbour")).distinct()
 
 
-def longest_match(questions: DataFrame, labels: DataFrame, words: int = 8) -> DataFrame:
-    """questions: qid, question. labels: label, seq. The longest label that each question contains, the first of equals.
+def matches(questions: DataFrame, labels: DataFrame, words: int = 8) -> DataFrame:
+    """questions: qid, question. labels: label and others. qid and the columns of labels for every label that a question contains.
 
-    Labels are looked up by all runs of up to that many words of the question, an equi join instead of a nested loop;
-    what stands between words must be the same too.
+    Labels are looked up by their first words, up to that many, among all runs of the question, an equi join instead of
+    a nested loop; all other words, and what stands between words, must be the same too.
     """
     plain = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
     w = questions.select("qid", F.lower("question").alias("low"), plain("question").alias("w"))
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    named = labels.withColumn("key", F.array_join(plain("label"), " ")).where("key != ''")
-    hit = w.select("qid", "low", F.explode(F.array_distinct(runs)).alias("key")).join(named, "key").where(F.contains("low", F.lower("label")))
-    return hit.groupBy("qid").agg(F.max_by("label", F.struct(F.length("label"), -F.col("seq"))).alias("label"))
+    named = labels.withColumns({"key": F.array_join(F.slice(plain("label"), 1, words), " "), "whole": spaced(plain("label"))}).where("key != ''")
+    hit = w.select("qid", "low", spaced(F.col("w")).alias("all"), F.explode(F.array_distinct(runs)).alias("key")).join(named, "key")
+    return hit.where(F.contains("low", F.lower("label")) & F.contains("all", "whole")).select("qid", *labels.columns)
+
+
+def longest_match(questions: DataFrame, labels: DataFrame, words: int = 8) -> DataFrame:
+    """questions: qid, question. labels: label, seq. The longest label that each question contains, the first of equals."""
+    return matches(questions, labels, words).groupBy("qid").agg(F.max_by("label", F.struct(F.length("label"), -F.col("seq"))).alias("label"))
 
 
 def mermaid(edges: DataFrame, limit: int = 200) -> DataFrame:
