@@ -52,6 +52,17 @@ def test_labels_of_many_words_match_whole(spark):
     assert {(r["qid"], r["label"]) for r in graph.matches(q, labels).collect()} == {(1, path), (1, "viewer.exe"), (1, "AppData"), (2, "AppData"), (3, "AppData")}
 
 
+def test_hybrid_block_names_every_node(spark):
+    from vespera.plans import methods
+
+    nodes = spark.createDataFrame([("f:a", "file", "a.exe"), ("i:1", "ip", "203.0.113.9"), *[(f"s{i}", "source", f"log{i}.txt") for i in range(7)]], "id string, type string, label string")
+    edges = spark.createDataFrame([*[("f:a", f"s{i}", "mentioned_in", f"log{i}.txt") for i in range(7)], ("f:a", "i:1", "connected_to", "net.csv")], "source string, target string, type string, evidence string")
+    q = spark.createDataFrame([(1, "did a.exe reach it?\nAnswer: 203.0.113.9 was reached"), (2, "nothing")], "qid int, question string")
+    got = {r["qid"]: r["block"] for r in methods.surroundings(nodes, edges, q).collect()}
+    assert list(got) == [1] and got[1].startswith("- 203.0.113.9 (ip): 1 relationship(s):\n    - connected to a.exe (Source: net.csv)\n- a.exe (file): 8 relationship(s):\n    - connected to 203.0.113.9 (Source: net.csv)\n")
+    assert got[1].count("mentioned in") == 4 and got[1].endswith("    - and 3 more")
+
+
 def test_risky_lines_skip_attributed_ones(spark):
     p = spark.createDataFrame([("x", "Confirmed malware here\nAnalyst: confirmed malware\nok")], "page string, body string")
     assert [(r["line_no"], r["phrase"]) for r in lint.risky_lines(p).collect()] == [(0, "confirmed malware")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vespera.operators import graph, retrieval
@@ -64,6 +64,23 @@ def relations(nodes: DataFrame, edges: DataFrame, questions: DataFrame) -> DataF
     return ranked.select("qid", F.array_join(F.transform("l", lambda y: y["line"]), "\n").alias("block"))
 
 
+def surroundings(nodes: DataFrame, edges: DataFrame, interest: DataFrame) -> DataFrame:
+    """qid, block: every node whose label the text of interest (qid, question) names, with its first neighbours and how many more there are."""
+    hit = graph.matches(interest, nodes.select("id", F.col("type").alias("kind"), "label")).withColumnRenamed("id", "node")
+    both = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "type", "evidence").unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "type", "evidence"))
+    x = hit.join(both, "node").join(nodes.select(F.col("id").alias("other"), F.col("label").alias("name")), "other")
+    line = F.concat(F.lit("    - "), F.translate("type", "_", " "), F.lit(" "), "name", F.lit(" (Source: "), "evidence", F.lit(")"))
+    of_node = Window.partitionBy("qid", "node")
+    first = of_node.orderBy(F.col("type") == "mentioned_in", F.col("type") == "related_to", "type", "name", "other", "evidence")
+    x = x.select("*", line.alias("line"), F.count("*").over(of_node).alias("n"), F.row_number().over(first).alias("rank")).where(F.col("rank") <= NEIGHBOURS)
+    told = x.groupBy("qid", "node", "label", "kind", "n").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
+    head = F.concat(F.lit("- "), "label", F.lit(" ("), "kind", F.lit("): "), F.col("n").cast("string"), F.lit(" relationship(s):\n"))
+    more = F.when(F.col("n") > NEIGHBOURS, F.concat(F.lit("\n    - and "), (F.col("n") - NEIGHBOURS).cast("string"), F.lit(" more"))).otherwise("")
+    told = told.select("qid", "label", "node", F.concat(head, F.array_join(F.transform("l", lambda y: y["line"]), "\n"), more).alias("text"))
+    told = told.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("label", "node", "text"))).alias("l"))
+    return told.select("qid", F.array_join(F.transform("l", lambda y: y["text"]), "\n").alias("block"))
+
+
 def every(files: DataFrame, nodes: DataFrame, edges: DataFrame, state: DataFrame, entities: DataFrame, questions: DataFrame) -> DataFrame:
     """qid, method, classification, confidence, insufficient, answer: all methods over all questions (qid, question)."""
     lexical = raw(files, questions)
@@ -72,7 +89,10 @@ def every(files: DataFrame, nodes: DataFrame, edges: DataFrame, state: DataFrame
     compiled = A.with_fallback(A.answers(questions, state, A.named(questions, entities)), best)
     columns = ["qid", "method", "classification", "confidence", "insufficient", "answer"]
     kept = compiled.withColumn("method", F.lit("state")).select(*columns)
-    joined = compiled.join(block, "qid", "left").withColumn("method", F.lit("hybrid"))
+    evidence = F.when(F.col("insufficient"), "").otherwise(F.col("answer"))
+    interest = questions.select("qid", "question").join(compiled.select("qid", evidence.alias("evidence")), "qid", "left")
+    around = surroundings(nodes, edges, interest.select("qid", F.concat_ws("\n", "question", "evidence").alias("question")))
+    joined = compiled.join(around, "qid", "left").withColumn("method", F.lit("hybrid"))
     joined = joined.withColumn("answer", F.concat("answer", F.coalesce(F.concat(F.lit("\nRelationships:\n"), "block"), F.lit("")))).withColumn("insufficient", F.col("insufficient") & F.col("block").isNull()).select(*columns)
     related = _whole(questions, block.select("qid", F.concat(F.lit("Answer:\n"), "block").alias("answer")), "graph", "Medium")
     return lexical.unionByName(vector(files, questions)).unionByName(related).unionByName(kept).unionByName(joined)
