@@ -6,11 +6,11 @@ columns of docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vespera.llm import decontaminate, mixing, near_dup, pairwise_quality, token_files
-from vespera.llm.common import fold, stored, table
+from vespera.llm.common import checked, fold, stored, table
 from vespera.llm.queries import tokenizer_path
 
 
@@ -21,24 +21,52 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where(F.col("vespera_score") >= pairwise_quality.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def row_key():
+    """What rows are judged by: the id, which may be null or shared, and a hash of the text."""
+    return F.struct("doc_id", F.xxhash64("text").alias("hash"))
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id, once."""
-    kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("vespera_id")).distinct()
-    chosen = docs.join(kept, docs["doc_id"] == kept["vespera_id"], "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group of near duplicates: the one with the least doc_id, once.
+
+    The first text of an id is judged by that id; rows without an id and further texts of an id by numbers beyond all ids.
+    """
+    keyed = docs.withColumn("vespera_key", row_key())
+    ids = keyed.select("vespera_key").distinct().select("vespera_key.*")
+    first = ids.where("doc_id is not null").groupBy("doc_id").agg(F.min("hash").alias("first"), F.max("hash").alias("last"))
+    further = ids.join(first.where("first != last"), "doc_id").where("hash != first").select("doc_id", "hash").unionByName(ids.where("doc_id is null"))
+    beyond = docs.agg(F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0)).alias("m")).first()["m"] + 1
+    numbers = stored(further.select(F.struct("doc_id", "hash").alias("vespera_key"), (F.lit(beyond) + F.monotonically_increasing_id()).alias("vespera_number")), "numbers")
+    numbered = keyed.join(checked(numbers), "vespera_key", "left").withColumn("vespera_id", F.coalesce("vespera_number", F.col("doc_id").cast("long")))
+    kept = near_dup.near_duplicates(numbered, id_col="vespera_id").where("kept").select(F.col("doc_id").alias("vespera_id"), "n_shingles").distinct()
+    chosen = numbered.join(kept, "vespera_id")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    alone = (F.col("doc_id").isNull()) & (F.col("n_shingles") == 0)  # no id and no words: nothing says that two are one
+    once = chosen.where(~alone).groupBy("vespera_id").agg(F.min(F.struct(*own)).alias("x")).select("x.*")
+    return once.unionByName(chosen.where(alone).select(*own))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("vespera_id"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["vespera_id"]), "left_anti")
+    keyed = docs.withColumn("vespera_key", row_key())
+    found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="vespera_key").where("contaminated").select(F.col("doc_id").alias("vespera_key"))
+    return keyed.join(found, "vespera_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("vespera_id")).agg(F.max("copies").alias("vespera_copies"))
-    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["vespera_id"]))
-    return both.withColumn("vespera_copy", F.explode(F.sequence(F.lit(1), F.col("vespera_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Rows of one id, text and source are interchangeable; if the mix takes them unequally, they are ranked.
+    """
+    keyed = docs.withColumn("vespera_key", F.struct("doc_id", F.xxhash64("text").alias("hash"), "source"))
+    taken = mixing.mix(keyed, id_col="vespera_key").groupBy(F.col("doc_id").alias("vespera_key")).agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.sum("copies").alias("all"), F.count("*").alias("n"))
+    both = keyed.join(taken.where("most > 0"), "vespera_key")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rank = F.row_number().over(Window.partitionBy("vespera_key").orderBy(F.xxhash64(*own)))
+    # copies of one size differ by one at most
+    unequal = both.where("least != most").withColumn("vespera_copies", F.col("least") + (rank <= F.col("all") - F.col("least") * F.col("n")).cast("long"))
+    both = both.where("least = most").withColumn("vespera_copies", F.col("most")).unionByName(unequal).where("vespera_copies > 0")
+    return both.withColumn("vespera_copy", F.explode(F.sequence(F.lit(1), F.col("vespera_copies").cast("int")))).select(*own)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

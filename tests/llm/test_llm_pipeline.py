@@ -32,6 +32,25 @@ def test_stages_on_an_empty_table(spark):
         assert docs.count() == 0
 
 
+def test_stages_judge_rows_of_null_and_shared_ids_apart(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    words = [" ".join(f"{x}{i}" for i in range(k)) for x, k in (("a", 30), ("b", 40), ("c", 50), ("d", 60))]
+    rows = [(i, t, "en", "s", len(t)) for i, t in ((None, words[0]), (None, words[1]), (None, item), (7, words[2]), (7, words[3]), (7, item))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    texts = lambda df: sorted((r["doc_id"] is None, r["text"]) for r in df.collect())
+    clean = corpus_pipeline.drop_benchmark(spark, docs, SF)
+    assert texts(clean) == sorted((i is None, t) for i, t, *_ in rows if t != item)
+    copy = spark.createDataFrame([(3, words[0], "en", "s", 1), (7, words[2], "en", "s", len(words[2])), (None, words[1], "fr", "s", 1), (None, "", "en", "s", 0), (None, "", "en", "s", 0)], docs.schema)
+    once = corpus_pipeline.keep_one_of_each(spark, docs.where(F.col("text") != item).unionByName(copy), SF)
+    assert texts(once) == sorted([(False, words[0]), (True, words[1]), (False, words[2]), (False, words[3]), (True, ""), (True, "")])
+    many = spark.createDataFrame([(None if i % 2 else 5, f"{'w ' * (i % 9 + 1)}", "en", f"s{i % 3}", i) for i in range(300)], docs.schema).repartition(3)
+    goal = {r["source"]: r["target"] for r in corpus_pipeline.mixing.mix(many).select("source", "target").distinct().collect()}
+    mixed = corpus_pipeline.mix_sources(spark, many, SF)
+    got = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert got.keys() == goal.keys() and all(abs(got[s] - goal[s]) <= 1 for s in goal)
+    assert mixed.groupBy("n_chars").count().agg(F.max("count")).first()[0] <= 2
+
+
 def test_every_operator_has_one_query():
     names = list(queries.queries())
     assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == names[:-1] and names[-1] == "pipeline"
