@@ -7,7 +7,9 @@ few words are not judged by distance.
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import unicodedata
 from collections import Counter
 
@@ -34,10 +36,15 @@ COMMON = tuple(
     )
 )
 
+#: Languages that have a reference; all other values, and none, share one more.
+LANGUAGES = ("de", "en", "es", "fr")
+
 _WORDS = re.compile(WORD)
 _SYMBOLS = re.compile("[" + re.escape(SYMBOLS) + "]")
-_TABLE = 0x300
-FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<int>, commons array<int>"
+_COMMON = {v: i for i, w in enumerate(COMMON) for x in (w, w.capitalize(), w.upper()) for v in (x, x + ",", x + ".")}
+#: Code points that are classed at once.
+_CHUNK = 1 << 16
+FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, chars array<int>, word_ids array<int>, word_counts array<int>"
 
 
 def _class_of(c: str) -> int:
@@ -59,8 +66,18 @@ def _class_of(c: str) -> int:
     return 6 if c in ".,;:" else 7 if c in "!?" else 8 if kind in ("Ps", "Pe", "Pi", "Pf") or c in "\"'" else 10
 
 
-_CLASS = np.array([_class_of(chr(i)) for i in range(_TABLE)] + [2], np.uint8)
-_COMMON = {v: i for i, w in enumerate(COMMON) for x in (w, w.capitalize(), w.upper()) for v in (x, x + ",", x + ".")}
+@functools.cache
+def _classes() -> np.ndarray:
+    """The class of every code point."""
+    return np.fromiter((_class_of(chr(i)) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+
+
+def class_counts(text: str) -> list[int]:
+    """Characters by class, in chunks of bounded size."""
+    codes, out = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), np.zeros(len(CLASSES), np.int64)
+    for lo in range(0, len(codes), _CHUNK):
+        out += np.bincount(_classes()[codes[lo : lo + _CHUNK]], minlength=len(CLASSES))
+    return out.tolist()
 
 
 def repeat_words(words: list[str]) -> int:
@@ -101,77 +118,75 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     got = docs.select(docs[id_col].alias("doc_id"), lang.alias("lang"), docs[text_col].alias("text"))
 
     def make():
-        width, rest = len(CLASSES), len(COMMON)
-
         def f(ids, langs, texts):
-            texts = [t or "" for t in texts]
-            codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-            owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-            chars = np.bincount(owner * width + _CLASS[np.minimum(codes, _TABLE)], minlength=width * len(texts)).reshape(-1, width)
-            base, commons = [], []
+            base, length, chars, at, n = [], [], [], [], []
             for t in texts:
+                t = t or ""
                 words = _WORDS.findall(t)
                 base.append(base_counts(t, words))
-                found = Counter(map(_COMMON.get, words))
-                row = [0] * (rest + 1)
-                for k, v in found.items():
-                    row[rest if k is None else k] = v
-                commons.append(row)
-            return ids, langs, *([*c] for c in zip(*base)), chars.tolist(), commons
+                length.append(len(t))
+                chars.append(class_counts(t))
+                found = Counter(_COMMON.get(w, len(COMMON)) for w in words)
+                at.append(list(found))
+                n.append(list(found.values()))
+            return ids, langs, *([*c] for c in zip(*base)), length, chars, at, n
 
         return f
 
     return map_rows(got, make, f"doc_id {got.schema[0].dataType.simpleString()}, lang string, {FIELDS}")
 
 
-def references(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Summed histograms by language, one row each; the rows of the driver are as many as languages."""
-    sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col("commons")[i]).alias(f"w{i}") for i in range(len(COMMON) + 1)]
-    rows = measured.where(F.col("n_words") >= MIN_WORDS).groupBy("lang").agg(*sums).orderBy("lang").collect()
-    full = np.array([[float(x or 0) for x in r[1:]] for r in rows]).reshape(-1, len(CLASSES) + len(COMMON) + 1)
-    return full[:, : len(CLASSES)], full[:, len(CLASSES) :]
+def references(measured: DataFrame) -> list[tuple[list[float], list[float]]]:
+    """Shares of character classes and of common words by language, summed over documents that pass the base rules.
+
+    A row a language of LANGUAGES and one for all others reach the driver, whatever values the column has.
+    """
+    words = F.map_from_arrays("word_ids", "word_counts")
+    sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.coalesce(F.try_element_at(words, F.lit(i)), F.lit(0))).alias(f"w{i}") for i in range(len(COMMON) + 1)]
+    lang = F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).alias("lang")
+    rows = measured.where((F.col("n_words") >= MIN_WORDS) & ~base_failed()).groupBy(lang).agg(*sums).orderBy("lang").collect()
+    share = lambda xs: [x / sum(xs) for x in xs]
+    return [(share(r[1 : len(CLASSES) + 1]), share(r[len(CLASSES) + 1 :])) for r in rows]
+
+
+def base_failed():
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
 
+def distance(at, counts, total, reference: list[float]):
+    """Jensen-Shannon distance (root of the divergence in bits) of a sparse histogram with a sum of total from a reference of sum 1.
 
-def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance (root of the divergence in bits) of each row of p from each row of q."""
-    p = p / np.maximum(p.sum(1, keepdims=True), 1)
-    q = q / np.maximum(q.sum(1, keepdims=True), 1)
-    out = np.empty((len(p), len(q)))
-    for j, r in enumerate(q):
+    Entries that only the reference has add their share to twice the divergence, so what is not listed needs no visit.
+    """
+    ref = F.lit(reference)
+    def term(i, c):
+        p, r = c / total, F.element_at(ref, i + 1)
         m = (p + r) / 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            a = np.where(p > 0, p * np.log2(p / m), 0).sum(1)
-            b = np.where(r > 0, r * np.log2(r / m), 0).sum(1)
-        out[:, j] = np.sqrt(np.maximum(0, (a + b) / 2))
-    return out
+        return F.when(c > 0, p * F.log2(p / m) + F.when(r > 0, r * F.log2(r / m)).otherwise(0.0) - r).otherwise(0.0)
+
+    twice = F.aggregate(F.zip_with(at, counts, term), F.lit(1.0), lambda s, x: s + x)
+    return F.sqrt(F.greatest(F.lit(0.0), twice / 2))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """Every document's counts, distances to the nearest language reference (null below MIN_WORDS), base_failed, kept.
 
-    Null and empty texts have no words, so they fail the base. Documents without a language share a reference of
-    their own. With no document long enough there is no reference, and only the base rules judge.
+    Null and empty texts have no words, so they fail the base. Documents without a language, or with one that is not in
+    LANGUAGES, share a reference. With no document long enough there is no reference, and only the base rules judge.
+    Repeated rows are each judged; ties between references go to the one of the smaller distances.
     """
     measured = stored(measure(docs, id_col, text_col, lang_col), "histograms")
-    chars, commons = references(measured)
-
-    def make():
-        def f(ids, langs, n_words, *rest):
-            *counts, c, w = rest
-            n = np.array(n_words)
-            if len(chars):
-                dc, dw = distances(np.array(c, float), chars), distances(np.array(w, float), commons)
-                best = (dc + dw).argmin(1)
-                dc, dw = dc[np.arange(len(n)), best], dw[np.arange(len(n)), best]
-            else:
-                dc = dw = np.zeros(len(n))
-            judged = n >= MIN_WORDS
-            good = ~judged | (dc <= MAX_CHAR_DISTANCE) & (dw <= MAX_WORD_DISTANCE)
-            failed = (n < 10) | (100 * np.array(counts[3]) > 20 * n)
-            say = lambda d: [float(x) if j else None for x, j in zip(d, judged)]
-            return ids, n_words, *counts, failed.tolist(), (~failed & good).tolist(), say(dc), say(dw)
-
-        return f
-
-    out = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
-    return map_rows(measured, make, f"doc_id {measured.schema[0].dataType.simpleString()}, {out}")
+    known = references(measured)
+    classes = F.lit(list(range(len(CLASSES))))
+    judged = F.col("n_words") >= MIN_WORDS
+    near = F.lit(None).cast("struct<both:double,chars:double,words:double>")
+    if known:
+        each = [F.struct(distance(classes, F.col("chars"), F.col("n_chars"), c).alias("chars"), distance(F.col("word_ids"), F.col("word_counts"), F.col("n_words"), w).alias("words")) for c, w in known]
+        summed = F.transform(F.array(*each), lambda d: F.struct((d["chars"] + d["words"]).alias("both"), d["chars"].alias("chars"), d["words"].alias("words")))
+        near = F.when(judged, F.array_min(summed))
+    x = measured.withColumn("near", near)
+    good = F.coalesce((F.col("near.chars") <= MAX_CHAR_DISTANCE) & (F.col("near.words") <= MAX_WORD_DISTANCE), F.lit(True))
+    return x.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & good).alias("kept"),
+        F.col("near.chars").alias("char_distance"), F.col("near.words").alias("word_distance"),
+    )
