@@ -6,7 +6,6 @@ local_phone, birth_date) are reported when their score, prior plus context, reac
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 from pyspark.sql import DataFrame
@@ -39,6 +38,10 @@ CONTEXT = {
 }
 
 
+#: Kind: the words of CONTEXT as whole words.
+_SAID = {kind: tuple(re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, words)) + r")(?!\w)") for words in rule[2:]) for kind, rule in CONTEXT.items()}
+
+
 def luhn(digits: str) -> bool:
     """Whether the last digit is the check digit of those before it."""
     total = sum(map(int, digits[-1::-2]))
@@ -86,18 +89,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _around(text: str, start: int, end: int) -> str:
+    """The whole words within NEAR characters before and after a span, lower-cased."""
+    a, b = max(0, start - NEAR), min(len(text), end + NEAR)
+    while 0 < a < start and text[a - 1].isalnum() and text[a].isalnum():
+        a += 1
+    while end < b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+        b -= 1
+    return f"{text[a:start]} \x00 {text[end:b]}".lower()
+
+
 def context_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
     """(start, index of kind, end, score) of the further kinds that overlap no base span."""
     out = []
     if not _DIGITS.search(text):
         return out
-    for kind, (pattern, prior, up, down) in CONTEXT.items():
+    for kind, (pattern, prior, *_) in CONTEXT.items():
+        up, down = _SAID[kind]
         for m in pattern.finditer(text):
             s, e = m.span()
             if kind == "iban" and not mod97(m[0]) or any(a < e and s < b for a, _, b in taken):
                 continue
-            near = text[max(0, s - NEAR) : e + NEAR].lower()
-            score = prior + 0.4 * any(w in near for w in up) - 0.3 * any(w in near for w in down)
+            near = _around(text, s, e)
+            score = prior + 0.4 * bool(up.search(near)) - 0.3 * bool(down.search(near))
             if score >= THRESHOLD:
                 out.append((s, KINDS.index(kind), e, score))
     return out
@@ -128,7 +142,3 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     got = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     return map_rows(got, make, f"doc_id {got.schema[0].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int,score:double>>")
-
-
-def digest(base: list[str]) -> str:
-    return hashlib.sha256(",".join(base).encode()).hexdigest()

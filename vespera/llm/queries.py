@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vespera.llm import decontaminate, mixing, near_dup, pairwise_quality, pii, quality_rules, secret_scan, token_files, toxicity, url_rules
-from vespera.llm.common import map_rows, table
+from vespera.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,24 +17,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(table(spark, sf_dir, "documents"))
-
-    def make():
-        def f(ids, spans):
-            counts, digests, every = [[], [], [], []], [], []
-            for s in spans:
-                base = [x for x in s if x["kind"] in pii.BASE]
-                for i, k in enumerate(pii.BASE):
-                    counts[i].append(sum(x["kind"] == k for x in base))
-                say = lambda xs: [f"{x['kind']}:{x['start']}:{x['end']}" for x in xs]
-                digests.append(pii.digest(say(base)))
-                every.append(",".join(say(s)))
-            return ids, *counts, digests, every
+def _of_kind(spans: str, kind):
+    """How many of the spans are of one kind."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == F.lit(kind))).cast("long")
 
-        return f
 
-    return map_rows(found, make, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    say = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    n = [_of_kind("spans", k).alias(f"n_{k}") for k in pii.BASE]
+    base = F.filter("spans", lambda x: x["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *n, F.sha2(say(base), 256).alias("base_sha256"), say(F.col("spans")).alias("spans"))
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +54,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     kinds = F.array(*map(F.lit, secret_scan.KINDS))
     say = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"], x["end"])), ",")
-    n = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secret_scan.KINDS[:3])]
+    n = [_of_kind("base", i).alias(f"n_{k}") for i, k in enumerate(secret_scan.KINDS[:3])]
     return found.select("doc_id", *n, F.sha2(say("base"), 256).alias("base_sha256"), say("spans").alias("spans"))
 
 
