@@ -1,7 +1,11 @@
 """Secrets, with DataFrame functions only.
 
 Fixed patterns give the base. Further tokens are judged by two character Markov models of first order, one of random
-strings and one of ordinary identifiers: the mean log-likelihood ratio of a token's transitions decides.
+strings and one of ordinary identifiers: a token is reported if the log-likelihood ratios of its transitions are high
+enough on average and in sum, so a short token needs a higher average than a long one.
+
+The default samples are made by rule: strings from hashes, identifiers from a list of words in four styles. A labelled
+table can be given instead (fit).
 """
 
 from __future__ import annotations
@@ -16,9 +20,13 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: Mean log-likelihood ratio a transition from which a token counts as random.
-MIN_RATIO = 0.7
+#: Tokens that are judged: of 20 characters or more, or of 12 to 19 with a digit among them; = only as padding at the end.
+#: Shorter ones, and those of 12 to 19 without a digit, have too few transitions to be told from words and are never reported.
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{20,}|(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,19}(?![A-Za-z0-9+/_-]))={0,2}"
+#: Mean log-likelihood ratio a transition, and sum of a token's, from which it counts as random.
+MIN_RATIO, MIN_EVIDENCE = 0.7, 13.0
+#: Elements that an inner fold handles before what it found is appended to the whole.
+FOLDED = 256
 SAMPLES = 20_000
 SEED = 5
 SMOOTHING = 0.5
@@ -74,18 +82,60 @@ def fit(samples: DataFrame) -> list[float]:
     return [math.log(p(True, i) / p(False, i)) for i in range(k * k)]
 
 
+def _fold(items: Column, zero: Column, none: str, step) -> Column:
+    """aggregate(items) with a state and a list of found elements; step(state, item) gives (state, array of found).
+
+    Elements are folded in parts of FOLDED, whose findings are appended part by part: time stays near linear where
+    appending to one array element by element would copy it each time. none: the type of the list.
+    """
+    part = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(items) - 1) / FOLDED).cast("int"))), lambda g: F.slice(items, g * FOLDED + 1, F.lit(FOLDED)))
+    start = F.struct(zero.alias("state"), F.expr(f"cast(array() as array<{none}>)").alias("found"))
+
+    def one(acc, x):
+        state, found = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["found"], found).alias("found"))
+
+    def many(acc, xs):
+        inner = F.aggregate(xs, F.struct(acc["state"].alias("state"), F.expr(f"cast(array() as {none})").alias("found")), one)
+        return F.element_at(F.transform(F.array(inner), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["found"], F.array(r["found"])).alias("found"))), 1)
+
+    return F.flatten(F.aggregate(part, start, many)["found"])
+
+
 def _starts(pieces: Column, found: Column) -> Column:
     """Start of each match in code points, from the pieces between matches and the matches."""
     both = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(found), F.lit(1))), found, lambda p, m: F.struct(F.length(p).alias("p"), F.length(F.coalesce(m, F.lit(""))).alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-    return F.aggregate(both, zero, lambda acc, x: F.struct((acc["at"] + x["p"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["p"])).alias("out")))["out"]
+    return _fold(both, F.lit(0), "array<int>", lambda at, x: (at + x["p"] + x["m"], F.array(at + x["p"])))
+
+
+SPAN = "struct<start:int,kind:int,end:int>"
+
+
+def _apart(base: Column, more: Column) -> Column:
+    """The spans of more (which do not overlap one another) that overlap none of base: one pass over both in order.
+
+    A span of more waits until a start of base, or of the next span, shows that it is free.
+    """
+    mark = lambda c, own: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["kind"].alias("kind"), x["end"].alias("end")))
+    last = F.struct(F.lit(2**31 - 1).alias("start"), F.lit(True).alias("own"), F.lit(0).alias("kind"), F.lit(2**31 - 1).alias("end"))
+    events = F.concat(F.array_sort(F.concat(mark(base, False), mark(more, True))), F.array(last))
+    zero = F.struct(F.lit(0).alias("covered"), F.expr(f"cast(null as {SPAN})").alias("waits"))
+
+    def step(state, x):
+        free = state["waits"].isNotNull() & (x["start"] >= state["waits"]["end"])
+        own = F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
+        waits = F.when(x["own"] & (x["start"] >= state["covered"]), own)
+        covered = F.when(x["own"], state["covered"]).otherwise(F.greatest(state["covered"], x["end"]))
+        return F.struct(covered.alias("covered"), waits.alias("waits")), F.filter(F.array(F.when(free, state["waits"])), lambda w: w.isNotNull())
+
+    return F.when((F.size(base) > 0) & (F.size(more) > 0), _fold(events, zero, f"array<{SPAN}>", step)).otherwise(more)
 
 
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     """array<struct<start,kind,end>> of the matches that keep(index, match) lets pass."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     starts = _starts(F.split(text, pattern, -1), found)
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+    empty = F.expr(f"cast(array() as array<{SPAN}>)")
     all_ = F.filter(
         F.zip_with(starts, found, lambda s, m: F.when(m.isNotNull(), F.struct(s.alias("start"), F.lit(kind).alias("kind"), (s + F.length(m)).alias("end"), m.alias("m")))),
         lambda x: x.isNotNull(),
@@ -98,7 +148,7 @@ def find_secrets(docs: DataFrame, ratios: list[float] | None = None, min_ratio:
     """doc_id, base and spans (array<struct<start,kind,end>>, by start, then kind; kind indexes KINDS) of each document.
 
     Spans are in code points, ends exclusive. A null text is empty. The model's tokens overlap no base span. Repeated
-    rows are each reported; nothing is shuffled, one scan does it all.
+    rows are each reported; nothing is shuffled, one scan does it all, in time near linear in a text's spans.
     """
     if ratios is None:
         ratios = fit(default_samples(docs.sparkSession))
@@ -109,7 +159,7 @@ def find_secrets(docs: DataFrame, ratios: list[float] | None = None, min_ratio:
     def random(m: Column) -> Column:
         codes = F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: _code(F.substr(m, i, F.lit(1))))
         steps = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, b: F.element_at(table, a * k + b + 1))
-        return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0))) >= min_ratio * F.size(steps)
+        return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0))) >= F.greatest(F.lit(MIN_EVIDENCE), min_ratio * (F.length(m) - 1))
 
     base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     base = base.select(
@@ -121,5 +171,5 @@ def find_secrets(docs: DataFrame, ratios: list[float] | None = None, min_ratio:
         ).alias("base"),
         _spans(text, TOKEN, 3, random).alias("more"),
     )
-    free = F.filter("more", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return base.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", free)).alias("spans"))
+    base = base.select("doc_id", "base", _apart(F.col("base"), F.col("more")).alias("more"))
+    return base.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", "more")).alias("spans"))
