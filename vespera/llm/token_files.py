@@ -17,12 +17,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vespera.llm import rans
-from vespera.llm.common import CACHES, drop_stored, fresh_task, scratch, stored
+from vespera.llm.common import CACHES, checked, drop_stored, fresh_task, scratch, stored
 
 BLOCK = 1 << 19
 END_ID = 2
@@ -253,12 +253,15 @@ def write_tokens(tokens: DataFrame, path: str, vocabulary: int, shard_tokens: in
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/shards")
 
 
-def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """One row per document of the data set, decoded and verified: doc_id, start, n_tokens, ids_crc32 (and ids)."""
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = False, threads: int = 1) -> DataFrame:
+    """One row per document of the data set, decoded and verified: doc_id, start, n_tokens, ids_crc32 (and ids).
+
+    Shards are read in parallel; within a block, threads stretches between checkpoints are decoded at once.
+    """
     freq = spark.read.parquet(f"{path}/frequencies").orderBy("id").toPandas()["freq"].to_numpy(dtype=np.int64)
     shared = spark.sparkContext.broadcast(freq)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards").select("path", "content")
-    fields = "shard string, place long, doc_id long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards").select(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long").alias("shard"), "content")
+    fields = "shard long, place long, doc_id long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches):
         fresh_task()
@@ -273,12 +276,12 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     for d, k, crc in docs:
                         own = ids[at : at + k].astype("<u4").tobytes()
                         if zlib.crc32(own) != crc:
-                            raise ValueError(f"a document of {name} does not match its checksum")
+                            raise ValueError(f"a document of shard {name} does not match its checksum")
                         out.append((d, place + at, k, zlib.crc32(own), own))
                         at += k
                     if at != len(ids):
-                        raise ValueError(f"{name} holds {len(ids)} ids where its index lists {at}")
-                    cols = [pa.array([name] * len(out)), pa.array([o[1] for o in out], pa.int64()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.int64())]
+                        raise ValueError(f"shard {name} holds {len(ids)} ids where its index lists {at}")
+                    cols = [pa.array([name] * len(out), pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.int64())]
                     if with_ids:
                         cols.append(pa.array([o[4] for o in out], pa.binary()))
                     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in fields.split(", ")]), place + at
@@ -289,21 +292,21 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                             got, place = done()
                             yield got
                         if zlib.crc32(body[4:]) != struct.unpack_from("<I", body)[0]:
-                            raise ValueError(f"an index of {name} is damaged")
+                            raise ValueError(f"an index of shard {name} is damaged")
                         (k,) = struct.unpack_from("<I", body, 4)
                         known = np.frombuffer(body, np.uint8, k, 8)
                         nums = np.frombuffer(body, "<i8", k, 8 + k).tolist()
                         docs = [(d if ok else None, n, c) for ok, d, n, c in zip(known.tolist(), nums, np.frombuffer(body, "<u8", k, 8 + 9 * k).tolist(), np.frombuffer(body, "<u4", k, 8 + 17 * k).tolist())]
                         parts = []
                     else:
-                        parts.append(rans.decode(body, coder)[1])
+                        parts.append(rans.decode(body, coder, threads)[1])
                 if docs is not None:
                     yield done()[0]
 
     rows = stored(files.mapInArrow(run, fields), "decoded") if not with_ids else files.mapInArrow(run, fields)
-    # One row a shard; shards follow one another in the order of their names.
-    sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).toPandas().sort_values("shard")
-    before = spark.createDataFrame([(s, int(b)) for s, b in zip(sums["shard"], sums["n"].cumsum() - sums["n"])] or [], "shard string, before long")
+    # One row a shard; shards follow one another in the order of their numbers.
+    sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    before = checked(sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before")))
     cols = ["doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     return rows.join(before, "shard").select(*cols)
 
