@@ -86,8 +86,12 @@ def bradley_terry(better: np.ndarray, worse: np.ndarray, ridge: float = RIDGE, s
     return w
 
 
-def fit(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Ranker:
-    """x: features by document, y: 0 or 1. With one label only, every score is above the threshold alike."""
+def fit(x: np.ndarray, y: np.ndarray, seed: int = SEED, quantile: float | None = None) -> Ranker:
+    """x: features by document, y: 0 or 1. With one label only, every score is above the threshold alike.
+
+    quantile: the share of the training documents that scores below the threshold; None takes the share, up to twice
+    that of label 0, that separates the labels with the fewest errors (the least such share).
+    """
     width = len(FEATURES)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
@@ -100,17 +104,16 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Ranker:
     pick = lambda a: np.concatenate([rng.permutation(a) for _ in range(-(-n // len(a)))])[:n]
     w = bradley_terry(z[pick(good)], z[pick(bad)])
     raw = z @ w
-    # the quantile that separates the labels best, among those up to twice the share of label 0
     order = np.argsort(raw, kind="stable")
     wrong = len(bad) + np.cumsum(np.where(y[order] == 1, 1, -1))
     top = max(1, min(len(raw) - 1, 2 * len(bad)))
-    k = int(np.argmin(wrong[:top])) + 1
+    k = int(np.argmin(wrong[:top])) + 1 if quantile is None else max(1, min(len(raw), round(quantile * len(raw))))
     cut = (raw[order[k - 1]] + raw[order[min(k, len(raw) - 1)]]) / 2
     spread = np.subtract(*np.quantile(raw, [0.75, 0.25]))
     return Ranker(mean, std, w, float(cut), float(1 / max(0.25, spread / 2)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ranker:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quantile: float | None = None) -> Ranker:
     """labels: doc_id, label. At most FIT_ROWS labelled documents, by hash of the id, make the preferences."""
     y = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     got = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
@@ -127,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = got.join(checked(y, FIT_ROWS), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")
     rows = map_rows(found, make, f"doc_id {dict(found.dtypes)['doc_id']}, label int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
-    return fit(x, rows["label"].to_numpy(int))
+    return fit(x, rows["label"].to_numpy(int), quantile=quantile)
 
 
 def score(docs: DataFrame, ranker: Ranker, keep: list[str] = ["doc_id"], text_col: str = "text") -> DataFrame:  # noqa: B006
