@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import drop_stored, stored
+from vespera.llm.common import drop_stored, spread_join, stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """large: every neighbour above u goes to u's least neighbour; small: every neighbour below u does, and u."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """large: every neighbour above u goes to u's least neighbour; small: every neighbour below u does, and u.
+
+    A node of many links is dealt over tasks (total: how many links there are at most).
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select("a", F.least("a", "m").alias("m"))
-    to = both.join(least, "a")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    least = least.select("a", F.least("a", "m").alias("m"), "n")
+    to = spread_join(both, least, "a", 2 * total)
     if large:
         out = to.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -24,14 +27,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. Gives node, component (least node of it) for every node that has a link; always a table on disk."""
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
-    state = None
+    state, total = None, edges.count()
     while True:
-        after = stored(_star(_star(edges, True), False), "stars")
+        # a star step never makes more links than it is given and one a node
+        after = stored(_star(_star(edges, True, total), False, 2 * total), "stars")
         got = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         drop_stored(edges)
         edges = after
         if (got["n"], got["h"]) == state:
             break
-        state = (got["n"], got["h"])
+        state, total = (got["n"], got["h"]), got["n"]
     least = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(least)

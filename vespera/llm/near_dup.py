@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vespera.llm.common import WORD, checked, fresh_task, stored
+from vespera.llm.common import WORD, checked, fresh_task, slices, spread_join, stored
 from vespera.llm.components import components
 
 SHINGLE = 5
@@ -30,7 +30,8 @@ SLOTS = 256
 BANDS, ROWS = 42, 6
 #: A pair is confirmed on its texts unless its signatures agree in fewer slots than the percentage lets expect less so
 #: many standard deviations: a link is passed over with probability 3e-6, as by the bands.
-DEVIATIONS = 4.5
+#: None confirms every pair that shares a band, whatever the signatures say.
+DEVIATIONS: float | None = 4.5
 #: Members of a band that one task compares with so many others.
 BLOCK = 1024
 
@@ -143,29 +144,40 @@ def signatures(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", tex
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
-    texts = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).join(checked(ids), "i", "left_semi")
-    left = pairs.join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b")
-    both = left.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
+    """The pairs (a, b) of ids whose full shingle sets are similar enough. pairs must be stored.
+
+    The texts of b stream past the set of a, BLOCK of them a task: a's text is sent once for so many others, and a set is
+    built once a text. Of rows that share an id, any may confirm a pair.
+    """
+    large = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = pairs.join(checked(large), "a", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    others = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("i"), F.lit(1).alias("side"))
+    heads = dealt.select("a", "blocks").distinct().select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("i"), F.lit(0).alias("side"))
+    wanted = others.unionByName(heads)
+    texts = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).join(checked(wanted.select("i").distinct()), "i", "left_semi")
+    rows = wanted.join(texts, "i").select("a", "block", "side", "i", "t").repartition("a", "block").sortWithinPartitions("a", "block", "side")
 
     def run(batches):
         fresh_task()
-        last, own = None, set()
+        at, own = None, []
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                a, b, ta, tb = (c.to_pylist() for c in batch.slice(lo, 128).columns)
+            for part in slices(batch):
                 good = []
-                for i, (x, y) in enumerate(zip(ta, tb)):
-                    if x != last:
-                        last, own = x, shingles(x, size)
-                    other = shingles(y, size)
-                    common = len(own & other)
-                    if common and 100 * common >= percent * (len(own) + len(other) - common):
-                        good.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+                for a, block, side, i, text in zip(*(c.to_pylist() for c in part.columns)):
+                    if (a, block) != at:
+                        at, own = (a, block), []
+                    x = shingles(text, size)
+                    if side == 0:
+                        own.append(x)
+                        continue
+                    for y in own:
+                        common = len(x & y)
+                        if common and 100 * common >= percent * (len(x) + len(y) - common):
+                            good.append((a, i))
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in good], pa.int64()), pa.array([i for _, i in good], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def variance_factor(union: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -180,6 +192,8 @@ def least_agreeing(percent: int, slots: int = SLOTS) -> np.ndarray:
     """By the sum of two sets' sizes (the last entry for all larger ones): slots in which a link's signatures agree at least."""
     j = percent / 100
     sums = np.arange(8192)
+    if DEVIATIONS is None:
+        return np.full(len(sums), -1, np.int64)
     deviation = np.sqrt(j * (1 - j) * slots * variance_factor(sums / (1 + j), slots))
     return np.floor(slots * j - DEVIATIONS * deviation - 1).astype(np.int64)
 
@@ -221,15 +235,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     classes = stored(full.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     copies = full.select("doc_id", "same").join(classes.select("same", "rep"), "same").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     members = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substr(F.col("sig"), k * ROWS + 1, F.lit(ROWS))))).alias("band_no", "band"))
-    heads = members.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head != last").select("band", "head")
-    shared = stored(members.join(heads, "band").select("band", "band_no", "head", "rep"), "bands")
+    heads = members.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count("*").alias("n")).where("head != last").select("band", "head", "n")
+    total = BANDS * classes.count()
+    shared = stored(spread_join(members, heads, "band", total).select("band", "band_no", "head", "rep"), "bands")
     stars = stored(shared.where("head != rep").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links = stored(confirm(stars, docs, size, percent, id_col, text_col), "confirmed")
     group = components(links)
     # bands whose members are still apart
     placed = shared.join(group, shared["rep"] == group["node"], "left").select("band", "band_no", "rep", F.coalesce("component", "rep").alias("component"))
     split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi and n > 2")
-    open_ = placed.join(split.select("band", "n"), "band")
+    open_ = spread_join(placed, split.select("band", "n", F.col("n").alias("members")), "band", total).withColumnRenamed("members", "n")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     each = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("p"), F.greatest(F.col("block"), o).alias("q"))))
