@@ -11,10 +11,11 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vespera.llm.common import WORD, checked, stored
+from vespera.operators.merge import numbered
 
 WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
@@ -24,27 +25,31 @@ SEED = 17
 DP_BUDGET = 1 << 17
 #: Bits of a table over a whole budget, at most (64 MB).
 TABLE_BITS = 1 << 29
-#: Ranks within a size are dealt over so many hash buckets, so that no group of equal sizes meets in one task.
-BUCKETS = 64
-
-
-def targets(sizes: dict, weights=WEIGHTS, share: Fraction = SHARE, cap: int = CAP) -> dict:
-    """Source: target. Sources in code point order (null last) weigh `weights`, repeating; none above cap x its size."""
-    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-32-be")) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    out: dict = {}
-    budget, free = share * sum(sizes.values()), list(names)
-    while free:
-        unit = budget / sum(weight[s] for s in free)
-        over = [s for s in free if weight[s] * unit > cap * sizes[s]]
-        if not over:
-            out |= {s: weight[s] * unit for s in free}
+#: Ranks within a size are dealt over so many hash buckets at least, and as many as leave about BUCKET_ROWS rows of one
+#: source and size in each, so that no group of equal sizes meets in one task.
+BUCKETS, BUCKET_ROWS = 64, 50_000
+
+
+def targets(sizes: DataFrame, weights=WEIGHTS, share: Fraction = SHARE, cap: int = CAP) -> DataFrame:
+    """sizes: source, source_size. source, source_size, target.
+
+    Sources in code point order (null last) weigh `weights`, repeating. A target is its weight times a unit, or cap times its
+    size where that is less; capping only raises the unit, so the unit is found by a few sums over all sources, exactly.
+    """
+    ranked = numbered(sizes.select("source", "source_size", F.col("source").isNull().alias("last")), ["last", "source"])
+    ranked = stored(ranked.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("n") - 1, F.lit(len(weights))).cast("int") + 1).alias("weight")), "weights")
+    whole = lambda x: F.lit(str(x)).cast("decimal(38,0)")
+    full, over = F.col("source_size") * cap, F.lit(False)
+    budget, unit, before = None, Fraction(0), None
+    while True:
+        got = ranked.agg(F.sum("source_size").alias("all"), F.sum(F.when(over, full)).alias("full"), F.sum(F.when(~over, F.col("weight"))).alias("free"), F.count_if(over).alias("n")).first()
+        budget = share * (got["all"] or 0)
+        if not got["free"] or got["n"] == before:
             break
-        for s in over:
-            out[s] = Fraction(cap * sizes[s])
-            budget -= out[s]
-        free = [s for s in free if s not in set(over)]
-    return out
+        before, unit = got["n"], (budget - (got["full"] or 0)) / got["free"]
+        over = F.col("weight").cast("decimal(10,0)") * whole(unit.numerator) > full.cast("decimal(20,0)") * whole(unit.denominator)
+    each = F.create_map(*[F.lit(x) for w in sorted(set(weights)) for x in (w, float(w * unit))])[F.col("weight")]
+    return ranked.select("source", "source_size", F.when(over, full.cast("double")).otherwise(each).alias("target"))
 
 
 def fit(size: np.ndarray, count: np.ndarray, budget: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
@@ -62,9 +67,7 @@ def fit(size: np.ndarray, count: np.ndarray, budget: int, dp_budget: int = DP_BU
     take = np.array([c * budget // whole for c in count.tolist()], np.int64)
     order = [i for i in np.argsort(-size, kind="stable") if size[i] > 0]
     left = budget - int((size * take).sum())
-    if left <= 2 * dp_budget:  # the table holds all sums that are nearer than none
-        return _table(size, count, take, order, left)
-    for i in order:  # large sizes first
+    for i in order if left > 2 * dp_budget else ():  # large sizes first, until the rest fits the table
         k = min(int(count[i] - take[i]), (left - dp_budget) // int(size[i]))
         if k > 0:
             take[i] += k
@@ -127,14 +130,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: Fraction = SHARE, cap: int = CA
 
     Size is the number of words, 0 for a null text; such rows have no copies. A null source is a source of its own,
     the last. Rows that share an id and a text are interchangeable; otherwise reruns take the same documents.
-    The driver holds one sum a source; each source's counts by size are fitted in a task of their own.
+    Each source's counts by size are fitted in a task of their own: a row a distinct size, whatever the rows.
     """
-    spark = docs.sparkSession
     sized = stored(docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     histogram = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
-    sums = {r["source"]: int(r["s"]) for r in histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()}
-    goal = targets(sums, weights, share, cap)
-    plan = checked(spark.createDataFrame([(s, sums[s], float(goal[s])) for s in sums], "source string, source_size long, target double"))
+    plan = checked(stored(targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")), weights, share, cap), "targets"))
+    buckets = max(BUCKETS, -(-(histogram.agg(F.max("n")).first()[0] or 0) // BUCKET_ROWS))
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size", kind="stable")
@@ -148,10 +149,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: Fraction = SHARE, cap: int = CA
     takes = stored(joined.groupBy("source").applyInPandas(fitted, "source string, size long, copies long, more long"), "takes")
     # rank within (source, size) by hash: the count of lower buckets plus the rank within the bucket
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    ranked = sized.withColumn("h", h).withColumn("bucket", F.pmod(F.shiftright("h", 40), F.lit(BUCKETS)))
+    ranked = sized.withColumn("h", h).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
     counts = ranked.groupBy("source", "size", "bucket").agg(F.count("*").alias("k"))
-    from pyspark.sql import Window
-
     before = counts.withColumn("before", F.sum("k").over(Window.partitionBy("source", "size").orderBy("bucket")) - F.col("k")).drop("k")
     t, b = takes.alias("t"), before.alias("b")
     plans = b.join(t, F.col("b.source").eqNullSafe(F.col("t.source")) & (F.col("b.size") == F.col("t.size"))).select("b.source", "b.size", "bucket", "before", "copies", "more")
