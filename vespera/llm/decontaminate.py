@@ -20,6 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
 #: Lists that are intersected before the confirmation.
 RAREST = 3
+#: Share of a window's words that stand in their places in a near match: of ten words, one may differ.
+NEAR = 0.9
 #: Pseudo term after the last word of every document; its position is the number of words.
 END = "\x01"
 
@@ -57,29 +59,43 @@ def windows(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_
     return phrases.select("phrase", "words"), phrases.join(uses.select("text", "item_id").distinct(), "text").select("phrase", "item_id")
 
 
-def _terms_of(index: Index, phrases: DataFrame) -> DataFrame:
-    """phrase, len, off, term, n for phrases whose every word some document has."""
+def _terms_of(index: Index, phrases: DataFrame, near: float = 1.0) -> DataFrame:
+    """phrase, len, need, known, off, term, n for the words that some document has, of phrases of which at least `need` words are such."""
     t = phrases.select("phrase", F.size("words").alias("len"), F.posexplode("words").alias("off", "word")).join(index.terms, "word")
-    whole = t.groupBy("phrase").agg(F.count("*").alias("k"), F.first("len").alias("l")).where("k = l").select("phrase")
-    return stored(t.join(whole, "phrase", "left_semi").select("phrase", "len", "off", "term", "n"), "phrase_terms")
+    need = F.greatest(F.lit(1), F.ceil(F.first("len") * F.lit(near))).cast("int")
+    whole = t.groupBy("phrase").agg(F.count("*").alias("known"), need.alias("need")).where("known >= need")
+    return stored(t.join(whole, "phrase").select("phrase", "len", "need", "known", "off", "term", "n"), "phrase_terms")
 
 
-def find_phrases(index: Index, phrases: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """row, phrase, start, len of every exact occurrence."""
-    terms = _terms_of(index, phrases)
+def find_phrases(index: Index, phrases: DataFrame, rarest: int = RAREST, near: float = 1.0) -> DataFrame:
+    """row, phrase, start, len, n of every place where n >= near * len words of a phrase stand where they should; exact where n = len.
+
+    With near below 1, one of the rarest words may be missing or changed: a phrase with a single changed word is always
+    found, one with several unless two of its three rarest words are among them.
+    """
+    terms = _terms_of(index, phrases, near)
     by_rarity = Window.partitionBy("phrase").orderBy("n", "off")
     rare = terms.withColumn("r", F.row_number().over(by_rarity)).where(F.col("r") <= rarest)
-    rare = stored(rare.select("term", "phrase", "off", F.least("len", F.lit(rarest)).alias("k")), "rare")
+    k = F.least("known", F.lit(rarest))
+    least = k if near >= 1 else F.when((k >= 3) & (F.col("need") < F.col("len")), k - 1).otherwise(k)
+    rare = stored(rare.select("term", "phrase", "off", least.alias("k")), "rare")
     lists = index.postings.select("row", "term", "pos").join(checked(rare), "term").select("row", "phrase", (F.col("pos") - F.col("off")).alias("start"), "k").where("start >= 0")
-    left = stored(lists.groupBy("row", "phrase", "start").agg(F.count("*").alias("n"), F.first("k").alias("k")).where("n = k").select("row", "phrase", "start"), "candidates")
+    left = stored(lists.groupBy("row", "phrase", "start").agg(F.count("*").alias("n"), F.first("k").alias("k")).where("n >= k").select("row", "phrase", "start"), "candidates")
     some = checked(left.select("row").distinct())
-    wanted = left.join(terms.select("phrase", "len", "off", "term"), "phrase").select("row", "phrase", "start", "len", "term", (F.col("start") + F.col("off")).alias("pos"))
+    wanted = left.join(terms.select("phrase", "len", "need", "off", "term"), "phrase").select("row", "phrase", "start", "len", "need", "term", (F.col("start") + F.col("off")).alias("pos"))
     there = index.postings.where("term > 0").select("row", "term", "pos").join(some, "row", "left_semi")
-    return wanted.join(there, ["row", "term", "pos"]).groupBy("row", "phrase", "start").agg(F.count("*").alias("n"), F.first("len").alias("len")).where("n = len").select("row", "phrase", "start", "len")
+    met = wanted.join(there, ["row", "term", "pos"]).groupBy("row", "phrase", "start").agg(F.count("*").alias("n"), F.first("len").alias("len"), F.first("need").alias("need"))
+    met = met.where("n >= need")
+    if near < 1:  # a phrase that would go on beyond the end of its document is none
+        met = met.join(index.postings.where("term = 0").select("row", F.col("pos").alias("words")), "row").where(F.col("start") + F.col("len") <= F.col("words"))
+    return met.select("row", "phrase", "start", "len", "n")
 
 
 def find_near(index: Index, phrases: DataFrame, slop: int = 5) -> DataFrame:
-    """row, phrase, start: places where the phrase's two rarest terms stand in order, at most slop words further apart than in it."""
+    """row, phrase, start: places where the phrase's two rarest terms stand in order, at most slop words further apart than in it.
+
+    The words between are not looked at; find_phrases with near below 1 counts all words of a phrase.
+    """
     terms = _terms_of(index, phrases)
     rare = terms.withColumn("r", F.row_number().over(Window.partitionBy("phrase").orderBy("n", "off"))).where("r <= 2")
     pair = rare.groupBy("phrase").agg(F.min_by("term", "off").alias("a"), F.max_by("term", "off").alias("b"), (F.max("off") - F.min("off")).alias("gap")).where("gap > 0")
@@ -90,19 +106,23 @@ def find_near(index: Index, phrases: DataFrame, slop: int = 5) -> DataFrame:
     return near.select("row", "phrase", "start").distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated for every row of docs.
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", near: float = NEAR) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated, n_near for every row of docs.
 
-    A word is hit if any occurrence of a window covers it. Null texts and texts without words have no hits; items
-    without words make no window; with no items nothing is hit. Rows that share an id are judged apart.
+    A word is hit if any exact occurrence of a window covers it. n_near counts the items of which a window occurs with at
+    least the share near of its words in their places, the exact ones included; it decides nothing. Null texts and texts
+    without words have no hits; items without words make no window; with no items nothing is hit. Rows that share an id
+    are judged apart.
     """
     phrases, uses = windows(items, size, item_id_col, item_text_col)
     index = build_index(docs, phrases.select(F.explode("words").alias("word")), id_col, text_col)
-    found = stored(find_phrases(index, phrases), "matches")
-    hit = found.select("row", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    its = found.select("row", "phrase").distinct().join(checked(uses), "phrase").select("row", F.col("item_id").cast("string").alias("item")).distinct()
-    its = its.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = stored(find_phrases(index, phrases, near=near), "matches")
+    exact = found.where("n = len")
+    hit = exact.select("row", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    whole = found.groupBy("row", "phrase").agg(F.bool_or(F.col("n") == F.col("len")).alias("exact"))
+    its = whole.join(checked(uses), "phrase").groupBy("row", F.col("item_id").cast("string").alias("item")).agg(F.bool_or("exact").alias("exact"))
+    its = its.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("items"), F.count("*").alias("n_near"))
     all_rows = index.postings.where("term = 0").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
     n_hit, items_ = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     out = all_rows.join(hit, "row", "left").join(its, "row", "left")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), (n_hit > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))

@@ -60,7 +60,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,10 +117,10 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN regexp_matches(low, '(^|[^a-z0-9])casino([^a-z0-9]|$)') OR regexp_matches(low, '://([^/?#]*[.-])?adult[.-]')
-    OR regexp_matches(low, '(^|[^a-z0-9])spam-farm([^a-z0-9]|$)') OR regexp_matches(low, '://([^/?#]*[.-])?xxx[.-]')
+  WHEN regexp_matches(low, '(^|[^a-z0-9])casino([^a-z0-9]|$)') OR regexp_matches(low, '^[^:/?#]*://([^/?#]*[.-])?adult([^a-z0-9]|$)')
+    OR regexp_matches(low, '(^|[^a-z0-9])spam-farm([^a-z0-9]|$)') OR regexp_matches(low, '^[^:/?#]*://([^/?#]*[.-])?xxx([^a-z0-9]|$)')
     OR regexp_matches(low, '(^|[^a-z0-9])poker-online([^a-z0-9]|$)') OR regexp_matches(low, '(^|[^a-z0-9])viagra([^a-z0-9]|$)')
-    OR regexp_matches(low, '/wp-login\.php([?#]|$)') OR regexp_matches(low, '/cgi-bin/') THEN 'block' ELSE 'allow' END AS verdict
+    OR regexp_matches(low, '/wp-login\.php([^a-z0-9]|$)') OR regexp_matches(low, '/cgi-bin/') THEN 'block' ELSE 'allow' END AS verdict
 FROM v
 """
 
@@ -139,10 +139,16 @@ WITH d AS (
 ), hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM m, unnest(range(start, start + size)) AS t(p) GROUP BY doc_id
 ), its AS (
   SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id
+), gm AS (
+  SELECT DISTINCT item_id, k, array_to_string(ws[i + 1:i + k] || ['*'] || ws[i + k + 2:i + 10], ' ') AS g FROM b, unnest(range(0, greatest(0, len(ws) - 9))) AS t(i), range(10) AS u(k)
+), dm AS (
+  SELECT doc_id, k, array_to_string(ws[i + 1:i + k] || ['*'] || ws[i + k + 2:i + 10], ' ') AS g FROM d, unnest(range(0, greatest(0, len(ws) - 9))) AS t(i), range(10) AS u(k)
+), near AS (
+  SELECT doc_id, count(DISTINCT item) AS n FROM (SELECT doc_id, item_id::VARCHAR AS item FROM m UNION ALL SELECT doc_id, item_id::VARCHAR FROM dm JOIN gm USING (k, g)) GROUP BY doc_id
 )
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
-  sha256(coalesce(its.items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+  sha256(coalesce(its.items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated, coalesce(near.n, 0)::BIGINT AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 
