@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -284,10 +285,41 @@ def test_url_index_equals_running_every_rule():
         if fits:
             assert (rule, verdict) == max(fits)[1:]
         else:
-            assert rule is None and verdict == ("block" if any(re.search(p.regex, u.lower()) for p in url_rules.PATTERNS) else "allow")
+            assert rule is None and verdict == ("block" if any(re.search(url_rules.regex_of(p), u.lower()) for _, p in url_rules.PATTERNS) else "allow")
     assert index.judge(None) == ("", "", None, "allow") and index.judge("HTTP://A.Net/x?y")[:4] == ("a.net", "/x", "net/", "block")
 
 
+def test_literals_are_whole_tokens_of_every_match():
+    assert url_rules.literals("||ads.example^*track") == ["ads", "example"] and url_rules.literals("ads") == [] and url_rules.literals("^ads|") == ["ads"]
+    assert url_rules.literals("*pixel*") == [] and url_rules.literals("/a.php?id=*&x=") == ["a", "php", "id", "x"]
+    rng = random.Random(4)
+    part = lambda: rng.choice(["ads", "x1", "example", "^", "*", "/", ".", "-", "?"])
+    rules = [(rng.choice(["allow", "block"]), rng.choice(["", "||"]) + "".join(part() for _ in range(rng.randint(1, 6))) + rng.choice(["", "", "|"])) for _ in range(400)]
+    urls = ["https://" + "".join(rng.choice(["ads", "x1", "example", "q", "/", ".", "-", "?"]) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    uses = Counter(t for u in urls for t in set(url_rules._TOKEN.findall(u)))
+    for seen in (None, uses):
+        index = url_rules.RuleIndex((), rules, seen)
+        for u in urls:
+            hits = {v for v, p in rules if re.search(url_rules.regex_of(p), u)}
+            assert index.judge(u)[3] == ("allow" if "allow" in hits or not hits else "block"), u
+    some = [url_rules.RuleIndex((), [r]) for r in rules[:60]]
+    assert any(len(x.by_token.get("", ())) == 0 for x in some)
+
+
+def test_urls_by_join_equal_urls_by_index(spark):
+    rng = random.Random(5)
+    rules = [("block", f"^bad{i}^") for i in range(300)] + [("allow", "||good.example^"), ("block", "*track*"), ("block", "/x/*.php|")]
+    urls = [None, "", "no scheme", *("http://" + "".join(rng.choice(["bad1", "bad2.", "good.example", "/x/", "a.php", "track", "/", "net", "?"]) for _ in range(rng.randint(0, 7))) for _ in range(150))]
+    df = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)] + [(5, urls[5], "h", "r"), (None, urls[6], "h", "r")], "page_id long, url string, host string, rule string")
+    rows = lambda x: sorted(map(tuple, x.collect()), key=str)
+    uses = {r["token"]: r["n"] for r in url_rules.token_uses(df).collect()}
+    one = rows(url_rules.filter_urls(df, patterns=rules))
+    assert one == rows(url_rules.filter_urls(df, patterns=rules, indexed=10)) == rows(url_rules.filter_urls(df, patterns=rules, uses=uses)) and len(one) == len(urls) + 2
+    index = url_rules.RuleIndex(patterns=rules)
+    assert one == sorted(((r["page_id"], *index.judge(r["url"])) for r in df.collect()), key=str)
+    assert url_rules.filter_urls(df.limit(0)).count() == 0 and url_rules.filter_urls(df.limit(0), patterns=rules, indexed=1).count() == 0
+
+
 def test_rans_round_trip_and_damage():
     rng = np.random.default_rng(0)
     for n in (0, 1, 1023, 1024, 1025, 300_000):
@@ -444,7 +476,8 @@ def brute_hits(docs, items, size=10):
                     if tuple(w[i : i + len(r)]) == r:
                         hit |= set(range(i, i + len(r)))
                         its.add(str(k))
-        out.append((len(w), len(hit), sorted(its)))
+        near = {str(k) for k, x in items for v in [words(x)] for i in range(len(v) - size + 1) for j in range(len(w) - size + 1) if sum(a != b for a, b in zip(v[i : i + size], w[j : j + size])) == 1}
+        out.append((len(w), len(hit), sorted(its), len(its | near)))
     return out
 
 
@@ -456,9 +489,12 @@ def test_decontamination_equals_brute_force(spark, odd, none):
     for _ in range(40):
         x = rng.choice([t for _, t in items if t])
         texts.append(f"{item(rng.randint(0, 30))}, {x[: rng.randint(3, len(x))].upper() if rng.random() < 0.5 else x} {item(5)}")
+        if len(y := x.split()) > 9:  # one word changed, perhaps by one that no document has; cut at either end
+            y[rng.randrange(len(y))] = rng.choice(["the", f"new{rng.random()}"])
+            texts += [" ".join(y), " ".join(x.split()[1:10]), " ".join(x.split()[:9])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.decontaminate(frame(spark, texts), bench).collect()}
-    assert [(got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) for i in range(len(texts))] == brute_hits(texts, items)
+    assert [(got[i]["n_words"], got[i]["n_hit"], got[i]["items"], got[i]["n_near"]) for i in range(len(texts))] == brute_hits(texts, items)
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(odd, nothing).where("contaminated").count() == 0
     assert decontaminate.decontaminate(none, bench).count() == 0
@@ -466,6 +502,20 @@ def test_decontamination_equals_brute_force(spark, odd, none):
     assert [r["n_hit"] for r in twice] == [0, 1]  # rows that share an id are judged apart
 
 
+def test_contract_queries_equal_their_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    for name in ("documents", "benchmark", "pages"):
+        c.sql(f"create view {name} as select * from '/root/testdata/sf0.001/{name}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, "/root/testdata/sf0.001").toPandas()
+        want = c.sql(sql).df()
+        assert sorted(got.columns) == sorted(want.columns), name
+        rows = lambda df: sorted(map(tuple, df[sorted(want.columns)].astype(object).where(df[sorted(want.columns)].notna(), None).values.tolist()), key=str)
+        assert rows(got) == rows(want), name
+
+
 def test_proximity(spark):
     index = decontaminate.build_index(frame(spark, ["alpha x y beta", "alpha x x x x x x x x beta", "beta alpha"]), spark.createDataFrame([("alpha",), ("beta",)], "word string"))
     phrases = spark.createDataFrame([(1, ["alpha", "beta"])], "phrase long, words array<string>")
