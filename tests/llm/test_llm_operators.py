@@ -218,13 +218,11 @@ def kneser_ney(events, lower):
 def test_log_likelihoods_equal_their_definition(spark):
     rng = random.Random(4)
     texts = [(" ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 25))), i % 2) for i in range(40)]
-    grams, pairs = toxicity.count(spark.createDataFrame(texts, "text string, label int"))
-    model = toxicity.fit(grams, pairs, 1 << 22)
-    chars, follow = [], []
+    model = toxicity.fit(toxicity.count(spark.createDataFrame(texts, "text string, label int")))
+    chars = []
     for t, y in texts:
         w = toxicity.words_of(t)
         chars += [(g[:-1], g[-1], y) for x in w for g in toxicity._grams(x)]
-        follow += [(a, b, y) for a, b in zip(w, w[1:])]
     d = toxicity.DISCOUNT
     kinds = {h + x for h, x, _ in chars}
     left = lambda s: sum(g[1:] == s for g in kinds)
@@ -236,8 +234,6 @@ def test_log_likelihoods_equal_their_definition(spark):
         return (max(left(s) - d, 0) + d * len(after(h[1:])) * sum(g[-1] == x for g in kinds) / len(kinds)) / total
 
     p = kneser_ney(chars, lower)
-    both = {(a, b) for a, b, _ in follow}
-    q = kneser_ney(follow, lambda h, x: sum(b == x for _, b in both) / len(both))
     memory = toxicity.Memory(model)
     for t, _ in texts[:12]:
         w = toxicity.words_of(t)
@@ -245,25 +241,6 @@ def test_log_likelihoods_equal_their_definition(spark):
         each = {x: sum(np.log(p(g[:-1], g[-1], 1) / p(g[:-1], g[-1], 0)) for g in toxicity._grams(x)) for x in w}
         if w:
             assert got[0] == pytest.approx(np.mean([each[x] for x in w]), abs=1e-4) and got[1] == pytest.approx(max(each.values()), abs=1e-4)
-        if len(w) > 1:
-            own = [np.log(q(a, b, 1) / q(a, b, 0)) for a, b in zip(w, w[1:])]
-            assert got[3] == pytest.approx(np.mean(own), abs=1e-4) and got[4] == pytest.approx(max(own), abs=1e-4)
-
-
-def test_toxic_expressions_of_several_words(spark):
-    rng = random.Random(8)
-    toxic = [i % 3 == 0 for i in range(400)]
-    plain = lambda: [rng.choice(["cold", "fish", "stone", "river", "green", "tree"]) for _ in range(30)]
-
-    def text(x):  # the same words everywhere; only their order tells
-        w = plain()
-        w[10:12] = ["cold", "fish"] if x else ["fish", "cold"]
-        return " ".join(w[:10] + w[10:12] * 3 + ["river"] + w[13:]) if x else " ".join(y for y in w if y != "fish")
-
-    docs = frame(spark, [text(x) for x in toxic])
-    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels_of(spark, [(i, int(x)) for i, x in enumerate(toxic)], "toxic")).collect()}
-    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
-    assert np.mean([got[i]["predicted"] == toxic[i] for i in held]) > 0.95
 
 
 def test_toxicity_of_odd_frames(spark, odd, none):
