@@ -46,7 +46,7 @@ def test_state_and_graph(files):
     assert {(r["type"], r["key"], r["confidence"]) for r in s.iocs.collect()} == {("file", "tool.exe", "Medium"), ("ip", "203.0.113.9", "Low")}
     assert s.iocs.where("key = 'tool.exe'").first()["first_seen"] == "2026-01-02 03:04:05"
     assert s.contradictions.count() == 2
-    nodes, edges = P.graph(files[0])
+    nodes, edges = P.graph(P.entities(files[0]), P.events(files[0]))
     assert {(r["source"], r["target"]) for r in edges.where("type = 'spawned'").collect()} == {("process:cmd.exe", "file:tool.exe")}
     assert nodes.where("type = 'source'").count() == 3
 
@@ -56,12 +56,12 @@ def test_claims_answers_and_replay(spark, files):
     from vespera.plans import replay
 
     s = P.compile_state(files[0])
-    claims = P.claims(files[0], s.contradictions)
+    claims = P.claims(P.iocs(files[0]), s.contradictions)
     got = {r["title"]: r for r in claims.collect()}
     assert len(got) == 3 and sorted(r["claim_id"] for r in got.values()) == ["claim_0001", "claim_0002", "claim_0003"]
     assert got["Autostart persistence of an unfamiliar program"]["supporting"] == ["step_2/run_keys.reg"]
     assert P.claim_edges(claims).where("type = 'supports'").count() == 3
-    state = A.reduced(claims, s.iocs, s.contradictions, s.events, files[0])
+    state = A.Tables(claims, s.iocs, s.contradictions, s.events, s.entities, files[0])
     asked = spark.createDataFrame([(1, "Is this confirmed malware?"), (2, "any beacon?"), (3, "does it persist"), (4, "is it signed?")], "qid long, question string")
     out = {r["qid"]: r for r in A.answers(asked, state).collect()}
     assert out[1]["answer"].startswith("Answer:\nNo. Malware is not confirmed") and not out[1]["insufficient"]
@@ -78,8 +78,8 @@ def test_review_queue(spark):
     old = spark.createDataFrame([("a", "fine"), ("b", "confirmed malware")], "page string, body string")
     new = spark.createDataFrame([("a", "Confirmed malware!"), ("b", "confirmed malware"), ("c", "data was stolen")], "page string, body string")
     q = review.queue(old, new, spark.createDataFrame([(4,)], "num long"))
-    assert [(r["review_id"], r["page"], r["prior"]) for r in q.orderBy("page").collect()] == [("rev_0005", "a", "fine"), ("rev_0006", "c", None)]
+    assert [(r["review_id"], r["page"], r["prior"]) for r in q.orderBy("page").collect()] == [("rev_0001", "a", "fine"), ("rev_0002", "c", None)]  # the least free numbers
     assert {r["page"]: r["body"] for r in review.held_back(new, q).collect()} == {"a": "fine", "b": "confirmed malware"}
-    d = review.decide(q, spark.createDataFrame([("rev_0005", "approved")], "review_id string, verdict string"))
-    again = review.decide(d, spark.createDataFrame([("rev_0005", "rejected"), ("rev_0006", "rejected")], "review_id string, verdict string"))
-    assert {r["review_id"]: r["status"] for r in again.collect()} == {"rev_0005": "approved", "rev_0006": "rejected"}
+    d = review.decide(q, spark.createDataFrame([("rev_0001", "approved")], "review_id string, verdict string"))
+    again = review.decide(d, spark.createDataFrame([("rev_0001", "rejected"), ("rev_0002", "rejected")], "review_id string, verdict string"))
+    assert {r["review_id"]: r["status"] for r in again.collect()} == {"rev_0001": "approved", "rev_0002": "rejected"}

@@ -44,18 +44,47 @@ def test_related_and_longest_match(spark):
     assert [(r["qid"], r["label"]) for r in graph.longest_match(q, labels).collect()] == [(1, "New York")]
 
 
-def test_labels_of_many_words_match_whole(spark):
+def test_labels_match_by_containment_however_long(spark):
     path = "C:\\Users\\j.doe\\AppData\\Local\\Temp\\Quarterly Report\\viewer.exe"
     q = spark.createDataFrame([(1, f"which file mentions {path}?"), (2, f"which file mentions {path}2?"), (3, "C:\\Users\\j.doe\\AppData\\Local\\Temp\\Quarterly")], "qid int, question string")
     labels = spark.createDataFrame([("viewer.exe", 1), (path, 2), ("AppData", 3)], "label string, seq int")
-    assert {r["qid"]: r["label"] for r in graph.longest_match(q, labels).collect()} == {1: path, 2: "AppData", 3: "AppData"}
-    assert {(r["qid"], r["label"]) for r in graph.matches(q, labels).collect()} == {(1, path), (1, "viewer.exe"), (1, "AppData"), (2, "AppData"), (3, "AppData")}
+    assert {r["qid"]: r["label"] for r in graph.longest_match(q, labels).collect()} == {1: path, 2: path, 3: "AppData"}
+    assert {(r["qid"], r["label"]) for r in graph.matches(q, labels).collect()} == {(i, x) for i in (1, 2) for x in (path, "viewer.exe", "AppData")} | {(3, "AppData")}
+    parts = spark.createDataFrame([("tool", 2), ("rest", 1), ("", 0), ("x", 3), ("TOOL", 1)], "label string, seq int")
+    asked = spark.createDataFrame([(1, "restTOOLx"), (2, ""), (3, "x"), (4, None)], "qid int, question string")
+    assert {(r["qid"], r["label"]) for r in graph.matches(asked, parts).collect()} == {(1, "tool"), (1, "rest"), (1, "x"), (1, "TOOL"), (3, "x")}
+    assert {r["qid"]: r["label"] for r in graph.longest_match(asked, parts).collect()} == {1: "TOOL", 3: "x"}  # the first of equals, by seq and label
+
+
+def test_matches_in_segments_and_blocks_of_labels(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choice("abcAB .") for _ in range(rng.randint(0, 300)))) for i in range(40)]
+    labels = [("".join(rng.choice("abc .") for _ in range(rng.randint(0, 6))),) for _ in range(60)] + [(texts[3][1][5:90],)]
+    q, x = spark.createDataFrame(texts, "qid int, question string"), spark.createDataFrame(labels, "label string").distinct()
+    want = {(i, v) for i, t in texts for (v,) in labels if v and v.lower() in t.lower()}
+    assert {tuple(r) for r in graph.matches(q, x).collect()} == want
+    monkeypatch.setattr(graph, "SEGMENT", 16)
+    monkeypatch.setattr(graph, "LABELS", 9)
+    got = [tuple(r) for r in graph.matches(q, x).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert graph.matches(q, x.limit(0)).count() == 0 and graph.matches(q.limit(0), x).count() == 0
+
+
+def test_large_sources_are_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    m = spark.createDataFrame([(f"n{i}", "hot") for i in range(40)] + [(f"n{i}", "b") for i in range(5)], "node string, source string")
+    got = {(r["a"], r["b"]): (r["evidence"], r["n_shared"]) for r in graph.related(m).collect()}
+    names = sorted(f"n{i}" for i in range(40))
+    few = {f"n{i}" for i in range(5)}
+    assert got == {(a, b): ("b", 2) if {a, b} <= few else ("hot", 1) for k, a in enumerate(names) for b in names[k + 1 :]}
 
 
 def test_hybrid_block_names_every_node(spark):
     from vespera.plans import methods
 
-    nodes = spark.createDataFrame([("f:a", "file", "a.exe"), ("i:1", "ip", "203.0.113.9"), *[(f"s{i}", "source", f"log{i}.txt") for i in range(7)]], "id string, type string, label string")
+    nodes = spark.createDataFrame([("f:a", "file", "a.exe", "1"), ("i:1", "ip", "203.0.113.9", "2"), *[(f"s{i}", "source", f"log{i}.txt", "3") for i in range(7)]], "id string, type string, label string, seq string")
     edges = spark.createDataFrame([*[("f:a", f"s{i}", "mentioned_in", f"log{i}.txt") for i in range(7)], ("f:a", "i:1", "connected_to", "net.csv")], "source string, target string, type string, evidence string")
     q = spark.createDataFrame([(1, "did a.exe reach it?\nAnswer: 203.0.113.9 was reached"), (2, "nothing")], "qid int, question string")
     got = {r["qid"]: r["block"] for r in methods.surroundings(nodes, edges, q).collect()}

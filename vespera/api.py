@@ -2,121 +2,168 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vespera.functions import text as X
-from vespera.operators import evaluate, graph, lint, merge, retrieval, review
-from vespera.plans import answers, evidence, methods, pages, replay, report
+from vespera.operators import diff, evaluate, graph, history, lint, merge, retrieval, review
+from vespera.operators import trace as T
+from vespera.plans import answers, evidence, index, methods, pages, replay, report
+from vespera.sources import storage
 from vespera.sources.evidence import scan, with_rows
 
-MANIFEST = "path string, sha string, status string"
+# Schemas of tables that may not be there yet.
+SCHEMAS = {
+    "manifest": "path string, sha string, status string, kind string, at string",
+    "pages": "page string, body string, at string",
+    "report": "page string, body string, at string",
+    "reviews": "review_id string, page string, status string, phrases array<string>, proposed string, prior string",
+    "history": "title string, claim_id string, step string, confidence string, assessment string, supporting_count int, contradicting_count int",
+    "claims": "claim_id string, title string, confidence string, inference string, facts array<string>, supporting array<string>, contradicting array<string>",
+    "contradictions": "title string, seq string, rule string, claim_a string, claim_b string, path string",
+    "events": "ts string, description string, path string, seq string, relation string, actor_type string, actor string, target_type string, targets array<string>",
+    "entities": "type string, key string, value string, sources array<string>, n_sources long, seq string",
+    "iocs": "type string, key string, artifact string, first_seen string, source string, confidence string, reason string, seq string",
+    "nodes": "id string, type string, label string, seq string",
+    "edges": "source string, target string, type string, evidence string",
+    "event_index": "event_id string, key string, ts string, event_type string, description string, source_path string, evidence_text string, confidence string",
+    "entity_index": "entity_id string, key string, entity_type string, value string, source_paths array<string>, related_pages array<string>",
+    "claim_index": "claim_id string, claim_type string, claim_text string, confidence string, supporting_evidence array<struct<source_path:string,evidence_text:string>>, contradicting_evidence array<struct<source_path:string,evidence_text:string>>, linked_pages array<string>",
+    "changes": "path string, state string",
+    "snapshots": "name string, page string, body string",
+}
 PAGES = "page string, body string"
-REVIEWS = "review_id string, page string, status string, phrases array<string>, proposed string, prior string"
-
-
-def folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the visible folders below path, sorted; none if it is not there. Any file system that Spark reads."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(conf)
-    return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory() and not x.getPath().getName().startswith(".")) if fs.exists(at) else []
+KEY_QUESTION = "What is the overall assessment?"
 
 
 def cases(spark: SparkSession, roots: str, states: str) -> list[dict]:
     """case, has_evidence, has_state of every case below the two folders."""
-    raw, made = set(folders(spark, roots)), set(folders(spark, states))
+    raw, made = set(storage.names(spark, roots)), set(storage.names(spark, states))
     return [{"case": c, "has_evidence": c in raw, "has_state": c in made} for c in sorted(raw | made)]
 
 
 class Case:
-    def __init__(self, spark: SparkSession, root: str, state: str):
+    def __init__(self, spark: SparkSession, root: str, state: str, extract: Callable[[DataFrame], dict[str, DataFrame]] = evidence.extract, traced: bool = True):
+        """extract: what turns parsed files into the tables of facts (evidence.RAW); another one may ask a model."""
         self.spark, self.root, self.at = spark, root, state.rstrip("/")
+        self.extract, self.traced = extract, traced
+        self.versions = storage.Versions(spark, self.at)
 
     def files(self, step: str | None = None) -> DataFrame:
         return scan(self.spark, self.root, step)
 
-    def read(self, name: str, schema: str | None = None) -> DataFrame:
-        """A table of the state; one that was never written is empty if its schema is given."""
-        try:
-            return self.spark.read.parquet(f"{self.at}/{name}")
-        except AnalysisException:
-            if schema is None:
-                raise
-            return self.spark.createDataFrame([], schema)
+    def read(self, name: str) -> DataFrame:
+        """A table of the last version; one that was never written is empty if its schema is known, else KeyError."""
+        at = self.versions.tables().get(name)
+        if at is None:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.parquet(*at)
 
-    def changes(self, step: str | None = None) -> DataFrame:
-        return merge.changed_sources(self.files(step).select("path", "sha"), self.read("manifest", MANIFEST)).where("state != 'unchanged'")
+    def write(self, **tables: DataFrame) -> None:
+        """Write tables and make them the next version, at once."""
+        self.versions.commit({name: self.versions.stage(name, df) for name, df in tables.items()})
 
-    def replace(self, name: str, df: DataFrame) -> None:
-        """Overwrite a table that df may read: the new rows are written beside it first."""
-        df.write.mode("overwrite").parquet(f"{self.at}/{name}_next")
-        self.read(f"{name}_next").write.mode("overwrite").parquet(f"{self.at}/{name}")
+    def trace(self, command: str) -> T.Trace:
+        return T.Trace(self.spark, f"{self.at}/logs/traces", command, self.traced)
 
-    def record(self, log: str, at: datetime | None = None, **fields: str) -> None:
-        """Append one line to a JSON log of the case, with the time at or now."""
-        row = self.spark.range(1).select((F.lit(at) if at else F.current_timestamp()).alias("at"), *[F.lit(v).alias(k) for k, v in fields.items()])
-        row.write.mode("append").json(f"{self.at}/logs/{log}")
+    def record(self, log: str, **fields: str) -> None:
+        """Append one line to a JSON log of the case, with the time."""
+        self.spark.range(1).select(F.current_timestamp().alias("at"), *[F.lit(v).alias(k) for k, v in fields.items()]).write.mode("append").json(f"{self.at}/logs/{log}")
 
     def log(self, name: str, schema: str) -> DataFrame:
         """A log's rows by time; a log that was never written is empty."""
-        try:
-            return self.spark.read.schema("at timestamp, " + schema).json(f"{self.at}/logs/{name}").orderBy("at")
-        except AnalysisException:
+        if not storage.exists(self.spark, f"{self.at}/logs/{name}"):
             return self.spark.createDataFrame([], "at timestamp, " + schema)
+        return self.spark.read.schema("at timestamp, " + schema).json(f"{self.at}/logs/{name}").orderBy("at")
+
+    def traces(self) -> DataFrame:
+        if not storage.exists(self.spark, f"{self.at}/logs/traces"):
+            return self.spark.createDataFrame([], T.SCHEMA)
+        return self.spark.read.schema(T.SCHEMA).json(f"{self.at}/logs/traces").orderBy("started", "trace_id")
 
     def pages(self) -> DataFrame:
         """page, body of all pages; the report is a stub until one is made."""
-        made = self.read("report", PAGES)
+        made = self.read("report").select("page", "body")
         stub = self.spark.createDataFrame([(report.PAGE, report.STUB)], PAGES).join(made, "page", "left_anti")
-        return self.read("pages", PAGES).select("page", "body").unionByName(made).unionByName(stub)
+        return self.read("pages").select("page", "body").unionByName(made).unionByName(stub)
 
-    def ingest(self, step: str | None = None, dry_run: bool = False, hold: bool = False, force: bool = False) -> list:
-        """Compile the state from all files seen so far and this scan's; tells what changed. Merges are idempotent.
+    def changes(self, step: str | None = None, force: bool = False, files: DataFrame | None = None) -> DataFrame:
+        """path, state of the files that an ingest would read: new, changed, failed and, with force, all."""
+        every = merge.changed_sources((self.files(step) if files is None else files).select("path", "sha"), self.read("manifest"))
+        return every if force else every.where("state != 'unchanged'")
 
-        hold queues pages that newly hold a risky phrase; they keep their former body until someone approves. force
-        compiles again though nothing changed.
+    def ingest(self, step: str | None = None, dry_run: bool = False, hold: bool = False, force: bool = False) -> DataFrame:
+        """path, state of the files that were new or changed; their facts are added to those on record and merged.
+
+        Only these files are read and parsed. Facts of files that are gone, and of earlier versions of a file, stay. hold
+        queues pages that newly hold a risky phrase; they keep their former body until someone approves. force reads files
+        again though they did not change. dry_run writes nothing and gives page, diff: how pages would change.
         """
         began = datetime.now(timezone.utc)
-        changed = [(r["path"], r["state"]) for r in self.changes(step).collect()]
-        if (changed or force) and not dry_run:
-            paths = self.read("manifest", MANIFEST).select("path").unionByName(self.changes(step).select("path")).distinct()
-            with_rows(self.files().join(paths, "path", "left_semi")).write.mode("overwrite").parquet(f"{self.at}/sources")
-            files = self.read("sources")  # each file is read and parsed once
-            evidence.entities(files).write.mode("overwrite").parquet(f"{self.at}/mentions")
-            mentions = self.read("mentions")
-            state = evidence.compile_state(files, mentions)
-            facts = {"events": state.events, "entities": state.entities, "iocs": state.iocs, "contradictions": state.contradictions}
-            for name, df in facts.items():
-                df.write.mode("overwrite").parquet(f"{self.at}/{name}")
-            state = evidence.State(**{name: self.read(name) for name in facts})  # later steps read what is written
-            prior = self.read("claims", "title string, claim_id string").select(F.lower("title").alias("key"), F.substring("claim_id", 7, 20).cast("long").alias("num"))
-            self.replace("claims", evidence.claims(files, state.contradictions, prior))
-            claims = self.read("claims")
-            nodes, edges = evidence.graph(files, mentions, state.events)
-            edges = edges.unionByName(evidence.claim_edges(claims))
-            nodes = nodes.unionByName(claims.select(F.col("claim_id").alias("id"), F.lit("hypothesis").alias("type"), F.substring("title", 1, 80).alias("label")))
-            for name, df in {"nodes": nodes, "edges": edges, "manifest_next": files.select("path", "sha", F.lit("processed").alias("status"))}.items():
-                df.write.mode("overwrite").parquet(f"{self.at}/{name}")
-            self.publish(pages.render(state, claims, evidence.open_questions(files, claims)), "pages", hold)
-            self.read("manifest_next").write.mode("overwrite").parquet(f"{self.at}/manifest")  # last: until then a rerun repeats all
-            self.record("ingest", began, step=step or "", n_changed=str(len(changed)))
-        return sorted(changed)
-
-    def publish(self, new: DataFrame, name: str, hold: bool) -> None:
-        """Write pages; with hold, those that newly hold a risky phrase wait in the queue."""
+        with self.trace("ingest") as t:
+            with t.step("scan"):
+                files = self.files(step)
+                todo = with_rows(files.join(self.changes(step, force, files), "path")).persist()
+                todo_paths = todo.select("path", "state")
+                n = todo.count()
+            if not n:
+                return todo_paths
+            with t.step("extract"):
+                found = self.extract(todo)
+                # what comes later is later in order, so the facts on record go first in every merge
+                batch = f"{len(self.versions.numbers()):06d}\x03"
+                found = {k: df.withColumn("seq", F.concat(F.lit(batch), "seq")) for k, df in found.items()}
+                tables, staged = self.versions.tables(), {}
+                if dry_run:
+                    raw = {k: self.spark.read.parquet(*tables[k]).unionByName(df) if k in tables else df for k, df in found.items()}
+                else:
+                    staged = {k: self.versions.stage(k, df, append=True) for k, df in found.items()}
+                    raw = {k: self.spark.read.parquet(*staged[k]) for k in found}
+            with t.step("merge"):
+                state = evidence.merged(raw)
+                manifest = self.read("manifest").join(todo_paths, "path", "left_anti").unionByName(todo.select("path", "sha", F.lit("processed").alias("status"), "kind", F.lit(f"{began:%Y-%m-%dT%H:%M:%SZ}").alias("at")))
+                prior = self.read("claims").select(F.lower("title").alias("key"), F.substring("claim_id", 7, 20).cast("long").alias("num"))
+                claimed = evidence.claims(raw["raw_iocs"], state.contradictions, prior)
+                if dry_run:
+                    return diff.unified(self.read("pages"), pages.render(state, claimed, evidence.open_questions(manifest, claimed)))
+                facts = {"events": state.events, "entities": state.entities, "iocs": state.iocs, "contradictions": state.contradictions, "claims": claimed, "manifest": manifest, "changes": todo_paths}
+                staged |= {name: self.versions.stage(name, df) for name, df in facts.items()}
+                read = lambda name: self.spark.read.parquet(*staged[name])  # noqa: E731  later steps read what is written
+                state, claimed = evidence.State(read("events"), read("entities"), read("iocs"), read("contradictions")), read("claims")
+            with t.step("index"):
+                nodes, edges = evidence.graph(raw["mentions"], state.events)
+                nodes = nodes.unionByName(claimed.select(F.col("claim_id").alias("id"), F.lit("hypothesis").alias("type"), F.substring("title", 1, 80).alias("label"), F.lit("\x7f").alias("seq")))
+                made = {
+                    "nodes": nodes, "edges": edges.unionByName(evidence.claim_edges(claimed)), "claim_index": index.claims(claimed, state.contradictions),
+                    "event_index": index.events(state.events, index.numbers(self.read("event_index"), "event_id")), "entity_index": index.entities(state.entities, state.iocs, claimed, index.numbers(self.read("entity_index"), "entity_id")),
+                }
+                staged |= {name: self.versions.stage(name, df) for name, df in made.items()}
+            with t.step("pages"):
+                body = pages.render(state, claimed, evidence.open_questions(read("manifest"), claimed))
+                staged |= self._published(body, "pages", hold)
+            with t.step("commit"):
+                self.versions.commit(staged)
+            todo.unpersist()
+        self.record("ingest", step=step or "", n_changed=str(n))
+        return self.read("changes")
+
+    def _published(self, new: DataFrame, name: str, hold: bool) -> dict[str, list[str]]:
+        """Stage pages; with hold, those that newly hold a risky phrase wait in the queue, unless this body was decided on before."""
+        staged = {}
         if hold:
-            old, waiting = self.read(name, PAGES), self.read("reviews", REVIEWS)
+            old, waiting = self.read(name), self.read("reviews")
             taken = waiting.select(F.substring("review_id", 5, 20).cast("long").alias("num"))
-            self.replace("reviews", waiting.unionByName(review.queue(old, new, taken).join(waiting.where("status = 'pending'").select("page", "proposed"), ["page", "proposed"], "left_anti").select(*waiting.columns)))
-            new = review.held_back(new, self.read("reviews").where("status = 'pending'").dropDuplicates(["page"]))
-        self.replace(name, new)
+            asked = review.queue(old, new, taken).join(waiting.select("page", "proposed"), ["page", "proposed"], "left_anti")
+            staged["reviews"] = self.versions.stage("reviews", waiting.unionByName(asked.select(*waiting.columns)))
+            new = review.held_back(new, self.spark.read.parquet(*staged["reviews"]))
+        now = F.lit(f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}")
+        return staged | {name: self.versions.stage(name, new.select("page", "body", now.alias("at")))}
 
     def reviews(self, status: str | None = None) -> DataFrame:
-        r = self.read("reviews", REVIEWS)
+        r = self.read("reviews")
         return (r.where(F.col("status") == status) if status else r).orderBy("review_id")
 
     def decide(self, review_id: str, verdict: str) -> bool:
@@ -125,59 +172,86 @@ class Case:
         if verdict not in ("approved", "rejected") or not one.limit(1).count():
             return False
         name = "report" if one.first()["page"] == report.PAGE else "pages"
+        tables = {"reviews": review.decide(self.read("reviews"), self.spark.createDataFrame([(review_id, verdict)], "review_id string, verdict string"))}
         if verdict == "approved":
-            self.replace(name, self.read(name, PAGES).join(one.select("page"), "page", "left_anti").unionByName(one.select("page", F.col("proposed").alias("body"))))
-        self.replace("reviews", review.decide(self.read("reviews"), self.spark.createDataFrame([(review_id, verdict)], "review_id string, verdict string")))
+            taken = one.select("page", F.col("proposed").alias("body"), F.lit(f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}").alias("at"))
+            tables[name] = self.read(name).join(one.select("page"), "page", "left_anti").unionByName(taken)
+        self.write(**tables)
         self.record("review", review_id=review_id, verdict=verdict)
         return True
 
     def report(self, hold: bool = False) -> DataFrame:
         """Make the report page from the state."""
-        claims = self.read("claims")
-        steps = evidence.follow_up(claims).where("kind = 'step'")
-        made = report.render(self.read("events"), self.read("entities"), self.read("iocs"), claims, self.read("contradictions"), steps, self.read("manifest", MANIFEST))
-        self.publish(made, "report", hold)
-        return self.read("report", PAGES)
+        with self.trace("report") as t, t.step("render"):
+            claims = self.read("claims")
+            steps = evidence.follow_up(claims).where("kind = 'step'")
+            made = report.render(self.read("events"), self.read("entities"), self.read("iocs"), claims, self.read("contradictions"), steps, self.read("manifest"))
+            self.versions.commit(self._published(made, "report", hold))
+        return self.read("report")
 
-    def state(self) -> DataFrame:
-        return answers.reduced(self.read("claims"), self.read("iocs"), self.read("contradictions"), self.read("events"), self.files())
+    def tables(self) -> answers.Tables:
+        return answers.Tables(self.read("claims"), self.read("iocs"), self.read("contradictions"), self.read("events"), self.read("entities"), self.read("manifest"))
 
     def methods(self, questions: DataFrame) -> DataFrame:
         """qid, method, ..., answer: five methods over questions (qid, question)."""
-        return methods.every(self.files(), self.read("nodes"), self.read("edges"), self.state(), self.read("entities"), questions)
+        return methods.every(self.files(), self.read("nodes"), self.read("edges"), self.tables(), questions)
 
-    def scorecard(self, path: str, only: list[str] | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
-        """A row a method over a file of questions; aliases tell which method a label of expected_best_method means."""
+    def answered(self, path: str) -> tuple[DataFrame, DataFrame]:
+        """(items, answers of all methods) of a file of questions."""
         items = methods.load_questions(self.spark, path)
+        return items, self.methods(items.select(F.col("id").alias("qid"), "question")).withColumnRenamed("qid", "id")
+
+    def scorecard(self, path: str, only: list[str] | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+        """A row a method over a file of questions; aliases tell which method a label of expected_best_method means.
+
+        The card is kept below the case's folder, as JSON and as Markdown.
+        """
+        items, said = self.answered(path)
         if aliases:
             items = items.replace(aliases, subset=["expected_best_method"])
-        said = self.methods(items.select(F.col("id").alias("qid"), "question")).withColumnRenamed("qid", "id")
-        return evaluate.scorecard(said.where(F.col("method").isin(*only)) if only else said, items).orderBy("method")
+        said = said.where(F.col("method").isin(*only)) if only else said
+        card = evaluate.scorecard(said, items).orderBy("method")
+        rows = [r.asDict() for r in card.collect()]  # a row a method
+        name = f"{self.at}/scorecards/{path.rstrip('/').rpartition('/')[2].rpartition('.')[0]}" + ("-" + "-".join(only) if only else "")
+        storage.write_text(self.spark, name + ".json", json.dumps(rows, indent=1))
+        storage.write_text(self.spark, name + ".md", evaluate.card_text(rows))
+        return self.spark.createDataFrame(rows, card.schema)
 
     def evaluate(self, path: str) -> DataFrame:
         """id, passed, failures of the compiled state's answers to a file of questions."""
         items = methods.load_questions(self.spark, path)
-        said = self.methods(items.select(F.col("id").alias("qid"), "question")).withColumnRenamed("qid", "id").where("method = 'state'")
+        said = answers.answers(items.select(F.col("id").alias("qid"), "question"), self.tables(), self.files().select("path", "text"))
+        said = said.withColumnRenamed("qid", "id").withColumn("method", F.lit("state"))
         bad = evaluate.checks(said, items).where("not passed").groupBy("id").agg(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "term"))).alias("failures"))
         return items.select("id", "question").join(bad, "id", "left").select("id", "question", F.col("failures").isNull().alias("passed"), "failures").orderBy("id")
 
+    def questions_file(self, folder: str) -> str | None:
+        """The questions of this case below a folder: the file for all methods if there is one, else the plain one."""
+        case = self.root.rstrip("/").rpartition("/")[2]
+        there = [f"{folder.rstrip('/')}/{case}{end}" for end in ("_methods_eval.json", "_eval.json")]
+        return next((f for f in there if storage.exists(self.spark, f)), None)
+
     def export_pages(self, target: str) -> list[str]:
-        """Write every required page and the graph as Markdown files below target, which a notes program opens; a page a file."""
-        all_pages = self.pages().where(F.col("page").isin(*pages.NAMES)).unionByName(self.export_graph().agg(F.array_join(F.collect_list("line"), "\n").alias("b")).select(F.lit("graph").alias("page"), F.concat(F.lit("```mermaid\ngraph LR\n"), "b", F.lit("\n```")).alias("body")))
-        jvm, names = self.spark._jvm, []
-        for r in all_pages.toLocalIterator():  # one row a page, nine at most
-            at = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/{r['page']}.md")
-            out = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(at, True)
-            out.write(bytearray((r["body"] + "\n").encode()))
-            out.close()
+        """Write every required page, the graph and a note on how to read them as Markdown files below target."""
+        target, names = target.rstrip("/"), []
+        for r in self.pages().where(F.col("page").isin(*pages.NAMES)).toLocalIterator():  # one row a page, eight at most
+            storage.write_text(self.spark, f"{target}/{r['page']}.md", r["body"] + "\n")
             names.append(f"{r['page']}.md")
-        return sorted(names)
-
-    def query(self, question: str) -> dict:
-        """The routed answer; the best lexical snippet where the state is insufficient."""
+        lines = [r["line"] for r in self.export_graph().orderBy("n").collect()]  # the edges of a diagram at most
+        told = graph.summary(self.read("nodes"), self.read("edges")).orderBy(F.desc("section"), "line").collect()  # a row a type
+        storage.write_text(self.spark, f"{target}/graph.md", "\n".join(["# graph", "", *(r["line"] for r in told), "", "```mermaid", "graph LR", *lines, "```", ""]))
+        storage.write_text(self.spark, f"{target}/README.md", "# Pages of a case\n\nStart at [[index]]. Pages link to one another by name; each line cites its source.\nThey are written anew at each export, so notes belong into files of their own.\n")
+        return sorted([*names, "graph.md", "README.md"])
+
+    def answer(self, question: str) -> dict:
+        """The routed answer with all its parts; the best lexical snippet where the state is insufficient."""
         q = self.spark.createDataFrame([(1, question)], "qid long, question string")
+        files = self.files().select("path", "text")
         best = self.rag(question, 1).select(F.lit(1).cast("long").alias("qid"), F.concat("snippet", F.lit(" (Source: "), "path", F.lit(")")).alias("snippet"))
-        return answers.with_fallback(answers.answers(q, self.state(), answers.named(q, self.read("entities"))), best).first().asDict()
+        return answers.with_fallback(answers.answers(q, self.tables(), files), best).first().asDict()
+
+    def query(self, question: str) -> dict:
+        return self.answer(question)
 
     def rag(self, question: str, k: int = 5) -> DataFrame:
         files = self.files()
@@ -185,71 +259,91 @@ class Case:
         return top.join(retrieval.snippet(files, question, "path"), "doc_id").select(F.col("doc_id").alias("path"), "score", "snippet").orderBy(F.desc("score"), "path")
 
     def vector(self, question: str, k: int = 5) -> DataFrame:
-        chunks = retrieval.chunks(self.files(), id_col="path").select(F.struct("doc_id", "chunk_no").alias("doc_id"), F.col("chunk").alias("text"))
         asked = self.spark.createDataFrame([(question,)], "text string").select(F.lit(0).alias("doc_id"), "text")
-        return retrieval.hash_cosine(chunks, asked, k).select("doc_id.*", "cosine")
+        return retrieval.hash_cosine(retrieval.distinct_chunks(self.files(), "path"), asked, k).select("doc_id.*", "cosine")
 
     def graph_query(self, question: str) -> DataFrame:
-        """Neighbours of the node with the longest label that the question names."""
-        nodes, q = self.read("nodes"), F.lower(F.lit(question))
-        hit = nodes.where((F.length("label") > 2) & F.contains(q, F.lower("label"))).orderBy(F.desc(F.length("label")), "id").limit(1).select(F.col("id").alias("node"))
-        both = graph.both_ways(self.read("edges").select(F.col("source").alias("a"), F.col("target").alias("b")))
-        return both.join(F.broadcast(hit), F.col("a") == F.col("node")).select("node", F.col("b").alias("neighbour")).distinct().orderBy("neighbour")
+        """node, neighbour, type: the neighbours of the node with the longest label that the question names."""
+        q = self.spark.createDataFrame([(1, question)], "qid long, question string")
+        hit = graph.longest_match(q, self.read("nodes").select("id", "label", F.struct("seq", "id").alias("seq"))).select(F.col("id").alias("node"))
+        e = self.read("edges")
+        both = e.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), "type").unionByName(e.select(F.col("target").alias("node"), F.col("source").alias("neighbour"), "type"))
+        return both.join(F.broadcast(hit), "node").distinct().orderBy("neighbour", "type")  # one node
 
     def lint(self) -> DataFrame:
         """rule, severity, page, detail of all findings."""
-        body, claims, conflicts, entities = self.pages(), self.read("claims"), self.read("contradictions"), self.read("entities")
-        find, strong = lint.finding, merge.rank(F.col("confidence")) >= 3
-        wanted = self.spark.createDataFrame([(n,) for n in pages.NAMES], "page string")
-        written = self.read("pages", PAGES).select("page")
-        guard = claims.agg(F.count_if(strong & (F.size("supporting") >= 2)).alias("backed"), F.count_if(strong).alias("strong"), F.count_if(strong & F.lower(F.concat_ws(" ", "title", "inference")).contains("exfil")).alias("exfil"))
-        unless = lambda df, count: df.crossJoin(F.broadcast(guard)).where(F.col(count) == 0)  # noqa: E731  one row
-        final = body.where(F.col("page") == report.PAGE)
-        facts = claims.select("title", F.explode(F.split("facts", r"\|")).alias("fact"))
-        parts = [
-            find(wanted.join(written.unionByName(self.spark.createDataFrame([(report.PAGE,)], "page string")), "page", "left_anti"), "H1", "High", F.col("page")),
-            find(unless(lint.asserted_lines(body, lint.CONFIRMATION_PHRASES), "backed"), "C1", "Critical", F.col("page"), F.col("phrase")),
-            find(unless(lint.risky_lines(final, lint.CONFIRMATION_PHRASES, ()).select("page", "phrase").distinct(), "strong"), "C2", "Critical", F.col("page"), F.col("phrase")),
-            find(lint.broken_citations(body, self.files()), "C3", "Critical", F.col("page"), F.col("path")),
-            find(unless(lint.asserted_lines(body, lint.EXFILTRATION_PHRASES), "exfil"), "C4", "Critical", F.col("page"), F.col("phrase")),
-            find(self.files().select("path").join(self.read("manifest", MANIFEST).select("path"), "path", "left_anti"), "H2", "High", F.col("path")),
-            find(claims.where(strong & (F.size("supporting") < 2)), "H3", "High", F.lit("hypotheses"), F.col("title")),
-            find(lint.unknown_ids(final, claims.select(F.col("claim_id").alias("id"))), "H4", "High", F.col("page"), F.col("id")),
-            find(lint.unrelated(claims.where(F.size("contradicting") == 0), conflicts), "M1", "Medium", F.lit("hypotheses"), F.col("title")),
-            find(claims.where((F.col("inference") != "") & (F.col("facts") == "")), "M2", "Medium", F.lit("hypotheses"), F.col("title")),
-            find(claims.where(F.size("supporting") == 0), "M2", "Medium", F.lit("hypotheses"), F.col("title")),
-            find(lint.uncited_facts(facts), "M3", "Medium", F.lit("hypotheses"), F.col("title")),
-            find(self.stale_pages(), "M4", "Medium", F.col("page")),
-            find(lint.broken_links(body), "M5", "Medium", F.col("page"), F.col("target")),
-            find(lint.unmentioned(conflicts, body.where("page = 'contradictions'"), "title"), "M6", "Medium", F.lit("contradictions"), F.col("title")),
-            find(lint.incompatible_types(entities), "L1", "Low", F.lit("entities"), F.col("key")),
-            find(lint.orphans(body), "L2", "Low", F.col("page")),
-            find(lint.unmentioned(entities, body.where("page != 'entities'"), "value"), "L3", "Low", F.lit("entities"), F.col("value")),
-            find(self.read("iocs").join(claims.select(F.explode("supporting").alias("source")).distinct(), "source", "left_anti"), "L5", "Low", F.lit("iocs"), F.col("artifact")),
-        ]
-        every = parts[0]
-        for x in parts[1:]:
-            every = every.unionByName(x)
-        return lint.with_meta(every)
+        body = self.pages()
+        return lint.every(
+            body, self.read("pages").select("page"), self.read("claims"), self.read("contradictions"), self.read("entities"), self.read("iocs"),
+            self.read("manifest").select("path"), self.files().select("path"), self.stale_pages(), pages.NAMES, report.PAGE,
+        )
 
     def stale_pages(self) -> DataFrame:
         """Pages written before the last merge began."""
-        made = self.read("pages", PAGES)
-        written = made.select("page", F.col("_metadata.file_modification_time").alias("modified")) if made.inputFiles() else made.select("page", F.lit(None).cast("timestamp").alias("modified"))
         last = self.log("ingest", "step string").agg(F.max("at").alias("last"))
-        return lint.stale(written.crossJoin(F.broadcast(last)), F.col("last"))
+        return lint.stale(self.read("pages").select("page", F.to_timestamp("at").alias("modified")).crossJoin(F.broadcast(last)), F.col("last"))
 
-    def evolve(self) -> DataFrame:
+    def growth(self) -> DataFrame:
         return replay.growth(self.files())
 
+    def wipe(self) -> None:
+        """Remove the whole state; the evidence stays."""
+        storage.remove(self.spark, self.at)
+
+    def evolve(self, questions: str | None = None, key_question: str = KEY_QUESTION, fresh: bool = True) -> list[dict]:
+        """Ingest the step folders in order; after each, keep a snapshot, check, answer, and note how hypotheses moved.
+
+        The steps of a case are few, and each is an ingest, so this is a loop of the driver. A report of the replay is kept.
+        """
+        names = [n for n in storage.names(self.spark, self.root) if n.startswith("step_")]
+        if not names:
+            raise FileNotFoundError(f"no folder step_... below {self.root}")
+        if fresh:
+            self.wipe()
+        out = []
+        for name in names:
+            before = {k: self.read(k) for k in ("claims", "contradictions", "pages")}
+            added = self.ingest(name).count()
+            claims, key = self.read("claims"), F.lower("title").alias("key")
+            new = history.new_rows(before["claims"].select(key), claims.select(key, "title"), ["key"])
+            moved = history.changed(before["claims"].select(key, "confidence"), claims.select(key, "confidence"), ["key"], "confidence").join(claims.select(key, "title"), "key")
+            against = history.new_rows(before["contradictions"], self.read("contradictions"), ["title"])
+            said = self.answer(key_question)
+            found = lint.summary(self.lint()).first().asDict()
+            got = self.evaluate(questions).agg(F.count("*").alias("n"), F.count_if("passed").alias("k")).first() if questions else None
+            steps = history.steps_of(claims, name, F.lit(said["body"]))
+            self.write(history=history.with_step(self.read("history"), steps))
+            self.snapshot(f"after_{name}")
+            changed = diff.sides(before["pages"], self.read("pages")).select("page").orderBy("page")
+            titles = lambda df: [r["title"] for r in df.orderBy("title").collect()]
+            out.append({
+                "step": name, "files": added, "pages": [r["page"] for r in changed.collect()], "new_hypotheses": titles(new), "confidence_changes": [r.asDict() for r in moved.select("title", "old", "new").orderBy("title").collect()],
+                "new_contradictions": titles(against), "findings": found, "questions": got["n"] if got else None, "passed": got["k"] if got else None, "assessment": said["body"],
+            })
+        storage.write_text(self.spark, f"{self.at}/replay.json", json.dumps(out, indent=1))
+        storage.write_text(self.spark, f"{self.at}/replay.md", replay.report(out))
+        return out
+
     def snapshot(self, name: str) -> None:
-        self.pages().write.mode("overwrite").parquet(f"{self.at}/snapshots/{name}")
+        """Keep all tables and pages of the last version under a name; one of the same name is replaced."""
+        body = self.versions.stage(f"snapshot_{name}", self.pages())
+        storage.write_text(self.spark, f"{self.at}/snapshots/{name}.json", json.dumps({"tables": self.versions.tables(), "pages": body}, sort_keys=True))
 
     def snapshots(self) -> list[str]:
-        return folders(self.spark, f"{self.at}/snapshots")
+        return [n.removesuffix(".json") for n in storage.names(self.spark, f"{self.at}/snapshots", False)]
+
+    def at_snapshot(self, name: str, table: str) -> DataFrame:
+        """A table, or pages, as a snapshot has it."""
+        kept = json.loads(storage.read_text(self.spark, f"{self.at}/snapshots/{name}.json"))
+        folders = kept["pages"] if table == "pages" else kept["tables"].get(table)
+        return self.spark.read.parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMAS[table])
 
     def diff(self, old: str, new: str) -> DataFrame:
-        return pages.line_diff(self.read(f"snapshots/{old}"), self.read(f"snapshots/{new}")).orderBy("page", "sign", "line")
+        """page, diff: unified diffs of the pages that differ."""
+        return diff.unified(self.at_snapshot(old, "pages"), self.at_snapshot(new, "pages")).orderBy("page")
+
+    def line_diff(self, old: str, new: str) -> DataFrame:
+        return pages.line_diff(self.at_snapshot(old, "pages"), self.at_snapshot(new, "pages")).orderBy("page", "sign", "line")
 
     def export_graph(self) -> DataFrame:
-        return graph.mermaid(self.read("edges").select(F.col("source").alias("a"), F.col("target").alias("b")))
+        return graph.mermaid(self.read("edges").select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vespera.functions import text as X
-from vespera.operators import evaluate, graph, lint, merge, retrieval
+from vespera.operators import diff, evaluate, graph, history, lint, merge, retrieval
+from vespera.sources import storage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -144,7 +142,7 @@ def entity_merge(spark, sf_dir):
     a = t(spark, sf_dir, "documents").select(F.lit("email").alias("type"), F.explode(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("value"), "source", F.col("doc_id").alias("seq"))
     host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
     b = t(spark, sf_dir, "pages").select(F.lit("host").alias("type"), host.alias("value"), F.split_part("url", F.lit(":"), F.lit(1)).alias("source"), F.col("page_id").alias("seq"))
-    return merge.merge_entities(a.unionByName(b))
+    return merge.merge_entities(a.unionByName(b)).withColumn("sources", F.array_join("sources", ","))
 
 
 def _sent_again(spark, sf_dir):
@@ -208,7 +206,7 @@ SELECT lower(title) AS key, arg_min(title, seq) AS title, arg_max(confidence, CA
 def hypothesis_merge(spark, sf_dir):
     o, k = t(spark, sf_dir, "orders"), F.col("o_orderkey")
     conf = F.element_at(F.array(*map(F.lit, merge.RANKS)), (k % 4 + 1).cast("int"))
-    return merge.merge_hypotheses(o.select(F.concat(F.lit("Customer "), "o_custkey").alias("title"), conf.alias("confidence"), F.when(k % 2 == 0, "").otherwise(F.col("o_orderpriority")).alias("inference"), F.concat("o_orderstatus", "o_orderpriority").alias("fact"), k.alias("seq")))
+    return merge.merge_hypotheses(o.select(F.concat(F.lit("Customer "), "o_custkey").alias("title"), conf.alias("confidence"), F.when(k % 2 == 0, "").otherwise(F.col("o_orderpriority")).alias("inference"), F.concat("o_orderstatus", "o_orderpriority").alias("fact"), k.alias("seq"))).withColumn("facts", F.array_join("facts", "|"))
 
 
 @query("""WITH s AS (SELECT bool_or(event_type = 'error') AS active FROM events)
@@ -257,13 +255,13 @@ def graph_neighbors(spark, sf_dir):
     return graph.neighbours(graph.related(_mentions(spark, sf_dir)), [1, 2, 3])
 
 
-@query(RELATED + " SELECT '    n_' || a || ' --> n_' || b AS line FROM (SELECT a, b FROM e ORDER BY a, b LIMIT 200)")
+@query(RELATED + " SELECT row_number() OVER (ORDER BY a, b)::INT AS n, '    n_' || a || ' --> n_' || b AS line FROM (SELECT a, b FROM e ORDER BY a, b LIMIT 200) UNION ALL SELECT 201, '    %% ' || (count(*) - 200) || ' more edge(s) left out' FROM e HAVING count(*) > 200")
 def mermaid_export(spark, sf_dir):
     return graph.mermaid(graph.related(_mentions(spark, sf_dir)))
 
 
 @query("""SELECT qid, arg_max(label, length(label) * 1000000 - seq) AS label FROM (SELECT n_nationkey AS qid, 'Which supplier of ' || n_name || ' in region ' || r_name || ' ships?' AS question FROM nation JOIN region ON n_regionkey = r_regionkey),
- (SELECT n_name AS label, n_nationkey AS seq FROM nation UNION ALL SELECT r_name, 1000 + r_regionkey FROM region) WHERE regexp_matches(' ' || regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || lower(label) || ' ') GROUP BY qid""")
+ (SELECT n_name AS label, n_nationkey AS seq FROM nation UNION ALL SELECT r_name, 1000 + r_regionkey FROM region) WHERE contains(lower(question), lower(label)) GROUP BY qid""")
 def graph_longest_match(spark, sf_dir):
     n, r = t(spark, sf_dir, "nation"), t(spark, sf_dir, "region")
     q = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("Which supplier of "), "n_name", F.lit(" in region "), "r_name", F.lit(" ships?")).alias("question"))
@@ -342,7 +340,7 @@ def newly_risky(spark, sf_dir):
 
 
 LINT = """WITH f AS (SELECT 'H2' AS rule, 'High' AS severity, doc_id::VARCHAR AS page FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
- UNION ALL SELECT 'M5', 'Medium', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE length(text) > 500)
+ UNION ALL SELECT 'M5', 'Medium', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE contains(text, ','))
  UNION ALL SELECT 'L2', 'Low', n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)
  UNION ALL SELECT 'C2', 'Critical', page_id::VARCHAR FROM pages WHERE contains(url, 'spam'))"""
 
@@ -350,7 +348,7 @@ LINT = """WITH f AS (SELECT 'H2' AS rule, 'High' AS severity, doc_id::VARCHAR AS
 def _findings(spark, sf_dir):
     docs, labels = t(spark, sf_dir, "documents"), t(spark, sf_dir, "labels")
     a = lint.missing(docs, labels, "doc_id", "H2", "High")
-    b = lint.missing(labels, docs.where(F.length("text") > 500), "doc_id", "M5", "Medium")
+    b = lint.missing(labels, docs.where(F.contains("text", F.lit(","))), "doc_id", "M5", "Medium")
     linked = t(spark, sf_dir, "nation").join(t(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey")).distinct(), "n_nationkey")
     c = lint.missing(t(spark, sf_dir, "nation"), linked, "n_name", "L2", "Low")
     d = t(spark, sf_dir, "pages").where(F.col("url").contains("spam")).select(F.lit("C2").alias("rule"), F.lit("Critical").alias("severity"), F.col("page_id").cast("string").alias("page"))
@@ -410,38 +408,59 @@ HISTORY = """WITH h AS (SELECT user_id, date_trunc('week', ts)::DATE AS step, co
 c AS (SELECT user_id, step, n, CASE WHEN n >= 4 THEN 'high' WHEN n >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM h), l AS (SELECT *, lag(confidence) OVER (PARTITION BY user_id ORDER BY step) AS before FROM c)"""
 
 
-def _history(spark, sf_dir):
+def _errors(spark, sf_dir):
     h = t(spark, sf_dir, "events").where("event_type = 'error'").groupBy("user_id", F.to_date(F.date_trunc("week", "ts")).alias("step")).agg(F.count("*").alias("n"))
-    h = h.withColumn("confidence", F.when(F.col("n") >= 4, "high").when(F.col("n") >= 2, "medium").otherwise("low"))
-    return h.withColumn("before", F.lag("confidence").over(Window.partitionBy("user_id").orderBy("step")))
+    return h.withColumn("confidence", F.when(F.col("n") >= 4, "high").when(F.col("n") >= 2, "medium").otherwise("low"))
 
 
 @query(HISTORY + " SELECT user_id, step::VARCHAR AS step, n, confidence, before FROM l")
 def hypothesis_history(spark, sf_dir):
-    return _history(spark, sf_dir).withColumn("step", F.col("step").cast("string"))
+    return history.trajectory(_errors(spark, sf_dir), ["user_id"], "step", "confidence").withColumn("step", F.col("step").cast("string"))
+
+
+WEEKS = HISTORY + ", z AS (SELECT min(step) AS a, max(step) AS b FROM c), old AS (SELECT * FROM c, z WHERE step = a), now AS (SELECT * FROM c, z WHERE step = b)"
+
+
+def _weeks(spark, sf_dir):
+    """The first and the last week's rows."""
+    h = _errors(spark, sf_dir)
+    ends = h.agg(F.min("step").alias("a"), F.max("step").alias("b"))
+    x = h.crossJoin(F.broadcast(ends))
+    return x.where("step = a"), x.where("step = b")
 
 
-@query(HISTORY + " SELECT user_id, step::VARCHAR AS step, before AS old, confidence AS new FROM l WHERE before <> confidence")
+@query(WEEKS + " SELECT user_id, old.confidence AS old, now.confidence AS new FROM old JOIN now USING (user_id) WHERE old.confidence <> now.confidence")
 def confidence_changes(spark, sf_dir):
-    return _history(spark, sf_dir).where("before != confidence").select("user_id", F.col("step").cast("string").alias("step"), F.col("before").alias("old"), F.col("confidence").alias("new"))
+    return history.changed(*_weeks(spark, sf_dir), ["user_id"], "confidence")
 
 
-@query(HISTORY + " SELECT user_id, min(step)::VARCHAR AS first_step FROM c GROUP BY 1")
+@query(WEEKS + " SELECT user_id, n FROM now WHERE user_id NOT IN (SELECT user_id FROM old)")
 def new_since_prior(spark, sf_dir):
-    return _history(spark, sf_dir).where("before is null").select("user_id", F.col("step").cast("string").alias("first_step"))
+    return history.new_rows(*_weeks(spark, sf_dir), ["user_id"]).select("user_id", "n")
+
+
+@query("""WITH h AS (SELECT DISTINCT 'Source ' || source AS title, 'one' AS step FROM documents WHERE doc_id % 2 = 0), c AS (SELECT 'SOURCE ' || source AS title, count(*) FILTER (quality = 1) AS s, count(*) FILTER (quality = 0) AS x FROM documents JOIN labels USING (doc_id) GROUP BY source)
+ SELECT title, step, 'low' AS confidence, 0 AS s, 0 AS x FROM h UNION ALL SELECT title, 'two', 'high', s::INT, x::INT FROM c UNION ALL SELECT title, 'one', 'high', s::INT, x::INT FROM c WHERE lower(title) NOT IN (SELECT lower(title) FROM h)""")
+def history_steps(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    h = d.where("doc_id % 2 = 0").select(F.concat(F.lit("Source "), "source").alias("title"), F.lit("").alias("claim_id"), F.lit("one").alias("step"), F.lit("low").alias("confidence"), F.lit("").alias("assessment"), F.lit(0).alias("supporting_count"), F.lit(0).alias("contradicting_count")).distinct()
+    x = d.join(t(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.collect_list(F.when(F.col("quality") == 1, "y")).alias("supporting"), F.collect_list(F.when(F.col("quality") == 0, "n")).alias("contradicting"))
+    claims = x.select(F.concat(F.lit("SOURCE "), "source").alias("title"), F.lit("").alias("claim_id"), F.lit("High").alias("confidence"), "supporting", "contradicting")
+    for step in ("two", "one"):
+        h = history.with_step(h, history.steps_of(claims, step, F.lit("")))
+    return h.select("title", "step", "confidence", F.col("supporting_count").alias("s"), F.col("contradicting_count").alias("x"))
 
 
 @query("""WITH o AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN line || ' changed' ELSE line END AS line FROM o),
 a AS (SELECT doc_id, line, count(*) AS k FROM o GROUP BY 1, 2), b AS (SELECT doc_id, line, count(*) AS k FROM n GROUP BY 1, 2)
 SELECT doc_id, line, coalesce(a.k, 0) AS removed, coalesce(b.k, 0) AS added FROM a FULL JOIN b USING (doc_id, line) WHERE a.k IS DISTINCT FROM b.k""")
 def snapshot_line_diff(spark, sf_dir):
-    o = t(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    n = o.withColumn("line", F.when(F.col("doc_id") % 9 == 0, F.concat("line", F.lit(" changed"))).otherwise(F.col("line")))
-    side = o.select("doc_id", "line", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(n.select("doc_id", "line", F.lit(0).alias("x"), F.lit(1).alias("y")))
-    return side.groupBy("doc_id", "line").agg(F.sum("x").alias("removed"), F.sum("y").alias("added")).where("removed != added")
+    o = t(spark, sf_dir, "documents").select("doc_id", "text")
+    n = o.withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.concat(F.replace("text", F.lit("\n"), F.lit(" changed\n")), F.lit(" changed"))).otherwise(F.col("text")))
+    return diff.line_counts(o, n, "doc_id", "text")
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat({LINK.format(c='left(text, 200)')}, [source, lang]))), ',') AS pages FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat({LINK.format(c='text')}, [source, lang]))), ',') AS pages FROM documents")
 def hybrid_union(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_union(X.link_tokens(F.col("text")), F.array("source", "lang"))), ",").alias("pages"))
 
@@ -461,7 +480,10 @@ def page_render(spark, sf_dir):
 def stream_incremental_merge(spark, sf_dir):
     from vespera.streaming.incremental import merge_stream
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/") + f"/vespera-stream-{uuid.uuid4().hex}"
+    root = storage.scratch(spark, "stream")
     path = f"{sf_dir}/events.parquet"
     got = merge_stream(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(path).schema, f"{root}/out", f"{root}/checkpoint", ["user_id", "event_type"], "event_id")
     return got.select("user_id", "event_type", "event_id", "value")
+
+
+from vespera import catalog_case, catalog_rules  # noqa: E402, F401  they add their queries to QUERIES

@@ -7,19 +7,21 @@ import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vespera.api import Case
+from vespera.operators import graph
 from vespera.plans import evidence
 
 
 def run(case: Case, verb: str, args: list[str], dry_run: bool = False, hold: bool = False, force: bool = False) -> tuple[int, list]:
     """Exit code and printable rows of one verb."""
-    rows = lambda df: [r.asDict(True) for r in df.collect()]
+    rows = lambda df: [r.asDict(True) for r in df.toLocalIterator()]
     text = " ".join(args)
+    asked = lambda: case.spark.createDataFrame([(1, text)], "qid long, question string")
+    five = lambda *only: rows(case.methods(asked()).where(F.col("method").isin(*only) if only else F.lit(True)).drop("qid").orderBy("method"))
     if verb == "ingest":
-        return 0, case.ingest(args[0] if args else None, dry_run, hold, force)
-    if verb == "compare-all":
-        return 0, [{"raw_rag": rows(case.rag(text)), "vector_rag": rows(case.vector(text)), "graph": rows(case.graph_query(text)), "state": case.query(text)}]
+        return 0, rows(case.ingest(args[0] if args else None, dry_run, hold, force))
     if verb == "lint":
         found = rows(case.lint())
         return int(any(f["severity"] in ("Critical", "High") for f in found)), found
@@ -33,11 +35,12 @@ def run(case: Case, verb: str, args: list[str], dry_run: bool = False, hold: boo
         done = case.decide(args[1], {"approve": "approved", "reject": "rejected"}[args[0]])
         return int(not done), []
     tables = {
-        "compare": lambda: [{"raw_rag": rows(case.rag(text)), "state": case.query(text)}], "benchmark": lambda: case.scorecard(args[0], ["raw", "state"]),
+        "compare": lambda: five("raw", "state"), "compare-all": five, "benchmark": lambda: case.scorecard(args[0], ["raw", "state"]),
         "benchmark-methods": lambda: case.scorecard(args[0], None, dict(x.split("=", 1) for x in args[1:])), "export-pages": lambda: case.export_pages(args[0]), "review": lambda: case.reviews(*args[1:2]),
-        "pages": lambda: case.pages().orderBy("page"), "snapshots": case.snapshots, "open-questions": lambda: case.pages().where("page = 'open_questions'"), "contradicted": lambda: evidence.contradicted(case.read("claims")),
-        "rag-query": lambda: case.rag(text), "vector-query": lambda: case.vector(text), "graph-query": lambda: case.graph_query(text), "graph-build": lambda: case.read("edges"),
-        "graph-export": case.export_graph, "evolve": case.evolve, "diff-snapshots": lambda: case.diff(*args), "report": lambda: case.report(hold), "query": lambda: [case.query(text)],
+        "pages": lambda: case.pages().orderBy("page"), "snapshots": case.snapshots, "open-questions": lambda: evidence.open_questions(case.read("manifest"), case.read("claims")).orderBy("text"), "contradicted": lambda: evidence.contradicted(case.read("claims")).orderBy("claim_id"),
+        "rag-query": lambda: case.rag(text), "vector-query": lambda: case.vector(text), "graph-query": lambda: case.graph_query(text), "graph-build": lambda: graph.summary(case.read("nodes"), case.read("edges")).orderBy(F.desc("section"), "line"),
+        "graph-export": lambda: case.export_graph().orderBy("n"), "evolve": lambda: case.evolve(*args[:1]), "diff-snapshots": lambda: case.diff(*args), "report": lambda: case.report(hold), "query": lambda: [case.query(text)],
+        "traces": case.traces, "history": lambda: case.read("history").orderBy("claim_id", "step"),
     }
     got = tables[verb]()
     return 0, rows(got) if isinstance(got, DataFrame) else got

@@ -95,21 +95,6 @@ def route(question: Column) -> Column:
     )
 
 
-def hash_grams(text: Column) -> Column:
-    """Search tokens and their adjacent pairs, with repeats."""
-    t = search_tokens(text)
-    pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t), F.lit(1))), lambda a, b: F.concat_ws("_", a, b))
-    return F.concat(t, F.filter(pairs, lambda x: x.contains("_")))
-
-
-def gram_dimension(gram: Column) -> Column:
-    return F.conv(F.substring(F.md5(gram), 1, 2), 16, 10).cast("int")
-
-
-def gram_sign(gram: Column) -> Column:
-    return F.when(F.conv(F.substring(F.md5(gram), 9, 2), 16, 10).cast("int") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-
-
 def query_terms(question: str) -> list[str]:
     """The search tokens of a question, on the driver; a question's repeated terms count again."""
     import re

@@ -79,3 +79,12 @@ def scorecard(answers: DataFrame, cases: DataFrame) -> DataFrame:
         ratio(is_refusal(F.col("answer")), F.col("refuse")).alias("refusal_accuracy"), F.count_if(kind(*CONTRADICTION) & ~ok).alias("contradiction_misses"),
         ratio(ok, kind(*RELATIONSHIP)).alias("relationship_coverage"), ratio(ok, kind(*NARRATIVE)).alias("narrative_state_quality"), F.count_if(ok & (F.col("expected_best_method") == F.col("method"))).alias("expected_best_wins"),
     )
+
+
+def card_text(rows: list[dict]) -> str:
+    """A scorecard as a Markdown table, a column a method."""
+    methods = [r["method"] for r in rows]
+    lines = ["| measure | " + " | ".join(methods) + " |", "|---|" + "---|" * len(methods)]
+    for name in [k for k in (rows[0] if rows else {}) if k != "method"]:
+        lines.append(f"| {name.replace('_', ' ')} | " + " | ".join(f"{r[name]:.2f}" if isinstance(r[name], float) else str(r[name]) for r in rows) + " |")
+    return "\n".join(lines) + "\n"

@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Members of a group that one task pairs with so many others.
+BLOCK = 2048
+#: Lengths of the prefixes by which labels are looked up in a text.
+PREFIXES = (1, 2, 4, 8, 16, 32)
+#: Characters of a text that are looked up at once, about, and labels that are sent along at once, about.
+SEGMENT, LABELS = 2048, 200_000
+#: Edges of a diagram, and labels of a type in a summary, at most.
+DIAGRAM_EDGES, LISTED_LABELS = 200, 12
+
 
 def related(mentions: DataFrame) -> DataFrame:
-    """mentions: node, source. a < b that share a source, with the least shared source as evidence and the number of shared ones."""
+    """mentions: node, source. a < b that share a source, with the least shared source as evidence and the number of shared ones.
+
+    All pairs of a source are the result, so its size is that of the pairs. A source of more than BLOCK nodes is dealt as
+    pairs of blocks, so that no task holds the whole of it; there are at most rows / BLOCK such sources.
+    """
     m = mentions.select("node", "source").distinct()
-    pairs = m.select(F.col("node").alias("a"), "source").join(m.select(F.col("node").alias("b"), "source"), "source").where("a < b")
+    large = m.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("source", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = m.join(large, "source", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = dealt.select("source", F.col("node").alias("x"), F.col("block").alias("p"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("q"))
+    right = dealt.select("source", F.col("node").alias("y"), F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), "block")).alias("p"))
+    pairs = left.join(right, ["source", "p", "q"]).where("p < q or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "source")
     return pairs.groupBy("a", "b").agg(F.min("source").alias("evidence"), F.count("*").alias("n_shared"))
 
 
@@ -26,28 +44,73 @@ def neighbours(edges: DataFrame, nodes: list) -> DataFrame:
     return both_ways(edges).where(F.col("a").isin(nodes)).select(F.col("a").alias("node"), F.col("b").alias("neighbour")).distinct()
 
 
-def matches(questions: DataFrame, labels: DataFrame, words: int = 8) -> DataFrame:
-    """questions: qid, question. labels: label and others. qid and the columns of labels for every label that a question contains.
+def matches(questions: DataFrame, labels: DataFrame) -> DataFrame:
+    """questions: qid, question. labels: label and others. The distinct qid and columns of labels for every label that a question contains, in any case.
 
-    Labels are looked up by their first words, up to that many, among all runs of the question, an equi join instead of
-    a nested loop; all other words, and what stands between words, must be the same too.
+    A label is looked up by the longest of its prefixes whose length is in PREFIXES among all stretches of the question
+    of these lengths: an equi join instead of a nested loop. Then the whole label must be contained. Long questions are
+    cut into segments that overlap by the longest label. Labels are sent to the questions, LABELS of them at a time, so
+    no text is shuffled. Empty labels never match.
     """
-    plain = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
-    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    w = questions.select("qid", F.lower("question").alias("low"), plain("question").alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    named = labels.withColumns({"key": F.array_join(F.slice(plain("label"), 1, words), " "), "whole": spaced(plain("label"))}).where("key != ''")
-    hit = w.select("qid", "low", spaced(F.col("w")).alias("all"), F.explode(F.array_distinct(runs)).alias("key")).join(named, "key")
-    return hit.where(F.contains("low", F.lower("label")) & F.contains("all", "whole")).select("qid", *labels.columns)
-
-
-def longest_match(questions: DataFrame, labels: DataFrame, words: int = 8) -> DataFrame:
-    """questions: qid, question. labels: label, seq. The longest label that each question contains, the first of equals."""
-    return matches(questions, labels, words).groupBy("qid").agg(F.max_by("label", F.struct(F.length("label"), -F.col("seq"))).alias("label"))
-
-
-def mermaid(edges: DataFrame, limit: int = 200) -> DataFrame:
-    """Lines of a diagram: the first edges by (a, b), ids made safe."""
-    safe = lambda c: F.regexp_replace(F.regexp_replace(c.cast("string"), "[^A-Za-z0-9_]", "_"), "^([0-9])", "n_$1")
-    top = edges.orderBy("a", "b").limit(limit)
-    return top.select(F.concat(F.lit("    "), safe(F.col("a")), F.lit(" --> "), safe(F.col("b"))).alias("line"))
+    named = labels.where("label != ''").withColumn("_label", F.lower("label"))
+    fit = F.array_max(F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n <= F.length("_label")))
+    named = named.withColumn("_prefix", F.substr("_label", F.lit(1), fit))
+    known = named.agg(F.count("*").alias("n"), F.max(F.length("_label")).alias("longest"), F.array_sort(F.collect_set(F.length("_prefix"))).alias("sizes")).first()  # one row, a few lengths
+    low = questions.select("qid", F.lower("question").alias("_low"))
+    if not known["n"]:
+        return low.select("qid").join(labels.limit(0), F.lit(False)).select("qid", *labels.columns)
+    step = max(SEGMENT, 4 * known["longest"])
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_low")), F.lit(step))
+    cut = low.select("qid", "_low", F.explode(starts).alias("_at")).select("qid", F.substr("_low", F.col("_at"), F.lit(step + known["longest"])).alias("_low"))
+    size = F.array(*map(F.lit, known["sizes"]))
+    runs = F.flatten(F.transform(size, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_low"))), lambda i: F.substr(F.col("_low"), i, n))))
+    keyed = cut.select("qid", "_low", F.explode(F.array_distinct(runs)).alias("_prefix"))
+    blocks, out = -(-known["n"] // LABELS), None
+    for b in range(blocks):
+        some = named.where(F.pmod(F.xxhash64("_label"), F.lit(blocks)) == b) if blocks > 1 else named
+        hit = keyed.join(F.broadcast(some), "_prefix").where(F.contains("_low", "_label")).select("qid", *labels.columns)
+        out = hit if out is None else out.unionByName(hit)
+    return out.distinct()
+
+
+def longest_match(questions: DataFrame, labels: DataFrame) -> DataFrame:
+    """questions: qid, question. labels: label, seq and others. For each question the row of the longest label it contains, the first of equals."""
+    rest = [c for c in labels.columns]
+    best = matches(questions, labels).groupBy("qid").agg(F.min_by(F.struct(*rest), F.struct(-F.length("label"), F.col("seq"))).alias("x"))
+    return best.select("qid", *[F.col(f"x.{c}").alias(c) for c in rest if c != "seq"])
+
+
+def nodes_by_type(nodes: DataFrame, listed: int = LISTED_LABELS) -> DataFrame:
+    """type, n (distinct labels), labels (the first by name)."""
+    each = nodes.select("type", "label").distinct()
+    first = each.groupBy("type").agg(F.count("*").alias("n"))
+    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy("type").orderBy("label"))).where(F.col("r") <= listed)
+    names = ranked.groupBy("type").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "label"))), lambda x: x["label"]).alias("labels"))
+    return first.join(names, "type")
+
+
+def edges_by_type(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("type").agg(F.count("*").alias("n"))
+
+
+def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """section, line: a Markdown summary, a line a type."""
+    more = F.when(F.col("n") > F.size("labels"), F.concat(F.lit(", and "), (F.col("n") - F.size("labels")).cast("string"), F.lit(" more"))).otherwise("")
+    n = nodes_by_type(nodes).select(F.lit("nodes").alias("section"), F.concat(F.lit("- **"), "type", F.lit("** ("), F.col("n").cast("string"), F.lit("): "), F.array_join("labels", ", "), more).alias("line"))
+    return n.unionByName(edges_by_type(edges).select(F.lit("edges").alias("section"), F.concat(F.lit("- **"), "type", F.lit("**: "), F.col("n").cast("string")).alias("line")))
+
+
+def diagram_id(node):
+    """An id that diagrams accept. Where characters had to be replaced, a digest keeps different nodes apart."""
+    text = node.cast("string")
+    plain = F.regexp_replace(text, "[^A-Za-z0-9_]", "_")
+    apart = F.when(plain == text, plain).otherwise(F.concat(plain, F.lit("_"), F.substring(F.md5(text), 1, 6)))
+    return F.when(apart.rlike("^[0-9]") | (apart == ""), F.concat(F.lit("n_"), apart)).otherwise(apart)
+
+
+def mermaid(edges: DataFrame, limit: int = DIAGRAM_EDGES) -> DataFrame:
+    """n, line: lines of a diagram, the first edges by (a, b), then how many are left out."""
+    top = edges.select("a", "b").orderBy("a", "b").limit(limit)
+    drawn = top.select(F.row_number().over(Window.orderBy("a", "b")).alias("n"), F.concat(F.lit("    "), diagram_id(F.col("a")), F.lit(" --> "), diagram_id(F.col("b"))).alias("line"))
+    rest = edges.agg(F.count("*").alias("k")).where(F.col("k") > limit)
+    return drawn.unionByName(rest.select(F.lit(limit + 1).alias("n"), F.concat(F.lit("    %% "), (F.col("k") - limit).cast("string"), F.lit(" more edge(s) left out")).alias("line")))

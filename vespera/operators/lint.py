@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vespera.operators import graph
+
 # Phrases and markers that results depend on.
 RISKY_PHRASES = (
     "confirmed malware", "malware confirmed", "confirmed exfiltration", "exfiltration occurred", "exfiltration confirmed", "data was stolen",
@@ -107,18 +109,12 @@ def unrelated(claims: DataFrame, contradictions: DataFrame) -> DataFrame:
     return claims.join(linked, "title", "left_anti")
 
 
-def unmentioned(values: DataFrame, pages: DataFrame, key: str, gram: int = 4) -> DataFrame:
-    """values whose key no line of any page contains, in any case.
-
-    The first characters of a value meet the lines' character n-grams in an equi join, so no value meets every line; a
-    candidate counts only if the line contains the whole value. Null keys are left out, the empty one is in every page.
-    """
-    low = values.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.lower(key).alias("low")).distinct()
-    asked = low.select("low", F.substring("low", 1, gram).alias("gram"))
-    line = pages.select(F.explode(F.array_distinct(F.split(F.lower("body"), "\n"))).alias("line")).where("line != ''").distinct()
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.transform(F.sequence(F.lit(1), F.length("line")), lambda i: F.substring(F.col("line"), i, n))))
-    held = line.select("line", F.explode(F.array_distinct(runs)).alias("gram")).join(asked, "gram").where(F.contains("line", "low")).select("low").distinct()
-    return values.where(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("low", F.lower(key)).join(held, "low", "left_anti").drop("low")
+def unmentioned(values: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """values whose key no line of any page contains, in any case. Null keys are left out, the empty one is in every page."""
+    asked = values.where(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("low", F.lower(key))
+    line = pages.select(F.explode(F.array_distinct(F.split("body", "\n"))).alias("question")).distinct().select(F.lit(0).alias("qid"), "question")
+    held = graph.matches(line, asked.select(F.col("low").alias("label")).distinct()).select(F.col("label").alias("low")).distinct()
+    return asked.join(held, "low", "left_anti").drop("low")
 
 
 def stale(pages: DataFrame, cutoff: Column) -> DataFrame:
@@ -130,3 +126,57 @@ def with_meta(findings: DataFrame) -> DataFrame:
     """findings, and one more that advises a review if any is critical."""
     any_ = findings.agg(F.count_if(F.col("severity") == "Critical").alias("n")).where("n > 0")
     return findings.unionByName(finding(any_, "C5", "Critical", "(meta)", "critical findings: hold risky changes for review"))
+
+
+def every(pages: DataFrame, written: DataFrame, claims: DataFrame, conflicts: DataFrame, entities: DataFrame, iocs: DataFrame, manifest: DataFrame, files: DataFrame, stale_pages: DataFrame, names, report: str) -> DataFrame:
+    """rule, severity, page, detail: the findings of all rules. names: the pages that a case must have, report one of them."""
+    return with_meta(union(rules(pages, written, claims, conflicts, entities, iocs, manifest, files, stale_pages, names, report).values()))
+
+
+def union(parts) -> DataFrame:
+    first, *rest = parts
+    for x in rest:
+        first = first.unionByName(x)
+    return first
+
+
+def rules(pages: DataFrame, written: DataFrame, claims: DataFrame, conflicts: DataFrame, entities: DataFrame, iocs: DataFrame, manifest: DataFrame, files: DataFrame, stale_pages: DataFrame, names, report: str) -> dict[str, DataFrame]:
+    """The findings of each rule that looks at rows, by its name."""
+    strong = F.col("confidence").isin("High", "Confirmed")
+    spark = pages.sparkSession
+    wanted = spark.createDataFrame([(n,) for n in names if n != report], "page string")
+    guard = claims.agg(
+        F.count_if(strong & (F.size("supporting") >= 2)).alias("backed"), F.count_if(strong).alias("strong"), F.count_if(strong & F.lower(F.concat_ws(" ", "title", "inference")).contains("exfil")).alias("exfil"),
+        F.count_if(F.lower(F.concat_ws(" ", "title", "inference", F.array_join("facts", " "))).rlike("transfer|upload|sent ")).alias("sent"),
+    )
+    unless = lambda df, count: df.crossJoin(F.broadcast(guard)).where(F.col(count) == 0)  # noqa: E731  one row
+    final = pages.where(F.col("page") == report)
+    facts = claims.select("title", F.explode("facts").alias("fact"))
+    hyp, why = F.lit("hypotheses"), F.when(F.col("sent") > 0, " (a transfer is on record, but no claim of it is strong)").otherwise("")
+    return {
+        "H1": finding(wanted.join(written, "page", "left_anti"), "H1", "High", F.col("page")),
+        "C1": finding(unless(asserted_lines(pages, CONFIRMATION_PHRASES), "backed"), "C1", "Critical", F.col("page"), F.col("phrase")),
+        "C2": finding(unless(risky_lines(final, CONFIRMATION_PHRASES, ()).select("page", "phrase").distinct(), "strong"), "C2", "Critical", F.col("page"), F.col("phrase")),
+        "C3": finding(broken_citations(pages, files), "C3", "Critical", F.col("page"), F.col("path")),
+        "C4": finding(unless(asserted_lines(pages, EXFILTRATION_PHRASES), "exfil"), "C4", "Critical", F.col("page"), F.concat("phrase", why)),
+        "H2": finding(files.select("path").join(manifest.select("path"), "path", "left_anti"), "H2", "High", F.col("path")),
+        "H3": finding(claims.where(strong & (F.size("supporting") < 2)), "H3", "High", hyp, F.col("title")),
+        "H4": finding(unknown_ids(final, claims.select(F.col("claim_id").alias("id"))), "H4", "High", F.col("page"), F.col("id")),
+        "M1": finding(unrelated(claims.where(F.size("contradicting") == 0), conflicts), "M1", "Medium", hyp, F.col("title")),
+        "M2": finding(claims.where(((F.col("inference") != "") & (F.size("facts") == 0)) | (F.size("supporting") == 0)), "M2", "Medium", hyp, F.col("title")),
+        "M3": finding(uncited_facts(facts), "M3", "Medium", hyp, F.col("title")),
+        "M4": finding(stale_pages, "M4", "Medium", F.col("page")),
+        "M5": finding(broken_links(pages), "M5", "Medium", F.col("page"), F.col("target")),
+        "M6": finding(unmentioned(conflicts, pages.where("page = 'contradictions'"), "title"), "M6", "Medium", F.lit("contradictions"), F.col("title")),
+        "L1": finding(incompatible_types(entities), "L1", "Low", F.lit("entities"), F.col("key")),
+        "L2": finding(orphans(pages), "L2", "Low", F.col("page")),
+        "L3": finding(unmentioned(entities, pages.where("page != 'entities'"), "value"), "L3", "Low", F.lit("entities"), F.col("value")),
+        "L5": finding(alone(iocs, entities), "L5", "Low", F.lit("iocs"), F.col("artifact")),
+    }
+
+
+def alone(iocs: DataFrame, entities: DataFrame) -> DataFrame:
+    """Indicators (artifact, source) whose source mentions nothing but themselves, so that nothing is related to them."""
+    at = entities.select(F.lower("value").alias("low"), F.explode("sources").alias("source"))
+    near = iocs.select("artifact", "source").join(at, "source").where(F.lower("artifact") != F.col("low")).select("artifact", "source").distinct()
+    return iocs.join(near, ["artifact", "source"], "left_anti")

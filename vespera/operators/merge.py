@@ -20,9 +20,9 @@ def first_wins(rows: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
 
 
 def merge_entities(mentions: DataFrame) -> DataFrame:
-    """mentions: type, value, source, seq. One row a type and lower-cased value: first spelling, sorted sources."""
+    """mentions: type, value, source, seq. One row a type and lower-cased value: first spelling, sorted sources (an array)."""
     return mentions.groupBy("type", F.lower("value").alias("key")).agg(
-        F.min_by("value", "seq").alias("value"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count_distinct("source").alias("n_sources"), F.min("seq").alias("seq")
+        F.min_by("value", "seq").alias("value"), F.array_sort(F.collect_set("source")).alias("sources"), F.count_distinct("source").alias("n_sources"), F.min("seq").alias("seq")
     )
 
 
@@ -36,14 +36,14 @@ def merge_iocs(iocs: DataFrame) -> DataFrame:
 
 
 def merge_hypotheses(parts: DataFrame) -> DataFrame:
-    """parts: title, confidence, inference, fact, seq. Highest confidence, first inference that is not empty, facts in order of first mention."""
+    """parts: title, confidence, inference, fact, seq. Highest confidence, first inference that is not empty, facts (an array) in order of first mention."""
     facts = parts.where("fact is not null").groupBy(F.lower("title").alias("key"), "fact").agg(F.min("seq").alias("s"))
-    facts = facts.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "fact"))), lambda x: x["fact"]), "|").alias("facts"))
+    facts = facts.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "fact"))), lambda x: x["fact"]).alias("facts"))
     head = parts.groupBy(F.lower("title").alias("key")).agg(
         F.min_by("title", "seq").alias("title"), F.max_by("confidence", rank(F.col("confidence"))).alias("confidence"),
         F.coalesce(F.min_by(F.when(F.col("inference") != "", F.col("inference")), F.when(F.col("inference") != "", F.col("seq"))), F.lit("")).alias("inference"),
     )
-    return head.join(facts, "key", "left").withColumn("facts", F.coalesce("facts", F.lit("")))
+    return head.join(facts, "key", "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<string>")))
 
 
 def numbered(rows: DataFrame, order: list[str], start=0, name: str = "n") -> DataFrame:

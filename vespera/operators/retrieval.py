@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vespera.functions import text as X
 
@@ -36,15 +44,43 @@ def snippet(docs: DataFrame, question: str, id_col: str = "doc_id", text_col: st
 
 
 def hash_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, vector (array of dim, value; at most DIMENSIONS): signed, tf-weighted feature hashing of unit length.
+    """doc_id, vector (array of dim, value, by dim; at most DIMENSIONS): signed, tf-weighted feature hashing of unit length.
 
-    Whole texts are dealt by id once; every later aggregation keeps that partitioning and shuffles nothing.
+    A document is one row, so its grams are counted where it is read and nothing is shuffled. Column functions can't count
+    within a row in linear time; Python does, on Arrow batches. Documents without grams have no vector.
     """
-    d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).repartition("doc_id")
-    g = d.select("doc_id", F.explode(X.hash_grams(F.col("text"))).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("tf"))
-    raw = g.groupBy("doc_id", X.gram_dimension(F.col("g")).alias("dim")).agg(F.sum(X.gram_sign(F.col("g")) * (1 + F.log("tf"))).alias("v"))
-    whole = raw.groupBy("doc_id").agg(F.collect_list(F.struct("dim", "v")).alias("r"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")).where("norm > 1e-9")
-    return whole.select("doc_id", F.transform("r", lambda x: F.struct(x["dim"].alias("dim"), (x["v"] / F.col("norm")).alias("value"))).alias("vector"))
+    d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    kind = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("value", T.DoubleType())])
+    out = T.StructType([T.StructField("doc_id", d.schema[0].dataType), T.StructField("vector", T.ArrayType(kind))])
+    stop, token = frozenset(X.SEARCH_STOPWORDS), re.compile(X.TOKEN)
+
+    def run(batches):
+        known: dict[str, tuple[int, float]] = {}
+
+        def place(gram: str) -> tuple[int, float]:
+            digest = hashlib.md5(gram.encode()).digest()
+            known[gram] = digest[0], -1.0 if digest[4] % 2 else 1.0
+            return known[gram]
+
+        for batch in batches:
+            keep, vectors = [], []
+            for i, text in enumerate(batch.column(1)):
+                words = [w for w in map(str.lower, token.findall(text.as_py() or "")) if w not in stop]
+                counts = Counter(words)
+                counts.update(f"{a}_{b}" for a, b in zip(words, words[1:]))
+                v = np.zeros(X.DIMENSIONS)
+                for gram, n in counts.items():
+                    dim, sign = known.get(gram) or place(gram)
+                    v[dim] += sign * (1 + math.log(n))
+                norm = math.sqrt(float(v @ v))
+                if norm > 1e-9:
+                    keep.append(i)
+                    vectors.append([{"dim": int(k), "value": float(v[k] / norm)} for k in np.flatnonzero(v)])
+                if len(known) > 500_000:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(vectors, pa.list_(pa.struct([("dim", pa.int32()), ("value", pa.float64())])))], names=["doc_id", "vector"])
+
+    return d.mapInArrow(run, out)
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -68,11 +104,23 @@ def bm25_many(docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_
     return _best(scored.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score")), k)
 
 
+#: Questions whose vectors are sent to every task; more of them meet the documents by dimension.
+ASKED_AT_ONCE = 1_000
+
+
 def hash_cosine_many(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """qid, doc_id, score, rank: the k documents nearest to each question by hashed vectors; they meet by dimension."""
-    flat = lambda df, key: hash_vectors(df).select(F.col("doc_id").alias(key), F.inline("vector").alias("dim", "value"))
-    q = flat(questions.select(F.col("qid").alias("doc_id"), F.col("question").alias("text")), "qid").withColumnRenamed("value", "other")
-    dots = flat(docs, "doc_id").join(q, "dim").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("value") * F.col("other")), 6).alias("score"))
+    """qid, doc_id, score, rank: the k documents nearest to each question by hashed vectors.
+
+    A stated set of questions against all documents: up to ASKED_AT_ONCE are counted and sent along, one pass over documents.
+    """
+    asked = hash_vectors(questions.select(F.col("qid").alias("doc_id"), F.col("question").alias("text")))
+    if questions.limit(ASKED_AT_ONCE + 1).count() <= ASKED_AT_ONCE:
+        q = asked.select(F.col("doc_id").alias("qid"), F.map_from_entries("vector").alias("q"))
+        dot = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at("q", x["dim"]), F.lit(0.0)))
+        return _best(hash_vectors(docs).crossJoin(F.broadcast(q)).select("qid", "doc_id", F.round(dot, 6).alias("score")), k)
+    flat = lambda df, key: df.select(F.col("doc_id").alias(key), F.inline("vector").alias("dim", "value"))
+    q = flat(asked, "qid").withColumnRenamed("value", "other")
+    dots = flat(hash_vectors(docs), "doc_id").join(q, "dim").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("value") * F.col("other")), 6).alias("score"))
     return _best(dots, k)
 
 
@@ -89,7 +137,7 @@ def hash_cosine(docs: DataFrame, question_doc: DataFrame, k: int) -> DataFrame:
     """The k documents nearest to one text by hashed vectors: doc_id, cosine."""
     # one row: the question's vector as a map from dimension to value
     q = hash_vectors(question_doc).select(F.map_from_entries("vector").alias("q")).limit(1)
-    dot = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.element_at("q", x["dim"]), F.lit(0.0)))
+    dot = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at("q", x["dim"]), F.lit(0.0)))
     s = hash_vectors(docs).crossJoin(F.broadcast(q)).select("doc_id", F.round(dot, 6).alias("cosine"))
     return s.where("cosine > 0").orderBy(F.desc("cosine"), "doc_id").limit(k)
 
@@ -103,6 +151,12 @@ def chunks(docs: DataFrame, size: int = 8, step: int = 6, id_col: str = "doc_id"
     return at.select("doc_id", "chunk_no", F.size(part).alias("n_lines"), F.array_join(part, "\n").alias("chunk"))
 
 
+def distinct_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (struct of path and chunk_no), text: chunks, of equal ones of a document the first, so that a top-k holds k different ones."""
+    each = chunks(docs, id_col=id_col, text_col=text_col).groupBy("doc_id", "chunk").agg(F.min("chunk_no").alias("chunk_no"))
+    return each.select(F.struct(F.col("doc_id").alias("path"), "chunk_no").alias("doc_id"), F.col("chunk").alias("text"))
+
+
 def dense_cosine(vectors: DataFrame, query_id: int, k: int) -> DataFrame:
     """The k nearest of vec_id, embedding to the vector query_id: vec_id, cosine (4 decimals)."""
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))

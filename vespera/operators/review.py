@@ -12,13 +12,16 @@ from vespera.operators.merge import numbered
 def queue(old: DataFrame, new: DataFrame, taken: DataFrame, **rules) -> DataFrame:
     """review_id, page, status, phrases, proposed, prior for pages that newly hold a risky phrase.
 
-    old, new: page, body. taken: num of reviews so far; new ids follow the largest.
+    old, new: page, body. taken: num of reviews so far; new ones take the numbers from 1 that are free, in order of pages.
     """
     risky = lint.newly_risky(old, new, **rules).groupBy("page").agg(F.array_sort(F.collect_set("phrase")).alias("phrases"))
     items = risky.join(new.select("page", F.col("body").alias("proposed")), "page").join(old.select("page", F.col("body").alias("prior")), "page", "left")
-    top = taken.agg(F.coalesce(F.max("num"), F.lit(0)).alias("top"))
-    n = numbered(items, ["page"]).crossJoin(F.broadcast(top))
-    return n.select(F.format_string("rev_%04d", F.col("n") + F.col("top")).alias("review_id"), "page", F.lit("pending").alias("status"), "phrases", "proposed", "prior")
+    n = numbered(items, ["page"])
+    # the free numbers: of the first (taken + new) ones, those that are not taken
+    bound = taken.agg(F.count("*").alias("k")).crossJoin(items.agg(F.count("*").alias("m")))
+    free = bound.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("k") + F.col("m"))).alias("num")).join(taken.select("num"), "num", "left_anti")
+    n = n.join(numbered(free, ["num"]), "n")
+    return n.select(F.format_string("rev_%04d", F.col("num")).alias("review_id"), "page", F.lit("pending").alias("status"), "phrases", "proposed", "prior")
 
 
 def held_back(new: DataFrame, queued: DataFrame) -> DataFrame:

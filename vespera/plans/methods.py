@@ -46,17 +46,17 @@ def raw(files: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
 
 
 def vector(files: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
-    """Equal snippets of one file count once, at their best rank."""
-    chunks = retrieval.chunks(files, id_col="path").select(F.struct("doc_id", "chunk_no").alias("doc_id"), F.col("chunk").alias("text"))
+    """Of equal snippets of a file only the first counts, so k different ones come back."""
+    chunks = retrieval.distinct_chunks(files, "path")
     hits = retrieval.hash_cosine_many(chunks, questions, k)
-    told = hits.join(chunks, "doc_id").select("qid", "rank", F.col("doc_id.doc_id").alias("path"), F.regexp_replace("text", "\n", " ").alias("snippet"))
-    return _whole(questions, _listed(told.groupBy("qid", "path", "snippet").agg(F.min("rank").alias("rank")), F.col("path")), "vector")
+    told = hits.join(chunks, "doc_id").select("qid", "rank", F.col("doc_id.path").alias("path"), F.regexp_replace("text", "\n", " ").alias("snippet"))
+    return _whole(questions, _listed(told, F.col("path")), "vector")
 
 
 def relations(nodes: DataFrame, edges: DataFrame, questions: DataFrame) -> DataFrame:
     """qid, block: the neighbours of the longest node label that each question names, with edge types and evidence."""
-    labels = nodes.where("type != 'source'").select("id", "label", F.xxhash64("id").alias("seq"))
-    hit = graph.longest_match(questions, labels).join(labels, "label").groupBy("qid", "label").agg(F.min("id").alias("node"))
+    labels = nodes.where("type != 'source'").select("id", "label", F.struct("seq", "id").alias("seq"))
+    hit = graph.longest_match(questions, labels).withColumnRenamed("id", "node")
     both = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "type", "evidence").unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "type", "evidence"))
     x = hit.join(both, "node").join(nodes.select(F.col("id").alias("other"), F.col("label").alias("name")), "other")
     line = F.concat(F.lit("- "), "label", F.lit(" "), F.translate("type", "_", " "), F.lit(" "), "name", F.lit(" (Source: "), "evidence", F.lit(")"))
@@ -81,12 +81,12 @@ def surroundings(nodes: DataFrame, edges: DataFrame, interest: DataFrame) -> Dat
     return told.select("qid", F.array_join(F.transform("l", lambda y: y["text"]), "\n").alias("block"))
 
 
-def every(files: DataFrame, nodes: DataFrame, edges: DataFrame, state: DataFrame, entities: DataFrame, questions: DataFrame) -> DataFrame:
+def every(files: DataFrame, nodes: DataFrame, edges: DataFrame, state: A.Tables, questions: DataFrame) -> DataFrame:
     """qid, method, classification, confidence, insufficient, answer: all methods over all questions (qid, question)."""
     lexical = raw(files, questions)
     best = lexical.where("not insufficient").select("qid", F.regexp_replace("answer", "^Answer:\n", "").alias("snippet"))
     block = relations(nodes, edges, questions)
-    compiled = A.with_fallback(A.answers(questions, state, A.named(questions, entities)), best)
+    compiled = A.with_fallback(A.answers(questions, state, files.select("path", "text")), best)
     columns = ["qid", "method", "classification", "confidence", "insufficient", "answer"]
     kept = compiled.withColumn("method", F.lit("state")).select(*columns)
     evidence = F.when(F.col("insufficient"), "").otherwise(F.col("answer"))

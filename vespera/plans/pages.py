@@ -5,32 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vespera.operators import diff
 from vespera.plans.evidence import State
 from vespera.plans.report import PAGE
+from vespera.plans.text import joined
 
 #: Pages that a case must have; all but the report are rendered with each merge.
 NAMES = ("contradictions", "entities", PAGE, "hypotheses", "index", "iocs", "open_questions", "timeline")
 
 
 def _page(name: str, rows: DataFrame, order: list, line) -> DataFrame:
-    """A page of one line a row, in order; a page without rows says so."""
-    x = rows.agg(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line")))).alias("l"))
-    body = F.when(F.size("l") == 0, "_none_").otherwise(F.array_join(F.transform("l", lambda y: y["line"]), "\n"))
-    return x.select(F.lit(name).alias("page"), F.concat(F.lit(f"# {name}\n\n"), body).alias("body"))
+    """A page: its front matter, and one line a row in order; a page without rows says so."""
+    x = joined(rows, order, line)
+    head = F.concat(F.lit(f"---\npage: {name}\nlines: "), F.col("n").cast("string"), F.lit(f"\n---\n# {name}\n\n"))
+    return x.select(F.lit(name).alias("page"), F.concat(head, F.when(F.col("n") == 0, "_none_").otherwise(F.col("text"))).alias("body"))
+
+
+def _bullet(*parts):
+    return F.concat(F.lit("- "), *parts)
+
+
+def timeline(events: DataFrame) -> DataFrame:
+    """page, body of events (ts, description, path, seq): by time as text, unknown times last."""
+    return _page("timeline", events, [F.col("ts") == "unknown", F.col("ts"), F.col("seq")], _bullet("ts", F.lit(" "), "description", F.lit(" (Source: "), "path", F.lit(")")))
 
 
 def render(state: State, claims: DataFrame, questions: DataFrame) -> DataFrame:
     """page, body. questions: text. The timeline puts unknown times last; all else is in the order of its key."""
     e, n, i, c = state.events, state.entities, state.iocs, state.contradictions
-    bullet = lambda *parts: F.concat(F.lit("- "), *parts)
     every = [
-        _page("timeline", e, [F.col("ts") == "unknown", F.col("ts"), F.col("seq")], bullet("ts", F.lit(" "), "description", F.lit(" (Source: "), "path", F.lit(")"))),
-        _page("entities", n, [F.col("type"), F.col("key")], bullet("type", F.lit(": "), "value", F.lit(" ("), "sources", F.lit(")"))),
-        _page("iocs", i, [F.lower("artifact")], bullet("artifact", F.lit(" ["), "confidence", F.lit("] "), "reason")),
-        _page("hypotheses", claims, [F.lower("title")], bullet("title", F.lit(" ["), "confidence", F.lit("] "), "inference", F.lit("\n  "), F.regexp_replace("facts", r"\|", "\n  "))),
-        _page("contradictions", c, [F.lower("title")], bullet("title", F.lit(": Claim A: "), "claim_a", F.lit(" Claim B: "), "claim_b")),
-        _page("open_questions", questions, [F.col("text")], bullet("text")),
-        _page("index", claims.sparkSession.createDataFrame([(x,) for x in NAMES if x != "index"], "n string"), [F.col("n")], bullet(F.lit("[["), "n", F.lit("]]"))),
+        timeline(e),
+        _page("entities", n, [F.col("type"), F.col("key")], _bullet("type", F.lit(": "), "value", F.lit(" ("), F.array_join("sources", ", "), F.lit(")"))),
+        _page("iocs", i, [F.lower("artifact")], _bullet("artifact", F.lit(" ["), "confidence", F.lit("] "), "reason")),
+        _page("hypotheses", claims, [F.lower("title")], _bullet("title", F.lit(" ["), "confidence", F.lit("] "), "inference", F.array_join(F.transform("facts", lambda f: F.concat(F.lit("\n  "), f)), ""))),
+        _page("contradictions", c, [F.lower("title")], _bullet("title", F.lit(": Claim A: "), "claim_a", F.lit(" Claim B: "), "claim_b")),
+        _page("open_questions", questions, [F.col("text")], _bullet("text")),
+        _page("index", claims.sparkSession.createDataFrame([(x,) for x in NAMES if x != "index"], "n string"), [F.col("n")], _bullet(F.lit("[["), "n", F.lit("]]"))),
     ]
     out = every[0]
     for x in every[1:]:
@@ -40,6 +50,5 @@ def render(state: State, claims: DataFrame, questions: DataFrame) -> DataFrame:
 
 def line_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """page, sign (+ or -), line, n: lines that one side has more often than the other."""
-    side = lambda df, x: df.select("page", F.explode(F.split("body", "\n")).alias("line"), F.lit(x).alias("k"))
-    d = side(old, -1).unionByName(side(new, 1)).groupBy("page", "line").agg(F.sum("k").alias("n")).where("n != 0")
+    d = diff.line_counts(old, new).withColumn("n", F.col("added") - F.col("removed"))
     return d.select("page", F.when(F.col("n") > 0, "+").otherwise("-").alias("sign"), "line", F.abs("n").alias("n"))

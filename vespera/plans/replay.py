@@ -8,27 +8,55 @@ from pyspark.sql import functions as F
 from vespera.plans import evidence as P
 
 
+STEP = r"^(step_[^/]*)/"
+
+
 def steps(files: DataFrame) -> DataFrame:
-    """files with their first folder as step."""
-    return files.withColumn("step", F.element_at(F.split("path", "/"), 1))
+    """Files of step folders (named step_...) with their step; files elsewhere belong to none."""
+    return files.withColumn("step", F.regexp_extract("path", STEP, 1)).where("step != ''")
 
 
 def first_seen(facts: DataFrame, key: list[str], path: str) -> DataFrame:
     """key, step: the step whose evidence brings each fact first. State only grows, so this is the whole replay in one job."""
-    return facts.withColumn("step", F.element_at(F.split(path, "/"), 1)).groupBy(*key).agg(F.min("step").alias("step"))
+    return facts.withColumn("step", F.regexp_extract(path, STEP, 1)).where("step != ''").groupBy(*key).agg(F.min("step").alias("step"))
+
+
+KINDS = ("event", "entity", "ioc", "hypothesis")
+
+
+def running(first: DataFrame, names: DataFrame) -> DataFrame:
+    """step, kind, n_new, n_total from first-seen rows (kind, step) over all steps (names: step), with running totals by kind."""
+    every = names.select("step").distinct().crossJoin(names.sparkSession.createDataFrame([(k,) for k in KINDS], "kind string"))
+    counts = every.join(first.groupBy("kind", "step").agg(F.count("*").alias("n_new")), ["kind", "step"], "left").fillna(0, ["n_new"])
+    return counts.withColumn("n_total", F.sum("n_new").over(Window.partitionBy("kind").orderBy("step")))
 
 
 def growth(files: DataFrame) -> DataFrame:
     """step, kind, n_new, n_total: events, entities, indicators and hypotheses by step, with running totals."""
+    files = steps(files)
+    found = P.iocs(files)
     parts = [
         first_seen(P.events(files), ["ts", "description", "path"], "path").select(F.lit("event").alias("kind"), "step"),
         first_seen(P.entities(files).withColumn("key", F.lower("value")), ["type", "key"], "source").select(F.lit("entity").alias("kind"), "step"),
-        first_seen(P.iocs(files).withColumn("key", F.lower("artifact")), ["type", "key"], "source").select(F.lit("ioc").alias("kind"), "step"),
-        first_seen(P.hypotheses(files).withColumn("key", F.lower("title")), ["key"], "source").select(F.lit("hypothesis").alias("kind"), "step"),
+        first_seen(found.withColumn("key", F.lower("artifact")), ["type", "key"], "source").select(F.lit("ioc").alias("kind"), "step"),
+        first_seen(P.hypotheses(found).withColumn("key", F.lower("title")), ["key"], "source").select(F.lit("hypothesis").alias("kind"), "step"),
     ]
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
-    names = steps(files).select("step").distinct().crossJoin(files.sparkSession.createDataFrame([("event",), ("entity",), ("ioc",), ("hypothesis",)], "kind string"))
-    counts = names.join(every.groupBy("kind", "step").agg(F.count("*").alias("n_new")), ["kind", "step"], "left").fillna(0, ["n_new"])
-    return counts.withColumn("n_total", F.sum("n_new").over(Window.partitionBy("kind").orderBy("step")))
+    return running(every, files)
+
+
+def report(steps_: list[dict]) -> str:
+    """The Markdown of a replay: for each step what it added, what moved, how checks went. steps_: as Case.evolve gives them."""
+    out = ["# Replay", "", f"{len(steps_)} step(s)."]
+    for s in steps_:
+        out += ["", f"## {s['step']}", "", f"- files: {s['files']}", f"- pages changed: {', '.join(s['pages']) or 'none'}"]
+        out += [f"- new hypothesis: {t}" for t in s["new_hypotheses"]]
+        out += [f"- confidence of {c['title']}: {c['old']} to {c['new']}" for c in s["confidence_changes"]]
+        out += [f"- new contradiction: {t}" for t in s["new_contradictions"]]
+        out.append("- findings: " + ", ".join(f"{k} {n}" for k, n in s["findings"].items()))
+        if s["passed"] is not None:
+            out.append(f"- questions passed: {s['passed']} of {s['questions']}")
+        out.append(f"- assessment: {s['assessment']}")
+    return "\n".join(out) + "\n"

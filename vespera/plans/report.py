@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vespera.operators.merge import rank
+from vespera.plans.text import joined
 
 PAGE = "final_report"
 STUB = "# Final report\n\n_No report has been made._"
@@ -13,8 +14,8 @@ STUB = "# Final report\n\n_No report has been made._"
 
 def section(title: str, rows: DataFrame, order: list, line) -> DataFrame:
     """body: a heading and a line a row in order, or that there is none."""
-    x = rows.agg(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line")))).alias("l"))
-    return x.select(F.concat(F.lit(f"## {title}\n\n"), F.when(F.size("l") == 0, "- _none_").otherwise(F.array_join(F.transform("l", lambda y: y["line"]), "\n"))).alias("body"))
+    x = joined(rows, order, line)
+    return x.select(F.concat(F.lit(f"## {title}\n\n"), F.when(F.col("n") == 0, "- _none_").otherwise(F.col("text"))).alias("body"))
 
 
 def render(events: DataFrame, entities: DataFrame, iocs: DataFrame, claims: DataFrame, contradictions: DataFrame, steps: DataFrame, files: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def render(events: DataFrame, entities: DataFrame, iocs: DataFrame, claims: Data
     strongest = F.concat(F.lit("The strongest hypothesis is: "), F.col("top.title"), F.lit(" (confidence: "), F.col("top.confidence"), F.lit("). It is not a fact."))
     summary = top.select(F.concat(F.lit("## Summary\n\n"), F.when(F.col("n") == 0, "No hypothesis is on record.").otherwise(strongest)).alias("body"))
     told = F.concat(
-        F.lit("### "), "title", F.lit(" (confidence: "), "confidence", F.lit(")\n\nFacts\n"), listed(F.filter(F.split("facts", r"\|"), lambda f: f != "")), F.lit("\n\nInference\n"), F.coalesce(F.nullif("inference", F.lit("")), F.lit("_none_")),
+        F.lit("### "), "title", F.lit(" (confidence: "), "confidence", F.lit(")\n\nFacts\n"), listed(F.col("facts")), F.lit("\n\nInference\n"), F.coalesce(F.nullif("inference", F.lit("")), F.lit("_none_")),
         F.lit("\n\nSupporting\n"), listed(F.transform("supporting", lambda s: F.concat(F.lit("(Source: "), s, F.lit(")")))), F.lit("\n\nContradicting\n"), listed(F.transform("contradicting", lambda s: F.concat(F.lit("(Source: "), s, F.lit(")")))), F.lit("\n"),
     )
     parts = [

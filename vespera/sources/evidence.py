@@ -4,27 +4,58 @@ from __future__ import annotations
 
 import csv
 import io
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vespera.functions.text import source_kind
 
+#: Bytes that files whose name, or a folder's above them, begins with an underscore may have together. Spark's listing leaves
+#: such files out, so the driver reads them; more than this is an error, nothing is dropped.
+UNDERSCORED_BYTES = 1 << 28
 CSV_KINDS = ("sysmon_csv", "network_csv", "generic_csv")
 LINES = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
+def text_of(content):
+    """Bytes as text: UTF-8, with the replacement character where they are not."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
+def underscored(spark: SparkSession, root: str) -> DataFrame:
+    """path, content, modificationTime of the files that Spark's listing leaves out for an underscore (hidden ones stay out)."""
+    jvm, rows, total = spark._jvm, [], 0
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(at).toUri().getPath().rstrip("/")
+    found = fs.listFiles(at, True) if fs.exists(at) else None
+    while found is not None and found.hasNext():
+        f = found.next()
+        path = f.getPath()
+        parts = path.toUri().getPath()[len(base) :].strip("/").split("/")
+        if any(p.startswith("_") for p in parts) and not any(p.startswith(".") for p in parts):
+            total += f.getLen()
+            if total > UNDERSCORED_BYTES:
+                raise ValueError(f"files whose names begin with an underscore have more than {UNDERSCORED_BYTES} bytes below {root}; rename them")
+            stream = fs.open(path)
+            rows.append((path.toString(), bytearray(stream.readAllBytes()), datetime.fromtimestamp(f.getModificationTime() / 1000)))
+            stream.close()
+    return spark.createDataFrame(rows, "path string, content binary, modificationTime timestamp")
+
+
 def scan(spark: SparkSession, root: str, step: str | None = None) -> DataFrame:
     """path (below root), kind, sha, text, seq of every file; hidden files and folders are left out.
 
-    step keeps one sub-folder. A root that does not exist raises Spark's PATH_NOT_FOUND. seq orders paths by their parts.
+    step reads one sub-folder alone. A folder that does not exist raises Spark's PATH_NOT_FOUND. seq orders paths by their
+    parts. Bytes that are not UTF-8 become replacement characters.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    at = root.rstrip("/") + (f"/{step.strip('/')}" if step else "")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select("path", "content", "modificationTime")
+    files = files.unionByName(underscored(spark, at))
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", ""), "^" + "".join(f"\\{c}" if not c.isalnum() else c for c in base) + "/?", "")
-    out = files.select(path.alias("path"), F.sha2("content", 256).alias("sha"), F.decode("content", "UTF-8").alias("text"), "modificationTime").where(~F.col("path").rlike(r"(^|/)\."))
-    if step:
-        out = out.where(F.col("path").startswith(step.rstrip("/") + "/"))
+    out = files.select(path.alias("path"), F.sha2("content", 256).alias("sha"), text_of(F.col("content")).alias("text"), "modificationTime").where(~F.col("path").rlike(r"(^|/)\."))
     return out.select("path", source_kind(F.col("path")).alias("kind"), "sha", "text", "modificationTime", F.array_join(F.split("path", "/"), "\x01").alias("seq"))
 
 
