@@ -21,7 +21,9 @@ def files(spark, tmp_path_factory):
     for name, text in FILES.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
-    return S.scan(spark, str(root)), str(root)
+    parsed = str(tmp_path_factory.mktemp("parsed") / "files")
+    S.with_rows(S.scan(spark, str(root))).write.parquet(parsed)  # read and parsed once
+    return spark.read.parquet(parsed), str(root)
 
 
 def test_scan(spark, files):
@@ -51,7 +53,7 @@ def test_state_and_graph(files):
     assert nodes.where("type = 'source'").count() == 3
 
 
-def test_claims_answers_and_replay(spark, files):
+def test_claims_answers_and_replay(spark, files, tmp_path):
     from vespera.plans import answers as A
     from vespera.plans import replay
 
@@ -61,7 +63,10 @@ def test_claims_answers_and_replay(spark, files):
     assert len(got) == 3 and sorted(r["claim_id"] for r in got.values()) == ["claim_0001", "claim_0002", "claim_0003"]
     assert got["Autostart persistence of an unfamiliar program"]["supporting"] == ["step_2/run_keys.reg"]
     assert P.claim_edges(claims).where("type = 'supports'").count() == 3
-    state = A.Tables(claims, s.iocs, s.contradictions, s.events, s.entities, files[0])
+    tables = {"claims": claims, "iocs": s.iocs, "contradictions": s.contradictions, "events": s.events, "entities": s.entities, "files": files[0].select("path")}
+    for k, df in tables.items():  # answers read a written state
+        df.write.parquet(f"{tmp_path}/{k}")
+    state = A.Tables(**{k: spark.read.parquet(f"{tmp_path}/{k}") for k in tables})
     asked = spark.createDataFrame([(1, "Is this confirmed malware?"), (2, "any beacon?"), (3, "does it persist"), (4, "is it signed?")], "qid long, question string")
     out = {r["qid"]: r for r in A.answers(asked, state).collect()}
     assert out[1]["answer"].startswith("Answer:\nNo. Malware is not confirmed") and not out[1]["insufficient"]
@@ -72,6 +77,16 @@ def test_claims_answers_and_replay(spark, files):
     assert total["step_1", "event"] == 1 and total["step_2", "event"] == 3 and total["step_3", "event"] == 8 and total["step_3", "hypothesis"] == 3
 
 
+def test_scan_survives_bytes_and_underscores(spark, tmp_path):
+    (tmp_path / "_inbox").mkdir()
+    (tmp_path / "_notes.txt").write_bytes(b"caf\xe9 \xff ok")
+    (tmp_path / "_inbox" / "x.txt").write_text("below")
+    (tmp_path / "plain.md").write_text("ünï")
+    (tmp_path / ".hidden").write_text("no")
+    got = {r["path"]: r["text"] for r in S.scan(spark, str(tmp_path)).collect()}
+    assert got == {"_notes.txt": "caf\ufffd \ufffd ok", "_inbox/x.txt": "below", "plain.md": "ünï"}
+
+
 def test_review_queue(spark):
     from vespera.operators import review
 
