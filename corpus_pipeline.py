@@ -15,7 +15,11 @@ from vespera.llm.queries import tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ranking scores at or above the threshold, with every row and column they had."""
+    """Documents that the ranking scores at or above the threshold, with every row and column they had.
+
+    Null and empty texts get one score, that of the `empty` feature. Repeated rows get equal scores, so all stay or all go;
+    a null id is judged like any other. Without labels every row stays. An empty table stays empty.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(fold(F.col("doc_id"), 5) != 0)
     scored = pairwise_quality.score(docs, pairwise_quality.train(docs, labels), keep=docs.columns)
     return scored.where(F.col("vespera_score") >= pairwise_quality.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -30,6 +34,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near duplicates: the one with the least doc_id, once.
 
     The first text of an id is judged by that id; rows without an id and further texts of an id by numbers beyond all ids.
+    Of rows of one id and text, and of ties, the least by all columns stays. Rows without words are linked with nothing:
+    one stays for an id, all where there is no id.
     """
     keyed = docs.withColumn("vespera_key", row_key())
     ids = keyed.select("vespera_key").distinct().select("vespera_key.*")
@@ -47,7 +53,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item.
+
+    Each id and text is judged apart, so a contaminated row takes only its own repeats along, whether its id is null or
+    shared. Null and empty texts stay; without benchmark items every row stays.
+    """
     keyed = docs.withColumn("vespera_key", row_key())
     found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="vespera_key").where("contaminated").select(F.col("doc_id").alias("vespera_key"))
     return keyed.join(found, "vespera_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -56,7 +66,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice.
 
-    Rows of one id, text and source are interchangeable; if the mix takes them unequally, they are ranked.
+    Rows of one id, text and source are interchangeable; if the mix takes them unequally, they are ranked. Rows without
+    words add nothing to any target and are not taken. A null source is a source of its own.
     """
     keyed = docs.withColumn("vespera_key", F.struct("doc_id", F.xxhash64("text").alias("hash"), "source"))
     taken = mixing.mix(keyed, id_col="vespera_key").groupBy(F.col("doc_id").alias("vespera_key")).agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.sum("copies").alias("all"), F.count("*").alias("n"))
@@ -70,7 +81,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as token files, and what they hold of each document."""
+    """The mix as token files, and what they hold of each document: a row a copy, null ids first.
+
+    A null or empty text is its end id alone; an empty table makes files without documents.
+    """
     return token_files.token_files(docs, tokenizer_path())
 
 
