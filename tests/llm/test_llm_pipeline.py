@@ -51,6 +51,24 @@ def test_stages_judge_rows_of_null_and_shared_ids_apart(spark):
     assert mixed.groupBy("n_chars").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_stages_on_odd_rows(spark):
+    long, words = "word " * 30_000, " ".join(f"w{i}" for i in range(40))
+    rows = [(None, None), (None, ""), (1, None), (2, ""), (3, "one"), (4, long), (5, words), (5, words), (6, words), (7, "tie a b c d e f g h i j"), (8, "tie a b c d e f g h i j"), (9, " ".join(f"v{i}" for i in range(50)))]
+    docs = spark.createDataFrame([(i, t, None if k % 4 == 0 else "en", None if k % 3 == 0 else "s", len(t or ""), 0.5, 7) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, score double, size int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.stored(stage(spark, docs, SF), "t")
+        assert out.columns == docs.columns and out.join(docs, [docs[c].eqNullSafe(out[c]) for c in docs.columns], "left_anti").count() == 0, name
+        if name.startswith("quality"):
+            kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+            assert all(kept.count(x) in (0, rows.count(x)) for x in set(rows))  # equal rows share their fate
+        if name.startswith("MinHash"):
+            assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "2", "3", "4", "5", "7", "9", "None", "None"]
+        if name.startswith("benchmark"):
+            assert out.count() == len(rows)
+    last = corpus_pipeline.token_output(spark, docs, SF).collect()
+    assert len(last) == len(rows) and sorted(r["n_tokens"] for r in last)[:4] == [1, 1, 1, 1]
+
+
 def test_every_operator_has_one_query():
     names = list(queries.queries())
     assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == names[:-1] and names[-1] == "pipeline"
