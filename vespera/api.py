@@ -23,6 +23,7 @@ SCHEMAS = {
     "reviews": "review_id string, page string, status string, phrases array<string>, proposed string, prior string",
     "history": "title string, claim_id string, step string, confidence string, assessment string, supporting_count int, contradicting_count int",
     "claims": "claim_id string, title string, confidence string, inference string, facts array<string>, supporting array<string>, contradicting array<string>",
+    "conflicts": "title string, seq string, rule string, claim_a string, claim_b string, path string",
     "contradictions": "title string, seq string, rule string, claim_a string, claim_b string, path string",
     "events": "ts string, description string, path string, seq string, relation string, actor_type string, actor string, target_type string, targets array<string>",
     "entities": "type string, key string, value string, sources array<string>, n_sources long, seq string",
@@ -57,21 +58,22 @@ class Case:
 
     def read(self, name: str) -> DataFrame:
         """A table of the last version; one that was never written is empty if its schema is known, else KeyError."""
-        at = self.versions.tables().get(name)
-        if at is None:
+        at = self.versions.folders(name)
+        if not at:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.parquet(*at)
 
-    def write(self, **tables: DataFrame) -> None:
-        """Write tables and make them the next version, at once."""
-        self.versions.commit({name: self.versions.stage(name, df) for name, df in tables.items()})
+    def write(self, since: int | None = None, **tables: DataFrame) -> None:
+        """Write tables and make them the next version, at once; since: the version they were made from, if any matters."""
+        self.versions.commit({name: self.versions.stage(name, df) for name, df in tables.items()}, since)
 
     def trace(self, command: str) -> T.Trace:
         return T.Trace(self.spark, f"{self.at}/logs/traces", command, self.traced)
 
-    def record(self, log: str, **fields: str) -> None:
-        """Append one line to a JSON log of the case, with the time."""
-        self.spark.range(1).select(F.current_timestamp().alias("at"), *[F.lit(v).alias(k) for k, v in fields.items()]).write.mode("append").json(f"{self.at}/logs/{log}")
+    def record(self, log: str, at: datetime | None = None, **fields: str) -> None:
+        """Append one line to a JSON log of the case, with the time (now, if none is given)."""
+        time = F.lit(at) if at else F.current_timestamp()
+        self.spark.range(1).select(time.alias("at"), *[F.lit(v).alias(k) for k, v in fields.items()]).write.mode("append").json(f"{self.at}/logs/{log}")
 
     def log(self, name: str, schema: str) -> DataFrame:
         """A log's rows by time; a log that was never written is empty."""
@@ -98,11 +100,20 @@ class Case:
     def ingest(self, step: str | None = None, dry_run: bool = False, hold: bool = False, force: bool = False) -> DataFrame:
         """path, state of the files that were new or changed; their facts are added to those on record and merged.
 
-        Only these files are read and parsed. Facts of files that are gone, and of earlier versions of a file, stay. hold
+        Only these files are read and parsed, and only those buckets of events, entities, indicators and conflicts are
+        written anew that their facts fall into. Facts of files that are gone, and of earlier versions of a file, stay. hold
         queues pages that newly hold a risky phrase; they keep their former body until someone approves. force reads files
-        again though they did not change. dry_run writes nothing and gives page, diff: how pages would change.
+        again though they did not change. dry_run writes nothing and gives page, diff: how pages would change. If another
+        ingest commits first, this one is done again upon its version.
         """
-        began = datetime.now(timezone.utc)
+        while True:
+            try:
+                return self._ingest(step, dry_run, hold, force)
+            except storage.Conflict:
+                continue
+
+    def _ingest(self, step: str | None, dry_run: bool, hold: bool, force: bool) -> DataFrame:
+        began, since = datetime.now(timezone.utc), self.versions.last()
         with self.trace("ingest") as t:
             with t.step("scan"):
                 files = self.files(step)
@@ -114,24 +125,28 @@ class Case:
             with t.step("extract"):
                 found = self.extract(todo)
                 # what comes later is later in order, so the facts on record go first in every merge
-                batch = f"{len(self.versions.numbers()):06d}\x03"
+                batch = f"{since:06d}\x03"
                 found = {k: df.withColumn("seq", F.concat(F.lit(batch), "seq")) for k, df in found.items()}
-                tables, staged = self.versions.tables(), {}
-                if dry_run:
-                    raw = {k: self.spark.read.parquet(*tables[k]).unionByName(df) if k in tables else df for k, df in found.items()}
-                else:
-                    staged = {k: self.versions.stage(k, df, append=True) for k, df in found.items()}
-                    raw = {k: self.spark.read.parquet(*staged[k]) for k in found}
+                before = {k: self.versions.folders(k, since) for k in found}
+                added = {} if dry_run else {k: self.versions.stage(k, df) for k, df in found.items()}
+                new = {k: self.spark.read.parquet(*added[k]) if added else df for k, df in found.items()}
+                raw = {k: self.spark.read.parquet(*before[k]).unionByName(df) if before[k] else df for k, df in new.items()}
             with t.step("merge"):
-                state = evidence.merged(raw)
                 manifest = self.read("manifest").join(todo_paths, "path", "left_anti").unionByName(todo.select("path", "sha", F.lit("processed").alias("status"), "kind", F.lit(f"{began:%Y-%m-%dT%H:%M:%SZ}").alias("at")))
                 prior = self.read("claims").select(F.lower("title").alias("key"), F.substring("claim_id", 7, 20).cast("long").alias("num"))
-                claimed = evidence.claims(raw["raw_iocs"], state.contradictions, prior)
                 if dry_run:
+                    state = evidence.merged(raw)
+                    claimed = evidence.claims(raw["raw_iocs"], state.contradictions, prior)
                     return diff.unified(self.read("pages"), pages.render(state, claimed, evidence.open_questions(manifest, claimed)))
-                facts = {"events": state.events, "entities": state.entities, "iocs": state.iocs, "contradictions": state.contradictions, "claims": claimed, "manifest": manifest, "changes": todo_paths}
-                staged |= {name: self.versions.stage(name, df) for name, df in facts.items()}
-                read = lambda name: self.spark.read.parquet(*staged[name])  # noqa: E731  later steps read what is written
+                staged = {}
+                for name, (table, key, facts, merge_, back) in evidence.KEYED.items():
+                    staged |= self.versions.upsert(name, facts(new[table]), key, merge_, back, since)
+                was = self.versions.tables(since) if since else {}
+                keyed = lambda name: [f for k, fs in sorted({**was, **staged}.items()) if k.startswith(f"{name}/") for f in fs]
+                read = lambda name: self.spark.read.parquet(*(staged.get(name) or keyed(name))) if name in staged or keyed(name) else self.spark.createDataFrame([], SCHEMAS[name])  # noqa: E731  later steps read what is written
+                staged["contradictions"] = self.versions.stage("contradictions", evidence.contradictions(read("conflicts"), read("iocs")))
+                claimed = evidence.claims(raw["raw_iocs"], read("contradictions"), prior)
+                staged |= {name: self.versions.stage(name, df) for name, df in {"claims": claimed, "manifest": manifest, "changes": todo_paths}.items()}
                 state, claimed = evidence.State(read("events"), read("entities"), read("iocs"), read("contradictions")), read("claims")
             with t.step("index"):
                 nodes, edges = evidence.graph(raw["mentions"], state.events)
@@ -145,9 +160,9 @@ class Case:
                 body = pages.render(state, claimed, evidence.open_questions(read("manifest"), claimed))
                 staged |= self._published(body, "pages", hold)
             with t.step("commit"):
-                self.versions.commit(staged)
+                self.versions.commit(staged, since, added)
             todo.unpersist()
-        self.record("ingest", step=step or "", n_changed=str(n))
+        self.record("ingest", began, step=step or "", n_changed=str(n))  # pages are stamped later than that
         return self.read("changes")
 
     def _published(self, new: DataFrame, name: str, hold: bool) -> dict[str, list[str]]:
@@ -168,6 +183,7 @@ class Case:
 
     def decide(self, review_id: str, verdict: str) -> bool:
         """Approve or reject a pending review; an approved page takes its proposed body. False if none was pending."""
+        since = self.versions.last()
         one = self.reviews("pending").where(F.col("review_id") == review_id)
         if verdict not in ("approved", "rejected") or not one.limit(1).count():
             return False
@@ -176,17 +192,17 @@ class Case:
         if verdict == "approved":
             taken = one.select("page", F.col("proposed").alias("body"), F.lit(f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}").alias("at"))
             tables[name] = self.read(name).join(one.select("page"), "page", "left_anti").unionByName(taken)
-        self.write(**tables)
+        self.write(since, **tables)
         self.record("review", review_id=review_id, verdict=verdict)
         return True
 
     def report(self, hold: bool = False) -> DataFrame:
         """Make the report page from the state."""
         with self.trace("report") as t, t.step("render"):
-            claims = self.read("claims")
+            since, claims = self.versions.last(), self.read("claims")
             steps = evidence.follow_up(claims).where("kind = 'step'")
             made = report.render(self.read("events"), self.read("entities"), self.read("iocs"), claims, self.read("contradictions"), steps, self.read("manifest"))
-            self.versions.commit(self._published(made, "report", hold))
+            self.versions.commit(self._published(made, "report", hold), since)
         return self.read("report")
 
     def tables(self) -> answers.Tables:
@@ -335,7 +351,8 @@ class Case:
     def at_snapshot(self, name: str, table: str) -> DataFrame:
         """A table, or pages, as a snapshot has it."""
         kept = json.loads(storage.read_text(self.spark, f"{self.at}/snapshots/{name}.json"))
-        folders = kept["pages"] if table == "pages" else kept["tables"].get(table)
+        tables = kept["tables"]
+        folders = kept["pages"] if table == "pages" else tables.get(table) or [f for n in sorted(tables) if n.startswith(f"{table}/") for f in tables[n]]
         return self.spark.read.parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMAS[table])
 
     def diff(self, old: str, new: str) -> DataFrame:

@@ -26,6 +26,11 @@ def merge_entities(mentions: DataFrame) -> DataFrame:
     )
 
 
+def mentions_of(entities: DataFrame) -> DataFrame:
+    """Rows of merge_entities as mentions: merged again, alone or with later ones, they give what all mentions give."""
+    return entities.select("seq", "type", "value", "key", F.explode("sources").alias("source"))
+
+
 def merge_iocs(iocs: DataFrame) -> DataFrame:
     """iocs: artifact, type, first_seen, source, confidence, reason, seq. Highest confidence, first known sighting, first source and reason."""
     known = F.min_by(F.when(F.col("first_seen") != "unknown", F.col("first_seen")), F.when(F.col("first_seen") != "unknown", F.col("seq")))

@@ -51,23 +51,25 @@ def reduced(s: Tables) -> DataFrame:
     c = s.claims.agg(F.count("*").alias("n_claims"), *topics, about("persist").alias("persistence"), about("beacon").alias("network"))
     is_network = X.event_type(F.col("description")) == "network_connection"
     line = F.concat(F.col("description"), F.lit(" (Source: "), "path", F.lit(")"))
-    steps = follow_up(s.claims)
+    steps, number = follow_up(s.claims), F.regexp_extract("claim_id", r"(\d+)$", 1).cast("long")
     told = F.concat("text", F.lit(" (from "), "claim_id", F.lit(")"))
     remote = s.events.where(is_network).select("seq", F.explode(F.regexp_extract_all("description", F.lit(X.IP), F.lit(0))).alias("ip")).where(N.notable_ip(F.col("ip")))
     parts = [
-        _first(s.claims, [F.col("claim_id")], F.concat("title", F.lit(" ("), "confidence", F.lit(")")), TITLES, "titles"),
+        _first(s.claims, [-rank(F.col("confidence")), number], F.struct(F.concat("title", F.lit(" ("), "confidence", F.lit(")")).alias("t"), "confidence"), TITLES, "strongest"),
         _first(s.contradictions, [F.col("title")], F.concat("title", F.lit(": "), "claim_b"), ALL_SOURCES, "conflicts"),
         _first(s.events.where(is_network), [F.col("seq")], line, EVENTS, "network_events"),
         _first(remote, [F.col("seq"), F.col("ip")], F.col("ip"), 1, "remote"),
         _first(s.events.where(F.lower("description").startswith("hash reputation")), [F.col("seq")], line, 1, "reputation"),
-        _first(steps.where("kind = 'step'"), [F.col("claim_id"), F.col("pos")], told, STEPS, "steps"),
-        _first(steps.where("kind = 'question'"), [F.col("claim_id"), F.col("pos")], told, STEPS, "questions"),
+        _first(steps.where("kind = 'step'"), [number, F.col("pos")], told, STEPS, "steps"),
+        _first(steps.where("kind = 'question'"), [number, F.col("pos")], told, STEPS, "questions"),
         _first(s.files.select("path").distinct(), [F.col("path")], F.col("path"), ALL_SOURCES, "all_sources"),
-        s.iocs.agg(F.count("*").alias("n_iocs")), s.files.agg(F.count_distinct("path").alias("n_sources")), s.events.agg(F.count_if(is_network).alias("n_network")),
+        s.iocs.agg(F.count("*").alias("n_iocs")), s.files.agg(F.count_distinct("path").alias("n_sources")), s.events.agg(F.count_if(is_network).alias("n_network")), s.contradictions.agg(F.count("*").alias("n_conflicts")),
     ]
     for p in parts:
         c = c.crossJoin(p)  # one row each
-    return c
+    # titles of the highest confidence that any claim has
+    highest = F.filter("strongest", lambda x: x["confidence"] == F.element_at("strongest", 1)["confidence"])
+    return c.withColumn("titles", F.when(F.size("strongest") > 0, F.transform(highest, lambda x: x["t"])).otherwise(F.array().cast("array<string>")))
 
 
 def named(questions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -82,13 +84,14 @@ def named(questions: DataFrame, entities: DataFrame) -> DataFrame:
 def mentioning(found: DataFrame, events: DataFrame, files: DataFrame | None) -> DataFrame:
     """named()'s rows with the sources of events that tell of the label and of files whose path or text holds it. files: path, text.
 
-    found is one row a question at most: a stated query set against all rows.
+    found is one row a question at most. Labels are looked up in the texts by their prefixes, so nothing is paired that
+    shares none (graph.matches).
     """
-    asked = found.select("qid", "label", F.lower("label").alias("low"))
-    told = events.select("path", F.lower("description").alias("d")).join(asked, F.contains("d", "low")).select("qid", "label", "path")
-    every = found.select("qid", "label", F.explode("paths").alias("path")).unionByName(told)
+    asked = found.select(F.col("qid").alias("asked"), "label")
+    hit = lambda path, text: graph.matches(path.select(F.col("path").alias("qid"), text.alias("question")), asked).select(F.col("asked").alias("qid"), "label", F.col("qid").alias("path"))
+    every = found.select("qid", "label", F.explode("paths").alias("path")).unionByName(hit(events, F.col("description")))
     if files is not None:
-        every = every.unionByName(files.select("path", F.lower(F.concat_ws("\n", "path", "text")).alias("d")).join(asked, F.contains("d", "low")).select("qid", "label", "path"))
+        every = every.unionByName(hit(files, F.concat_ws("\n", "path", "text")))
     return every.groupBy("qid", "label").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
@@ -140,7 +143,7 @@ def answers(questions: DataFrame, s: Tables, texts: DataFrame | None = None) ->
     nothing = (F.col("n_claims") == 0) & (F.col("n_iocs") == 0)
     name = F.concat(F.upper(F.substring(route, 1, 1)), F.substring(route, 2, 99))
     none = F.array().cast("array<string>")
-    more = F.when(F.col("n_sources") > ALL_SOURCES, F.array(F.concat(F.lit("and "), (F.col("n_sources") - ALL_SOURCES).cast("string"), F.lit(" more")))).otherwise(none)
+    beyond = lambda n: F.when(F.col(n) > ALL_SOURCES, F.array(F.concat(F.lit("and "), (F.col(n) - ALL_SOURCES).cast("string"), F.lit(" more")))).otherwise(none)
     insufficient = (
         F.when(confirm, nothing).when(route == "persistence", F.col("persistence").isNull()).when(route == "network", F.col("n_network") == 0)
         .when(route == "signature", F.size("reputation") == 0).when(route == "contradiction", F.size("conflicts") == 0)
@@ -153,7 +156,7 @@ def answers(questions: DataFrame, s: Tables, texts: DataFrame | None = None) ->
         .when(route == "persistence", F.concat(F.lit("Persistence is a hypothesis: "), F.col("persistence.title"), F.lit(".")))
         .when(route == "network", F.concat(F.lit("Yes. "), F.col("n_network").cast("string"), F.lit(" network event(s) are on record."), address))
         .when(route == "signature", F.lit("No signature check was recorded."))
-        .when(route == "contradiction", F.concat(F.size("conflicts").cast("string"), F.lit(" contradiction(s) are on record.")))
+        .when(route == "contradiction", F.concat(F.col("n_conflicts").cast("string"), F.lit(" contradiction(s) are on record.")))
         .when(route == "sources", F.concat("label", F.lit(" is mentioned in: "), F.array_join(F.slice("paths", 1, SOURCES), ", "), F.when(F.size("paths") > SOURCES, F.concat(F.lit(" and "), (F.size("paths") - SOURCES).cast("string"), F.lit(" more."))).otherwise(".")))
         .when(route == "next_steps", F.lit("Steps and questions that the hypotheses leave:"))
         .otherwise(F.col("g.body"))
@@ -162,11 +165,11 @@ def answers(questions: DataFrame, s: Tables, texts: DataFrame | None = None) ->
         F.when(confirm, F.transform("titles", lambda t: F.concat(F.lit("Hypothesis: "), t))).when(route == "persistence", F.col("persistence.facts")).when(route == "network", F.col("network_events"))
         .when(route == "signature", F.col("reputation")).when(route == "next_steps", F.concat("steps", F.transform("questions", lambda t: F.concat(F.lit("Open question: "), t)))).when(route == "generic", F.col("g.evidence")).otherwise(none)
     )
-    caveats = F.when(confirm | route.isin("contradiction", "persistence", "generic"), F.col("conflicts")).otherwise(none)
+    caveats = F.when(confirm | route.isin("contradiction", "persistence", "generic"), F.concat("conflicts", beyond("n_conflicts"))).otherwise(none)
     listed = F.when(confirm, F.array(F.lit("hypotheses"), F.lit("contradictions"))).when(route == "persistence", F.array(F.lit("hypotheses"))).when(route.isin("network", "signature"), F.array(F.lit("timeline")))
     pages = listed.when(route == "contradiction", F.array(F.lit("contradictions"))).when(route == "sources", F.array(F.lit("entities"))).when(route == "next_steps", F.array(F.lit("open_questions"))).otherwise(F.coalesce("g.pages", none))
     cited = lambda c: F.array_distinct(F.filter(F.transform(c, N.source_path), lambda p: p != ""))
-    sources = F.when(confirm, F.concat("all_sources", more)).when(route == "persistence", F.col("persistence.supporting")).when(route == "network", cited("network_events")).when(route == "signature", cited("reputation")).when(route == "contradiction", cited("conflicts")).when(route == "sources", F.slice("paths", 1, SOURCES)).when(route == "generic", F.col("g.sources"))
+    sources = F.when(confirm, F.concat("all_sources", beyond("n_sources"))).when(route == "persistence", F.col("persistence.supporting")).when(route == "network", cited("network_events")).when(route == "signature", cited("reputation")).when(route == "contradiction", cited("conflicts")).when(route == "sources", F.slice("paths", 1, SOURCES)).when(route == "generic", F.col("g.sources"))
     kind = F.when(route == "next_steps", "inference").when(route.isin("signature", "sources") | (confirm & yes), "fact").when(route == "generic", F.col("g.classification")).otherwise("hypothesis")
     sure = F.when((confirm & yes) | (route == "sources"), "High").when(route == "persistence", F.col("persistence.confidence")).when(route == "network", F.coalesce("network.confidence", F.lit("Low"))).when(confirm & (F.col("n_claims") == 0), "Low").when(route == "generic", F.col("g.confidence")).otherwise("Medium")
     blank = lambda c: F.when(F.col("insufficient"), none).otherwise(F.coalesce(c, none))

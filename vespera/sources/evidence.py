@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from datetime import datetime
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vespera.functions.text import source_kind
+from vespera.sources import csvs, files as listed
 
-#: Bytes that files whose name, or a folder's above them, begins with an underscore may have together. Spark's listing leaves
-#: such files out, so the driver reads them; more than this is an error, nothing is dropped.
-UNDERSCORED_BYTES = 1 << 28
+#: CSV files of more bytes are read in ranges, by many tasks.
+SPLIT_BYTES = 1 << 26
 CSV_KINDS = ("sysmon_csv", "network_csv", "generic_csv")
 LINES = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
@@ -23,44 +19,33 @@ def text_of(content):
     return F.make_valid_utf8(content.cast("string"))
 
 
-def underscored(spark: SparkSession, root: str) -> DataFrame:
-    """path, content, modificationTime of the files that Spark's listing leaves out for an underscore (hidden ones stay out)."""
-    jvm, rows, total = spark._jvm, [], 0
-    at = jvm.org.apache.hadoop.fs.Path(root)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = fs.makeQualified(at).toUri().getPath().rstrip("/")
-    found = fs.listFiles(at, True) if fs.exists(at) else None
-    while found is not None and found.hasNext():
-        f = found.next()
-        path = f.getPath()
-        parts = path.toUri().getPath()[len(base) :].strip("/").split("/")
-        if any(p.startswith("_") for p in parts) and not any(p.startswith(".") for p in parts):
-            total += f.getLen()
-            if total > UNDERSCORED_BYTES:
-                raise ValueError(f"files whose names begin with an underscore have more than {UNDERSCORED_BYTES} bytes below {root}; rename them")
-            stream = fs.open(path)
-            rows.append((path.toString(), bytearray(stream.readAllBytes()), datetime.fromtimestamp(f.getModificationTime() / 1000)))
-            stream.close()
-    return spark.createDataFrame(rows, "path string, content binary, modificationTime timestamp")
-
-
-def scan(spark: SparkSession, root: str, step: str | None = None) -> DataFrame:
-    """path (below root), kind, sha, text, seq of every file; hidden files and folders are left out.
+def scan(spark: SparkSession, root: str, step: str | None = None, split: int = SPLIT_BYTES) -> DataFrame:
+    """path (below root), kind, sha, text, seq and others of every file; hidden files and folders are left out.
 
     step reads one sub-folder alone. A folder that does not exist raises Spark's PATH_NOT_FOUND. seq orders paths by their
-    parts. Bytes that are not UTF-8 become replacement characters.
+    parts. Bytes that are not UTF-8 become replacement characters. Executors list and read the files; the text of CSV files
+    of more than `split` bytes is null, and csv_rows reads them in ranges. On a file system that only Spark opens, Spark
+    lists and reads; its listing leaves out names that begin with an underscore.
     """
-    at = root.rstrip("/") + (f"/{step.strip('/')}" if step else "")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select("path", "content", "modificationTime")
-    files = files.unionByName(underscored(spark, at))
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", ""), "^" + "".join(f"\\{c}" if not c.isalnum() else c for c in base) + "/?", "")
-    out = files.select(path.alias("path"), F.sha2("content", 256).alias("sha"), text_of(F.col("content")).alias("text"), "modificationTime").where(~F.col("path").rlike(r"(^|/)\."))
-    return out.select("path", source_kind(F.col("path")).alias("kind"), "sha", "text", "modificationTime", F.array_join(F.split("path", "/"), "\x01").alias("seq"))
+    root = root.rstrip("/")
+    at = root + (f"/{step.strip('/')}" if step else "")
+    if listed.reachable(root):
+        fs, place = listed.filesystem(at)
+        if fs.get_file_info(place).type == listed.pafs.FileType.NotFound:
+            spark.read.format("binaryFile").load(at)  # Spark's error
+        found = listed.listing(spark, at).withColumn("path", F.concat(F.lit(f"{step.strip('/')}/" if step else ""), "path"))
+        large = source_kind(F.col("path")).isin(*CSV_KINDS) & (F.col("length") > split)
+        read = listed.contents(found, root, ~large)
+    else:
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at)
+        base = root.split(":", 1)[-1].lstrip("/")
+        path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", ""), "^" + "".join(f"\\{c}" if not c.isalnum() else c for c in base) + "/?", "")
+        read = read.select(F.col("path").alias("at"), path.alias("path"), "length", "modificationTime", F.sha2("content", 256).alias("sha"), "content").where(~F.col("path").rlike(r"(^|/)\."))
+    return read.select("path", source_kind(F.col("path")).alias("kind"), "sha", text_of(F.col("content")).alias("text"), "modificationTime", F.array_join(F.split("path", "/"), "\x01").alias("seq"), "at", "length", F.lit(root).alias("root"))
 
 
 def with_rows(files: DataFrame) -> DataFrame:
-    """files with rows (maps of header to stripped value) of the CSV kinds; quoting as in readers that allow text after a quote.
+    """files with rows (maps of header to stripped value) of the CSV kinds whose text is there; csvs.records tells how.
 
     Python reads each file once here; what is made from the result stays in the JVM, so write it before using it often.
     """
@@ -68,24 +53,27 @@ def with_rows(files: DataFrame) -> DataFrame:
     if "rows" in files.columns:
         return files
 
-    def parse(text: str) -> list:
-        return [[(h.strip(), (x or "").strip()) for h, x in row.items() if h and h.strip()] for row in csv.DictReader(io.StringIO(text))]
-
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             t = pa.Table.from_batches([b])
-            found = [parse(x or "") if k in CSV_KINDS else [] for k, x in zip(t["kind"].to_pylist(), t["text"].to_pylist())]
+            found = [csvs.records(x or "")[1] if k in CSV_KINDS else [] for k, x in zip(t["kind"].to_pylist(), t["text"].to_pylist())]
             yield from t.append_column("rows", pa.array(found, pa.list_(pa.map_(pa.string(), pa.string())))).to_batches()
 
     return files.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields) + f", rows {kind}")
 
 
 def csv_rows(files: DataFrame) -> DataFrame:
-    """path, kind, seq, row_no, row of every CSV row."""
+    """path, kind, seq, row_no, row of every CSV row; files whose text was not read, being large, are read in ranges."""
     wanted = files.where(F.col("kind").isin(*CSV_KINDS))
-    return with_rows(wanted).select("path", "kind", "seq", F.posexplode("rows").alias("row_no", "row"))
+    got = with_rows(wanted).select("path", "kind", "seq", F.posexplode("rows").alias("row_no", "row"))
+    if "at" not in files.columns:
+        return got
+    large = wanted.where("text is null and length > 0").select("path", "kind", "seq", "at", "length", "root")
+    for r in large.select("root").distinct().collect():  # one root a scan
+        got = got.unionByName(csvs.split_rows(large.where(F.col("root") == r["root"]), r["root"]))
+    return got
 
 
 def lines(files: DataFrame) -> DataFrame:
