@@ -250,6 +250,12 @@ def test_toxicity_of_odd_frames(spark, odd, none):
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
     assert len({r["score"] for r in got if r["doc_id"] == 7}) == 1 and not any(r["held_out"] for r in got if r["doc_id"] is None)
     assert toxicity.toxicity(none, y).count() == 0
+    # a model too large to be sent along gives the same scores by joins
+    joined = toxicity.toxicity(docs, y, table_rows=3).collect()
+    order = lambda rows: sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["score"]) for r in rows))
+    assert [x[:3] for x in order(joined)] == [x[:3] for x in order(got)]
+    assert np.allclose([x[3] for x in order(joined)], [x[3] for x in order(got)], atol=1e-6)
+    assert toxicity.toxicity(none, y, table_rows=0).count() == 0
 
 
 def test_url_index_equals_running_every_rule():
@@ -338,6 +344,8 @@ def test_quality_rules(spark, odd, none):
     got = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, clean + junk)).collect()}
     assert all(got[i]["kept"] for i in range(60)) and not any(got[60 + i]["kept"] for i in range(3))
     assert quality_rules.judge(odd).count() == odd.count() and quality_rules.judge(none).count() == 0
+    rows = quality_rules.judge(spark.createDataFrame([(None, clean[0], None), (None, clean[0], None), (None, None, "en")], "doc_id long, text string, lang string")).collect()
+    assert [(r["doc_id"], r["n_words"]) for r in rows] == [(None, 80), (None, 80), (None, 0)] and rows[0]["kept"] == rows[1]["kept"] and not rows[2]["kept"]
 
 
 def test_quality_counts_equal_brute_force():
@@ -361,24 +369,28 @@ def js(p, q):
     return np.sqrt(max(0.0, (half(p) + half(q)) / 2))
 
 
-def test_quality_distances_equal_their_definition(spark):
+def test_quality_distances_equal_their_definition(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MIN_REFERENCE", 300)
     texts = [*odd_texts(30), *(" ".join(random.Random(i).choices(WORDS + ["—", "€uro", "Ω", "😀"], k=40)) for i in range(30)), "rare " * 9]
-    langs = ["en", None, "xx", "fr", "de"]
-    docs = spark.createDataFrame([(i, t, langs[i % 5], 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_words int")
+    langs = ["en", None, "pl", "fr", "tlh"]
+    docs = spark.createDataFrame([(i if i % 7 else None, t, langs[i % 5], i) for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_words int")
+    docs = docs.unionByName(docs.where("n_words = 20")).withColumn("doc_id", F.coalesce("doc_id", "n_words"))
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     chars = [quality_rules.class_counts(t or "") for t in texts]
     common = [[sum(quality_rules._COMMON.get(w, len(quality_rules.COMMON)) == k for w in ws) for k in range(len(quality_rules.COMMON) + 1)] for ws in words]
     failed = [len(w) < 10 or 100 * quality_rules.repeat_words(w) > 20 * len(w) for w in words]
-    group = lambda i: langs[i % 5] if langs[i % 5] in quality_rules.LANGUAGES else None
     able = [i for i, w in enumerate(words) if len(w) >= quality_rules.MIN_WORDS and not failed[i]]
-    refs = [[np.sum([h[i] for i in able if group(i) == g], axis=0) for h in (chars, common)] for g in {group(i) for i in able}]
+    able += [20] * (20 in able)  # that row is there twice
+    by = {g: [np.sum([h[i] for i in able if g is None or langs[i % 5] == g], axis=0) for h in (chars, common)] for g in langs}
+    assert any(by[g][1].sum() < 300 for g in langs) or all(by[g][1].sum() >= 300 for g in langs)
+    refs = lambda i: [by[None], *[by[g] for g in langs if g and g == langs[i % 5] and by[g][1].sum() >= 300]]
     for r in quality_rules.judge(docs).collect():
         i = r["doc_id"]
         assert r["base_failed"] == failed[i]
         if len(words[i]) < quality_rules.MIN_WORDS:
             assert r["char_distance"] is None and r["kept"] == (not failed[i])
             continue
-        _, c, w = min((js(chars[i], rc) + js(common[i], rw), js(chars[i], rc), js(common[i], rw)) for rc, rw in refs)
+        _, c, w = min((js(chars[i], rc) + js(common[i], rw), js(chars[i], rc), js(common[i], rw)) for rc, rw in refs(i))
         assert r["char_distance"] == pytest.approx(c, abs=1e-9) and r["word_distance"] == pytest.approx(w, abs=1e-9)
         assert r["kept"] == (not failed[i] and c <= quality_rules.MAX_CHAR_DISTANCE and w <= quality_rules.MAX_WORD_DISTANCE)
 
@@ -531,6 +543,50 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(none).count() == 0
 
 
+def test_bradley_terry_is_the_likeliest_and_the_cut_separates():
+    rng = np.random.default_rng(3)
+    better, worse = rng.normal(0.4, 1, (200, 4)), rng.normal(0, 1, (200, 4))
+    w = pairwise_quality.bradley_terry(better, worse, ridge=0.5)
+    d = better - worse
+
+    def loss(v):
+        return sum(np.log1p(np.exp(-float(x @ v))) for x in d) + 0.25 * float(v @ v)
+
+    for i in range(4):  # the gradient is zero, by differences of the definition, and no step is better
+        e = np.eye(4)[i] * 1e-5
+        assert abs(loss(w + e) - loss(w - e)) / 2e-5 < 1e-3
+        assert all(loss(w + k * 1e4 * e) > loss(w) for k in (-1, 1, 3))
+    x, y = np.column_stack([rng.normal(0, 1, (300, len(pairwise_quality.FEATURES)))]), (rng.random(300) < 0.7).astype(int)
+    x[:, 2] += 2 * y
+    r = pairwise_quality.fit(x, y)
+    raw, bad = r.raw(x), int((y == 0).sum())
+    wrong = lambda cut: int(((raw < cut) & (y == 1)).sum() + ((raw >= cut) & (y == 0)).sum())
+    ranked = np.sort(raw)
+    assert wrong(r.cut) == min(wrong((ranked[k - 1] + ranked[k]) / 2) for k in range(1, min(299, 2 * bad) + 1))
+    for q in (0.1, 0.5, 0.9):
+        assert abs((pairwise_quality.fit(x, y, quantile=q).score(x) < pairwise_quality.THRESHOLD).mean() - q) <= 0.01
+    assert np.allclose(r.score(x) >= pairwise_quality.THRESHOLD, raw >= r.cut)
+
+
+def test_quality_of_odd_rows(spark):
+    good, bad = [" ".join(random.Random(i).choices(WORDS, k=60)) + "." for i in range(40)], ["!!! ### " + "$ " * 30 + str(i) for i in range(20)]
+    rows = [(i, t) for i, t in enumerate(good + bad)] + [(3, good[3]), (None, good[5]), (None, None), (70, ""), (71, "word " * 60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit(9), "vespera_score": F.lit(8)})
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(60)] + [(4, 0), (None, 0), (5, None), (6, 7)], "doc_id long, quality int")
+    got = pairwise_quality.quality(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert len({r["score"] for r in by[3]}) == 1 and {r["held_out"] for r in by[None]} == {False}
+    held = {i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert {i for i in range(60) if by[i][0]["held_out"]} == held
+    assert all(by[i][0]["predicted"] == (i < 40) for i in held)
+    # two labels of one id count as the largest, so 4 stays good; null and other labels count for nothing
+    again = pairwise_quality.quality(docs, labels.where("doc_id != 4 or quality = 1")).collect()
+    assert sorted((str(r["doc_id"]), r["score"]) for r in again) == sorted((str(r["doc_id"]), r["score"]) for r in got)
+
+
 def brute_fit(size, count, budget):
     sums = {0}
     for x, n in zip(size, count):
@@ -550,6 +606,34 @@ def test_fit_equals_exhaustive_sums(monkeypatch):
             assert abs(int((size * take).sum()) - budget) == brute_fit(size.tolist(), count.tolist(), budget), (size, count, budget)
 
 
+def test_fit_is_exact_with_sizes_above_and_below_the_table(monkeypatch):
+    """Without the table over the whole budget: large sizes by their own sums, small ones by the table of the rest."""
+    monkeypatch.setattr(mixing, "TABLE_BITS", 0)
+    rng, off = random.Random(9), 0
+    for _ in range(400):
+        small = rng.sample(range(1, 12), rng.randint(1, 4))
+        large = rng.sample(range(17, 400), rng.randint(1, 4))
+        size = np.array(sorted(small + large), np.int64)
+        count = np.array([rng.randint(1, 4) if x > 16 else rng.randint(5, 30) for x in size], np.int64)
+        budget = rng.randint(0, int((size * count).sum()))
+        take = mixing.fit(size, count, budget, 16)
+        assert (take >= 0).all() and (take <= count).all()
+        miss = abs(int((size * take).sum()) - budget) - brute_fit(size.tolist(), count.tolist(), budget)
+        assert 0 <= miss <= 1
+        off += miss
+    assert off <= 10
+    monkeypatch.setattr(mixing, "TABLE_BITS", 1 << 29)
+    size, count = np.array([499, 839, 856, 1570, 2337, 580366, 654650]), np.array([582, 1661, 222, 1852, 1654, 1, 1])
+    assert int((size * mixing.fit(size, count, 9_551_413)).sum()) == 9_551_413
+    for _ in range(20):  # few long texts among many short ones, and the other way round
+        k = rng.choice([1, 3, 200, 900])
+        size = np.array(sorted({*(rng.randint(131_100, 900_000) for _ in range(k)), *(rng.randint(20, 3000) for _ in range(rng.choice([3, 300])))}))
+        count = np.array([rng.randint(1, 3) if x > 131_072 else rng.randint(50, 900) for x in size])
+        budget = rng.randint(int((size * count).sum()) // 3, int((size * count).sum()))
+        take = mixing.fit(size, count, budget)
+        assert (take >= 0).all() and (take <= count).all() and abs(int((size * take).sum()) - budget) <= max(60, budget // 10**6)
+
+
 def brute_targets(sizes):
     """Rounds of sharing by weight in which sources above twice their size stop there."""
     names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)

@@ -69,7 +69,23 @@ def test_stages_on_odd_rows(spark):
     assert len(last) == len(rows) and sorted(r["n_tokens"] for r in last)[:4] == [1, 1, 1, 1]
 
 
+def test_stages_keep_columns_of_any_kind_and_name(spark):
+    """Maps have no order, and a user may have the names that a stage has inside."""
+    words = [" ".join(f"{x}{i}" for i in range(60)) for x in "abc"]
+    rows = [(1, words[0]), (1, words[0]), (2, words[0]), (3, words[1]), (None, words[2]), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 5, {"k": k}, "mine", 3) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, meta map<string,int>, vespera_key string, n int")
+    more = docs.withColumns({c: F.lit("mine") for c in ("vespera_score", "score", "key", "row", "id", "copies", "hash", "vespera_text", "a.b")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.stored(stage(spark, more, SF), "t")
+        assert out.columns == more.columns and dict(out.dtypes) == dict(more.dtypes), name
+        got = out.collect()
+        assert got and all(r["vespera_key"] == r["key"] == r["vespera_score"] == r["a.b"] == "mine" and r["meta"]["k"] < 6 for r in got), name
+        if name.startswith("MinHash"):
+            assert sorted((r["doc_id"] or 0, r["meta"]["k"]) for r in got) == [(0, 4), (0, 5), (1, 0), (3, 3)]
+    assert corpus_pipeline.token_output(spark, more, SF).count() == 6
+
+
 def test_every_operator_has_one_query():
     names = list(queries.queries())
-    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == names[:-1] and names[-1] == "pipeline"
+    assert [n for k in range(1, 14) for n in names if n.startswith(f"op{k}_")] == names[:-1] and names[-1] == "pipeline"
     assert set(queries.oracle_sql()) < set(names)

@@ -21,8 +21,10 @@ WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
 CAP = 2
 SEED = 17
-#: Budget, in words, to which the rest is cut down greedily before the dynamic programme.
+#: Sizes up to this many words are small; the budget that is left for them is cut down to it before the dynamic programme.
 DP_BUDGET = 1 << 17
+#: Large sizes whose sums are tabled, cells of that table, and sums that are tried with what small sizes add.
+WIDE, CELLS, TRIED = 64, 1 << 19, 8
 #: Bits of a table over a whole budget, at most (64 MB).
 TABLE_BITS = 1 << 29
 #: Ranks within a size are dealt over so many hash buckets at least, and as many as leave about BUCKET_ROWS rows of one
@@ -55,8 +57,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: Fraction = SHARE, cap: int
 def fit(size: np.ndarray, count: np.ndarray, budget: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
     """How many of each size to take so that the sum comes as near to budget as the programme finds, never more than count.
 
-    After the shares, sizes are taken greedily until the rest fits the table, and smaller documents are given back for
-    one that is larger than the rest. Where that misses and few sizes are there, the table covers the whole budget.
+    Large sizes first: a table of their sums (in cells, beyond CELLS of words) tells which of them leave a budget that the
+    small ones can fill; the sums nearest to the large sizes' share of the budget are tried. Then the small ones take their
+    share, then whole copies greedily, then what the dynamic programme finds. Where more than WIDE large sizes are there,
+    the others take their share, rounded so that it is met over all of them. Where the result still misses and few sizes
+    are there, the table covers the whole budget.
     """
     take = np.zeros(len(size), np.int64)
     whole = int((size * count).sum())
@@ -64,32 +69,90 @@ def fit(size: np.ndarray, count: np.ndarray, budget: int, dp_budget: int = DP_BU
         return take
     if budget >= whole:
         return count.copy()
-    take = np.array([c * budget // whole for c in count.tolist()], np.int64)
-    order = [i for i in np.argsort(-size, kind="stable") if size[i] > 0]
+    order = [i for i in np.argsort(-size, kind="stable").tolist() if size[i] > 0 and count[i] > 0]
+    large, small = [i for i in order if size[i] > dp_budget], [i for i in order if size[i] <= dp_budget]
+    tabled = large if len(large) <= WIDE else [large[k * len(large) // WIDE] for k in range(WIDE)]
+    owed = 0
+    for i in sorted(set(large) - set(tabled), key=order.index) if len(large) > WIDE else ():
+        owed += int(size[i] * count[i]) * budget
+        take[i] = min(int(count[i]), owed // (whole * int(size[i])))
+        owed -= int(take[i]) * int(size[i]) * whole
     left = budget - int((size * take).sum())
-    for i in order if left > 2 * dp_budget else ():  # large sizes first, until the rest fits the table
-        k = min(int(count[i] - take[i]), (left - dp_budget) // int(size[i]))
+    room, best, missed = sum(int(size[i] * count[i]) for i in small), take, budget
+    for some in _sums(size, count, tabled, left, room):
+        mine = take.copy()
+        mine[tabled] += some
+        mine = _filled(size, count, mine, small, budget - int((size * mine).sum()), room, dp_budget)
+        off = abs(budget - int((size * mine).sum()))
+        if off < missed:
+            best, missed = mine, off
+        if not missed:
+            return best
+    if 2 * budget * sum(int(c).bit_length() for c in count) <= TABLE_BITS:
+        again = _table(size, count, np.zeros(len(size), np.int64), order, budget)
+        best = again if abs(budget - int((size * again).sum())) < missed else best
+    return best
+
+
+def _sums(size: np.ndarray, count: np.ndarray, tabled: list, left: int, room: int):
+    """Counts of the tabled sizes whose sum, with room words of small ones, can come near to left; the likeliest first."""
+    none = np.zeros(len(tabled), np.int64)
+    whole = int((size[tabled] * count[tabled]).sum()) if tabled else 0
+    if not whole or left <= 0:
+        yield none
+        return
+    unit = max(1, -(-min(whole, left + int(size[tabled[0]])) // CELLS))
+    top = min(whole, left + int(size[tabled[0]])) // unit + 1
+    full, reach, steps = (1 << (top + 1)) - 1, 1, []
+    cell = [max(1, (int(size[i]) + unit // 2) // unit) for i in tabled]
+    for k, i in enumerate(tabled):
+        spare, part = min(int(count[i]), top // cell[k]), 1
+        while spare > 0:
+            n = min(part, spare)
+            new = (reach << (n * cell[k])) & full & ~reach
+            if new:
+                steps.append((k, n, new))
+                reach |= new
+            spare, part = spare - n, part * 2
+    low, high = max(0, -(-(left - room) // unit)), left // unit
+    share = min(max(left * whole // (whole + room) // unit, low), high)
+    found, below, above = [], share, share + 1
+    while len(found) < TRIED:  # the nearest cells on both sides in turn
+        a, b = (_below(reach, below) if below >= 0 else -1), _above(reach, above, top) if above <= top else None
+        if a < 0 and b is None:
+            break
+        if a >= 0:
+            found.append(a)
+            below = a - 1
+        if b is not None:
+            found.append(b)
+            above = b + 1
+    inside = lambda x: max(low - x, x - high, 0)  # noqa: E731  how far from what small sizes can fill
+    for best in sorted(found, key=lambda x: (inside(x), abs(x - share))):
+        out = none.copy()
+        for k, n, new in reversed(steps):
+            if new >> best & 1:
+                out[k] += n
+                best -= n * cell[k]
+        yield out
+
+
+def _filled(size: np.ndarray, count: np.ndarray, take: np.ndarray, small: list, left: int, room: int, dp_budget: int) -> np.ndarray:
+    """take with what small sizes add to come as near as they can to left."""
+    if left <= 0:
+        return take
+    if left >= room:
+        take[small] = count[small]
+        return take
+    shared = max(0, left - 2 * dp_budget)  # what the table adds is left to it
+    take[small] = [int(count[i]) * shared // room for i in small]
+    left -= sum(int(size[i] * take[i]) for i in small)
+    for i in small if left > 4 * dp_budget else ():  # large sizes first, until the rest fits the table
+        k = min(int(count[i] - take[i]), (left - 2 * dp_budget) // int(size[i]))
         if k > 0:
             take[i] += k
             left -= k * int(size[i])
-    if left > 2 * dp_budget:  # any size that is not used up is larger than left - dp_budget
-        one = next(i for i in reversed(order) if take[i] < count[i])
-        more, rest = take.copy(), left - int(size[one])
-        more[one] += 1
-        for i in order if rest < 0 else ():
-            if size[i] <= dp_budget:
-                k = min(int(more[i]), (dp_budget - rest) // int(size[i]))
-                more[i] -= k
-                rest += k * int(size[i])
-        if abs(rest) < left:
-            take, left = more, rest
-    if 0 < left <= 2 * dp_budget:
-        take = _table(size, count, take, order, left)
-    missed = abs(budget - int((size * take).sum()))
-    if missed and 2 * budget * sum(int(c).bit_length() for c in count) <= TABLE_BITS:
-        again = _table(size, count, np.zeros(len(size), np.int64), order, budget)
-        take = again if abs(budget - int((size * again).sum())) < missed else take
-    return take
+    return _table(size, count, take, small, left) if left > 0 else take
 
 
 def _table(size: np.ndarray, count: np.ndarray, take: np.ndarray, order: list, left: int) -> np.ndarray:

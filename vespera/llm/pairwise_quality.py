@@ -11,10 +11,12 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vespera.llm.common import WORD, checked, fold, map_rows
+from vespera.llm.common import WORD, checked, fold, fresh_task, map_rows, slices
 
 #: Labelled documents that the fit reads at most, the least by a hash of the id.
 FIT_ROWS = 40_000
@@ -133,26 +135,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(x, rows["label"].to_numpy(int), quantile=quantile)
 
 
-def score(docs: DataFrame, ranker: Ranker, keep: list[str] = ["doc_id"], text_col: str = "text") -> DataFrame:  # noqa: B006
-    """The columns keep of docs and a score column named vespera_score for every row; a null text is an empty one."""
-    got = docs.select(*[docs[c] for c in keep if c != text_col], docs[text_col].alias("vespera_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in got.schema]
+def score(docs: DataFrame, ranker: Ranker, keep: list[str] = ["doc_id"], text_col: str = "text", name: str = "vespera_score") -> DataFrame:  # noqa: B006
+    """The columns keep of docs as they are, whatever their types and names, and a last column, the score; a null text is an empty one."""
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    got = docs.select(*[F.col(f"`{c}`") for c in [*keep, *[text_col][: at == len(keep)]]])
+    got = got.toDF(*[f"c{i}" for i in range(len(got.columns))])
+    schema = T.StructType([*got.schema.fields[: len(keep)], T.StructField("score", T.DoubleType())])
 
-    def make():
-        def f(*cols):
-            x = np.array([features(t) for t in cols[-1]], float).reshape(-1, len(FEATURES))
-            return *cols, ranker.score(x).tolist()
-
-        return f
+    def run(batches):
+        fresh_task()
+        for batch in batches:
+            for part in slices(batch):
+                x = np.array([features(t) for t in part.column(at).to_pylist()], float).reshape(-1, len(FEATURES))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(ranker.score(x), pa.float64())], names=schema.names)
 
-    out = map_rows(got, make, ", ".join([*fields, "vespera_score double"]))
-    return out.withColumnRenamed("vespera_text", text_col) if text_col in keep else out.drop("vespera_text")
+    return got.mapInArrow(run, schema).toDF(*keep, name)
 
 
 def quality(docs: DataFrame, labels: DataFrame, of: int = 5, out: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted. labels: doc_id, quality. Rows with crc32(id) mod of = out never train.
 
-    Null and empty texts get the score of the `empty` feature. Without labels every document passes.
+    Null and empty texts get the score of the `empty` feature. Without labels every document passes. Rows that repeat are
+    each scored, and alike; a null id is scored and never held out. Of several labels of one id the largest counts. Texts
+    are read whole, one at a time if they are long.
     """
     y = labels.select("doc_id", F.col("quality").alias("label")).where(fold(F.col("doc_id"), of) != out)
     held = F.coalesce(fold(F.col("doc_id"), of) == out, F.lit(False))

@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence.
 
 A document's histograms of character classes and of common words are compared with language references (the summed
-histograms of each language's documents) by Jensen-Shannon distance; the nearest language counts. Documents of too
-few words are not judged by distance.
+histograms of each language's documents) by Jensen-Shannon distance; the nearer of those of its own language
+and of all languages counts. Documents of too few words are not judged by distance.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from vespera.llm.common import WORD, map_rows, stored
+from vespera.llm.common import WORD, checked, map_rows, stored
 
 #: Documents of fewer words are not judged by distance.
 MIN_WORDS = 30
@@ -36,8 +36,10 @@ COMMON = tuple(
     )
 )
 
-#: Languages that have a reference; all other values, and none, share one more.
-LANGUAGES = ("de", "en", "es", "fr")
+#: A language's reference has so many words at least; documents of the others are held against that of all languages.
+MIN_REFERENCE = 2_000
+#: Languages whose references are sent along at once (1.6 KB each); more of them are joined by shuffle.
+LANGUAGES_SENT = 20_000
 
 _WORDS = re.compile(WORD)
 _SYMBOLS = re.compile("[" + re.escape(SYMBOLS) + "]")
@@ -136,29 +138,34 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return map_rows(got, make, f"doc_id {got.schema[0].dataType.simpleString()}, lang string, {FIELDS}")
 
 
-def references(measured: DataFrame) -> list[tuple[list[float], list[float]]]:
-    """Shares of character classes and of common words by language, summed over documents that pass the base rules.
+def references(measured: DataFrame) -> tuple[DataFrame, Row | None]:
+    """(lang, ref_chars, ref_words of every language, the same over all languages; None if no document passes).
 
-    A row a language of LANGUAGES and one for all others reach the driver, whatever values the column has.
+    Shares of character classes and of common words, summed over documents of MIN_WORDS words that pass the base rules.
+    Languages are the values of the column, whichever these are; null, and those below MIN_REFERENCE words, have none.
     """
     words = F.map_from_arrays("word_ids", "word_counts")
     sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.coalesce(F.try_element_at(words, F.lit(i)), F.lit(0))).alias(f"w{i}") for i in range(len(COMMON) + 1)]
-    lang = F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).alias("lang")
-    rows = measured.where((F.col("n_words") >= MIN_WORDS) & ~base_failed()).groupBy(lang).agg(*sums).orderBy("lang").collect()
-    share = lambda xs: [x / sum(xs) for x in xs]
-    return [(share(r[1 : len(CLASSES) + 1]), share(r[len(CLASSES) + 1 :])) for r in rows]
+    by = stored(measured.where((F.col("n_words") >= MIN_WORDS) & ~base_failed()).groupBy("lang").agg(*sums), "references")
+    c, w = [f"c{i}" for i in range(len(CLASSES))], [f"w{i}" for i in range(len(COMMON) + 1)]
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)
+    lists = lambda df: df.withColumns({"c": F.array(*c), "w": F.array(*w)})
+    share = lambda xs: F.transform(xs, lambda x: x / total(F.col(xs)))
+    made = lambda df: df.withColumns({"ref_chars": share("c"), "ref_words": share("w")})
+    every = made(lists(by.agg(*[F.sum(x).alias(x) for x in c + w])).where(F.col("c0").isNotNull())).first()
+    own = lists(by).where(F.col("lang").isNotNull() & (total(F.col("w")) >= MIN_REFERENCE))
+    return made(own).select("lang", "ref_chars", "ref_words"), every
 
 
 def base_failed():
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def distance(at, counts, total, reference: list[float]):
+def distance(at, counts, total, ref):
     """Jensen-Shannon distance (root of the divergence in bits) of a sparse histogram with a sum of total from a reference of sum 1.
 
     Entries that only the reference has add their share to twice the divergence, so what is not listed needs no visit.
     """
-    ref = F.lit(reference)
     def term(i, c):
         p, r = c / total, F.element_at(ref, i + 1)
         m = (p + r) / 2
@@ -169,22 +176,22 @@ def distance(at, counts, total, reference: list[float]):
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """Every document's counts, distances to the nearest language reference (null below MIN_WORDS), base_failed, kept.
+    """Every document's counts, distances to the nearer reference (null below MIN_WORDS), base_failed, kept.
 
-    Null and empty texts have no words, so they fail the base. Documents without a language, or with one that is not in
-    LANGUAGES, share a reference. With no document long enough there is no reference, and only the base rules judge.
-    Repeated rows are each judged; ties between references go to the one of the smaller distances.
+    Null and empty texts have no words, so they fail the base. A document is held against the reference of its language
+    and that of all languages; one without a language, or of one with too little text for a reference, against the latter. With no document long enough there is no reference, and
+    only the base rules judge. Ids may be null and rows may repeat: each row is judged.
     """
     measured = stored(measure(docs, id_col, text_col, lang_col), "histograms")
-    known = references(measured)
-    classes = F.lit(list(range(len(CLASSES))))
-    judged = F.col("n_words") >= MIN_WORDS
-    near = F.lit(None).cast("struct<both:double,chars:double,words:double>")
-    if known:
-        each = [F.struct(distance(classes, F.col("chars"), F.col("n_chars"), c).alias("chars"), distance(F.col("word_ids"), F.col("word_counts"), F.col("n_words"), w).alias("words")) for c, w in known]
-        summed = F.transform(F.array(*each), lambda d: F.struct((d["chars"] + d["words"]).alias("both"), d["chars"].alias("chars"), d["words"].alias("words")))
-        near = F.when(judged, F.array_min(summed))
-    x = measured.withColumn("near", near)
+    known, every = references(measured)
+    x, near = measured, F.lit(None).cast("struct<both:double,chars:double,words:double>")
+    if every:
+        x = measured.join(checked(known, LANGUAGES_SENT), "lang", "left")
+        refs = [(F.col("ref_chars"), F.col("ref_words")), (F.lit(every["ref_chars"]), F.lit(every["ref_words"]))]
+        each = [(distance(F.lit(list(range(len(CLASSES)))), F.col("chars"), F.col("n_chars"), c), distance(F.col("word_ids"), F.col("word_counts"), F.col("n_words"), w)) for c, w in refs]
+        both = [F.when(ref.isNotNull(), F.struct((c + w).alias("both"), c.alias("chars"), w.alias("words"))) for (ref, _), (c, w) in zip(refs, each)]
+        near = F.when(F.col("n_words") >= MIN_WORDS, F.array_min(F.array(*both)))  # null is no reference
+    x = x.withColumn("near", near)
     good = F.coalesce((F.col("near.chars") <= MAX_CHAR_DISTANCE) & (F.col("near.words") <= MAX_WORD_DISTANCE), F.lit(True))
     return x.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & good).alias("kept"),

@@ -7,30 +7,30 @@ difference a word (length-normalised) and by its strongest words; a logistic cal
 expression of several words is seen through its words only (a model of word pairs was tried: its counts took more
 than the disk that is allowed).
 
-Counts cover all labelled documents and are aggregated in the cluster. What scoring needs is put into tables of a
-fixed number of slots, so the broadcast is bounded whatever the vocabulary: where two entries meet in a slot, the one
-with more occurrences stays and the other is scored by its backoff. With SLOTS entries two in five do so, with a tenth
-of that one in twenty.
+Counts cover all labelled documents and are aggregated in the cluster, and every gram that they hold counts. Models of up
+to TABLE_ROWS grams are sent to the tasks, by a 64-bit hash of the gram; for larger ones, distinct words meet the grams,
+and then the documents' words, in joins, with the same scores.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import checked, fold, fresh_task, map_rows, slices, stored
+from vespera.llm.common import checked, fold, fresh_task, map_rows, slices, spread_join, stored
 
 ORDER = 6
 DISCOUNT = 0.75
-#: Slots of the table of grams; that of contexts has a quarter. Six bytes each, so 31 MB in all.
-SLOTS = 1 << 22
+#: Grams of a model that is sent to the tasks, at most (12 bytes each, and as many for contexts: 96 MB).
+TABLE_ROWS = 4_000_000
 #: One in CALIBRATE_OF of the labelled documents is kept from the counts to calibrate the score, at most CALIBRATE_ROWS.
 CALIBRATE_OF = 10
 CALIBRATE_ROWS = 20_000
@@ -53,9 +53,9 @@ def _grams(word: str):
     return [w[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(w))]
 
 
-def _crcs(grams: list[str]) -> np.ndarray:
-    """The same numbers as Spark's crc32 of these strings."""
-    return np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) for g in grams), np.uint64, len(grams))
+def _keys(grams: list[str]) -> np.ndarray:
+    """The same numbers as Spark's xxhash64 of these strings."""
+    return np.fromiter((xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass"), 42) for g in grams), np.uint64, len(grams)).view(np.int64)
 
 
 def count(labelled: DataFrame) -> DataFrame:
@@ -91,45 +91,39 @@ def count(labelled: DataFrame) -> DataFrame:
 
 @dataclass
 class Table:
-    """Values by slot; a mark tells the entry that has the slot from others that would fall there."""
+    """Values by key, sorted by key."""
 
-    mark: np.ndarray
-    value: np.ndarray
+    key: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    value: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
     def get(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(value, whether there is one) of each 64-bit key."""
-        slot, mark = split_key(key, len(self.value))
-        there = self.mark[slot] == mark
-        return np.where(there, self.value[slot], 0.0), there
+        """(value, whether there is one) of each key."""
+        if not len(self.key):
+            return np.zeros(len(key)), np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        there = self.key[at] == key
+        return np.where(there, self.value[at], 0.0), there
 
 
-def split_key(key: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and mark (1 to 1023; 0 is an empty slot) of a key, from bits that do not overlap for 32-bit keys."""
-    return (key & np.uint64(slots - 1)).astype(np.int64), ((key >> np.uint64(22)) % np.uint64(1023) + np.uint64(1)).astype(np.uint16)
-
-
-def _table(entries: DataFrame, slots: int) -> Table:
-    """entries: key (as an unsigned number below 2**63), n, value. At most a row a slot reaches the driver."""
-    slot, mark = F.col("key").bitwiseAND(slots - 1).cast("int"), (F.shiftright("key", 22) % 1023 + 1).cast("short")
-    best = entries.groupBy(slot.alias("slot")).agg(F.max(F.struct("n", mark.alias("mark"), F.col("value").cast("float").alias("value"))).alias("x"))
-    rows = best.select("slot", "x.mark", "x.value").toArrow()
-    out = Table(np.zeros(slots, np.uint16), np.zeros(slots, np.float32))
-    at = rows.column("slot").to_numpy()
-    out.mark[at], out.value[at] = rows.column("mark").to_numpy(), rows.column("value").to_numpy()
-    return out
-
-
-def _empty(slots: int = 1) -> Table:
-    return Table(np.zeros(slots, np.uint16), np.zeros(slots, np.float32))
+def _table(entries: DataFrame) -> Table:
+    """entries: key, value; at most TABLE_ROWS, counted before."""
+    rows = entries.toArrow()
+    key, value = rows.column("key").to_numpy(), rows.column("value").to_numpy()
+    order = np.argsort(key, kind="stable")
+    return Table(key[order], value[order])
 
 
 @dataclass
 class Model:
-    """Log ratios of grams, those of their contexts' backoff weights, and the logistic calibration's weights."""
+    """Log ratios of grams, those of their contexts' backoff weights, and the logistic calibration's weights.
 
-    grams: Table = field(default_factory=_empty)
-    contexts: Table = field(default_factory=_empty)
+    Either as tables that are sent along, or, where there are too many, as frames (gram or h, value).
+    """
+
+    grams: Table = field(default_factory=Table)
+    contexts: Table = field(default_factory=Table)
     weights: tuple[float, ...] = (-2.0, *(0.0,) * len(FEATURES))
+    frames: tuple[DataFrame, DataFrame] | None = None
 
     def words(self, words: list[str]) -> np.ndarray:
         """The log-likelihood ratio of each word's characters."""
@@ -137,9 +131,10 @@ class Model:
             return np.zeros(0)
         each = [_grams(w) for w in words]
         flat = [g for gs in each for g in gs]
-        r, there = self.grams.get(_crcs(flat))
-        b, _ = self.contexts.get(_crcs([g[:-1] for g in flat]))
-        return np.add.reduceat(np.where(there, r, b), np.concatenate(([0], np.cumsum([len(g) for g in each])[:-1])))
+        r, there = self.grams.get(_keys(flat))
+        new = np.flatnonzero(~there)
+        r[new] = self.contexts.get(_keys([flat[i][:-1] for i in new.tolist()]))[0]
+        return np.add.reduceat(r, np.concatenate(([0], np.cumsum([len(g) for g in each])[:-1])))
 
 
 def _ratio(p, classes=("0", "1")):
@@ -168,11 +163,12 @@ def gram_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return r, ctx.select("h", (F.col("n0") + F.col("n1")).alias("n"), F.col("b").alias("value"))
 
 
-def fit(counts: DataFrame, slots: int = SLOTS) -> Model:
-    """The tables of the model from count()'s table."""
-    g, h = gram_ratios(counts)
-    keyed = lambda df, c: df.select(F.crc32(F.col(c).cast("binary")).alias("key"), "n", "value")
-    return Model(_table(keyed(g, "gram"), slots), _table(keyed(h, "h"), slots // 4))
+def fit(counts: DataFrame, table_rows: int = TABLE_ROWS) -> Model:
+    """The model of count()'s table, all of its grams."""
+    (g, h), value = gram_ratios(counts), F.col("value").cast("float").alias("value")
+    if counts.count() > table_rows:
+        return Model(frames=(stored(g.select("gram", value), "ratios"), stored(h.select("h", value), "backoff")))
+    return Model(_table(g.select(F.xxhash64("gram").alias("key"), value)), _table(h.select(F.xxhash64("h").alias("key"), value)))
 
 
 class Memory:
@@ -210,6 +206,10 @@ class Memory:
 
 def _scored(docs: DataFrame, model: Model, extra: str) -> DataFrame:
     """docs: doc_id, text, extra. Gives doc_id, extra, and FEATURES."""
+    got = docs.select("doc_id", extra, "text")
+    kind = dict(got.dtypes)
+    if model.frames:
+        return _joined(got, *model.frames, extra)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -220,11 +220,40 @@ def _scored(docs: DataFrame, model: Model, extra: str) -> DataFrame:
 
         return f
 
-    got = docs.select("doc_id", extra, "text")
-    kind = dict(got.dtypes)
     return map_rows(got, make, f"doc_id {kind['doc_id']}, {extra} {kind[extra]}, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
+def _joined(docs: DataFrame, ratios: DataFrame, backoff: DataFrame, extra: str) -> DataFrame:
+    """_scored with a model of any size: distinct words meet its grams, and documents their words, frequent ones dealt over tasks."""
+    kind = dict(docs.dtypes)
+
+    def bags(batches):
+        fresh_task()
+        n = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for part in slices(batch):
+                found = [Counter(words_of(t)) for t in part.column(2).to_pylist()]
+                rows = pa.array(range(n, n + len(found)), pa.int64())
+                n += len(found)
+                yield pa.RecordBatch.from_arrays([rows, *part.columns[:2], pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], names=["row", "doc_id", extra, "words", "counts"])
+
+    bag = stored(docs.mapInArrow(bags, f"row long, doc_id {kind['doc_id']}, {extra} {kind[extra]}, words array<string>, counts array<long>"), "bags")
+    each = bag.select("row", F.inline(F.arrays_zip("words", "counts")).alias("word", "k"))
+    known = each.groupBy("word").agg(F.count("*").alias("n"))
+    whole = F.concat(F.lit(BEGIN), "word", F.lit(END))
+    cut = lambda k: F.substr(whole, F.greatest(F.lit(1), k - ORDER + 1), F.least(k, F.lit(ORDER)))
+    grams = known.select("word", "n", F.explode(F.transform(F.sequence(F.lit(2), F.length(whole)), cut)).alias("gram"))
+    seen = grams.join(ratios, "gram", "left")
+    left = seen.where("value is null").drop("value").withColumn("h", F.expr("substring(gram, 1, length(gram) - 1)")).join(backoff, "h", "left")
+    sums = seen.where("value is not null").select("word", "n", "value").unionByName(left.select("word", "n", F.coalesce("value", F.lit(0.0)).cast("float").alias("value")))
+    words = stored(sums.groupBy("word").agg(F.max("n").alias("n"), F.sum(F.col("value").cast("double")).alias("ratio")), "words")
+    met = spread_join(each, words, "word", each.count())
+    top = F.slice(F.sort_array(F.collect_list("ratio"), asc=False), 1, 3)  # distinct words of one document
+    of = met.groupBy("row").agg((F.sum(F.col("k") * F.col("ratio")) / F.sum("k")).alias("mean_word"), F.max("ratio").alias("top_word"), top.alias("top"))
+    of = of.withColumn("top_words", F.aggregate("top", F.lit(0.0), lambda s, x: s + F.greatest(F.lit(0.0), x)) / 3)
+    return bag.select("row", "doc_id", extra).join(of, "row", "left").select("doc_id", extra, *[F.coalesce(f, F.lit(0.0)).alias(f) for f in FEATURES])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
     """Weights (bias first) by Newton's method; a class that is missing leaves the other's prior."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -240,7 +269,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, slots: int = SLOTS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, table_rows: int = TABLE_ROWS) -> Model:
     """docs: doc_id, text. labels: doc_id, label; only documents with a label 0 or 1 count, all of them.
 
     Of several labels of one id the largest counts. Rows that share an id are all counted.
@@ -248,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, slots: int = SLOTS) -> Model:
     y = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     y = y.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CALIBRATE_OF)))
     texts = docs.select("doc_id", "text")
-    model = fit(count(texts.join(checked(y.where("part > 0")), "doc_id")), slots)
+    model = fit(count(texts.join(checked(y.where("part > 0")), "doc_id")), table_rows)
     held = y.where("part = 0").orderBy(F.xxhash64("doc_id")).limit(CALIBRATE_ROWS)
     rows = _scored(texts.join(checked(held), "doc_id"), model, "label").drop("doc_id").toPandas()
     if len(rows):
@@ -265,12 +294,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return _scored(got, model, "zero").select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: int = 4, out: int = 2, slots: int = SLOTS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: int = 4, out: int = 2, table_rows: int = TABLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted. labels: doc_id, toxic. Rows with crc32(id) mod of = out never train.
 
     Without labels the score is one constant below the threshold. Null ids are never held out. Repeated rows are each scored.
     """
     y = labels.select("doc_id", F.col("toxic").alias("label")).where(fold(F.col("doc_id"), of) != out)
-    model = train(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), y, slots)
+    model = train(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), y, table_rows)
     held = F.coalesce(fold(F.col("doc_id"), of) == out, F.lit(False))
     return score(docs, model, id_col, text_col).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
