@@ -22,7 +22,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(fold(F.col("doc_id"), 5) != 0)
     scored = pairwise_quality.score(docs, pairwise_quality.train(docs, labels), keep=docs.columns)
-    return scored.where(F.col("vespera_score") >= pairwise_quality.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = scored.toDF(*[f"c{i}" for i in range(len(docs.columns))], "score")  # by place: names may meet
+    return plain.where(F.col("score") >= pairwise_quality.THRESHOLD).drop("score").toDF(*docs.columns)
 
 
 def row_key():
@@ -30,26 +31,36 @@ def row_key():
     return F.struct("doc_id", F.xxhash64("text").alias("hash"))
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text, source, and all columns in one, `row`, so that a stage's own columns meet none of theirs."""
+    return docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def comparable(docs: DataFrame):
+    """The values of a row in a form that has an order: maps and variants as JSON."""
+    plain = lambda t: not any(x in t for x in ("map<", "variant"))
+    return F.struct(*[F.col(f"row.`{c}`") if plain(t) else F.to_json(F.struct(F.col(f"row.`{c}`"))) for c, t in docs.dtypes])
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id, once.
+    """One document of each group of near duplicates: the one with the least doc_id, once. Ids are integers.
 
     The first text of an id is judged by that id; rows without an id and further texts of an id by numbers beyond all ids.
-    Of rows of one id and text, and of ties, the least by all columns stays. Rows without words are linked with nothing:
-    one stays for an id, all where there is no id.
+    Of rows of one id and text, and of ties, the least by all columns stays (maps by their JSON). Rows without words are
+    linked with nothing: one stays for an id, all where there is no id.
     """
-    keyed = docs.withColumn("vespera_key", row_key())
-    ids = keyed.select("vespera_key").distinct().select("vespera_key.*")
+    keyed = apart(docs).withColumn("key", row_key())
+    ids = keyed.select("key").distinct().select("key.*")
     first = ids.where("doc_id is not null").groupBy("doc_id").agg(F.min("hash").alias("first"), F.max("hash").alias("last"))
     further = ids.join(first.where("first != last"), "doc_id").where("hash != first").select("doc_id", "hash").unionByName(ids.where("doc_id is null"))
     beyond = docs.agg(F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0)).alias("m")).first()["m"] + 1
-    numbers = stored(further.select(F.struct("doc_id", "hash").alias("vespera_key"), (F.lit(beyond) + F.monotonically_increasing_id()).alias("vespera_number")), "numbers")
-    numbered = keyed.join(checked(numbers), "vespera_key", "left").withColumn("vespera_id", F.coalesce("vespera_number", F.col("doc_id").cast("long")))
-    kept = near_dup.near_duplicates(numbered, id_col="vespera_id").where("kept").select(F.col("doc_id").alias("vespera_id"), "n_shingles").distinct()
-    chosen = numbered.join(kept, "vespera_id")
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    numbers = stored(further.select(F.struct("doc_id", "hash").alias("key"), (F.lit(beyond) + F.monotonically_increasing_id()).alias("number")), "numbers")
+    numbered = keyed.join(checked(numbers), "key", "left").withColumn("id", F.coalesce("number", F.col("doc_id").cast("long"))).drop("number", "key")
+    kept = near_dup.near_duplicates(numbered.select("id", "text"), id_col="id").where("kept").select(F.col("doc_id").alias("id"), "n_shingles").distinct()
+    chosen = numbered.join(kept, "id")
     alone = (F.col("doc_id").isNull()) & (F.col("n_shingles") == 0)  # no id and no words: nothing says that two are one
-    once = chosen.where(~alone).groupBy("vespera_id").agg(F.min(F.struct(*own)).alias("x")).select("x.*")
-    return once.unionByName(chosen.where(alone).select(*own))
+    once = chosen.where(~alone).groupBy("id").agg(F.min_by("row", comparable(docs)).alias("row")).select("row.*")
+    return once.unionByName(chosen.where(alone).select("row.*"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +69,9 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Each id and text is judged apart, so a contaminated row takes only its own repeats along, whether its id is null or
     shared. Null and empty texts stay; without benchmark items every row stays.
     """
-    keyed = docs.withColumn("vespera_key", row_key())
-    found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="vespera_key").where("contaminated").select(F.col("doc_id").alias("vespera_key"))
-    return keyed.join(found, "vespera_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = apart(docs).withColumn("key", row_key())
+    found = decontaminate.decontaminate(keyed.select("key", "text"), table(spark, sf_dir, "benchmark"), id_col="key").where("contaminated").select(F.col("doc_id").alias("key"))
+    return keyed.join(found, "key", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,15 +80,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of one id, text and source are interchangeable; if the mix takes them unequally, they are ranked. Rows without
     words add nothing to any target and are not taken. A null source is a source of its own.
     """
-    keyed = docs.withColumn("vespera_key", F.struct("doc_id", F.xxhash64("text").alias("hash"), "source"))
-    taken = mixing.mix(keyed, id_col="vespera_key").groupBy(F.col("doc_id").alias("vespera_key")).agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.sum("copies").alias("all"), F.count("*").alias("n"))
-    both = keyed.join(taken.where("most > 0"), "vespera_key")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    rank = F.row_number().over(Window.partitionBy("vespera_key").orderBy(F.xxhash64(*own)))
+    keyed = apart(docs).withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("hash"), "source"))
+    taken = mixing.mix(keyed.select("key", "text", "source"), id_col="key").groupBy(F.col("doc_id").alias("key")).agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.sum("copies").alias("all"), F.count("*").alias("n"))
+    both = keyed.join(taken.where("most > 0"), "key")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(comparable(docs))))
     # copies of one size differ by one at most
-    unequal = both.where("least != most").withColumn("vespera_copies", F.col("least") + (rank <= F.col("all") - F.col("least") * F.col("n")).cast("long"))
-    both = both.where("least = most").withColumn("vespera_copies", F.col("most")).unionByName(unequal).where("vespera_copies > 0")
-    return both.withColumn("vespera_copy", F.explode(F.sequence(F.lit(1), F.col("vespera_copies").cast("int")))).select(*own)
+    unequal = both.where("least != most").withColumn("copies", F.col("least") + (rank <= F.col("all") - F.col("least") * F.col("n")).cast("long"))
+    both = both.where("least = most").withColumn("copies", F.col("most")).unionByName(unequal).where("copies > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
