@@ -91,21 +91,6 @@ def find_phrases(index: Index, phrases: DataFrame, rarest: int = RAREST, near: f
     return met.select("row", "phrase", "start", "len", "n")
 
 
-def find_near(index: Index, phrases: DataFrame, slop: int = 5) -> DataFrame:
-    """row, phrase, start: places where the phrase's two rarest terms stand in order, at most slop words further apart than in it.
-
-    The words between are not looked at; find_phrases with near below 1 counts all words of a phrase.
-    """
-    terms = _terms_of(index, phrases)
-    rare = terms.withColumn("r", F.row_number().over(Window.partitionBy("phrase").orderBy("n", "off"))).where("r <= 2")
-    pair = rare.groupBy("phrase").agg(F.min_by("term", "off").alias("a"), F.max_by("term", "off").alias("b"), (F.max("off") - F.min("off")).alias("gap")).where("gap > 0")
-    p = index.postings.select("row", "term", "pos")
-    first = p.join(checked(pair), p["term"] == F.col("a")).select("row", "phrase", "b", "gap", F.col("pos").alias("start"))
-    second = p.select("row", F.col("term").alias("b"), F.col("pos").alias("end"))
-    near = first.join(second, ["row", "b"]).where(F.col("end").between(F.col("start") + 1, F.col("start") + F.col("gap") + slop))
-    return near.select("row", "phrase", "start").distinct()
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", near: float = NEAR) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated, n_near for every row of docs.
 

@@ -232,8 +232,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """
     measured = stored(signatures(docs, size, id_col, text_col), "signatures")
     full = measured.where("same is not null and doc_id is not null")
-    classes = stored(full.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
-    copies = full.select("doc_id", "same").join(classes.select("same", "rep"), "same").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    classes = stored(full.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n")), "classes")
+    copies = spread_join(full.select("doc_id", "same"), classes.where("n > 1").select("same", "rep", "n"), "same", measured.count()).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     members = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substr(F.col("sig"), k * ROWS + 1, F.lit(ROWS))))).alias("band_no", "band"))
     heads = members.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count("*").alias("n")).where("head != last").select("band", "head", "n")
     total = BANDS * classes.count()
