@@ -308,15 +308,19 @@ def _like(c, *words):
     return "(" + " OR ".join(f"{c} LIKE '%{w}%'" for w in words) + ")"
 
 
-@query(f"""WITH a AS (SELECT conv_id, turn, text || ' ' || {_array(ASKED)}[(conv_id % 10 + 1)::INT] AS question FROM conversations WHERE role = 'user'), q AS (SELECT *, lower(question) AS q FROM a)
-SELECT conv_id, turn, CASE WHEN q LIKE '%compromise%' OR (q LIKE '%overall%' AND q LIKE '%assessment%') THEN 'compromise'
+#: The route of a question q (in lower case).
+ROUTE = f"""CASE WHEN q LIKE '%compromise%' OR (q LIKE '%overall%' AND q LIKE '%assessment%') THEN 'compromise'
  WHEN {_like('q', 'contradict', 'conflict')} AND {_like('q', 'malware', 'claim', 'hypothesis', 'evidence', 'assessment')} THEN 'contradiction'
  WHEN {_like('q', 'confirm', 'is this', 'is there', 'is it', 'before')} AND {_like('q', 'malware', 'malicious', 'infected')} THEN 'malware'
  WHEN ({_like('q', 'steal', 'stole')} AND {_like('q', 'data', 'file', 'document')}) OR {_like('q', 'exfil', 'data theft', 'data loss', 'data leak')} THEN 'exfiltration'
  WHEN {_like('q', 'signed', 'signature', 'authenticode')} AND {_like('q', 'is', 'was', 'any', 'valid', 'digital')} THEN 'signature'
  WHEN {_like('q', 'which', 'what', 'list')} AND {_like('q', 'source', 'file')} AND {_like('q', 'mention', 'reference', 'about', 'touch')} THEN 'sources'
  WHEN {_like('q', 'persist', 'autostart', 'run key')} THEN 'persistence' WHEN {_like('q', 'network', 'c2', 'beacon', 'outbound')} THEN 'network'
- WHEN ({_like('q', 'next', 'should', 'recommend')} AND {_like('q', 'investigat', 'step', 'do', 'look')}) OR q LIKE '%what next%' THEN 'next_steps' ELSE 'generic' END AS route FROM q""")
+ WHEN ({_like('q', 'next', 'should', 'recommend')} AND {_like('q', 'investigat', 'step', 'do', 'look')}) OR q LIKE '%what next%' THEN 'next_steps' ELSE 'generic' END"""
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, text || ' ' || {_array(ASKED)}[(conv_id % 10 + 1)::INT] AS question FROM conversations WHERE role = 'user'), q AS (SELECT *, lower(question) AS q FROM a)
+SELECT conv_id, turn, {ROUTE} AS route FROM q""")
 def route_questions(spark, sf_dir):
     asked = F.array(*map(F.lit, ASKED))
     c = t(spark, sf_dir, "conversations").where("role = 'user'")
@@ -486,4 +490,4 @@ def stream_incremental_merge(spark, sf_dir):
     return got.select("user_id", "event_type", "event_id", "value")
 
 
-from vespera import catalog_case, catalog_rules  # noqa: E402, F401  they add their queries to QUERIES
+from vespera import catalog_case, catalog_rules, catalog_state  # noqa: E402, F401, I001  they add their queries to QUERIES

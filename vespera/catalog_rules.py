@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vespera.catalog import TOKENS, _list, query, t
+from vespera.catalog import ROUTE, TOKENS, _array, _list, query, t
 from vespera.functions import names as N
 from vespera.functions import text as X
 from vespera.operators import evaluate, graph, lint, merge, retrieval, review
@@ -166,33 +166,46 @@ def sources_that_mention(spark, sf_dir):
 
 # ---- answers
 
-STATE = """WITH q AS (SELECT conv_id * 100 + turn AS qid, text || ' ' || ['is this confirmed malware?', 'is it signed?', 'does it persist', 'any beacon in the network', 'which evidence contradicts the claim', 'what next step should we look at', 'was data stolen', 'overall assessment please'][(conv_id % 8 + 1)::INT] AS question, conv_id % 8 AS k FROM conversations WHERE role = 'user' AND NOT regexp_matches(lower(text), 'compromise|overall|contradict|conflict|confirm|is this|is there|is it|before|steal|stole|exfil|data|signed|signature|which|list|persist|run key|network|c2|beacon|outbound|next|should|recommend|what'))"""
+PHRASES = (
+    "is this confirmed malware?", "is it signed?", "does it persist", "any beacon in the network", "which evidence contradicts the claim", "what next step should we look at", "was data stolen",
+    "overall assessment please", "which source files mention nation_", "idle tools", "hello",
+)
+CLAIMS = (("claim_0001", "Persistence of a tool", "Medium", "It starts at logon."), ("claim_0002", "Outbound beacon to a public address", "Low", "It talks."))
+_WORDS = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z]+'), lambda x: x NOT IN {_list(X.QUESTION_STOPWORDS)} AND x <> ''))"
+STATE = f"""WITH a AS (SELECT conv_id * 100 + turn AS qid, coalesce(text, '') || ' ' || {_array(PHRASES)}[(conv_id % 11 + 1)::INT] || CASE WHEN conv_id % 11 = 8 THEN (conv_id % 30) || '' ELSE '' END AS question FROM conversations WHERE role = 'user'),
+ q AS (SELECT *, {ROUTE} AS route FROM (SELECT *, lower(question) AS q FROM a)), w AS (SELECT qid, unnest({_WORDS.format('question')}) AS w FROM q WHERE route = 'generic'),
+ c(claim_id, title, confidence, inference) AS (VALUES {', '.join(map(str, CLAIMS))}), mh AS (SELECT qid, arg_min(c, claim_id) AS h FROM w JOIN (SELECT c, claim_id, unnest({_WORDS.format("title || ' ' || inference")}) AS w FROM c) USING (w) GROUP BY 1),
+ mi AS (SELECT qid, arg_min(r_name, r_regionkey) AS i FROM w JOIN (SELECT r_name, r_regionkey, unnest({_WORDS.format("r_name || ' seen'")}) AS w FROM region) USING (w) GROUP BY 1),
+ e AS (SELECT o_orderkey AS k, 'net' || (o_orderkey % 5) || '.csv' AS path, CASE WHEN o_orderkey % 2 = 0 THEN 'tool' || o_orderkey || '.exe connected to 203.0.113.' || (o_orderkey % 7) ELSE 'idle' END AS d FROM orders),
+ e5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k % 2 ORDER BY k) AS r FROM e) WHERE r <= 5), met AS (SELECT DISTINCT qid, k, path, d FROM w JOIN (SELECT *, unnest({_WORDS.format('d')}) AS w FROM e5) USING (w)),
+ me AS (SELECT qid, least(5, count(*)) AS n, arg_min(d, k) AS d, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY k) AS r FROM met) WHERE r <= 5 GROUP BY 1),
+ ms AS (SELECT qid, arg_max(n_name, length(n_name) * 1000 - n_nationkey) AS label, arg_max(n_regionkey, length(n_name) * 1000 - n_nationkey) AS region FROM q JOIN nation ON route = 'sources' AND contains(q, lower(n_name)) GROUP BY 1)"""
 
 
 def _state(spark, sf_dir) -> answers.Tables:
-    claims = spark.createDataFrame(
-        [("claim_0001", "Persistence of a tool", "Medium", "It starts at logon.", ["auto (Source: a.reg)", "more (Source: b.reg)"], ["a.reg", "b.reg"], ["s.txt"]), ("claim_0002", "Outbound beacon to a public address", "Low", "It talks.", ["seen (Source: n.csv)"], ["n.csv"], [])],
-        "claim_id string, title string, confidence string, inference string, facts array<string>, supporting array<string>, contradicting array<string>",
-    )
-    o = t(spark, sf_dir, "orders")
+    more = ((["auto (Source: a.reg)", "more (Source: b.reg)"], ["a.reg", "b.reg"], ["s.txt"]), (["seen (Source: n.csv)"], ["n.csv"], []))
+    claims = spark.createDataFrame([(*c, *m) for c, m in zip(CLAIMS, more)], "claim_id string, title string, confidence string, inference string, facts array<string>, supporting array<string>, contradicting array<string>")
+    o, r, n = (t(spark, sf_dir, x) for x in ("orders", "region", "nation"))
     events = o.select(F.lit("unknown").alias("ts"), F.format_string("%09d", "o_orderkey").alias("seq"), F.concat(F.lit("net"), F.col("o_orderkey") % 5, F.lit(".csv")).alias("path"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("tool"), "o_orderkey", F.lit(".exe connected to 203.0.113."), F.col("o_orderkey") % 7)).otherwise("idle").alias("description"))
-    con = t(spark, sf_dir, "region").select(F.col("r_name").alias("title"), F.lit("a").alias("claim_a"), F.concat(F.lit("no (Source: "), "r_name", F.lit(".txt)")).alias("claim_b"))
-    iocs = o.limit(0).select(F.lit("").alias("artifact"), F.lit("").alias("type"), F.lit("").alias("confidence"), F.lit("").alias("reason"), F.lit("").alias("seq"))
-    entities = o.limit(0).select(F.lit("").alias("value"), F.lit("").alias("seq"), F.lit("").alias("type"), F.lit("").alias("key"), _none().alias("sources"))
-    return answers.Tables(claims, iocs, con, events, entities, t(spark, sf_dir, "nation").select(F.col("n_name").alias("path")))
-
-
-@query(STATE + """, c AS (SELECT count(*) AS n_con, string_agg(r_name || '.txt', ',' ORDER BY r_name) AS con FROM region), e AS (SELECT count(*) FILTER (o_orderkey % 2 = 0) AS n_net, min(o_orderkey) FILTER (o_orderkey % 2 = 0) AS first FROM orders), s AS (SELECT string_agg(n_name, ',' ORDER BY n_name) AS src FROM nation),
- five AS (SELECT string_agg(DISTINCT 'net' || (o_orderkey % 5) || '.csv', ',' ORDER BY 'net' || (o_orderkey % 5) || '.csv') AS nets FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0 ORDER BY o_orderkey LIMIT 5))
- SELECT qid, ['malware', 'signature', 'persistence', 'network', 'contradiction', 'next_steps', 'exfiltration', 'compromise'][k + 1] AS route, k = 1 AS insufficient,
-  CASE k WHEN 0 THEN 'No. Malware is not confirmed.' WHEN 2 THEN 'Persistence is a hypothesis: Persistence of a tool.' WHEN 3 THEN 'Yes. ' || n_net || ' network event(s) are on record. A remote address to note: 203.0.113.' || (first % 7) || '.' WHEN 4 THEN n_con || ' contradiction(s) are on record.'
-   WHEN 6 THEN 'No. Exfiltration is not confirmed.' WHEN 7 THEN 'No. Compromise is not confirmed.' WHEN 5 THEN 'Steps and questions that the hypotheses leave:' ELSE 'Evidence is insufficient.' END AS body,
-  CASE k WHEN 2 THEN 'Medium' WHEN 1 THEN 'Low' WHEN 3 THEN 'Low' ELSE 'Medium' END AS confidence, CASE k WHEN 0 THEN src WHEN 6 THEN src WHEN 7 THEN src WHEN 2 THEN 'a.reg,b.reg' WHEN 3 THEN nets WHEN 4 THEN con ELSE '' END AS sources FROM q, c, e, s, five""")
+    con = r.select(F.col("r_name").alias("title"), F.lit("a").alias("claim_a"), F.concat(F.lit("no (Source: "), "r_name", F.lit(".txt)")).alias("claim_b"))
+    iocs = r.select(F.col("r_name").alias("artifact"), F.lit("host").alias("type"), F.lit("High").alias("confidence"), F.lit("seen").alias("reason"), F.format_string("%09d", "r_regionkey").alias("seq"))
+    entities = n.select(F.col("n_name").alias("value"), F.format_string("%09d", "n_nationkey").alias("seq"), F.lit("host").alias("type"), F.lower("n_name").alias("key"), F.array(F.concat(F.lit("nations/"), "n_regionkey", F.lit(".txt"))).alias("sources"))
+    return answers.Tables(claims, iocs, con, events, entities, n.select(F.col("n_name").alias("path")))
+
+
+@query(STATE + """, x AS (SELECT count(*) AS n_con, string_agg(r_name || '.txt', ',' ORDER BY r_name) AS con FROM region), y AS (SELECT count(*) FILTER (o_orderkey % 2 = 0) AS n_net, min(o_orderkey) FILTER (o_orderkey % 2 = 0) AS first FROM orders), s AS (SELECT string_agg(n_name, ',' ORDER BY n_name) AS src FROM nation),
+ five AS (SELECT string_agg(DISTINCT 'net' || (o_orderkey % 5) || '.csv', ',' ORDER BY 'net' || (o_orderkey % 5) || '.csv') AS nets FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0 ORDER BY o_orderkey LIMIT 5)),
+ z AS (SELECT *, route = 'signature' OR (route = 'sources' AND label IS NULL) OR (route = 'generic' AND h IS NULL AND i IS NULL AND n IS NULL) AS insufficient FROM q LEFT JOIN mh USING (qid) LEFT JOIN mi USING (qid) LEFT JOIN me USING (qid) LEFT JOIN ms USING (qid))
+ SELECT qid, route, insufficient, CASE WHEN insufficient THEN 'Evidence is insufficient.' WHEN route IN ('malware', 'exfiltration', 'compromise') THEN 'No. ' || upper(route[1]) || substr(route, 2) || ' is not confirmed.' WHEN route = 'persistence' THEN 'Persistence is a hypothesis: Persistence of a tool.'
+   WHEN route = 'network' THEN 'Yes. ' || n_net || ' network event(s) are on record. A remote address to note: 203.0.113.' || (first % 7) || '.' WHEN route = 'contradiction' THEN n_con || ' contradiction(s) are on record.' WHEN route = 'next_steps' THEN 'Steps and questions that the hypotheses leave:'
+   WHEN route = 'sources' THEN label || ' is mentioned in: nations/' || region || '.txt.' WHEN h IS NOT NULL THEN 'Hypothesis on record: ' || h.title || ' (confidence: ' || h.confidence || '). ' || h.inference WHEN i IS NOT NULL THEN 'Indicator on record: ' || i || ' (host, confidence: High). seen' ELSE n || ' event(s) of the timeline match. The first: ' || d END AS body,
+  CASE WHEN insufficient OR route = 'network' THEN 'Low' WHEN route = 'sources' THEN 'High' WHEN route <> 'generic' THEN 'Medium' WHEN h IS NOT NULL THEN h.confidence WHEN i IS NOT NULL THEN 'High' ELSE 'Medium' END AS confidence,
+  CASE WHEN insufficient THEN '' WHEN route IN ('malware', 'exfiltration', 'compromise') THEN src WHEN route = 'persistence' THEN 'a.reg,b.reg' WHEN route = 'network' THEN nets WHEN route = 'contradiction' THEN con WHEN route = 'sources' THEN 'nations/' || region || '.txt' WHEN route = 'generic' THEN coalesce(paths, '') ELSE '' END AS sources FROM z, x, y, s, five""")
 def answers_routed(spark, sf_dir):
-    asked = F.array(*map(F.lit, ("is this confirmed malware?", "is it signed?", "does it persist", "any beacon in the network", "which evidence contradicts the claim", "what next step should we look at", "was data stolen", "overall assessment please")))
-    taken = "compromise|overall|contradict|conflict|confirm|is this|is there|is it|before|steal|stole|exfil|data|signed|signature|which|list|persist|run key|network|c2|beacon|outbound|next|should|recommend|what"
-    c = t(spark, sf_dir, "conversations").where("role = 'user'").where(~F.lower("text").rlike(taken))
-    q = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("qid"), F.concat_ws(" ", "text", F.element_at(asked, (F.col("conv_id") % 8 + 1).cast("int"))).alias("question"))
+    asked = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("conv_id") % 11 + 1).cast("int"))
+    c = t(spark, sf_dir, "conversations").where("role = 'user'")
+    named = F.concat(asked, F.when(F.col("conv_id") % 11 == 8, (F.col("conv_id") % 30).cast("string")).otherwise(""))
+    q = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("qid"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), named).alias("question"))
     x = answers.answers(q, _state(spark, sf_dir))
     return x.select("qid", "route", "insufficient", "body", "confidence", F.array_join(F.when(F.col("route") == "network", F.array_sort("sources")).otherwise(F.col("sources")), ",").alias("sources"))
 

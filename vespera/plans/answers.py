@@ -16,6 +16,7 @@ from vespera.functions import text as X
 from vespera.operators import graph
 from vespera.operators.merge import rank
 from vespera.plans.evidence import follow_up
+from vespera.sources import storage
 
 CONFIRM = ("compromise", "malware", "exfiltration")
 #: Lines of a list in an answer at most, by kind (part of the answers' form).
@@ -87,6 +88,7 @@ def mentioning(found: DataFrame, events: DataFrame, files: DataFrame | None) ->
     found is one row a question at most. Labels are looked up in the texts by their prefixes, so nothing is paired that
     shares none (graph.matches).
     """
+    found = storage.stored(found, "named")  # it is read three times
     asked = found.select(F.col("qid").alias("asked"), "label")
     hit = lambda path, text: graph.matches(path.select(F.col("path").alias("qid"), text.alias("question")), asked).select(F.col("asked").alias("qid"), "label", F.col("qid").alias("path"))
     every = found.select("qid", "label", F.explode("paths").alias("path")).unionByName(hit(events, F.col("description")))
@@ -103,17 +105,21 @@ def generic(questions: DataFrame, s: Tables) -> DataFrame:
     """
     asked = questions.select("qid", F.explode(F.array_distinct(X.question_tokens(F.col("question")))).alias("w"))
 
-    def meet(rows: DataFrame, text: Column, *columns) -> DataFrame:
-        words = rows.select(*columns, F.explode(F.array_distinct(F.filter(X.question_tokens(text), lambda w: w != ""))).alias("w"))
-        return words.join(asked, "w").drop("w").distinct()
+    words = asked.select("w").distinct()
+
+    def first(rows: DataFrame, text: Column, what: Column, k: int) -> DataFrame:
+        """qid, x: the first k of each question, in order. Each word keeps its first k before it meets the questions that use it."""
+        by_word = rows.select(what.alias("x"), F.explode(F.array_distinct(F.filter(X.question_tokens(text), lambda w: w != ""))).alias("w")).join(words, "w", "left_semi")
+        top = by_word.withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy("x"))).where(F.col("r") <= k).drop("r")
+        met = asked.join(top, "w").select("qid", "x").distinct()
+        met = met.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("x"))).where(F.col("r") <= k)
+        return met.groupBy("qid").agg(F.array_sort(F.collect_list("x")).alias("x"))  # k at most
 
     claim = F.struct("claim_id", "title", "confidence", "inference")
-    h = meet(s.claims, F.concat_ws(" ", "title", "inference"), claim.alias("h")).groupBy("qid").agg(F.min("h").alias("h"))
     ioc = F.struct("seq", "artifact", "type", "confidence", "reason")
-    i = meet(s.iocs, F.concat_ws(" ", "artifact", "reason"), ioc.alias("i")).groupBy("qid").agg(F.min("i").alias("i"))
-    e = meet(s.events.where(~N.echoes(F.col("description"))), F.col("description"), F.struct("seq", "description", "path").alias("e"))
-    e = e.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("e"))).where(F.col("r") <= EVENTS)
-    e = e.groupBy("qid").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    h = first(s.claims, F.concat_ws(" ", "title", "inference"), claim, 1).select("qid", F.element_at("x", 1).alias("h"))
+    i = first(s.iocs, F.concat_ws(" ", "artifact", "reason"), ioc, 1).select("qid", F.element_at("x", 1).alias("i"))
+    e = first(s.events.where(~N.echoes(F.col("description"))), F.col("description"), F.struct("seq", "description", "path"), EVENTS).withColumnRenamed("x", "e")
     x = questions.select("qid").join(h, "qid", "left").join(i, "qid", "left").join(e, "qid", "left").where("h is not null or i is not null or e is not null")
     hyp, ind, events = F.col("h").isNotNull(), F.col("i").isNotNull(), F.coalesce("e", F.expr("cast(array() as array<struct<seq:string,description:string,path:string>>)"))
     body = (

@@ -47,6 +47,30 @@ def growth(files: DataFrame) -> DataFrame:
     return running(every, files)
 
 
+def intervals(facts: DataFrame, key: list[str], value: str, order) -> DataFrame:
+    """key, value, valid_from, valid_to (null: still): what each key's value was from which step on, in one job.
+
+    facts: key, value, step. A key's value after a step is the one of the highest `order` that it has had until then, as in
+    the merges. State at a step, what a step changed, and snapshots are reads of this table.
+    """
+    ranked = facts.groupBy(*key, "step").agg(F.max(F.struct(order.alias("o"), F.col(value).alias("v"))).alias("x"))
+    by = Window.partitionBy(*key).orderBy("step")
+    so_far = ranked.withColumn("x", F.max("x").over(by))
+    moved = so_far.withColumn("before", F.lag("x").over(by)).where("before is null or before.o < x.o")
+    return moved.select(*key, F.col("x.v").alias(value), F.col("step").alias("valid_from"), F.lead("step").over(by).alias("valid_to"))
+
+
+def as_of(states: DataFrame, step) -> DataFrame:
+    """The rows of intervals() that held after a step."""
+    return states.where((F.col("valid_from") <= step) & (F.col("valid_to").isNull() | (F.col("valid_to") > step)))
+
+
+def moves(states: DataFrame, key: list[str], value: str) -> DataFrame:
+    """key, step, before (null: new), value: what each step brought or changed."""
+    by = Window.partitionBy(*key).orderBy("valid_from")
+    return states.select(*key, F.col("valid_from").alias("step"), F.lag(value).over(by).alias("before"), value)
+
+
 def report(steps_: list[dict]) -> str:
     """The Markdown of a replay: for each step what it added, what moved, how checks went. steps_: as Case.evolve gives them."""
     out = ["# Replay", "", f"{len(steps_)} step(s)."]

@@ -109,3 +109,22 @@ def contents(files: DataFrame, root: str, whole) -> DataFrame:
 
     dealt = files.select("at", "path", "length", "modificationTime", whole.alias("whole")).repartition(parts)
     return dealt.mapInArrow(read, kind)
+
+
+def write_texts(texts: DataFrame, root: str) -> None:
+    """Write one file a row of path (below root), text, by the tasks that hold the rows; a file that is there is replaced.
+
+    Names are unique by path, and a repeated task writes the same bytes again.
+    """
+
+    def put(batches):
+        fs, base = filesystem(root)
+        for b in batches:
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = f"{base}/{path}"
+                fs.create_dir(at.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(at) as f:
+                    f.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    texts.select("path", "text").mapInArrow(put, "n long").agg(F.sum("n")).collect()  # one row
