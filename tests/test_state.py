@@ -64,6 +64,10 @@ def test_an_ingest_while_another_commits_is_done_again(spark, tmp_path):
     assert [r["path"] for r in a.ingest("step_1").collect()] == ["step_1/sysmon.csv"]
     assert {r["path"] for r in a.read("manifest").collect()} == {"step_1/sysmon.csv", "step_2/run_keys.reg"}
     assert {r["path"] for r in a.read("events").collect()} == {"step_1/sysmon.csv", "step_2/run_keys.reg"} and a.read("claims").count() == 2
+    n = a.export_timeline(str(tmp_path / "told"), size=1)
+    assert n == a.read("events").count() and len((tmp_path / "told").glob("part-*.md").__iter__().__next__().read_text().splitlines()) == 1
+    assert sorted(p.name for p in (tmp_path / "told").glob("part-*.md")) == [f"part-{i:08d}.md" for i in range(n)]
+    assert [r["text"] for r in a.open_questions().orderBy("text").collect()] == [r["text"] for r in P.open_questions(a.read("manifest"), a.read("claims")).orderBy("text").collect()]
     # the log tells when an ingest began, and pages are stamped after that: none is stale, however long the writing took
     assert a.log("ingest", "step string").count() == 2 and a.stale_pages().count() == 0
     began = a.log("ingest", "step string").agg(F.max("at")).first()[0]

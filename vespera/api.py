@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vespera.operators import diff, evaluate, graph, history, lint, merge, retrieval, review
 from vespera.operators import trace as T
 from vespera.plans import answers, evidence, index, methods, pages, replay, report
+from vespera.sources import files as listed
 from vespera.sources import storage
 from vespera.sources.evidence import scan, with_rows
 
@@ -259,6 +260,20 @@ class Case:
         storage.write_text(self.spark, f"{target}/README.md", "# Pages of a case\n\nStart at [[index]]. Pages link to one another by name; each line cites its source.\nThey are written anew at each export, so notes belong into files of their own.\n")
         return sorted([*names, "graph.md", "README.md"])
 
+    def open_questions(self) -> DataFrame:
+        """text: the questions on the page of open questions, as it stands."""
+        page = self.read("pages").where("page = 'open_questions'")
+        return page.select(F.explode(F.split("body", "\n")).alias("line")).where(F.col("line").startswith("- ")).select(F.trim(F.substring("line", 3, 1 << 30)).alias("text"))
+
+    def export_timeline(self, target: str, size: int | None = None) -> int:
+        """Write the timeline as files of `size` lines (PART_LINES by default) below target, by the tasks that hold them, and a list of them; gives their number."""
+        made = storage.stored(pages.timeline_parts(self.read("events"), size or pages.PART_LINES), "parts")
+        name = F.format_string("part-%08d.md", "part")
+        listed.write_texts(made.select(name.alias("path"), F.concat("body", F.lit("\n")).alias("text")), target)
+        lines = made.select("part", F.concat(F.lit("- ["), name, F.lit("]: "), F.col("lines").cast("string"), F.lit(" line(s), from "), F.substring_index(F.substring("body", 3, 40), "\n", 1)).alias("line")).orderBy("part")
+        lines.select(F.col("line").alias("value")).coalesce(1).write.mode("overwrite").text(f"{target.rstrip('/')}/contents")
+        return made.count()
+
     def answer(self, question: str) -> dict:
         """The routed answer with all its parts; the best lexical snippet where the state is insufficient."""
         q = self.spark.createDataFrame([(1, question)], "qid long, question string")
@@ -271,8 +286,9 @@ class Case:
 
     def rag(self, question: str, k: int = 5) -> DataFrame:
         files = self.files()
-        top = retrieval.bm25(files, question, k, "path")
-        return top.join(retrieval.snippet(files, question, "path"), "doc_id").select(F.col("doc_id").alias("path"), "score", "snippet").orderBy(F.desc("score"), "path")
+        top = storage.stored(retrieval.bm25(files, question, k, "path"), "top")
+        hits = files.join(F.broadcast(top.select(F.col("doc_id").alias("path"))), "path", "left_semi")  # k rows; only their lines are looked at
+        return top.join(retrieval.snippet(hits, question, "path"), "doc_id").select(F.col("doc_id").alias("path"), "score", "snippet").orderBy(F.desc("score"), "path")
 
     def vector(self, question: str, k: int = 5) -> DataFrame:
         asked = self.spark.createDataFrame([(question,)], "text string").select(F.lit(0).alias("doc_id"), "text")

@@ -59,7 +59,7 @@ h AS (SELECT doc_id, i, line, len(list_intersect(list_distinct(list_transform(re
 SELECT doc_id, score, i::INT AS line_no, trim(line) AS snippet FROM top JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, i) AS r FROM h) USING (doc_id) WHERE r = 1""")
 def bm25_snippet(spark, sf_dir):
     docs = t(spark, sf_dir, "documents")
-    top = retrieval.bm25(docs, QUESTION, 10)
+    top = storage.stored(retrieval.bm25(docs, QUESTION, 10), "top")
     return top.join(retrieval.snippet(docs.join(F.broadcast(top.select("doc_id")), "doc_id", "left_semi"), QUESTION), "doc_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vespera.catalog import ORACLES, query, t
 from vespera.operators import lexical_index, vector_index
 from vespera.plans import evidence as P
-from vespera.plans import replay
+from vespera.plans import pages, replay
 from vespera.sources import csvs, files, storage
 from vespera.sources import evidence as S
 
@@ -76,6 +76,14 @@ def replay_all_steps(spark, sf_dir):
     return replay.moves(_states(spark, sf_dir), ["key"], "confidence").select("step", "key", "confidence", "before")
 
 
+@query("""WITH n AS (SELECT (row_number() OVER (ORDER BY stamp = 'unknown', stamp, event_id) - 1) // 250 AS part, event_id, '- ' || stamp || ' ' || event_type || ' (Source: u' || user_id || ')' AS line, row_number() OVER (ORDER BY stamp = 'unknown', stamp, event_id) AS r
+ FROM (SELECT *, CASE WHEN event_id % 9 = 0 THEN 'unknown' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS stamp FROM events)) SELECT 'timeline' AS page, part, count(*) AS lines, string_agg(line, chr(10) ORDER BY r) AS body FROM n GROUP BY part""")
+def page_parts(spark, sf_dir):
+    stamp = F.when(F.col("event_id") % 9 == 0, "unknown").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    e = t(spark, sf_dir, "events").select(stamp.alias("ts"), F.col("event_type").alias("description"), F.concat(F.lit("u"), "user_id").alias("path"), F.lpad(F.col("event_id").cast("string"), 19, "0").alias("seq"))
+    return pages.timeline_parts(e, 250)
+
+
 # ---- stored indexes
 
 

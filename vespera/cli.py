@@ -36,8 +36,8 @@ def run(case: Case, verb: str, args: list[str], dry_run: bool = False, hold: boo
         return int(not done), []
     tables = {
         "compare": lambda: five("raw", "state"), "compare-all": five, "benchmark": lambda: case.scorecard(args[0], ["raw", "state"]),
-        "benchmark-methods": lambda: case.scorecard(args[0], None, dict(x.split("=", 1) for x in args[1:])), "export-pages": lambda: case.export_pages(args[0]), "review": lambda: case.reviews(*args[1:2]),
-        "pages": lambda: case.pages().orderBy("page"), "snapshots": case.snapshots, "open-questions": lambda: evidence.open_questions(case.read("manifest"), case.read("claims")).orderBy("text"), "contradicted": lambda: evidence.contradicted(case.read("claims")).orderBy("claim_id"),
+        "benchmark-methods": lambda: case.scorecard(args[0], None, dict(x.split("=", 1) for x in args[1:])), "export-pages": lambda: case.export_pages(args[0]), "export-timeline": lambda: [case.export_timeline(args[0])], "review": lambda: case.reviews(*args[1:2]),
+        "pages": lambda: case.pages().orderBy("page"), "snapshots": case.snapshots, "open-questions": lambda: case.open_questions().orderBy("text"), "contradicted": lambda: evidence.contradicted(case.read("claims")).orderBy("claim_id"),
         "rag-query": lambda: case.rag(text), "vector-query": lambda: case.vector(text), "graph-query": lambda: case.graph_query(text), "graph-build": lambda: graph.summary(case.read("nodes"), case.read("edges")).orderBy(F.desc("section"), "line"),
         "graph-export": lambda: case.export_graph().orderBy("n"), "evolve": lambda: case.evolve(*args[:1]), "diff-snapshots": lambda: case.diff(*args), "report": lambda: case.report(hold), "query": lambda: [case.query(text)],
         "traces": case.traces, "history": lambda: case.read("history").orderBy("claim_id", "step"),

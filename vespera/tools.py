@@ -97,8 +97,7 @@ def contradictions(w: Workspace, case: str) -> dict:
 
 
 def open_questions(w: Workspace, case: str) -> dict:
-    c = w.case(case)
-    return _listed(evidence.open_questions(c.read("manifest"), c.read("claims")), ["text"])
+    return _listed(w.case(case).open_questions(), ["text"])
 
 
 def graph_query(w: Workspace, case: str, question: str) -> dict:
