@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vespera.operators import diff, evaluate, graph, history, lint, merge, retrieval, review
+from vespera.operators import diff, embed, evaluate, graph, history, lint, merge, retrieval, review
 from vespera.operators import trace as T
 from vespera.plans import answers, evidence, index, methods, pages, replay, report
 from vespera.sources import files as listed
@@ -48,10 +48,13 @@ def cases(spark: SparkSession, roots: str, states: str) -> list[dict]:
 
 
 class Case:
-    def __init__(self, spark: SparkSession, root: str, state: str, extract: Callable[[DataFrame], dict[str, DataFrame]] = evidence.extract, traced: bool = True):
-        """extract: what turns parsed files into the tables of facts (evidence.RAW); another one may ask a model."""
+    def __init__(self, spark: SparkSession, root: str, state: str, extract: Callable[[DataFrame], dict[str, DataFrame]] = evidence.extract, traced: bool = True, embedder: embed.Embedder | None = None):
+        """extract: what turns parsed files into the tables of facts (evidence.RAW); extractor.extracting gives one that may ask a model.
+
+        embedder: how the vector method sees texts; hashed features if none is given.
+        """
         self.spark, self.root, self.at = spark, root, state.rstrip("/")
-        self.extract, self.traced = extract, traced
+        self.extract, self.traced, self.embedder = extract, traced, embedder
         self.versions = storage.Versions(spark, self.at)
 
     def files(self, step: str | None = None) -> DataFrame:
@@ -211,7 +214,7 @@ class Case:
 
     def methods(self, questions: DataFrame) -> DataFrame:
         """qid, method, ..., answer: five methods over questions (qid, question)."""
-        return methods.every(self.files(), self.read("nodes"), self.read("edges"), self.tables(), questions)
+        return methods.every(self.files(), self.read("nodes"), self.read("edges"), self.tables(), questions, self.embedder)
 
     def answered(self, path: str) -> tuple[DataFrame, DataFrame]:
         """(items, answers of all methods) of a file of questions."""

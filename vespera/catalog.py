@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vespera.functions import text as X
 from vespera.operators import diff, evaluate, graph, history, lint, merge, retrieval
-from vespera.sources import storage
+from vespera.sources import shapes, storage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -252,7 +252,7 @@ def graph_degree(spark, sf_dir):
 
 @query(RELATED + " SELECT DISTINCT a AS node, b AS neighbour FROM w WHERE a IN (1, 2, 3)")
 def graph_neighbors(spark, sf_dir):
-    return graph.neighbours(graph.related(_mentions(spark, sf_dir)), [1, 2, 3])
+    return graph.neighbours_of(_mentions(spark, sf_dir), spark.createDataFrame([(1,), (2,), (3,)], "node long"))
 
 
 @query(RELATED + " SELECT row_number() OVER (ORDER BY a, b)::INT AS n, '    n_' || a || ' --> n_' || b AS line FROM (SELECT a, b FROM e ORDER BY a, b LIMIT 200) UNION ALL SELECT 201, '    %% ' || (count(*) - 200) || ' more edge(s) left out' FROM e HAVING count(*) > 200")
@@ -471,7 +471,7 @@ def hybrid_union(spark, sf_dir):
 
 @query("SELECT event_id, k AS key, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def json_props(spark, sf_dir):
-    return t(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    return shapes.members(t(spark, sf_dir, "events"), "event_id", "props").select("event_id", F.col("name").alias("key"), "value")
 
 
 @query("SELECT source AS page, string_agg('- ' || doc_id || ' (' || lang || ')', chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY source")
@@ -490,4 +490,4 @@ def stream_incremental_merge(spark, sf_dir):
     return got.select("user_id", "event_type", "event_id", "value")
 
 
-from vespera import catalog_case, catalog_rules, catalog_state  # noqa: E402, F401, I001  they add their queries to QUERIES
+from vespera import catalog_case, catalog_plugs, catalog_rules, catalog_state  # noqa: E402, F401, I001  they add their queries to QUERIES

@@ -11,6 +11,8 @@ BLOCK = 2048
 PREFIXES = (1, 2, 4, 8, 16, 32)
 #: Characters of a text that are looked up at once, about, and labels that are sent along at once, about.
 SEGMENT, LABELS = 2048, 200_000
+#: Mentions of the given nodes that are sent to every task, at most.
+SENT = 200_000
 #: Edges of a diagram, and labels of a type in a summary, at most.
 DIAGRAM_EDGES, LISTED_LABELS = 200, 12
 
@@ -44,6 +46,20 @@ def neighbours(edges: DataFrame, nodes: list) -> DataFrame:
     return both_ways(edges).where(F.col("a").isin(nodes)).select(F.col("a").alias("node"), F.col("b").alias("neighbour")).distinct()
 
 
+def neighbours_of(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, neighbour: what shares a source with each of the given nodes (a column node), straight from the mentions (node, source).
+
+    The nodes' sources are found first, then the other nodes of these sources; pairs of other nodes are never made, so a
+    source of many nodes costs its size. The given side is sent along if it has at most SENT rows, which are counted; else
+    both sides meet by source.
+    """
+    m = mentions.select("node", "source")
+    asked = m.join(nodes.select("node").distinct(), "node", "left_semi").distinct()
+    if asked.limit(SENT + 1).count() <= SENT:
+        asked = F.broadcast(asked)
+    return m.select(F.col("node").alias("neighbour"), "source").join(asked, "source").where("neighbour != node").select("node", "neighbour").distinct()
+
+
 def matches(questions: DataFrame, labels: DataFrame) -> DataFrame:
     """questions: qid, question. labels: label and others. The distinct qid and columns of labels for every label that a question contains, in any case.
 

@@ -65,8 +65,8 @@ def build(vectors: DataFrame, root: str, id_col: str = "vec_id", vector_col: str
     storage.write_text(spark, f"{root}/centroids.json", json.dumps({"id": kind, "c": c.tolist(), "far": [radii.get(k, (0, 0))[0] for k in range(len(c))], "n": [radii.get(k, (0, 0))[1] for k in range(len(c))]}))
 
 
-def search(spark: SparkSession, root: str, question: list[float], k: int, probes: int | None = None) -> DataFrame:
-    """id, cosine (4 decimals) of the k nearest vectors to one, itself included if it is there.
+def search(spark: SparkSession, root: str, question: list[float], k: int, probes: int | None = None, digits: int = 4) -> DataFrame:
+    """id, cosine (rounded to so many digits) of the k nearest vectors to one, itself included if it is there.
 
     probes: how many lists are read, the nearest first; None reads PROBES, and then each that may hold a nearer vector than
     the k-th, so that the result is exact.
@@ -81,13 +81,13 @@ def search(spark: SparkSession, root: str, question: list[float], k: int, probes
     order = [i for i in np.argsort(to, kind="stable").tolist() if told["n"][i]]
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     e = F.lit([float(x) for x in question])
-    cosine = F.round(dot(F.col("v"), e) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(e, e)), 4)
+    cosine = F.round(dot(F.col("v"), e) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(e, e)), digits)
     some = lambda ls: rows.where(F.col("list").isin(*ls)).select("id", cosine.alias("cosine"))
     best = lambda df: df.orderBy(F.desc("cosine"), "id").limit(k)
     first = order[: probes or PROBES]
     if probes is None and len(first) < len(order):
         found = [r["cosine"] for r in best(some(first)).collect()]  # k rows
-        bound = np.sqrt(max(0.0, 2 - 2 * (found[-1] - 1e-4))) if len(found) == k else 2.0  # as far as the k-th, with the rounding
+        bound = np.sqrt(max(0.0, 2 - 2 * (found[-1] - 10.0**-digits))) if len(found) == k else 2.0  # as far as the k-th, with the rounding
         first = first + [i for i in order[len(first) :] if to[i] - far[i] <= bound + 1e-9]
     return best(some(first))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vespera.operators import graph, retrieval
+from vespera.operators import embed, graph, retrieval
 from vespera.plans import answers as A
+from vespera.sources import shapes as S
 
 METHODS = ("raw", "vector", "graph", "state", "hybrid")
 #: Neighbours of a node that an answer lists (part of the answers' form).
@@ -15,14 +16,12 @@ ITEM = "id string, category string, question string, expected_best_method string
 
 
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Questions of a JSON file, as an array or below items; flags that are not there are false, lists are empty."""
-    raw = spark.read.schema(ITEM + f", items array<struct<{', '.join(c.strip().replace(' ', ': ', 1) for c in ITEM.split(','))}>>").json(path, multiLine=True)
-    names = [c.strip().split()[0] for c in ITEM.split(",")]
-    own = F.array(F.struct(*names))
-    flat = raw.select(F.inline(F.coalesce("items", own))).where("id is not null")
-    lists = {c: F.coalesce(c, F.array().cast("array<string>")) for c in names if c.startswith(("must", "required"))}
-    flags = {c: F.coalesce(c, F.lit(False)) for c in names if c in ("expect_refusal", "expect_separation")}
-    return flat.withColumns({**lists, **flags})
+    """Questions of a JSON file, as an array or below items; flags that are not there are false, lists are empty, a text in place of a list is a list of one."""
+    v, columns = F.col("v"), []
+    for name, kind in (c.strip().split() for c in ITEM.split(",")):
+        read = {"string": S.text_of, "boolean": S.flag_of}.get(kind, S.texts_of)
+        columns.append(read(v, name).alias(name))
+    return S.records(spark, path).select(*columns).where("id is not null")
 
 
 def _listed(hits: DataFrame, source) -> DataFrame:
@@ -45,10 +44,10 @@ def raw(files: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     return _whole(questions, _listed(told, F.col("doc_id")), "raw")
 
 
-def vector(files: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
-    """Of equal snippets of a file only the first counts, so k different ones come back."""
+def vector(files: DataFrame, questions: DataFrame, k: int = 5, embedder: embed.Embedder | None = None) -> DataFrame:
+    """Of equal snippets of a file only the first counts, so k different ones come back. Without an embedder, features are hashed."""
     chunks = retrieval.distinct_chunks(files, "path")
-    hits = retrieval.hash_cosine_many(chunks, questions, k)
+    hits = embed.nearest(chunks, questions, k, embedder) if embedder else retrieval.hash_cosine_many(chunks, questions, k)
     told = hits.join(chunks, "doc_id").select("qid", "rank", F.col("doc_id.path").alias("path"), F.regexp_replace("text", "\n", " ").alias("snippet"))
     return _whole(questions, _listed(told, F.col("path")), "vector")
 
@@ -81,7 +80,7 @@ def surroundings(nodes: DataFrame, edges: DataFrame, interest: DataFrame) -> Dat
     return told.select("qid", F.array_join(F.transform("l", lambda y: y["text"]), "\n").alias("block"))
 
 
-def every(files: DataFrame, nodes: DataFrame, edges: DataFrame, state: A.Tables, questions: DataFrame) -> DataFrame:
+def every(files: DataFrame, nodes: DataFrame, edges: DataFrame, state: A.Tables, questions: DataFrame, embedder: embed.Embedder | None = None) -> DataFrame:
     """qid, method, classification, confidence, insufficient, answer: all methods over all questions (qid, question)."""
     lexical = raw(files, questions)
     best = lexical.where("not insufficient").select("qid", F.regexp_replace("answer", "^Answer:\n", "").alias("snippet"))
@@ -95,4 +94,4 @@ def every(files: DataFrame, nodes: DataFrame, edges: DataFrame, state: A.Tables,
     joined = compiled.join(around, "qid", "left").withColumn("method", F.lit("hybrid"))
     joined = joined.withColumn("answer", F.concat("answer", F.coalesce(F.concat(F.lit("\nRelationships:\n"), "block"), F.lit("")))).withColumn("insufficient", F.col("insufficient") & F.col("block").isNull()).select(*columns)
     related = _whole(questions, block.select("qid", F.concat(F.lit("Answer:\n"), "block").alias("answer")), "graph", "Medium")
-    return lexical.unionByName(vector(files, questions)).unionByName(related).unionByName(kept).unionByName(joined)
+    return lexical.unionByName(vector(files, questions, embedder=embedder)).unionByName(related).unionByName(kept).unionByName(joined)
