@@ -36,7 +36,7 @@ def _model(folder):
     return ask
 
 
-def test_texts_are_asked_once_in_batches_and_failures_are_told(spark, tmp_path):
+def test_texts_are_asked_once_in_batches_and_failures_are_told(spark, tmp_path, monkeypatch):
     seen = tmp_path / "seen"
     seen.mkdir()
     memo, ask = str(tmp_path / "memo"), _model(seen)
@@ -55,6 +55,8 @@ def test_texts_are_asked_once_in_batches_and_failures_are_told(spark, tmp_path):
     v.commit({}, added={"answers": v.folders("answers")[:1]})
     assert extractor.answered(files, ask, memo, wait=0.0)[0].count() == 3
     assert extractor.facts(files.limit(0), ask, memo).count() == 0
+    monkeypatch.setattr(extractor, "SENT", 1)
+    assert sorted(map(tuple, extractor.facts(files.unionByName(_files(spark, [("n", None)])), ask, f"{memo}2", wait=0.0).collect())) == got
 
 
 def test_a_batch_is_asked_again_and_long_texts_go_alone(spark):

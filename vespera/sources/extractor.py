@@ -27,6 +27,8 @@ ANSWERS = f"sha string, facts {FACTS}, problem string"
 Ask = Callable[[list[str]], list[list[dict]]]
 #: Texts of a request, its characters (a longer text goes alone), texts of a task, and folders of answers before they become one.
 BATCH, CHARACTERS, TASK, FOLDERS = 32, 200_000, 2_000, 50
+#: Hashes of texts to be asked that are sent to every task, at most.
+SENT = 200_000
 
 
 def table_function(ask: Ask, tries: int = 3, wait: float = 1.0, batch: int = BATCH):
@@ -95,18 +97,23 @@ def _kept(versions: storage.Versions) -> DataFrame:
 
 
 def answered(files: DataFrame, ask: Ask, memo: str, **how) -> tuple[DataFrame, DataFrame]:
-    """(sha, facts of the texts of files; sha, problem of those that failed). files: sha, text, where equal shas have equal texts.
+    """(sha, facts of the texts of files; sha, problem of those that failed). files: sha, text, where equal shas have equal texts; without a sha there is no answer.
 
     Only texts without an answer below memo are asked, each once however many files hold it. Answers are committed as one
     version, beside those of other writers; failed texts are not kept, so a later run asks them again.
     """
     spark = files.sparkSession
     versions = storage.Versions(spark, memo)
-    new = files.select("sha", "text").join(_kept(versions).select("sha"), "sha", "left_anti").dropDuplicates(["sha"])
-    new = storage.stored(new, "asked")
-    n = new.count()
+    lacking = storage.stored(files.select("sha").where("sha is not null").distinct().join(_kept(versions).select("sha"), "sha", "left_anti"), "lacking")
+    n = lacking.count()
     failed = spark.createDataFrame([], "sha string, problem string")
     if n:
+        # one row a text leaves each task that reads copies of it; texts that are known are not sent at all if few are new
+        texts = files.select("sha", "text")
+        if n <= SENT:
+            new = texts.join(F.broadcast(lacking), "sha", "left_semi").dropDuplicates(["sha"])
+        else:
+            new = texts.dropDuplicates(["sha"]).join(lacking, "sha", "left_semi")
         parts = -(-n // TASK)
         spark.udtf.register("vespera_extract", table_function(ask, **how))
         dealt = new.withColumn("part", F.pmod(F.xxhash64("sha"), F.lit(parts)).cast("int"))
