@@ -7,10 +7,16 @@ from vespera.operators import merge
 
 
 def test_numbers_are_whole_whatever_is_read_of_the_rows(spark):
-    rows = spark.range(0, 60_000, 1, 8).select((F.col("id") * 7919 % 60_000).alias("k"), F.repeat(F.lit("x"), 50).alias("text"))
-    got = merge.numbered(rows, ["k"])
-    assert got.where("n = k + 1 and length(text) = 50").count() == 60_000
-    assert got.select("n", "text").distinct().count() == 60_000
+    rows = spark.range(0, 60_000, 1, 8).select((F.col("id") * 7919 % 60_000).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "512k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
+    for k, v in small.items():
+        spark.conf.set(k, v)  # rows with texts and rows without them are merged into different partitions
+    try:
+        got = merge.numbered(rows, ["k"])
+        assert got.where("n = k + 1 and length(text) = 128").count() == 60_000
+    finally:
+        for k in small:
+            spark.conf.unset(k)
 
 
 def test_newly_risky_takes_the_word_away_in_any_case(spark, tmp_path):
@@ -19,3 +25,27 @@ def test_newly_risky_takes_the_word_away_in_any_case(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["newly_risky"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == [(1, "token"), (2, "token"), (3, "token"), (6, "token")]
+
+
+def test_csv_texts_of_tables_give_the_rows_that_python_reads(spark):
+    from vespera.sources import csvs
+    from vespera.sources import evidence as S
+
+    texts = [
+        "a,b,c\n1,2,3\r\n\r\n4,5\r6,7,8,9\n", "a,,b\n1,2,3", " a , b \n\xa0x , y\t\n ,\n", "a,a\n1,2\n", "\na,b\n1,2\n", "a, a\n1,2", "a,b\n\"x,\ny\",2\nz\"q,1\n", "a,b", "", "a,b\n\n\n", ",\n1,2\n", "é,日本\n\U0001f600,ü\x85\n",
+        "a,b\n1,2\x0b3\n\x0c, 4\n", "a\n" + "\n".join(map(str, range(10_000))) + "\n",
+    ]
+    files = spark.createDataFrame([(f"{i}.csv", "generic_csv", f"{i}", t) for i, t in enumerate(texts)] + [("n.csv", "generic_csv", "n", None)], "path string, kind string, seq string, text string")
+    got = sorted((r["path"], r["row_no"], sorted(r["row"].items())) for r in S.csv_rows(files).collect())
+    assert got == sorted((f"{i}.csv", k, sorted(dict(r).items())) for i, t in enumerate(texts) for k, r in enumerate(csvs.records(t)[1]))
+    stored = sorted((r["path"], r["row_no"], sorted(r["row"].items())) for r in S.csv_rows(S.with_rows(files)).collect())
+    assert stored == got
+
+
+def test_composed_files_are_read_without_python(spark):
+    from vespera.plans import evidence as P
+    from vespera.sources import evidence as S
+
+    files = spark.createDataFrame([("a_sysmon.csv", "sysmon_csv", "a", "image\nx.exe\n")], "path string, kind string, seq string, text string")
+    assert "Python" not in S._split_plain(files.where(S._plain()), ["path"])._jdf.queryExecution().toString()
+    assert [tuple(r)[1:] for r in P.entities(files).collect()] == [("process", "x.exe", "a_sysmon.csv")]
