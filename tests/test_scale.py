@@ -49,3 +49,15 @@ def test_composed_files_are_read_without_python(spark):
     files = spark.createDataFrame([("a_sysmon.csv", "sysmon_csv", "a", "image\nx.exe\n")], "path string, kind string, seq string, text string")
     assert "Python" not in S._split_plain(files.where(S._plain()), ["path"])._jdf.queryExecution().toString()
     assert [tuple(r)[1:] for r in P.entities(files).collect()] == [("process", "x.exe", "a_sysmon.csv")]
+
+
+def test_few_and_many_labels_match_alike(spark, monkeypatch):
+    from vespera.operators import graph
+
+    texts = [(1, "The Token\nof \U0001f600x"), (2, "lily"), (3, ""), (4, None), (5, "y" * 9000 + "token" + "\U0001f600x")]
+    questions = spark.createDataFrame(texts, "qid long, question string")
+    labels = spark.createDataFrame([("token", 1), ("TOKEN", 2), ("li", 3), ("y", 4), ("", 5), ("\U0001f600x", 6), ("n\no", 7), ("e\nof \U0001f600", 8), ("token", 1)], "label string, k int")
+    want = sorted({(q, l, k) for q, t in texts for l, k in labels.collect() if l and t and l.lower() in t.lower()})
+    for few in (256, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        assert sorted(map(tuple, graph.matches(questions, labels).collect())) == want

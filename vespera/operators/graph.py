@@ -11,6 +11,8 @@ BLOCK = 2048
 PREFIXES = (1, 2, 4, 8, 16, 32)
 #: Characters of a text that are looked up at once, about, and labels that are sent along at once, about.
 SEGMENT, LABELS = 2048, 200_000
+#: Labels that are looked for one by one, at most.
+FEW = 256
 #: Mentions of the given nodes that are sent to every task, at most.
 SENT = 200_000
 #: Edges of a diagram, and labels of a type in a summary, at most.
@@ -66,7 +68,8 @@ def matches(questions: DataFrame, labels: DataFrame) -> DataFrame:
     A label is looked up by the longest of its prefixes whose length is in PREFIXES among all stretches of the question
     of these lengths: an equi join instead of a nested loop. Then the whole label must be contained. Long questions are
     cut into segments that overlap by the longest label. Labels are sent to the questions, LABELS of them at a time, so
-    no text is shuffled. Empty labels never match.
+    no text is shuffled. Up to FEW labels are looked for in each question one by one, which reads it as often but makes
+    no stretches. Empty labels never match.
     """
     named = labels.where("label != ''").withColumn("_label", F.lower("label"))
     fit = F.array_max(F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n <= F.length("_label")))
@@ -75,11 +78,16 @@ def matches(questions: DataFrame, labels: DataFrame) -> DataFrame:
     low = questions.select("qid", F.lower("question").alias("_low"))
     if not known["n"]:
         return low.select("qid").join(labels.limit(0), F.lit(False)).select("qid", *labels.columns)
+    if known["n"] <= FEW:
+        distinct = named.groupBy("_label").agg(F.collect_set(F.struct(*labels.columns)).alias("_rows"))
+        told = distinct.agg(F.collect_list(F.struct("_label", "_rows")).alias("_labels"))  # FEW at most
+        held = low.crossJoin(F.broadcast(told)).select("qid", F.explode(F.filter("_labels", lambda x: F.contains(F.col("_low"), x["_label"]))).alias("x"))
+        return held.select("qid", F.explode("x._rows").alias("r")).select("qid", *[F.col(f"r.`{c}`").alias(c) for c in labels.columns]).distinct()
     step = max(SEGMENT, 4 * known["longest"])
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_low")), F.lit(step))
     cut = low.select("qid", "_low", F.explode(starts).alias("_at")).select("qid", F.substr("_low", F.col("_at"), F.lit(step + known["longest"])).alias("_low"))
-    size = F.array(*map(F.lit, known["sizes"]))
-    runs = F.flatten(F.transform(size, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_low"))), lambda i: F.substr(F.col("_low"), i, n))))
+    # every stretch of n characters, by a look ahead from each place; substr would count from the start each time
+    runs = F.flatten(F.array(*[F.array_distinct(F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in known["sizes"]]))
     keyed = cut.select("qid", "_low", F.explode(F.array_distinct(runs)).alias("_prefix"))
     blocks, out = -(-known["n"] // LABELS), None
     for b in range(blocks):
