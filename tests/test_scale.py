@@ -61,3 +61,18 @@ def test_few_and_many_labels_match_alike(spark, monkeypatch):
     for few in (256, 0):
         monkeypatch.setattr(graph, "FEW", few)
         assert sorted(map(tuple, graph.matches(questions, labels).collect())) == want
+
+
+def test_what_is_told_of_a_node_is_made_once(spark, monkeypatch):
+    from vespera.plans import methods
+
+    seen = []
+    around = methods._around
+    monkeypatch.setattr(methods, "_around", lambda named, *rest: seen.append(named) or around(named, *rest))
+    nodes = spark.createDataFrame([("n1", "host", "Alpha", "1"), ("n2", "file", "Beta", "2"), ("n3", "file", "alpha", "3")], "id string, type string, label string, seq string")
+    edges = spark.createDataFrame([("n1", "n2", "sells_to", "x.txt")], "source string, target string, type string, evidence string")
+    asked = spark.createDataFrame([(i, "of alpha") for i in range(50)], "qid long, question string")
+    got = methods.surroundings(nodes, edges, asked).collect()
+    assert len(got) == 50 and {r["block"] for r in got} == {"- Alpha (host): 1 relationship(s):\n    - sells to Beta (Source: x.txt)"}
+    assert {r["block"] for r in methods.relations(nodes, edges, asked).collect()} == {"- Alpha sells to Beta (Source: x.txt)"}
+    assert [x.count() for x in seen] == [2, 1]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vespera.operators import embed, graph, retrieval
 from vespera.plans import answers as A
 from vespera.sources import shapes as S
+from vespera.sources import storage
 
 METHODS = ("raw", "vector", "graph", "state", "hybrid")
 #: Neighbours of a node that an answer lists (part of the answers' form).
@@ -55,28 +56,38 @@ def vector(files: DataFrame, questions: DataFrame, k: int = 5, embedder: embed.E
 def relations(nodes: DataFrame, edges: DataFrame, questions: DataFrame) -> DataFrame:
     """qid, block: the neighbours of the longest node label that each question names, with edge types and evidence."""
     labels = nodes.where("type != 'source'").select("id", "label", F.struct("seq", "id").alias("seq"))
-    hit = graph.longest_match(questions, labels).withColumnRenamed("id", "node")
-    both = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "type", "evidence").unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "type", "evidence"))
-    x = hit.join(both, "node").join(nodes.select(F.col("id").alias("other"), F.col("label").alias("name")), "other")
+    hit = storage.stored(graph.longest_match(questions, labels).withColumnRenamed("id", "node"), "hit")  # read twice
+    # the lines of a node depend on it and the spelling of its label alone: they are made once, however many questions name it
+    x = _around(hit.select("node", "label").distinct(), nodes, edges)
     line = F.concat(F.lit("- "), "label", F.lit(" "), F.translate("type", "_", " "), F.lit(" "), "name", F.lit(" (Source: "), "evidence", F.lit(")"))
-    ranked = x.groupBy("qid").agg(F.slice(F.array_sort(F.collect_set(F.struct((F.col("type") == "mentioned_in").alias("o"), (F.col("type") == "related_to").alias("p"), line.alias("line")))), 1, NEIGHBOURS).alias("l"))
-    return ranked.select("qid", F.array_join(F.transform("l", lambda y: y["line"]), "\n").alias("block"))
+    x = x.select("node", "label", (F.col("type") == "mentioned_in").alias("o"), (F.col("type") == "related_to").alias("p"), line.alias("line")).distinct()
+    first = Window.partitionBy("node", "label").orderBy("o", "p", "line")
+    x = x.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= NEIGHBOURS)
+    block = x.groupBy("node", "label").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
+    block = block.select("node", "label", F.array_join(F.transform("l", lambda y: y["line"]), "\n").alias("block"))
+    return hit.join(block, ["node", "label"]).select("qid", "block")
+
+
+def _around(named: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """named (node and others), other, type, evidence, name: the edges of each named node, in both directions, and the label at their other end."""
+    both = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "type", "evidence").unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "type", "evidence"))
+    return named.join(both, "node").join(nodes.select(F.col("id").alias("other"), F.col("label").alias("name")), "other")
 
 
 def surroundings(nodes: DataFrame, edges: DataFrame, interest: DataFrame) -> DataFrame:
     """qid, block: every node whose label the text of interest (qid, question) names, with its first neighbours and how many more there are."""
-    hit = graph.matches(interest, nodes.select("id", F.col("type").alias("kind"), "label")).withColumnRenamed("id", "node")
-    both = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "type", "evidence").unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "type", "evidence"))
-    x = hit.join(both, "node").join(nodes.select(F.col("id").alias("other"), F.col("label").alias("name")), "other")
+    hit = storage.stored(graph.matches(interest, nodes.select("id", F.col("type").alias("kind"), "label")).withColumnRenamed("id", "node"), "hit")  # read twice
+    # what is told of a node is the same in every question that names it, so it is made once
+    x = _around(hit.select("node", "kind", "label").distinct(), nodes, edges)
     line = F.concat(F.lit("    - "), F.translate("type", "_", " "), F.lit(" "), "name", F.lit(" (Source: "), "evidence", F.lit(")"))
-    of_node = Window.partitionBy("qid", "node")
+    of_node = Window.partitionBy("node", "kind", "label")
     first = of_node.orderBy(F.col("type") == "mentioned_in", F.col("type") == "related_to", "type", "name", "other", "evidence")
     x = x.select("*", line.alias("line"), F.count("*").over(of_node).alias("n"), F.row_number().over(first).alias("rank")).where(F.col("rank") <= NEIGHBOURS)
-    told = x.groupBy("qid", "node", "label", "kind", "n").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
+    told = x.groupBy("node", "label", "kind", "n").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
     head = F.concat(F.lit("- "), "label", F.lit(" ("), "kind", F.lit("): "), F.col("n").cast("string"), F.lit(" relationship(s):\n"))
     more = F.when(F.col("n") > NEIGHBOURS, F.concat(F.lit("\n    - and "), (F.col("n") - NEIGHBOURS).cast("string"), F.lit(" more"))).otherwise("")
-    told = told.select("qid", "label", "node", F.concat(head, F.array_join(F.transform("l", lambda y: y["line"]), "\n"), more).alias("text"))
-    told = told.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("label", "node", "text"))).alias("l"))
+    told = told.select("label", "node", "kind", F.concat(head, F.array_join(F.transform("l", lambda y: y["line"]), "\n"), more).alias("text"))
+    told = hit.join(told, ["node", "kind", "label"]).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("label", "node", "text"))).alias("l"))
     return told.select("qid", F.array_join(F.transform("l", lambda y: y["text"]), "\n").alias("block"))
 
 
