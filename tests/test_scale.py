@@ -76,3 +76,16 @@ def test_what_is_told_of_a_node_is_made_once(spark, monkeypatch):
     assert len(got) == 50 and {r["block"] for r in got} == {"- Alpha (host): 1 relationship(s):\n    - sells to Beta (Source: x.txt)"}
     assert {r["block"] for r in methods.relations(nodes, edges, asked).collect()} == {"- Alpha sells to Beta (Source: x.txt)"}
     assert [x.count() for x in seen] == [2, 1]
+
+
+def test_hash_vectors_are_handed_over_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    from vespera.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    texts = [f"word{i} and more" if i % 3 else "" for i in range(1000)]
+    got = list(retrieval.hash_vectors(docs)([pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], names=["doc_id", "text"])]))
+    assert max(b.num_rows for b in got) <= retrieval.VECTORS
+    assert [i for b in got for i in b.column(0).to_pylist()] == [i for i in range(1000) if i % 3]

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from vespera.functions import text as X
 
 K1, B = 1.5, 0.75
+#: Documents whose vectors Python hands over at once.
+VECTORS = 256
 
 
 def bm25(docs: DataFrame, question: str, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,23 +64,29 @@ def hash_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             known[gram] = digest[0], -1.0 if digest[4] % 2 else 1.0
             return known[gram]
 
-        for batch in batches:
-            keep, vectors = [], []
-            for i, text in enumerate(batch.column(1)):
-                words = [w for w in map(str.lower, token.findall(text.as_py() or "")) if w not in stop]
-                counts = Counter(words)
-                counts.update(f"{a}_{b}" for a, b in zip(words, words[1:]))
-                v = np.zeros(X.DIMENSIONS)
-                for gram, n in counts.items():
-                    dim, sign = known.get(gram) or place(gram)
-                    v[dim] += sign * (1 + math.log(n))
-                norm = math.sqrt(float(v @ v))
-                if norm > 1e-9:
-                    keep.append(i)
-                    vectors.append([{"dim": int(k), "value": float(v[k] / norm)} for k in np.flatnonzero(v)])
-                if len(known) > 500_000:
-                    known.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(vectors, pa.list_(pa.struct([("dim", pa.int32()), ("value", pa.float64())])))], names=["doc_id", "vector"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, VECTORS):
+                batch = whole.slice(at, VECTORS)
+                keep, dims, values, ends = [], [], [], [0]
+                for i, text in enumerate(batch.column(1)):
+                    words = [w for w in map(str.lower, token.findall(text.as_py() or "")) if w not in stop]
+                    counts = Counter(words)
+                    counts.update(f"{a}_{b}" for a, b in zip(words, words[1:]))
+                    v = np.zeros(X.DIMENSIONS)
+                    for gram, n in counts.items():
+                        dim, sign = known.get(gram) or place(gram)
+                        v[dim] += sign * (1 + math.log(n))
+                    norm = math.sqrt(float(v @ v))
+                    if norm > 1e-9:
+                        keep.append(i)
+                        dims.append(np.flatnonzero(v))
+                        values.append(v[dims[-1]] / norm)
+                        ends.append(ends[-1] + len(dims[-1]))
+                    if len(known) > 500_000:
+                        known.clear()
+                cells = pa.StructArray.from_arrays([pa.array(np.concatenate([*dims, []]).astype(np.int32)), pa.array(np.concatenate([*values, []]))], names=["dim", "value"])
+                vectors = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), vectors], names=["doc_id", "vector"])
 
     return d.mapInArrow(run, out)
 
