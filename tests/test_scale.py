@@ -89,3 +89,24 @@ def test_hash_vectors_are_handed_over_in_parts(spark, monkeypatch):
     got = list(retrieval.hash_vectors(docs)([pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], names=["doc_id", "text"])]))
     assert max(b.num_rows for b in got) <= retrieval.VECTORS
     assert [i for b in got for i in b.column(0).to_pylist()] == [i for i in range(1000) if i % 3]
+
+
+def test_related_nodes_are_those_of_brute_force_by_every_way(spark, monkeypatch):
+    from itertools import combinations
+
+    from vespera.operators import graph
+
+    rows = sorted({(f"n{i * i % 47}é", f"s{i % 29}") for i in range(400)} | {(f"one{i}", f"s{i % 7}") for i in range(20)} | {(f"n{i}é", f"s{j}") for i in range(12) for j in range(29) if (i + j) % 3})
+    want = {}
+    for s in {s for _, s in rows}:
+        for a, b in combinations(sorted(n for n, x in rows if x == s), 2):
+            want.setdefault((a, b), []).append(s)
+    want = sorted((a, b, min(s), len(s)) for (a, b), s in want.items())
+    mentions = spark.createDataFrame(rows + rows[:30], "node string, source string")
+    used, counted = [], graph._counted
+    monkeypatch.setattr(graph, "_counted", lambda *a: used.append(a[1:]) or counted(*a))
+    for common, cells, size, block in ((8, 1024, 500_000, 2048), (3, 5, 40, 6), (10**6, 5, 40, 6)):
+        for k, v in {"COMMON": common, "CELLS": cells, "ROWS": size, "BLOCK": block}.items():
+            monkeypatch.setattr(graph, k, v)
+        assert sorted(map(tuple, graph.related(mentions).select("a", "b", "evidence", "n_shared").collect())) == want
+    assert len(used) == 2

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vespera.sources import storage
+
 #: Members of a group that one task pairs with so many others.
 BLOCK = 2048
+#: Nodes of more sources are counted in matrices of so many nodes a side, from about so many mentions a side, where that is less work.
+COMMON, CELLS, ROWS = 8, 1024, 500_000
 #: Lengths of the prefixes by which labels are looked up in a text.
 PREFIXES = (1, 2, 4, 8, 16, 32)
 #: Characters of a text that are looked up at once, about, and labels that are sent along at once, about.
@@ -22,17 +26,78 @@ DIAGRAM_EDGES, LISTED_LABELS = 200, 12
 def related(mentions: DataFrame) -> DataFrame:
     """mentions: node, source. a < b that share a source, with the least shared source as evidence and the number of shared ones.
 
-    All pairs of a source are the result, so its size is that of the pairs. A source of more than BLOCK nodes is dealt as
-    pairs of blocks, so that no task holds the whole of it; there are at most rows / BLOCK such sources.
+    All pairs of a source are the result, so its size is that of the pairs. Pairs with a node of one source are made once and
+    need no merge. Nodes of more than COMMON sources are counted in matrices of blocks of nodes where their sources would
+    make more pairs than there are cells; other pairs are made by source and merged, each at most COMMON times where that
+    holds. A source of more than BLOCK nodes is dealt as pairs of blocks, so that no task holds the whole of it.
     """
     m = mentions.select("node", "source").distinct()
-    large = m.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("source", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = m.join(large, "source", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = dealt.select("source", F.col("node").alias("x"), F.col("block").alias("p"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("q"))
-    right = dealt.select("source", F.col("node").alias("y"), F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), "block")).alias("p"))
-    pairs = left.join(right, ["source", "p", "q"]).where("p < q or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "source")
-    return pairs.groupBy("a", "b").agg(F.min("source").alias("evidence"), F.count("*").alias("n_shared"))
+    size = m.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("source", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    m = m.join(m.groupBy("node").agg(F.count("*").alias("n_sources")), "node").join(size, "source", "left")
+    m = storage.stored(m.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "mentions")
+    common = m.where(F.col("n_sources") > COMMON)
+    of = common.groupBy("source").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).alias("pairs")).first()
+    nodes = common.select("node").distinct().count()
+    dense = of["pairs"] > nodes * nodes / 2
+    # a node of one source with every other node of it
+    alone = m.where("n_sources = 1").select("source", F.col("node").alias("x"), "block")
+    others = m.select("source", F.col("node").alias("y"), (F.col("n_sources") == 1).alias("too"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    once = alone.join(others, ["source", "block"]).where("not too or x < y")
+    out = once.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("source").alias("evidence"), F.lit(1).cast("long").alias("n_shared"))
+    dealt = m.where("n_sources > 1").withColumn("common", F.lit(dense) & (F.col("n_sources") > COMMON))
+    left = dealt.select("source", F.col("node").alias("x"), F.col("common").alias("xc"), F.col("block").alias("p"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("q"))
+    right = dealt.select("source", F.col("node").alias("y"), F.col("common").alias("yc"), F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), "block")).alias("p"))
+    pairs = left.join(right, ["source", "p", "q"]).where("(p < q or x < y) and not (xc and yc)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "source")
+    out = out.unionByName(pairs.groupBy("a", "b").agg(F.min("source").alias("evidence"), F.count("*").alias("n_shared")))
+    return out.unionByName(_counted(common.select("node", "source"), nodes, of["rows"])) if dense else out
+
+
+def _counted(mentions: DataFrame, nodes: int, rows: int) -> DataFrame:
+    """related() of distinct mentions by matrices of CELLS x CELLS nodes, each of about ROWS mentions a side; their counts are added up."""
+    blocks = -(-nodes // CELLS)
+    parts = max(1, -(-rows // (blocks * ROWS)))
+    m = mentions.withColumns({"block": F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"), "part": F.pmod(F.xxhash64("source"), F.lit(parts)).cast("int")})
+    first = m.select("node", "source", "part", F.lit(True).alias("first"), F.col("block").alias("p"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("q"))
+    second = m.select("node", "source", "part", F.lit(False).alias("first"), F.explode(F.sequence(F.lit(0), "block")).alias("p"), F.col("block").alias("q"))
+
+    def count(key, t):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def ranked(column):  # values in order, and each row's place among them
+            e = pc.dictionary_encode(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+            e = e.combine_chunks() if isinstance(e, pa.ChunkedArray) else e
+            order = pc.sort_indices(e.dictionary).to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            return e.dictionary.take(pa.array(order)), place[e.indices.to_numpy()]
+
+        names, node = ranked(t["node"])
+        sources, source = ranked(t["source"])
+        first = t["first"].to_numpy()
+        sides = []
+        for side in (first, ~first):
+            known, at = np.unique(node[side], return_inverse=True)
+            by = np.argsort(source[side], kind="stable")
+            sides.append((known, at[by], np.searchsorted(source[side][by], np.arange(len(sources) + 1))))
+        (ka, xa, ea), (kb, xb, eb) = sides
+        least, n = np.zeros((len(ka), len(kb)), np.int32), np.zeros((len(ka), len(kb)), np.int32)
+        for s in range(len(sources) - 1, -1, -1):  # the least source is written last
+            cells = np.ix_(xa[ea[s] : ea[s + 1]], xb[eb[s] : eb[s + 1]])
+            least[cells] = s
+            n[cells] += 1
+        i, j = np.nonzero(n)
+        if key[0].as_py() == key[1].as_py():
+            keep = ka[i] < kb[j]
+            i, j = i[keep], j[keep]
+        take = lambda values, k: values.take(pa.array(k))
+        a, b = np.minimum(ka[i], kb[j]), np.maximum(ka[i], kb[j])
+        return pa.table({"a": take(names, a), "b": take(names, b), "evidence": take(sources, least[i, j]), "n_shared": pa.array(n[i, j].astype(np.int64))})
+
+    kinds = dict(mentions.dtypes)
+    got = first.unionByName(second).groupBy("p", "q", "part").applyInArrow(count, f"a {kinds['node']}, b {kinds['node']}, evidence {kinds['source']}, n_shared long")
+    return got if parts == 1 else got.groupBy("a", "b").agg(F.min("evidence").alias("evidence"), F.sum("n_shared").alias("n_shared"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
