@@ -110,3 +110,20 @@ def test_related_nodes_are_those_of_brute_force_by_every_way(spark, monkeypatch)
             monkeypatch.setattr(graph, k, v)
         assert sorted(map(tuple, graph.related(mentions).select("a", "b", "evidence", "n_shared").collect())) == want
     assert len(used) == 2
+
+
+def test_unmentioned_keys_are_looked_for_in_distinct_words(spark, monkeypatch):
+    from vespera.operators import graph, lint
+
+    texts = ["The tool-a runs\nfast  here", "the tool-b\truns", None, "", "x\ry Big\u00a0thing", "\U0001f600z one two"] * 9
+    pages = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "page string, body string")
+    keys = ["TOOL", "l-a r", "fast  h", "fast h", "b\tr", "x\ry", "runs\nfast", " ", "   ", "g\u00a0t", "\U0001f600", "one two", "two one", "o t", "e t", "", None, "absent", "e"]
+    values = spark.createDataFrame([(k,) for k in keys], "value string")
+    lines = {x.lower() for t in texts if t is not None for x in t.split("\n")}
+    want = sorted(k for k in keys if k and not any(k.lower() in x for x in lines))
+    seen, matches = [], graph.matches
+    monkeypatch.setattr(graph, "matches", lambda q, x: seen.append(q) or matches(q, x))
+    for few in (256, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        assert sorted(r["value"] for r in lint.unmentioned(values, pages, "value").collect()) == want
+    assert sorted(r["question"] for r in seen[0].collect()) == sorted({w for x in lines for w in x.replace("\t", " ").replace("\r", " ").split(" ")})

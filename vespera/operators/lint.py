@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vespera.operators import graph
+from vespera.sources import storage
 
 # Phrases and markers that results depend on.
 RISKY_PHRASES = (
@@ -110,11 +111,21 @@ def unrelated(claims: DataFrame, contradictions: DataFrame) -> DataFrame:
 
 
 def unmentioned(values: DataFrame, pages: DataFrame, key: str) -> DataFrame:
-    """values whose key no line of any page contains, in any case. Null keys are left out, the empty one is in every page."""
+    """values whose key no line of any page contains, in any case. Null keys are left out, the empty one is in every page.
+
+    What has no blank is contained in one word, so keys are looked for in the distinct words of all pages, which are far
+    fewer than their lines. A key with blanks is looked for in the lines too, if the longest of its words was found.
+    """
+    words = lambda text: F.split(F.translate(text, "\t\r\n", "   "), " ")
     asked = values.where(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("low", F.lower(key))
+    named = asked.select("low", F.array_max(F.transform(words(F.col("low")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("part")).distinct()
+    there = pages.select(F.explode(F.array_distinct(words(F.lower("body")))).alias("question")).distinct().select(F.lit(0).alias("qid"), "question")
+    parts = graph.matches(there, named.select(F.col("part").alias("label")).distinct()).select(F.col("label").alias("part")).distinct()
+    found = named.join(storage.stored(parts, "parts"), "part", "left_semi")  # read twice
+    several = found.where("part != low").unionByName(named.where("part = ''"))
     line = pages.select(F.explode(F.array_distinct(F.split("body", "\n"))).alias("question")).distinct().select(F.lit(0).alias("qid"), "question")
-    held = graph.matches(line, asked.select(F.col("low").alias("label")).distinct()).select(F.col("label").alias("low")).distinct()
-    return asked.join(held, "low", "left_anti").drop("low")
+    held = graph.matches(line, several.select(F.col("low").alias("label"))).select(F.col("label").alias("low")).distinct()
+    return asked.join(found.where("part = low").select("low").unionByName(held), "low", "left_anti").drop("low")
 
 
 def stale(pages: DataFrame, cutoff: Column) -> DataFrame:
