@@ -77,3 +77,47 @@ def test_the_stateful_stream_goes_on_after_a_stop_and_writes_what_changed(spark,
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
     last = sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("batch="))[-1]
     assert spark.read.parquet(f"{tmp_path}/out/{last}").count() == 2  # a and c, not the 53 rows of the state
+
+
+def test_documents_are_scored_in_place_and_equal_ones_by_their_ids(spark, tmp_path, monkeypatch):
+    import math
+    import re
+    from collections import Counter
+
+    from vespera.functions import text as X
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)] + ["the", "Alpha", "Kelvin", "x.y-z_"]
+    rows = [(f"d{i:04d}", " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(300)]
+    rows += [(f"c{rng.randint(0, 10**6):07d}", "w1 w2 alpha alpha") for _ in range(150)] + [("null", None), ("d0001", "w1 w3"), ("d0001", "w1 w5"), ("same", "w7 w8"), ("same", "w7 w7")]
+    rng.shuffle(rows)
+    asked = [(i, " ".join(rng.choice(words) for _ in range(6))) for i in range(40)] + [(40, "w1 alpha"), (41, "gone"), (42, None)]
+    tokens = lambda s: [w.lower() for w in re.findall(X.TOKEN, s or "") if w.lower() not in X.SEARCH_STOPWORDS]
+
+    def brute(rows, k):
+        size = [max(1, len(tokens(s))) for _, s in rows]
+        mean, tf = sum(size) / len(size), Counter()
+        for (d, s), dl in zip(rows, size):
+            tf.update((t, d, dl) for t in tokens(s))
+        df = Counter(t for t, _, _ in tf)
+        out = []
+        for q, s in asked:
+            score, weight = Counter(), Counter(tokens(s))
+            for (t, d, dl), n in tf.items():
+                if t in weight:
+                    score[d] += weight[t] * math.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * dl / mean))
+            out += [(q, i + 1, d, round(x, 6)) for i, (d, x) in enumerate(sorted(score.items(), key=lambda p: (-round(p[1], 6), p[0]))[:k])]
+        return out
+
+    q = spark.createDataFrame(asked, "qid long, question string")
+    key = lambda df: sorted((r["qid"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
+    for i, some in enumerate((rows, [r for r in dict(rows).items()])):
+        docs = spark.createDataFrame(some, "doc_id string, text string").repartition(3)
+        lexical_index.build(docs, f"{tmp_path}/{i}")
+        for name, value in (("SCORES", 1 << 18), ("SCORES", 90), ("TOLD", 5), ("WEIGHTS", 5)):
+            with monkeypatch.context() as m:
+                m.setattr(retrieval, name, value)
+                got = retrieval.bm25_many(docs, q, 7)
+                assert key(got) == brute(some, 7) and key(lexical_index.search(spark, f"{tmp_path}/{i}", q, 7)) == brute(some, 7)
+                if name == "SCORES":
+                    assert "hashpartitioning(qid#" in (plan := got._jdf.queryExecution().toString()) and "doc_id" not in "".join(x.partition("hashpartitioning(")[2] for x in plan.split("\n"))

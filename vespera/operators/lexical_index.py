@@ -1,12 +1,14 @@
-"""A stored lexical index: postings by term, so that a question reads its own terms and nothing else."""
+"""A stored lexical index: postings by term, in blocks, so that a question reads its own terms and nothing else."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vespera.functions import text as X
-from vespera.operators.retrieval import B, K1
+from vespera.operators import retrieval
 from vespera.sources import storage
 
 #: Folders that the terms are dealt over; a question reads those of its terms, and of their files the row groups that may hold them.
@@ -19,21 +21,41 @@ def _bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    """t, n, least (id), block (array of doc_id, dl, tf) of doc_id, terms: what a batch of documents holds of a term is one row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def invert(batches):
+        for b in batches:
+            ids, cells = b.column(0), b.column(1).flatten()
+            t = cells.field(0).dictionary_encode()
+            code = t.indices.to_numpy()
+            by = np.argsort(code, kind="stable")
+            at = np.flatnonzero(np.diff(code[by], prepend=-1))
+            row = np.repeat(np.arange(b.num_rows), np.diff(b.column(1).offsets.to_numpy()))[by]
+            order = pa.array(by)
+            block = pa.StructArray.from_arrays([ids.take(pa.array(row)), cells.field(2).take(order), cells.field(1).take(order)], names=["doc_id", "dl", "tf"])
+            ends = np.append(at, len(by)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([t.dictionary.take(pa.array(code[by[at]])), pa.array(np.diff(ends).astype(np.int64)), ids.take(pa.array(row[at])), pa.ListArray.from_arrays(pa.array(ends), block)], names=["t", "n", "least", "block"])
+
+    return docs.select("doc_id", "terms").mapInArrow(invert, f"t string, n long, least {kind}, block array<struct<doc_id: {kind}, dl: int, tf: long>>")
+
+
 def build(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the postings (t, doc_id, dl, tf), the terms (t, df) and one row of statistics (n, avgdl) below root.
+    """Write the postings (t, n, block of doc_id, dl, tf), the terms (t, df) and one row of statistics (n, avgdl) below root.
 
     A null text is an empty one. Rows that share an id are documents of their own and add up in its score.
     """
-    d = docs.select(docs[id_col].alias("doc_id"), X.search_tokens(F.coalesce(docs[text_col], F.lit(""))).alias("ts")).withColumn("dl", F.greatest(F.size("ts"), F.lit(1)))
-    d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(d.schema["doc_id"].dataType.simpleString()).alias("id_type")).write.mode("overwrite").parquet(f"{root}/statistics")
-    tf = d.select("doc_id", "dl", F.explode("ts").alias("t")).groupBy("t", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    tf = storage.stored(tf, "postings")
-    terms = tf.groupBy("t").agg(F.count("*").alias("df")).withColumn("bucket", _bucket("t"))
+    counted = storage.stored(retrieval.term_counts(docs, id_col, text_col), "terms")
+    told = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(counted.schema["doc_id"].dataType.simpleString()).alias("id_type"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("postings"))
+    told.write.mode("overwrite").parquet(f"{root}/statistics")
+    spark = docs.sparkSession
+    dealt = _blocks(retrieval.by_document(counted)).withColumn("bucket", _bucket("t"))
+    # a range of (bucket, t, id): a term of any number of postings goes to as many tasks as it fills
+    parts = max(1, spark.read.parquet(f"{root}/statistics").first()["postings"] // POSTINGS)
+    dealt.repartitionByRange(parts, "bucket", "t", "least").sortWithinPartitions("bucket", "t").drop("least").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
+    terms = spark.read.schema("t string, n long, bucket int").parquet(f"{root}/postings").groupBy("bucket", "t").agg(F.sum("n").alias("df"))
     terms.repartitionByRange("bucket", "t").sortWithinPartitions("bucket", "t").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/terms")
-    dealt = tf.withColumn("bucket", _bucket("t"))
-    # a range of (bucket, t, doc_id): a term of any number of postings goes to as many tasks as it fills
-    parts = max(1, tf.count() // POSTINGS)
-    dealt.repartitionByRange(parts, "bucket", "t", "doc_id").sortWithinPartitions("bucket", "t").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
 
 
 def search(spark: SparkSession, root: str, questions: DataFrame, k: int) -> DataFrame:
@@ -41,19 +63,16 @@ def search(spark: SparkSession, root: str, questions: DataFrame, k: int) -> Data
 
     Up to 1,000 terms are told to the scan, which then reads their buckets only; more of them meet the postings by a join.
     """
-    q = questions.select("qid", F.explode(X.search_tokens(F.col("question"))).alias("t")).groupBy("qid", "t").agg(F.count("*").alias("weight"))
+    q = retrieval.asked_terms(questions)
     terms = [r["t"] for r in q.select("t").distinct().limit(1_001).collect()]
     stats = spark.read.parquet(f"{root}/statistics")
     kind = stats.first()["id_type"]
-    postings = spark.read.schema(f"t string, doc_id {kind}, dl int, tf long, bucket int").parquet(f"{root}/postings")
+    postings = spark.read.schema(f"t string, block array<struct<doc_id: {kind}, dl: int, tf: long>>, bucket int").parquet(f"{root}/postings")
     df = spark.read.schema("t string, df long, bucket int").parquet(f"{root}/terms")
     if len(terms) <= 1_000:
         buckets = [r["b"] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket("t").alias("b")).distinct().collect()]
         asked = F.col("bucket").isin(*buckets or [-1]) & F.col("t").isin(*terms or [""])
         postings, df = postings.where(asked), df.where(asked)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    known = q.join(df.drop("bucket"), "t").crossJoin(F.broadcast(stats.drop("id_type")))  # one row of statistics
-    scored = postings.drop("bucket").join(known, "t").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    return scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = postings.join(q.select("t").distinct(), "t", "left_semi").select("t", F.inline("block"))
+    docs = found.groupBy("doc_id").agg(F.collect_list(F.struct("t", "tf", "dl")).alias("terms"))
+    return retrieval.ranked(docs, q, df.drop("bucket"), stats, k)

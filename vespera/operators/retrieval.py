@@ -9,15 +9,21 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vespera.functions import text as X
+from vespera.sources import storage
 
 K1, B = 1.5, 0.75
 #: Documents whose vectors Python hands over at once.
 VECTORS = 256
+#: Terms that a scan is told to keep, and weights of terms in questions that are sent to every task, at most.
+TOLD, WEIGHTS = 200_000, 500_000
+#: Scores that a task holds at once, about.
+SCORES = 1 << 18
 
 
 def bm25(docs: DataFrame, question: str, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,19 +103,123 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: list[str] | None = None) -> DataFrame:
+    """doc_id, dl (search tokens, 1 at least), terms (array of t, tf, dl; of the given terms only) of every document.
+
+    A document is one row, so its terms are counted where it is read and nothing is shuffled. A null text is an empty one.
+    """
+    d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    kind = T.StructType([T.StructField("t", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("dl", T.IntegerType())])
+    out = T.StructType([T.StructField("doc_id", d.schema[0].dataType), T.StructField("dl", T.IntegerType()), T.StructField("terms", T.ArrayType(kind))])
+    told = None if only is None else d.sparkSession.sparkContext.broadcast(frozenset(only))
+    stop, token = frozenset(X.SEARCH_STOPWORDS), re.compile(X.TOKEN)
+
+    def run(batches):
+        keep = told and told.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, VECTORS):
+                batch = whole.slice(at, VECTORS)
+                lengths, terms, counts, ends = [], [], [], [0]
+                for text in batch.column(1):
+                    found: dict[str, int] = {}
+                    for word, n in Counter(token.findall(text.as_py() or "")).items():
+                        low = word.lower()
+                        found[low] = found.get(low, 0) + n
+                    for word in stop.intersection(found):
+                        del found[word]
+                    lengths.append(max(1, sum(found.values())))
+                    if keep is not None:
+                        found = {t: found[t] for t in keep.intersection(found)}
+                    terms += found.keys()
+                    counts += found.values()
+                    ends.append(len(terms))
+                each = pa.array(np.repeat(np.array(lengths, np.int32), np.diff(ends)))
+                cells = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64()), each], names=["t", "tf", "dl"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int32()), lists], names=["doc_id", "dl", "terms"])
+
+    return d.mapInArrow(run, out)
+
+
+def by_document(counted: DataFrame) -> DataFrame:
+    """doc_id, terms of stored term_counts, one row an id. Rows that share an id and a length count as one document, as in SQL's grouping."""
+    if counted.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return counted.select("doc_id", "terms")
+    flat = counted.select("doc_id", F.inline("terms")).groupBy("doc_id", "t", "dl").agg(F.sum("tf").alias("tf"))
+    return storage.stored(flat.groupBy("doc_id").agg(F.collect_list(F.struct("t", "tf", "dl")).alias("terms")), "terms")
+
+
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """qid, t, weight: how often each question has each term."""
+    return questions.select("qid", F.explode(X.search_tokens(F.col("question"))).alias("t")).groupBy("qid", "t").agg(F.count("*").alias("weight"))
+
+
 def bm25_many(docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """qid, doc_id, score, rank: the k best documents of each question. questions: qid, question.
 
     One scan for all questions: documents keep the terms that any question uses, then meet the questions by term.
     """
-    q = questions.select("qid", F.explode(X.search_tokens(F.col("question"))).alias("t")).groupBy("qid", "t").agg(F.count("*").alias("weight"))
-    d = docs.select(docs[id_col].alias("doc_id"), X.search_tokens(docs[text_col]).alias("ts")).withColumn("dl", F.greatest(F.size("ts"), F.lit(1)))
-    stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = d.select("doc_id", "dl", F.explode("ts").alias("t")).join(q.select("t").distinct(), "t", "left_semi").groupBy("t", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    q = asked_terms(questions)
+    terms = [r["t"] for r in q.select("t").distinct().limit(TOLD + 1).collect()]
+    counted = storage.stored(term_counts(docs, id_col, text_col, terms if len(terms) <= TOLD else None), "terms")
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    docs = by_document(counted)
+    df = docs.select(F.inline("terms")).groupBy("t").agg(F.count("*").alias("df"))
+    return ranked(docs, q, df, stats, k)
+
+
+def ranked(docs: DataFrame, q: DataFrame, df: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """qid, doc_id, score, rank: the k best by BM25. docs: doc_id, terms (array of t, tf, dl); q: qid, t, weight; df: t, df; stats: one row of n, avgdl.
+
+    The weights of up to WEIGHTS terms in questions are sent along. A task scores its documents for all questions and
+    hands on those that are among the k best it has seen; pairs of questions and documents are not shuffled. More weights
+    meet the documents by term.
+    """
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(tf.groupBy("t").agg(F.count("*").alias("df")), "t").join(q, "t").crossJoin(F.broadcast(stats))  # one row of statistics
-    return _best(scored.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score")), k)
+    known = q.join(df, "t").crossJoin(F.broadcast(stats.select("n", "avgdl"))).withColumn("w", F.col("weight") * idf)  # one row of statistics
+    told = known.select("qid", "t", "w", "avgdl").limit(WEIGHTS + 1).toArrow()
+    if told.num_rows > WEIGHTS:
+        part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        return _best(docs.select("doc_id", F.inline("terms")).join(known, "t").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score")), k)
+    asked = told.column("qid").combine_chunks().dictionary_encode()
+    words = told.column("t").combine_chunks().dictionary_encode()
+    by = np.argsort(words.indices.to_numpy(), kind="stable")
+    n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+    shared = docs.sparkSession.sparkContext.broadcast({
+        "qids": asked.dictionary, "terms": words.dictionary, "q": asked.indices.to_numpy()[by].astype(np.int64), "w": told.column("w").to_numpy()[by], "n": n, "at": np.cumsum(n) - n,
+        "avgdl": told.column("avgdl")[0].as_py() if told.num_rows else 1.0,
+    })
+
+    def score(batches):
+        x = shared.value
+        size = max(1, len(x["qids"]))
+        step = max(1, SCORES // size)
+        best = np.zeros((k, size))  # of each question, the k best scores so far
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                cells = batch.column(1).flatten()
+                t, count, dl = (cells.field(i) for i in range(3))
+                count, dl = count.to_numpy(zero_copy_only=False), dl.to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+                term = pc.fill_null(pc.index_in(t, x["terms"]), -1).to_numpy(zero_copy_only=False)
+                value = count * (K1 + 1) / (count + K1 * (1 - B + B * dl / x["avgdl"]))
+                row, term, value = row[term >= 0], term[term >= 0], value[term >= 0]
+                n = x["n"][term]
+                first = np.cumsum(n) - n
+                cell = np.repeat(x["at"][term] - first, n) + np.arange(n.sum())
+                flat = np.bincount(np.repeat(row, n) * size + x["q"][cell], np.repeat(value, n) * x["w"][cell], batch.num_rows * size)
+                s = np.floor(flat.reshape(batch.num_rows, size) * 1e6 + 0.5) / 1e6
+                # rows are in order of doc_id, so the first of equal scores are the least ids
+                s = np.concatenate((best, s))
+                best = np.partition(s, len(s) - k, axis=0)[-k:]
+                above, equal = s > best[0], s == best[0]
+                keep = above | (equal & (np.cumsum(equal, axis=0) <= k - above.sum(axis=0)))
+                r, c = np.nonzero((keep & (s > 0))[k:])
+                yield pa.RecordBatch.from_arrays([x["qids"].take(pa.array(c)), batch.column(0).take(pa.array(r)), pa.array(s[r + k, c])], names=["qid", "doc_id", "score"])
+
+    out = T.StructType([q.schema["qid"], docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    return _best(docs.select("doc_id", "terms").sortWithinPartitions("doc_id").mapInArrow(score, out), k)
 
 
 #: Questions whose vectors are sent to every task; more of them meet the documents by dimension.
