@@ -3,11 +3,14 @@
 import hashlib
 import json
 import random
+import re
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from vespera.api import Case
+from vespera.functions import text as X
 from vespera.operators import embed, graph, retrieval
 from vespera.plans import methods
 from vespera.sources import extractor, shapes, storage
@@ -142,3 +145,40 @@ def test_neighbours_equal_those_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(graph, "SENT", 3)
     assert sorted(map(tuple, graph.neighbours_of(m, nodes).collect())) == want
     assert graph.neighbours_of(m, nodes.limit(0)).count() == 0
+
+
+def test_an_index_asks_the_embedder_once_for_each_text(spark, tmp_path):
+    from vespera.operators import vector_index
+
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def counting():
+        model = embed.hashed()
+
+        def f(texts):
+            (asked / uuid.uuid4().hex).write_text(str(len(texts)))
+            return model(texts)
+
+        return f
+
+    docs = spark.createDataFrame([(i, f"word{i % 7} and other{i} text" if i % 5 else None) for i in range(300)], "doc_id long, text string")
+    vector_index.build(embed.embedded(docs, counting), str(tmp_path / "index"), "doc_id")
+    assert sum(int(p.read_text()) for p in asked.iterdir()) == 300
+
+
+def test_hashed_vectors_are_those_of_the_digests(monkeypatch):
+    texts = ["The Alpha alpha beta alpha beta", "", "the of", "x.y-z_ Kelvin ü", " ".join(f"w{i % 50}" for i in range(400))]
+
+    def plain(text):
+        words = [w.lower() for w in re.findall(r"[a-zA-Z][a-zA-Z0-9_.\-]*", text)]
+        words = [w for w in words if w not in X.SEARCH_STOPWORDS]
+        grams, row = words + [f"{a}_{b}" for a, b in zip(words, words[1:])], np.zeros(256)
+        for g in sorted(set(grams)):
+            d = hashlib.md5(g.encode()).digest()
+            row[d[0]] += (-1 if d[4] % 2 else 1) * (1 + np.log(grams.count(g)))
+        return row / (np.linalg.norm(row) or 1)
+
+    for known in (500_000, 1):
+        monkeypatch.setattr(embed, "KNOWN", known)
+        assert np.allclose(embed.hashed()(texts), [plain(t) for t in texts])

@@ -20,19 +20,32 @@ from vespera.operators.retrieval import ASKED_AT_ONCE, _best
 Embedder = Callable[[], Callable[[list[str]], np.ndarray]]
 #: Texts that an embedder gets at once.
 BATCH = 128
+#: Grams whose places a task remembers, at most about.
+KNOWN = 500_000
 
 
 def hashed() -> Callable[[list[str]], np.ndarray]:
     """Words and pairs of neighbours, hashed to signed dimensions, weighted by their logarithmic count, of unit length."""
     stop, token = frozenset(X.SEARCH_STOPWORDS), re.compile(X.TOKEN)
+    known: dict[str, tuple[int, float]] = {}
+
+    def place(gram: str) -> tuple[int, float]:
+        digest = hashlib.md5(gram.encode()).digest()
+        known[gram] = at = digest[0] % X.DIMENSIONS, -1.0 if digest[4] % 2 else 1.0
+        return at
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), X.DIMENSIONS))
         for row, text in zip(out, texts):
             words = [w for w in map(str.lower, token.findall(text)) if w not in stop]
-            for gram, n in Counter([*words, *(f"{a}_{b}" for a, b in zip(words, words[1:]))]).items():
-                digest = hashlib.md5(gram.encode()).digest()
-                row[digest[0] % X.DIMENSIONS] += (-1.0 if digest[4] % 2 else 1.0) * (1 + math.log(n))
+            counts = Counter(words)
+            counts.update(map("_".join, zip(words, words[1:])))
+            if counts:
+                at = [known.get(gram) or place(gram) for gram in counts]
+                dims, signs = zip(*at)
+                row += np.bincount(dims, np.array(signs) * [1 + math.log(n) for n in counts.values()], X.DIMENSIONS)
+            if len(known) > KNOWN:
+                known.clear()
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.where(norm > 1e-9, out / np.maximum(norm, 1e-9), 0.0)
 

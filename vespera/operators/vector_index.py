@@ -39,9 +39,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def build(vectors: DataFrame, root: str, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = LISTS) -> None:
     """Write the lists (list, id, v, far), a folder a list, and what a search needs of them: centroids, radii, sizes."""
-    spark, good = vectors.sparkSession, usable(vectors, id_col, vector_col)
-    sample = good.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toPandas()["v"].tolist()
-    x = _unit(np.array(sample, np.float64)) if sample else np.zeros((0, 1))
+    spark = vectors.sparkSession
+    good = storage.stored(usable(vectors, id_col, vector_col), "vectors")  # read twice; an embedder is asked once
+    # the hash that ends the sample is found by ids alone, so that no task meets more vectors than the sample's
+    last = good.select(F.xxhash64("id").alias("h")).orderBy("h").limit(FIT_ROWS).agg(F.max("h")).first()[0]
+    sample = good.where(F.xxhash64("id") <= F.lit(last)).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toArrow().column("v").combine_chunks() if last is not None else []
+    x = _unit(_matrix(sample)) if len(sample) else np.zeros((0, 1))
     rng = np.random.default_rng(1)
     c = x[np.sort(rng.permutation(len(x))[:lists])] if len(x) else x
     for _ in range(ROUNDS if len(c) else 0):
@@ -59,8 +62,8 @@ def build(vectors: DataFrame, root: str, id_col: str = "vec_id", vector_col: str
 
     kind = good.schema["id"].dataType.simpleString()
     # by list and a hash, so that a large list is written by several tasks
-    placed = good.mapInArrow(place, f"id {kind}, v array<double>, list int, far double").repartitionByRange("list", F.xxhash64("id"))
-    placed.write.mode("overwrite").partitionBy("list").parquet(f"{root}/lists")
+    placed = storage.stored(good.mapInArrow(place, f"id {kind}, v array<double>, list int, far double"), "placed")  # read for the ranges too
+    placed.repartitionByRange("list", F.xxhash64("id")).write.mode("overwrite").partitionBy("list").parquet(f"{root}/lists")
     radii = {r["list"]: (r["far"], r["n"]) for r in spark.read.schema(f"id {kind}, v array<double>, far double, list int").parquet(f"{root}/lists").groupBy("list").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
     storage.write_text(spark, f"{root}/centroids.json", json.dumps({"id": kind, "c": c.tolist(), "far": [radii.get(k, (0, 0))[0] for k in range(len(c))], "n": [radii.get(k, (0, 0))[1] for k in range(len(c))]}))
 
