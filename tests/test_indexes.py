@@ -121,3 +121,24 @@ def test_documents_are_scored_in_place_and_equal_ones_by_their_ids(spark, tmp_pa
                 assert key(got) == brute(some, 7) and key(lexical_index.search(spark, f"{tmp_path}/{i}", q, 7)) == brute(some, 7)
                 if name == "SCORES":
                     assert "hashpartitioning(qid#" in (plan := got._jdf.queryExecution().toString()) and "doc_id" not in "".join(x.partition("hashpartitioning(")[2] for x in plan.split("\n"))
+
+
+def test_the_stateful_stream_keeps_first_rows_without_python(spark, tmp_path):
+    schema = spark.createDataFrame([], "k string, n long, seq long, v string").schema
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    assert "Pandas" not in stateful.changed(stream, ["k", "n"], "seq")._jdf.queryExecution().logical().toString()
+    rng, want, batches = random.Random(4), {}, 3
+    for b in range(batches):
+        rows = [(rng.choice(["a", "b", None]), rng.randint(0, 20), rng.randint(0, 200) * 10 + b, f"v{b}.{i}") for i in range(150)]
+        rows = [*{(k, n, s): (k, n, s, v) for k, n, s, v in rows}.values()] + [("null", 0, None if b == 0 else 9 - b, f"x{b}"), ("tie", 0, 5, f"t{b}"), ("late", b, None, None)]
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        before = dict(want)
+        for k, n, s, v in rows:
+            if (k, n) not in want or (s is not None and (want[k, n][0] is None or s < want[k, n][0])):
+                want[k, n] = s, v
+        got = stateful.merge_stream(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp"), ["k", "n"], "seq").collect()
+        told = {k: (x, v if x is not None else None) for k, (x, v) in want.items()}  # as in SQL, no order, no value
+        assert {(r["k"], r["n"]): (r["seq"], r["v"]) for r in got} == told and len(got) == len(told)
+        last = sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("batch="))[-1]
+        assert spark.read.parquet(f"{tmp_path}/out/{last}").count() == sum(before.get(k) != x for k, x in want.items())

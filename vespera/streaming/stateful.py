@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -16,25 +12,15 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 def changed(stream: DataFrame, key: list[str], order: str) -> DataFrame:
     """key, order and the rest of the columns of the first row of each key that a micro-batch brought or replaced by an earlier one.
 
-    The state of a key is its first row so far. Rows of a key reach its task in parts of bounded size.
+    The state of a key is its first row so far, with the time of the micro-batch that brought it. Tasks keep the first row
+    of each key before rows are shuffled; of rows of one order, one of the earliest micro-batch
+    stays, and a row without an order is the last.
     """
-    schema = T.StructType([*[stream.schema[c] for c in key], *[f for f in stream.schema.fields if f.name not in key]])
-    rest = T.StructType([f for f in schema.fields if f.name not in key])
-    names = [f.name for f in rest]
-
-    def merge(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = dict(zip(names, state.get)) if state.exists else None
-        new = None
-        for part in parts:
-            row = part.sort_values(order, kind="stable").iloc[0][names].to_dict()
-            if (first is None or row[order] < first[order]) and (new is None or row[order] < new[order]):
-                new = row
-        if new is not None:
-            new = {k: None if pd.isna(v) else v.item() if hasattr(v, "item") else v for k, v in new.items()}
-            state.update(tuple(new[n] for n in names))
-            yield pd.DataFrame([dict(zip(key, keys)) | new])
-
-    return stream.select(*schema.names).groupBy(*key).applyInPandasWithState(merge, schema, rest, "update", GroupStateTimeout.NoTimeout)
+    rest = [c for c in stream.columns if c not in key]
+    now = F.current_timestamp()  # one time a micro-batch, the same if it is repeated
+    first = F.min_by(F.struct(*rest, F.col("_at")), F.struct(F.col(order).isNull(), order, "_at")).alias("_first")
+    merged = stream.withColumn("_at", now).groupBy(*key).agg(first).where(F.col("_first._at") == now)
+    return merged.select(*key, *[F.col("_first")[c].alias(c) for c in rest])
 
 
 def merge_stream(spark: SparkSession, path: str, schema: T.StructType, out: str, checkpoint: str, key: list[str], order: str) -> DataFrame:
