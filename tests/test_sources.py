@@ -91,3 +91,15 @@ def test_listing_in_rounds(spark, tmp_path, monkeypatch, entries):
 def test_underscored_files_have_no_limit_and_nothing_is_kept_by_the_driver(spark, tmp_path):
     (tmp_path / "_large.txt").write_bytes(b"0123456789" * 2_000_000)
     assert S.scan(spark, str(tmp_path)).selectExpr("length(text) as n").first()["n"] == 20_000_000
+
+
+def test_ranges_are_dealt_by_bytes(spark, tmp_path, monkeypatch):
+    texts = {f"{i}.csv": "a,b\n" + "".join(f'{i},"x\n{j}"\n' for j in range(3000)) for i in range(3)}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+    found = files.listing(spark, str(tmp_path)).withColumn("kind", F.lit("k")).withColumn("seq", F.lit("s"))
+    for sent in (200_000, 0):
+        monkeypatch.setattr(csvs, "SENT", sent)
+        got = csvs.split_rows(found, str(tmp_path), size=700)
+        assert sorted((r["path"], r["row_no"], r["row"]["a"], r["row"]["b"]) for r in got.collect()) == sorted((f"{i}.csv", j, str(i), f"x\n{j}") for i in range(3) for j in range(3000))
+        assert len([x for x in got.inputFiles() if x.endswith(".parquet")]) <= spark.sparkContext.defaultParallelism  # a file a task

@@ -28,7 +28,7 @@ def source_scan(spark, sf_dir):
 def csv_split_rows(spark, sf_dir):
     """Pages as CSV files of quoted fields with line ends and quotes, read in ranges of 64 KB."""
     root = storage.scratch(spark, "csv")
-    t(spark, sf_dir, "pages").select("page_id", "html", "url").coalesce(2).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(root)
+    t(spark, sf_dir, "pages").select("page_id", "html", "url").write.option("header", True).option("escape", '"').option("quoteAll", True).csv(root)
     found = files.listing(spark, root).where("path like 'part-%'").withColumns({"kind": F.lit("generic_csv"), "seq": F.col("path")})
     rows = csvs.split_rows(found, root, 1 << 16)
     return rows.select(F.element_at("row", "page_id").alias("page_id"), F.md5(F.element_at("row", "html")).alias("html"))
