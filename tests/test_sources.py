@@ -103,3 +103,27 @@ def test_ranges_are_dealt_by_bytes(spark, tmp_path, monkeypatch):
         got = csvs.split_rows(found, str(tmp_path), size=700)
         assert sorted((r["path"], r["row_no"], r["row"]["a"], r["row"]["b"]) for r in got.collect()) == sorted((f"{i}.csv", j, str(i), f"x\n{j}") for i in range(3) for j in range(3000))
         assert len([x for x in got.inputFiles() if x.endswith(".parquet")]) <= spark.sparkContext.defaultParallelism  # a file a task
+
+
+def test_entities_of_large_files_are_found_in_their_texts(spark, tmp_path):
+    from vespera.plans import evidence as P
+
+    text = "timestamp,remote_address,note,process\n" + "".join(f"t,198.51.{i % 250}.7,see 203.0.{i % 200}.9 host{i}.example.org CORP\\u{i} tool{i}.exe é,agent{i % 3}.exe\n" for i in range(400))
+    (tmp_path / "big_netflow.csv").write_text(text + '"agent1.exe, x",,over the header,a,b,192.0.2.77')
+    (tmp_path / "small.txt").write_text("10.9.8.7")
+    found = lambda split: sorted({(r["type"], r["value"], r["source"]) for r in P.entities(S.scan(spark, str(tmp_path), split=split)).collect()})
+    want = found(1 << 26)
+    assert ("domain", "host7.example.org", "big_netflow.csv") in want and ("ip", "192.0.2.77", "big_netflow.csv") in want and len(want) > 1400
+    assert found(0) == want
+    listed = spark.createDataFrame([("big_netflow.csv", "s", str(tmp_path / "big_netflow.csv"), (tmp_path / "big_netflow.csv").stat().st_size)], "path string, seq string, at string, length long")
+    pieces = csvs.split_text(listed, str(tmp_path), size=997).collect()
+    whole = (tmp_path / "big_netflow.csv").read_bytes()
+    assert len(pieces) > 20 and sum(len(r["content"]) for r in pieces) == len(whole) and all(bytes(r["content"])[-1:] in b"\n\r, " or whole.endswith(bytes(r["content"])) for r in pieces)
+
+
+def test_case_entities_are_those_of_all_files(spark):
+    from vespera.catalog import QUERIES
+
+    got = {(r["type"], r["key"]): r["first_source"] for r in QUERIES["case_entities"](spark, "/root/testdata/sf0.001").collect()}
+    assert got["file", "cust1.exe"].endswith("_keys.reg") and ("user", "hkcu\\software") in got
+    assert any(k == "registry_key" for k, _ in got) and any(s.startswith("docs/") for s in got.values())
