@@ -127,3 +127,27 @@ def test_unmentioned_keys_are_looked_for_in_distinct_words(spark, monkeypatch):
         monkeypatch.setattr(graph, "FEW", few)
         assert sorted(r["value"] for r in lint.unmentioned(values, pages, "value").collect()) == want
     assert sorted(r["question"] for r in seen[0].collect()) == sorted({w for x in lines for w in x.replace("\t", " ").replace("\r", " ").split(" ")})
+
+
+def test_filters_on_facts_of_csv_rows_make_a_row_once(spark):
+    from vespera.plans import evidence as P
+
+    files = spark.createDataFrame([("a_sysmon.csv", "sysmon_csv", "a", "event_id,parent_image,image\n1,C:\\cmd.exe,x.exe\n3,cmd.exe,y.exe\n")], "path string, kind string, seq string, text string")
+    told = P.events(files).where("relation is not null").select("actor", "targets")
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("map_from_arrays") == 1
+    assert [tuple(r) for r in told.collect()] == [("cmd.exe", ["x.exe"])]
+
+
+def test_pairs_of_common_nodes_are_counted_and_not_joined(spark, monkeypatch):
+    from vespera.operators import graph
+
+    met = graph._met
+    seen = []
+    monkeypatch.setattr(graph, "_met", lambda m, which: seen.append(met(m, which)) or seen[-1])
+    rows = [(f"n{i}", f"s{j:03d}") for i in range(60) for j in range(120) if (i * 7 + j) % 5] + [("rare", "s003"), ("rare", "s004"), ("once", "s110")]
+    got = {(r["a"], r["b"]): (r["evidence"], r["n_shared"]) for r in graph.related(spark.createDataFrame(rows, "node string, source string")).collect()}
+    by = {}
+    for n, s in rows:
+        by.setdefault(n, set()).add(s)
+    assert got == {(a, b): (min(by[a] & by[b]), len(by[a] & by[b])) for a in by for b in by if a < b and by[a] & by[b]}
+    assert len(got) > 1770 and sorted(x.where("least(x, y) like 'n%' and greatest(x, y) like 'n%'").count() for x in seen) == [0, 0]

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vespera.operators import merge
 from vespera.sources import storage
 
 #: Members of a group that one task pairs with so many others.
 BLOCK = 2048
 #: Nodes of more sources are counted in matrices of so many nodes a side, from about so many mentions a side, where that is less work.
-COMMON, CELLS, ROWS = 8, 1024, 500_000
+COMMON, CELLS, ROWS = 8, 1024, 4_000_000
+#: Sources whose names are sent to every task, at most.
+NAMED = 1_000_000
 #: Lengths of the prefixes by which labels are looked up in a text.
 PREFIXES = (1, 2, 4, 8, 16, 32)
 #: Characters of a text that are looked up at once, about, and labels that are sent along at once, about.
@@ -28,8 +31,8 @@ def related(mentions: DataFrame) -> DataFrame:
 
     All pairs of a source are the result, so its size is that of the pairs. Pairs with a node of one source are made once and
     need no merge. Nodes of more than COMMON sources are counted in matrices of blocks of nodes where their sources would
-    make more pairs than there are cells; other pairs are made by source and merged, each at most COMMON times where that
-    holds. A source of more than BLOCK nodes is dealt as pairs of blocks, so that no task holds the whole of it.
+    make more pairs than a quarter of the cells; other pairs are made by source and merged, each at most COMMON times where
+    that holds. A source of more than BLOCK nodes is dealt by blocks of its nodes, so that no task pairs the whole of it.
     """
     m = mentions.select("node", "source").distinct()
     size = m.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("source", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -38,66 +41,90 @@ def related(mentions: DataFrame) -> DataFrame:
     common = m.where(F.col("n_sources") > COMMON)
     of = common.groupBy("source").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).alias("pairs")).first()
     nodes = common.select("node").distinct().count()
-    dense = of["pairs"] > nodes * nodes / 2
-    # a node of one source with every other node of it
-    alone = m.where("n_sources = 1").select("source", F.col("node").alias("x"), "block")
-    others = m.select("source", F.col("node").alias("y"), (F.col("n_sources") == 1).alias("too"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    once = alone.join(others, ["source", "block"]).where("not too or x < y")
-    out = once.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("source").alias("evidence"), F.lit(1).cast("long").alias("n_shared"))
-    dealt = m.where("n_sources > 1").withColumn("common", F.lit(dense) & (F.col("n_sources") > COMMON))
-    left = dealt.select("source", F.col("node").alias("x"), F.col("common").alias("xc"), F.col("block").alias("p"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("q"))
-    right = dealt.select("source", F.col("node").alias("y"), F.col("common").alias("yc"), F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), "block")).alias("p"))
-    pairs = left.join(right, ["source", "p", "q"]).where("(p < q or x < y) and not (xc and yc)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "source")
+    dense = of["pairs"] > nodes * nodes / 8
+    least, greatest = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+    out = _met(m, F.col("n_sources") == 1).select(least, greatest, F.col("source").alias("evidence"), F.lit(1).cast("long").alias("n_shared"))
+    # pairs of two common nodes are not even looked at where they are counted
+    pairs = _met(m.where("n_sources > 1"), F.col("n_sources") <= COMMON if dense else F.lit(True)).select(least, greatest, "source")
     out = out.unionByName(pairs.groupBy("a", "b").agg(F.min("source").alias("evidence"), F.count("*").alias("n_shared")))
     return out.unionByName(_counted(common.select("node", "source"), nodes, of["rows"])) if dense else out
 
 
+def _met(m: DataFrame, which) -> DataFrame:
+    """source, x, y: each node x of which a condition holds with every other node y of its source; pairs of two such nodes once."""
+    some = m.where(which).select("source", F.col("node").alias("x"), "block")
+    others = m.select("source", F.col("node").alias("y"), which.alias("too"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return some.join(others, ["source", "block"]).where("not too or x < y").select("source", "x", "y")
+
+
+#: Sources whose sum of powers of two a double holds exactly.
+BITS = 52
+
+
 def _counted(mentions: DataFrame, nodes: int, rows: int) -> DataFrame:
-    """related() of distinct mentions by matrices of CELLS x CELLS nodes, each of about ROWS mentions a side; their counts are added up."""
+    """related() of distinct mentions by matrices of CELLS x CELLS nodes, each of about ROWS mentions a side; their counts are added up.
+
+    Sources are numbered in order, so that a node is sent with an array of numbers. A product of two matrices tells which
+    of BITS sources any two nodes share: a source is a power of two there, the least source the greatest power.
+    """
+    numbers = merge.numbered(mentions.select("source").distinct(), ["source"], start=-1, name="id")
+    sources = numbers.count()
     blocks = -(-nodes // CELLS)
-    parts = max(1, -(-rows // (blocks * ROWS)))
-    m = mentions.withColumns({"block": F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"), "part": F.pmod(F.xxhash64("source"), F.lit(parts)).cast("int")})
-    first = m.select("node", "source", "part", F.lit(True).alias("first"), F.col("block").alias("p"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("q"))
-    second = m.select("node", "source", "part", F.lit(False).alias("first"), F.explode(F.sequence(F.lit(0), "block")).alias("p"), F.col("block").alias("q"))
+    parts = max(1, -(-rows // (blocks * ROWS)), -(-sources // ROWS))
+    known = lambda df: F.broadcast(df) if sources <= NAMED else df
+    m = mentions.join(known(numbers), "source").withColumn("part", (F.col("id") * parts / max(1, sources)).cast("int"))
+    m = m.groupBy("node", "part").agg(F.collect_list("id").alias("ids")).withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
+    m = storage.stored(m, "numbered")
+    first = m.select("node", "ids", "part", F.lit(True).alias("first"), F.col("block").alias("p"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("q"))
+    second = m.select("node", "ids", "part", F.lit(False).alias("first"), F.explode(F.sequence(F.lit(0), "block")).alias("p"), F.col("block").alias("q"))
 
     def count(key, t):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        def ranked(column):  # values in order, and each row's place among them
-            e = pc.dictionary_encode(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
-            e = e.combine_chunks() if isinstance(e, pa.ChunkedArray) else e
-            order = pc.sort_indices(e.dictionary).to_numpy()
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            return e.dictionary.take(pa.array(order)), place[e.indices.to_numpy()]
-
-        names, node = ranked(t["node"])
-        sources, source = ranked(t["source"])
-        first = t["first"].to_numpy()
+
+        t = t.sort_by("node").combine_chunks()
+        names, lists, first = t["node"].combine_chunks(), t["ids"].combine_chunks(), t["first"].to_numpy()
+        ids, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
         sides = []
         for side in (first, ~first):
-            known, at = np.unique(node[side], return_inverse=True)
-            by = np.argsort(source[side], kind="stable")
-            sides.append((known, at[by], np.searchsorted(source[side][by], np.arange(len(sources) + 1))))
-        (ka, xa, ea), (kb, xb, eb) = sides
-        least, n = np.zeros((len(ka), len(kb)), np.int32), np.zeros((len(ka), len(kb)), np.int32)
-        for s in range(len(sources) - 1, -1, -1):  # the least source is written last
-            cells = np.ix_(xa[ea[s] : ea[s + 1]], xb[eb[s] : eb[s + 1]])
-            least[cells] = s
-            n[cells] += 1
-        i, j = np.nonzero(n)
+            at = np.flatnonzero(side)  # in order of names
+            sides.append((at, np.repeat(np.arange(len(at)), size[at]), ids[np.repeat(side, size)]))
+        shared = np.intersect1d(sides[0][2], sides[1][2])
+        ends = np.arange(0, len(shared) + BITS, BITS)
+        put = []
+        for _, node, source in sides:
+            place = np.minimum(np.searchsorted(shared, source), max(0, len(shared) - 1))
+            keep = np.flatnonzero(shared[place] == source) if len(shared) else np.zeros(0, np.int64)
+            by = keep[np.argsort(place[keep], kind="stable")]
+            put.append((node[by], place[by], np.searchsorted(place[by], ends)))
+        least, n = np.full((len(sides[0][0]), len(sides[1][0])), -1, np.int32), np.zeros((len(sides[0][0]), len(sides[1][0])), np.int32)
+        for c in range(len(ends) - 1):
+            held = []
+            for (node, place, edge), power in zip(put, (True, False)):
+                known, row = np.unique(node[edge[c] : edge[c + 1]], return_inverse=True)
+                bit = place[edge[c] : edge[c + 1]] - ends[c]
+                w = np.zeros((len(known), BITS))
+                w[row, bit] = np.exp2(BITS - 1 - bit) if power else 1.0
+                held.append((known, w))
+            which = held[0][1] @ held[1][1].T
+            cells = np.ix_(held[0][0], held[1][0])
+            n[cells] += np.bitwise_count(which.astype(np.int64))
+            found = least[cells]
+            new = (found < 0) & (which > 0)
+            found[new] = ends[c] + BITS - np.frexp(which[new])[1]
+            least[cells] = found
         if key[0].as_py() == key[1].as_py():
-            keep = ka[i] < kb[j]
-            i, j = i[keep], j[keep]
-        take = lambda values, k: values.take(pa.array(k))
-        a, b = np.minimum(ka[i], kb[j]), np.maximum(ka[i], kb[j])
-        return pa.table({"a": take(names, a), "b": take(names, b), "evidence": take(sources, least[i, j]), "n_shared": pa.array(n[i, j].astype(np.int64))})
-
-    kinds = dict(mentions.dtypes)
-    got = first.unionByName(second).groupBy("p", "q", "part").applyInArrow(count, f"a {kinds['node']}, b {kinds['node']}, evidence {kinds['source']}, n_shared long")
-    return got if parts == 1 else got.groupBy("a", "b").agg(F.min("evidence").alias("evidence"), F.sum("n_shared").alias("n_shared"))
+            n = np.triu(n, 1)  # both sides are the same nodes
+        i, j = np.nonzero(n)
+        x, y = sides[0][0][i], sides[1][0][j]
+        take = lambda k: names.take(pa.array(k))
+        return pa.table({"a": take(np.minimum(x, y)), "b": take(np.maximum(x, y)), "id": pa.array(shared[least[i, j]].astype(np.int64)), "n_shared": pa.array(n[i, j].astype(np.int64))})
+
+    kind = dict(mentions.dtypes)["node"]
+    got = first.unionByName(second).groupBy("p", "q", "part").applyInArrow(count, f"a {kind}, b {kind}, id long, n_shared long")
+    if parts > 1:
+        got = got.groupBy("a", "b").agg(F.min("id").alias("id"), F.sum("n_shared").alias("n_shared"))
+    return got.join(known(numbers.select("id", F.col("source").alias("evidence"))), "id").select("a", "b", "evidence", "n_shared")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
